@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,3 +64,15 @@ def lookup_join(facts: DataFrame, dim: DataFrame, keys: list[str], most_rows: in
         facts = facts.withColumn("__salt", F.pmod(F.xxhash64(*facts.columns), F.lit(salts)).cast("int"))
         out = facts.join(d, [*on, F.col("__salt") == F.col("__salt_d")], "left").drop("__salt", "__salt_d")
     return out.drop(*[f"__{k}" for k in keys])
+
+
+class WordHashes(dict):
+    """64-bit hashes of words (bytes or text), remembered; call `trim` between texts."""
+
+    def __missing__(self, w):
+        h = self[w] = xxhash.xxh3_64_intdigest(w if isinstance(w, bytes) else w.encode("utf-8", "surrogatepass"))
+        return h
+
+    def trim(self, most: int = 400_000) -> None:
+        if len(self) > most:
+            self.clear()

@@ -23,12 +23,11 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut
+from .common import WordHashes, cut
 from .components import components
 
 MIX = [np.uint64(int.from_bytes(blake2b(bytes([i]), digest_size=8).digest(), "little") | 1) for i in range(64)]
@@ -54,19 +53,13 @@ class Shingler:
     """Sorted distinct 64-bit hashes of a text's word n-grams."""
 
     def __init__(self, n: int):
-        self.n, self.seen = n, {}
-
-    def word(self, w: bytes) -> int:
-        if (h := self.seen.get(w)) is None:
-            if len(self.seen) >= 400_000:
-                self.seen.clear()
-            h = self.seen[w] = xxhash.xxh3_64_intdigest(w)
-        return h
+        self.n, self.known = n, WordHashes()
 
     def __call__(self, text: str | None) -> np.ndarray:
         # bytes lower and split by ASCII alone: A-Z, and the spaces 20 and 09-0D
         words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        h = np.fromiter(map(self.word, words), np.uint64, len(words))
+        h = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
+        self.known.trim()
         if len(h) == 0:
             return h
         if len(h) < self.n:

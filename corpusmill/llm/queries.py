@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses, ngram_join, rules, secrets, sharding
+from . import bpe, decontam, licenses, ngram_join, rules, secrets, sharding
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_digest(table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,6 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op3_sharding, op6_ngram_join, op7_quality_rules, op8_license_scan, op9_byte_bpe)
+    f.__name__: f for f in (op1_secret_scan, op3_sharding, op5_decontamination, op6_ngram_join, op7_quality_rules, op8_license_scan, op9_byte_bpe)
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontam, licenses, ngram_join, rules, secrets, sharding
+from . import bpe, decontam, langid, licenses, ngram_join, quality, rules, secrets, sharding
 from .common import table
 
 
@@ -20,6 +21,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_digest(table(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(table(spark, sf_dir, "documents"))
 
@@ -44,7 +49,18 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digest(table(spark, sf_dir, "documents"), *_tokenizer())
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.langid_digest(table(spark, sf_dir, "documents"))
+
+
+def langid_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator on web pages, which have an address and a declared language."""
+    rows = langid.page_evidence(table(spark, sf_dir, "pages"))
+    out = langid.identify(rows, ["page_id", "declared", "host"])
+    return out.withColumn("posterior", F.round("posterior", 6))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op3_sharding, op5_decontamination, op6_ngram_join, op7_quality_rules, op8_license_scan, op9_byte_bpe)
+    f.__name__: f for f in (op1_secret_scan, op2_quality, op3_sharding, op5_decontamination, op6_ngram_join, op7_quality_rules, op8_license_scan, op9_byte_bpe, op10_language_id, langid_pages)
 }
 ORACLE_SQL: dict[str, str] = {}

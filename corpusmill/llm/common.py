@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable
 
 import xxhash
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +33,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def share(spark: SparkSession, value) -> Callable:
+    """Broadcasts a value of bounded size; the result returns it. A worker process builds it once and
+    keeps it from task to task, with whatever it has remembered, for the last four such values."""
+    data, key = spark.sparkContext.broadcast(cloudpickle.dumps(value)), uuid.uuid4().hex
+
+    def get():
+        import pyspark
+
+        kept = pyspark.__dict__.setdefault("_shared_values", {})
+        if key not in kept:
+            if len(kept) >= 4:
+                kept.pop(next(iter(kept)))
+            kept[key] = cloudpickle.loads(data.value)
+        return kept[key]
+
+    return get
+
+
 def reduce_blobs(df: DataFrame, merge, schema: str, fan_in: int = 16, final: int = 4) -> list:
     """Merges rows of partial sums in levels of `fan_in` partitions, then collects what is left.
 

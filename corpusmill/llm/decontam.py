@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes
+from .common import WordHashes, share
 
 # Units that stand after a number.
 UNITS = frozenset(
@@ -182,10 +182,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) ->
     bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     out = None
     for items in _blocks(bench, s):
-        shared = docs.sparkSession.sparkContext.broadcast(Table(items, s))
+        shared = share(docs.sparkSession, Table(items, s))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            table, known = shared.value, WordHashes()
+            table, known = shared(), WordHashes()
             for b in batches:
                 rows = [(b.column(0)[i], m) for i, t in enumerate(b.column(1)) for m in table.match(t.as_py(), known)]
                 ids = pa.array([r[0].as_py() for r in rows], b.column(0).type)
@@ -201,10 +201,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> Da
     """The rows of `docs`, all columns, that no item contaminates; one map over the rows per block."""
     bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     for items in _blocks(bench, s):
-        shared = docs.sparkSession.sparkContext.broadcast(Table(items, s))
+        shared = share(docs.sparkSession, Table(items, s))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            table, known = shared.value, WordHashes()
+            table, known = shared(), WordHashes()
             for b in batches:
                 at = b.schema.get_field_index("text")
                 yield b.filter(pa.array([not table.match(t.as_py(), known) for t in b.column(at)], pa.bool_()))

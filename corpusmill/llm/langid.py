@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup_join
+from .common import lookup_join, share
 
 # letters stay (also bytes of longer characters); all else is a space
 LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
@@ -112,11 +112,11 @@ def identify(rows: DataFrame, keep: list[str], s: Settings = Settings()) -> Data
     languages = _languages(rows, s)
     if not languages:
         return rows.select(*keep, F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("posterior"), F.lit(0).cast("long").alias("n_grams"), F.lit(False).alias("accepted"))
-    model = rows.sparkSession.sparkContext.broadcast(fit_text(rows, languages, s))
-    hosts, share = priors(rows, languages, s)
+    model = share(rows.sparkSession, fit_text(rows, languages, s))
+    hosts, overall = priors(rows, languages, s)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        log_p = model.value
+        log_p = model()
         size = log_p.shape[1]
         for b in batches:
             at = b.schema.get_field_index("text")
@@ -139,7 +139,7 @@ def identify(rows: DataFrame, keep: list[str], s: Settings = Settings()) -> Data
     def declared_evidence(lang: Column) -> Column:
         return F.when(F.coalesce(~known, F.lit(True)), F.lit(0.0)).when(lang == F.col("declared"), F.lit(math.log(s.trust))).otherwise(F.lit(wrong))
 
-    total = F.zip_with(F.zip_with("ll", F.coalesce("prior", F.array(*map(F.lit, share))), lambda a, p: a + F.log(p)), F.transform(names, declared_evidence), lambda a, d: a + d)
+    total = F.zip_with(F.zip_with("ll", F.coalesce("prior", F.array(*map(F.lit, overall))), lambda a, p: a + F.log(p)), F.transform(names, declared_evidence), lambda a, d: a + d)
     out = joined.withColumn("__total", total)
     out = out.withColumn("__top", F.array_max("__total"))
     out = out.withColumn("posterior", 1 / F.aggregate(F.transform("__total", lambda x: F.exp(x - F.col("__top"))), F.lit(0.0), lambda a, x: a + x))

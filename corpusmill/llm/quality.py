@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, reduce_blobs
+from .common import cut, reduce_blobs, share
 
 NAMES = (
     "log_chars log_words word_len letters digits uppers spaces stops symbols high entropy distinct top_word "
@@ -216,10 +216,10 @@ def labelled_rows(rows: DataFrame, labels: DataFrame) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, s: Settings = Settings()) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row. Texts are read once; the statistics are kept."""
     rows = cut(features(docs))
-    fitted = docs.sparkSession.sparkContext.broadcast(fit(cut(labelled_rows(rows, labels)), s))
+    fitted = share(docs.sparkSession, fit(cut(labelled_rows(rows, labels)), s))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = fitted.value
+        model = fitted()
         for b in batches:
             if not b.num_rows:
                 continue

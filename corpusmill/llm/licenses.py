@@ -13,13 +13,13 @@ Nulls are empty texts. Ids may be null or repeat; rows are scanned each for itse
 from __future__ import annotations
 
 import math
-import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+WORD = r"[0-9a-z\x80-\x{10FFFF}]+"  # what GAP leaves of lower-cased text
 
 # Base phrases and their labels.
 BASE = {"mit": "mit license", "apache": "apache license", "gpl": "general public license"}
@@ -75,16 +75,23 @@ def phrase_starts(words: Column, phrase: list[str]) -> Column:
     return F.filter(F.transform(words, lambda w, i: F.when((w == phrase[0]) & _phrase_at(words, phrase, i), i)), lambda p: p.isNotNull())
 
 
+def _hint(text: Column, phrases: list[list[str]]) -> Column:
+    """What a text that holds all phrases holds: their longest word, or a phrase of short words."""
+    word = max((w for p in phrases for w in p), key=len)
+    if len(word) > 4:
+        return F.contains(text, F.lit(word))
+    return F.contains(text, F.lit(phrases[0][0])) & text.rlike(GAP.join(phrases[0]))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: Index | None = None, agree: float = 0.75, drift: int = 2) -> DataFrame:
     """One row per input row: id, n_words, base (array of start, label), notices (array of label,
     start, share of indexed places that agree)."""
     index = index or Index()
     low = F.lower(F.coalesce(docs[text_col].cast("string"), F.lit("")))
     df = docs.select(docs[id_col].alias(id_col), low.alias("__t"))
-    hints = sorted({min(p, key=lambda w: (-len(w), w)) for _, _, ps in index.templates for p in ps} | {"license"})
-    hint = F.col("__t").rlike("|".join(map(re.escape, hints)))
+    hint = reduce(lambda a, b: a | b, [_hint(F.col("__t"), phrases) for _, _, phrases in index.templates] + [F.contains("__t", F.lit("license"))])
     no_words = F.array().cast("array<string>")
-    df = df.select(id_col, F.regexp_count("__t", F.lit("[^" + GAP[1:])).cast("long").alias("n_words"), F.when(hint, F.array_remove(F.split("__t", GAP), "")).otherwise(no_words).alias("__w"))
+    df = df.select(id_col, F.regexp_count("__t", F.lit(WORD)).cast("long").alias("n_words"), F.when(hint, F.array_remove(F.split("__t", GAP), "")).otherwise(no_words).alias("__w"))
 
     def label_all(starts: Column, label: str) -> Column:
         return F.transform(starts, lambda s: F.struct(s.alias("start"), F.lit(label).alias("label")))

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from hashlib import blake2b
+from hashlib import blake2b, md5
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WordHashes, cut
+from .common import WordHashes, cut, is_small
 from .components import components
 
 MIX = [np.uint64(int.from_bytes(blake2b(bytes([i]), digest_size=8).digest(), "little") | 1) for i in range(64)]
@@ -81,8 +81,8 @@ def bitmap(grams: np.ndarray) -> np.ndarray:
 
 
 def _digest(docs: DataFrame, id_col: str, text_col: str, s: Settings) -> DataFrame:
-    """Rows of two kinds: a row of the input (id, n, fp), and a gram that recurs within a block."""
-    names = ["kind", "id", "n", "fp", "gram", "times"]
+    """Rows of two kinds: a row of the input (id, n, fp, text_md5), and a gram that recurs within a block."""
+    names = ["kind", "id", "n", "fp", "text_md5", "gram", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, pending, size, known = Shingler(s.words), [], 0, set()
@@ -91,12 +91,14 @@ def _digest(docs: DataFrame, id_col: str, text_col: str, s: Settings) -> DataFra
             grams, times = np.unique(np.concatenate(pending), return_counts=True)
             grams, times = grams[times > 1], times[times > 1]
             k, none = len(grams), pa.nulls
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), none(k, id_arrow), none(k, pa.int64()), none(k, pa.binary()), pa.array(grams.view(np.int64)), pa.array(times.astype(np.int64))], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), none(k, pa.int64()), none(k, pa.int64()), none(k, pa.binary()), none(k, pa.binary()), pa.array(grams.view(np.int64)), pa.array(times.astype(np.int64))], names=names)
 
         for b in batches:
-            n, fps = [], []
+            n, fps, texts = [], [], []
             for t in b.column(1):
-                grams = shingle(t.as_py())
+                t = t.as_py()
+                texts.append(md5((t or "").encode("utf-8", "surrogatepass"), usedforsecurity=False).digest())
+                grams = shingle(t)
                 n.append(len(grams))
                 fps.append(fingerprint(grams) if len(grams) else None)
                 if len(grams) and fps[-1] not in known:
@@ -104,16 +106,15 @@ def _digest(docs: DataFrame, id_col: str, text_col: str, s: Settings) -> DataFra
                     pending.append(grams)
                     size += len(grams)
             k = len(n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), b.column(0), pa.array(n, pa.int64()), pa.array(fps, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), b.column(0), pa.array(n, pa.int64()), pa.array(fps, pa.binary()), pa.array(texts, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names=names)
             if size >= s.block:
                 yield counted()
                 pending, size, known = [], 0, set()
         if pending:
             yield counted()
 
-    id_arrow = pa.int64()
     src = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
-    return src.mapInArrow(run, "kind int, id long, n long, fp binary, gram long, times long")
+    return src.mapInArrow(run, "kind int, id long, n long, fp binary, text_md5 binary, gram long, times long")
 
 
 def _common(recurring: DataFrame, s: Settings) -> tuple[np.ndarray, np.ndarray]:
@@ -255,10 +256,10 @@ def _member_pairs(candidates: DataFrame, s: Settings) -> DataFrame:
 
 
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
-    """(rows, edges): rows has id, n and fp for each row of the input; edges (a, b) of sets' fp.
+    """(rows, edges): rows has id, n, fp and text_md5 for each row of the input; edges (a, b) of sets' fp.
     Sets are linked in `edges` exactly as far as their components need."""
     first = cut(_digest(docs, id_col, text_col, s))
-    rows = first.where("kind = 0").select("id", "n", "fp")
+    rows = first.where("kind = 0").select("id", "n", "fp", "text_md5")
     table = _common(first.where("kind = 1").select("gram", "times"), s)
     shared = docs.sparkSession.sparkContext.broadcast(table)
     second = _prefixes(docs, text_col, shared, s)
@@ -326,6 +327,26 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s:
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_grams"), F.coalesce("component", "id").alias("component"))
 
 
+def keep_one(docs: DataFrame, s: Settings = Settings(), most_broadcast_rows: int = 100_000) -> DataFrame:
+    """All columns of one row of each component: the one of least id (nulls last), then least text
+    hash. Rows without words stay. Rows of one id and text are one row; a null text is as an empty one.
+
+    The rows to go are joined away; their table is broadcast if it is small, else both sides shuffle.
+    """
+    rows, edges = links(docs, "doc_id", "text", s)
+    label = components(edges)
+    tagged = rows.join(label, rows["fp"] == label["node"], "left").select("id", "text_md5", F.coalesce("label", "fp").alias("comp"))
+    order = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("text_md5").alias("text_md5"))
+    first = tagged.where("comp is not null").groupBy("comp").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    go = cut(tagged.join(first, "comp").where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("text_md5") == F.col("first.text_md5")))).select(F.col("id").alias("go_id"), F.col("text_md5").alias("go_text")).distinct())
+    keyed = docs.withColumn("__text", F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))))
+    side = F.broadcast(go) if is_small(go, most_broadcast_rows) else go
+    kept = keyed.join(side, F.col("doc_id").cast("long").eqNullSafe(F.col("go_id")) & (F.col("__text") == F.col("go_text")), "left_anti")
+    if rows.groupBy("id", "text_md5").count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["doc_id", "__text"])
+    return kept.select(*docs.columns)
+
+
 def join_digest(docs: DataFrame) -> DataFrame:
     """The contract's columns."""
     out = classes(docs)

@@ -20,7 +20,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-CACHE = 300_000  # entries of each of a worker's memories
+from .common import share
+
+CACHE = 400_000  # entries of each of a worker's memories
 STEM = 6
 
 
@@ -29,6 +31,24 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+class Pieces(dict):
+    """ids of pieces, in two generations; the older is dropped when the younger is full."""
+
+    def __init__(self, coder: PrefixBpe, old: dict[str, tuple[int, ...]]):
+        super().__init__()
+        self.coder, self.old = coder, old
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        if (ids := self.old.get(piece)) is None:
+            ids = self.coder.piece(piece)
+        if len(piece) <= 48:
+            self[piece] = ids
+        return ids
+
+    def __reduce__(self):  # what is remembered does not travel
+        return (Pieces, (self.coder, {}))
+
+
 class PrefixBpe:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
@@ -39,8 +59,7 @@ class PrefixBpe:
         self.pairs: dict[int, bool] = {}
         self.whole: dict[bytes, bool] = {}
         self.stems: dict[bytes, list[int]] = {}
-        self.young: dict[str, tuple[int, ...]] = {}  # two generations of pieces; the older is dropped
-        self.old: dict[str, tuple[int, ...]] = {}
+        self.pieces = Pieces(self, {})
 
     def merge(self, data: bytes) -> list[bytes]:
         """Merges by lowest rank, leftmost first; decides single tokens and pairs only."""
@@ -103,20 +122,15 @@ class PrefixBpe:
 
     def piece(self, piece: str) -> tuple[int, ...]:
         """A piece that is a token is that token, as tiktoken has it; else the table decides."""
-        if (ids := self.young.get(piece)) is not None:
-            return ids
-        if (ids := self.old.get(piece)) is None:
-            data = piece.encode()
-            whole = self.ranks.get(data)
-            ids = (whole,) if whole is not None else tuple(self.walk_back(self.prefix_table(data)))
-        if len(piece) <= 48:
-            if len(self.young) >= CACHE:
-                self.old, self.young = self.young, {}
-            self.young[piece] = ids
-        return ids
+        data = piece.encode()
+        whole = self.ranks.get(data)
+        return (whole,) if whole is not None else tuple(self.walk_back(self.prefix_table(data)))
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.piece, self.pattern.findall(text))))
+        ids = list(chain.from_iterable(map(self.pieces.__getitem__, self.pattern.findall(text))))
+        if len(self.pieces) > CACHE:
+            self.pieces = Pieces(self, dict(self.pieces))
+        return ids
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -142,25 +156,24 @@ class PrefixBpe:
                 new_ids += ids[k:]
                 break
             new_spans.append(m.span())
-            new_ids.append(self.piece(m[0]))
+            new_ids.append(self.pieces[m[0]])
         return after, new_spans, new_ids
 
     def spans(self, text: str):
         spans = [m.span() for m in self.pattern.finditer(text)]
-        return spans, [self.piece(text[a:b]) for a, b in spans]
+        return spans, [self.pieces[text[a:b]] for a, b in spans]
 
     def append(self, text: str, spans, ids, more: str):
         return self.edit(text, spans, ids, len(text), len(text), more)
 
 
 def _coder(df: DataFrame, vocabulary: str, pattern: str):
-    """The ranks go to each executor once; each worker builds one coder."""
-    shared = df.sparkSession.sparkContext.broadcast((read_ranks(vocabulary), pattern))
-    return lambda: PrefixBpe(*shared.value)
+    """A coder for each worker process, which keeps what it has met from task to task."""
+    return share(df.sparkSession, PrefixBpe(read_ranks(vocabulary), pattern))
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids array<int>): one row for each row; a narrow map."""
+def encode(docs: DataFrame, vocabulary: str, pattern: str, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    """keep, n_tokens, ids array<int>: one row for each row; a narrow map."""
     make = _coder(docs, vocabulary, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,12 +181,12 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
         for b in batches:
             for i in range(0, b.num_rows, 64):  # ids of a few texts at a time
                 part = b.slice(i, 64)
-                ids = pa.array([coder.encode(t.as_py() or "") for t in part.column(1)], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0), ids], names=["id", "ids"])
+                ids = [coder.encode(t.as_py() or "") for t in part.column(len(keep))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=[*part.schema.names[:-1], "n_tokens", "ids"])
 
-    id_type = docs.schema[id_col].dataType.simpleString()
-    src = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    return src.mapInArrow(run, f"id {id_type}, ids array<int>").withColumnRenamed("id", id_col)
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    src = docs.select(*[docs[c] for c in keep], docs[text_col].cast("string").alias("__text"))
+    return src.mapInArrow(run, f"{kinds}, n_tokens long, ids array<int>")
 
 
 def decode(encoded: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -162,6 +162,7 @@ def langid_digest(docs: DataFrame) -> DataFrame:
 
 def accept(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """The rows of `docs`, all columns, that are accepted. Rows are judged in place, so no id is needed."""
-    rows = document_evidence(docs)
-    out = identify(rows.select(*[F.col(c) for c in docs.columns], F.col("text").alias("__text"), "declared", "host", "suffix").drop("text").withColumnRenamed("__text", "text").withColumn("kept_text", F.col("text")), [c if c != "text" else "kept_text" for c in docs.columns], s)
-    return out.where("accepted").select(*[F.col("kept_text").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    names = [f"c{i}" for i in range(len(docs.columns))]  # whatever the columns are called
+    evidence = [docs["text"].cast("string").alias("text"), docs["lang"].alias("declared"), docs["source"].alias("host"), F.lit(None).cast("string").alias("suffix")]
+    rows = docs.select(*[docs[c].alias(n) for c, n in zip(docs.columns, names, strict=True)], *evidence)
+    return identify(rows, names, s).where("accepted").select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])

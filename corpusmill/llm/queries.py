@@ -11,7 +11,7 @@ from . import bpe, decontam, langid, licenses, materialise, ngram_join, quality,
 from .common import table
 
 
-def _tokenizer() -> tuple[str, str]:
+def tokenizer() -> tuple[str, str]:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -30,7 +30,7 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocabulary, pattern = _tokenizer()
+    vocabulary, pattern = tokenizer()
     return materialise.materialise(table(spark, sf_dir, "documents"), vocabulary, pattern, 50_256)
 
 
@@ -51,7 +51,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip_digest(table(spark, sf_dir, "documents"), *_tokenizer())
+    return bpe.round_trip_digest(table(spark, sf_dir, "documents"), *tokenizer())
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +34,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spill(df: DataFrame) -> DataFrame:
+    """Writes `df` as a table in the shared folder and reads it back: the lineage is cut, columns are
+    compressed and later reads are pruned. `discard` removes it; what a returned DataFrame still
+    reads stays until the folder is cleared."""
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._spilled_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that `spill` wrote and nothing reads any more."""
+    for t in tables:
+        sc = t.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(t._spilled_path)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def share(spark: SparkSession, value) -> Callable:
     """Broadcasts a value of bounded size; the result returns it. A worker process builds it once and
     keeps it from task to task, with whatever it has remembered, for the last four such values."""
@@ -87,6 +108,57 @@ def lookup_join(facts: DataFrame, dim: DataFrame, keys: list[str], most_rows: in
     return out.drop(*[f"__{k}" for k in keys])
 
 
+SPACES = np.isin(np.arange(256), np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8))
+BASE = 0x9E3779B97F4A7C15
+PIECE = 1 << 20
+
+
+def finish(x: np.ndarray) -> np.ndarray:
+    """Mixes 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class Words:
+    """64-bit hashes of the words of bytes, in order: polynomials mod 2 ** 64 from running sums."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def _powers(self, n: int) -> None:
+        size = 1 << max(12, n.bit_length())
+        for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
+            p = np.full(size, base, np.uint64)
+            p[0] = 1
+            setattr(self, name, np.multiply.accumulate(p))
+
+    def __call__(self, data: bytes) -> np.ndarray:
+        if len(data) > PIECE:  # a long text in pieces that end at spaces, so that memory is bounded by words
+            parts, at = [], 0
+            while at < len(data):
+                end = at + PIECE
+                while end < len(data) and not SPACES[data[end]]:
+                    end += 1
+                parts.append(self._hash(data[at:end]))
+                at = end
+            return np.concatenate(parts)
+        return self._hash(data)
+
+    def _hash(self, data: bytes) -> np.ndarray:
+        n = len(data)
+        if n > len(self.up):
+            self._powers(n)
+        b = np.frombuffer(data, np.uint8)
+        gap = np.ones(n + 2, np.int8)
+        gap[1:-1] = SPACES[b]
+        edges = np.flatnonzero(gap[1:] != gap[:-1])
+        start, end = edges[0::2], edges[1::2]
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((b.astype(np.uint64) + np.uint64(1)) * self.up[:n], out=sums[1:])
+        return finish((sums[end] - sums[start]) * self.down[start] + (end - start).astype(np.uint64))
+
+
 class WordHashes(dict):
     """64-bit hashes of words (bytes or text), remembered; call `trim` between texts."""
 

@@ -7,8 +7,9 @@
    under the size and position filters. A gram with many groups pairs all of them with one pivot
    first; only what that leaves in different components is paired further, so a large group of
    near copies costs as many pairs as it has members.
-4. Group pairs expand to member pairs, which a parity bitmap filters (the bits in which two sets'
-   bitmaps differ are at most the elements in which the sets differ) before the sets are compared.
+4. Group pairs expand to member pairs, which parity bitmaps filter (the bits in which two sets'
+   bitmaps differ are at most the elements in which the sets differ): first one of 256 bits, then
+   one in proportion to the set. Only what passes both has its sets fetched and compared.
 
 No step caps or samples: every pair of sets that reaches the similarity is linked or already
 connected. Null, empty and blank texts have no set and link with nothing; a null id takes part, and
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WordHashes, cut, is_small
+from .common import Words, cut, discard, finish, is_small, share, spill
 from .components import components
 
 MIX = [np.uint64(int.from_bytes(blake2b(bytes([i]), digest_size=8).digest(), "little") | 1) for i in range(64)]
@@ -43,23 +44,15 @@ class Settings:
     block: int = 2_000_000  # grams counted at a time
 
 
-def finish(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 class Shingler:
     """Sorted distinct 64-bit hashes of a text's word n-grams."""
 
     def __init__(self, n: int):
-        self.n, self.known = n, WordHashes()
+        self.n, self.words = n, Words()
 
     def __call__(self, text: str | None) -> np.ndarray:
-        # bytes lower and split by ASCII alone: A-Z, and the spaces 20 and 09-0D
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        h = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
-        self.known.trim()
+        # bytes.lower changes A-Z alone; words are what the spaces 20 and 09-0D leave
+        h = self.words((text or "").encode("utf-8", "surrogatepass").lower())
         if len(h) == 0:
             return h
         if len(h) < self.n:
@@ -67,7 +60,9 @@ class Shingler:
         x = h[: len(h) - self.n + 1] * MIX[0]
         for k in range(1, self.n):
             x = x + h[k : len(h) - self.n + 1 + k] * MIX[k]
-        return np.unique(finish(x))
+        x = finish(x)
+        x.sort()
+        return x[np.append(True, x[1:] != x[:-1])]
 
 
 def fingerprint(grams: np.ndarray) -> bytes:
@@ -80,6 +75,21 @@ def bitmap(grams: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def wide_bitmap(grams: np.ndarray) -> bytes:
+    """Two to four parities for each element; halves of a longer one fold onto a shorter one."""
+    bits = 1 << max(8, (2 * len(grams) - 1).bit_length())
+    odd = np.bincount((grams >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def wide_difference(x: np.ndarray, y: np.ndarray) -> int:
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _digest(docs: DataFrame, id_col: str, text_col: str, s: Settings) -> DataFrame:
     """Rows of two kinds: a row of the input (id, n, fp, text_md5), and a gram that recurs within a block."""
     names = ["kind", "id", "n", "fp", "text_md5", "gram", "times"]
@@ -89,7 +99,7 @@ def _digest(docs: DataFrame, id_col: str, text_col: str, s: Settings) -> DataFra
 
         def counted():
             grams, times = np.unique(np.concatenate(pending), return_counts=True)
-            grams, times = grams[times > 1], times[times > 1]
+            grams, times = grams[times > 2], times[times > 2]
             k, none = len(grams), pa.nulls
             return pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), none(k, pa.int64()), none(k, pa.int64()), none(k, pa.binary()), none(k, pa.binary()), pa.array(grams.view(np.int64)), pa.array(times.astype(np.int64))], names=names)
 
@@ -119,7 +129,7 @@ def _digest(docs: DataFrame, id_col: str, text_col: str, s: Settings) -> DataFra
 
 def _common(recurring: DataFrame, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """The most common grams, `table_rows` at most, with their counts."""
-    sums = cut(recurring.groupBy("gram").agg(F.sum("times").alias("times")))
+    sums = spill(recurring.groupBy("gram").agg(F.sum("times").alias("times")))
     level = F.floor(F.log2("times")).cast("int")
     sizes = {r["level"]: r["k"] for r in sums.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("k")).collect()}
     least, total = 64, 0
@@ -130,17 +140,19 @@ def _common(recurring: DataFrame, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     rows = sums.where(level >= least).toPandas()
     grams = rows["gram"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(grams)
+    discard(sums)
     return grams[order], rows["times"].to_numpy(np.int64)[order]
 
 
-def _prefixes(docs: DataFrame, text_col: str, shared, s: Settings) -> DataFrame:
-    """Rows of two kinds: a set with its group and bitmap, and a place of a gram in a group's prefix."""
-    names = ["kind", "grp", "n", "fp", "b0", "b1", "b2", "b3", "gram", "pos"]
+def _prefixes(docs: DataFrame, text_col: str, table: tuple[np.ndarray, np.ndarray], s: Settings) -> DataFrame:
+    """A row for each set: its fp, size, group, prefix and bitmap; a set may come once for each partition."""
+    shared = share(docs.sparkSession, table)
+    names = ["fp", "n", "grp", "prefix", "b0", "b1", "b2", "b3", "wide"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, (common, times), known = Shingler(s.words), shared.value, set()
+        shingle, (common, times), known = Shingler(s.words), shared(), set()
         for b in batches:
-            heads, bits, posts = [], [], []
+            heads, bits, wides, prefixes = [], [], [], []
             for t in b.column(0):
                 grams = shingle(t.as_py())
                 n = len(grams)
@@ -154,21 +166,18 @@ def _prefixes(docs: DataFrame, text_col: str, shared, s: Settings) -> DataFrame:
                     at = np.minimum(np.searchsorted(common, grams), len(common) - 1)
                     weight = np.where(common[at] == grams, times[at], 0)
                 keep = n - -(-n * s.num // s.den) + 1
-                prefix = grams[np.lexsort((grams, weight))[:keep]]
-                grp = int.from_bytes(blake2b(prefix.tobytes() + n.to_bytes(8, "little"), digest_size=8).digest(), "little", signed=True)
-                heads.append((grp, n, fp))
+                prefix = grams[np.argsort(weight, kind="stable")[:keep]]  # grams are in order of hash
+                heads.append((fp, n, int.from_bytes(blake2b(prefix.tobytes() + n.to_bytes(8, "little"), digest_size=8).digest(), "little", signed=True)))
                 bits.append(bitmap(grams))
-                posts.append((grp, n, prefix))
-            if not heads:
-                continue
-            k, m = len(heads), sum(len(p[2]) for p in posts)
-            bits = np.array(bits)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), pa.array([h[0] for h in heads], pa.int64()), pa.array([h[1] for h in heads], pa.int64()), pa.array([h[2] for h in heads], pa.binary()), *[pa.array(np.ascontiguousarray(bits[:, j])) for j in range(4)], pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names=names)
-            lens = [len(p[2]) for p in posts]
-            rep = lambda j: np.repeat(np.array([p[j] for p in posts], np.int64), lens)  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.array(rep(0)), pa.array(rep(1)), pa.nulls(m, pa.binary()), *[pa.nulls(m, pa.int64())] * 4, pa.array(np.concatenate([p[2] for p in posts]).view(np.int64)), pa.array(np.concatenate([np.arange(x) for x in lens]).astype(np.int64))], names=names)
+                wides.append(n.to_bytes(8, "little") + wide_bitmap(grams))
+                prefixes.append(prefix)
+            if heads:
+                ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes).view(np.int64)))
+                bits = np.array(bits)
+                yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in heads], pa.binary()), pa.array([h[1] for h in heads], pa.int64()), pa.array([h[2] for h in heads], pa.int64()), lists, *[pa.array(np.ascontiguousarray(bits[:, j])) for j in range(4)], pa.array(wides, pa.binary())], names=names)
 
-    return docs.select(docs[text_col].cast("string").alias("text")).mapInArrow(run, "kind int, grp long, n long, fp binary, b0 long, b1 long, b2 long, b3 long, gram long, pos long")
+    return docs.select(docs[text_col].cast("string").alias("text")).mapInArrow(run, "fp binary, n long, grp long, prefix array<long>, b0 long, b1 long, b2 long, b3 long, wide binary")
 
 
 def _fits(na: Column, nb: Column, overlap: Column, s: Settings) -> Column:
@@ -232,20 +241,37 @@ def _sets(docs: DataFrame, text_col: str, wanted: DataFrame, s: Settings) -> Dat
     return out.join(wanted.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.first("grams").alias("grams"))
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
-    left, right = sets.select(F.col("fp").alias("a"), F.col("grams").alias("ga")), sets.select(F.col("fp").alias("b"), F.col("grams").alias("gb"))
+def _compare(pairs: DataFrame, values: DataFrame, keep) -> DataFrame:
+    """The pairs (a, b) for whose values (fp, v) `keep` holds."""
+    left, right = values.select(F.col("fp").alias("a"), F.col("v").alias("va")), values.select(F.col("fp").alias("b"), F.col("v").alias("vb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(s.den * both >= s.num * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok))], names=["a", "b"])
+            ok = pa.array([bool(keep(x.as_buffer(), y.as_buffer())) for x, y in zip(b.column(2), b.column(3), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["a", "b"])
+
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "va", "vb").mapInArrow(run, "a binary, b binary")
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ga", "gb").mapInArrow(run, "a binary, b binary")
+
+def _verify(pairs: DataFrame, members: DataFrame, docs: DataFrame, text_col: str, s: Settings) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough, as a spilled table."""
+
+    def wide(x, y) -> bool:  # each bitmap comes with its set's size before it
+        n = int.from_bytes(x[:8].to_pybytes(), "little") + int.from_bytes(y[:8].to_pybytes(), "little")
+        differ = wide_difference(np.frombuffer(x, np.uint8, offset=8), np.frombuffer(y, np.uint8, offset=8))
+        return (s.num + s.den) * (n - differ) >= 2 * s.num * n
+
+    def exact(x, y) -> bool:
+        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return s.den * both >= s.num * (len(x) + len(y) - both)
+
+    near = spill(_compare(pairs, members.select("fp", F.col("wide").alias("v")), wide))
+    wanted = spill(near.select(F.col("a").alias("fp")).union(near.select("b")).distinct())
+    sets = spill(_sets(docs, text_col, wanted, s))
+    out = spill(_compare(near, sets.select("fp", F.col("grams").alias("v")), exact))
+    discard(near, wanted, sets)
+    return out
 
 
 def _member_pairs(candidates: DataFrame, s: Settings) -> DataFrame:
@@ -258,18 +284,17 @@ def _member_pairs(candidates: DataFrame, s: Settings) -> DataFrame:
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
     """(rows, edges): rows has id, n, fp and text_md5 for each row of the input; edges (a, b) of sets' fp.
     Sets are linked in `edges` exactly as far as their components need."""
-    first = cut(_digest(docs, id_col, text_col, s))
+    first = spill(_digest(docs, id_col, text_col, s))
     rows = first.where("kind = 0").select("id", "n", "fp", "text_md5")
-    table = _common(first.where("kind = 1").select("gram", "times"), s)
-    shared = docs.sparkSession.sparkContext.broadcast(table)
-    second = _prefixes(docs, text_col, shared, s)
+    second = spill(_prefixes(docs, text_col, _common(first.where("kind = 1").select("gram", "times"), s), s))
 
-    by_gram = second.where("kind = 1").select("gram", "grp", "n", "pos").repartition("gram").dropDuplicates(["gram", "grp"])
+    by_gram = second.select("grp", "n", F.posexplode("prefix").alias("pos", "gram")).repartition("gram").dropDuplicates(["gram", "grp"])
     w = Window.partitionBy("gram")
     lists = by_gram.withColumn("size", F.count(F.lit(1)).over(w)).withColumn("pivot", F.min(F.struct("pos", "n", "grp")).over(w)).where("size > 1")
-    lists = cut(lists)
-    members = second.where("kind = 0").select("grp", "n", "fp", "b0", "b1", "b2", "b3").dropDuplicates(["fp"])
-    members = cut(members.withColumn("peers", F.count(F.lit(1)).over(Window.partitionBy("grp"))).withColumn("head", F.min("fp").over(Window.partitionBy("grp"))))
+    lists = spill(lists)
+    members = second.select("grp", "n", "fp", "b0", "b1", "b2", "b3", "wide").dropDuplicates(["fp"])
+    members = spill(members.withColumn("peers", F.count(F.lit(1)).over(Window.partitionBy("grp"))).withColumn("head", F.min("fp").over(Window.partitionBy("grp"))))
+    discard(second)
 
     few, many = lists.where(F.col("size") <= s.pivot_over), lists.where(F.col("size") > s.pivot_over)
     cols = ["gram", "grp", "n", "pos"]
@@ -281,11 +306,10 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Se
     x, y = _side(members, "x", info), _side(members, "y", info)
     expand = lambda p: p.join(x, "x_grp").join(y, "y_grp")
     heads = _side(members.where("peers > 1 and fp = head"), "x", info).join(_side(members.where("peers > 1"), "y", info), F.col("x_grp") == F.col("y_grp"))
-    near = cut(_member_pairs(expand(pairs).select(*[f"{side}_{c}" for side in "xy" for c in info[1:]]).unionByName(heads.select(*[f"{side}_{c}" for side in "xy" for c in info[1:]])), s))
+    near = spill(_member_pairs(expand(pairs).select(*[f"{side}_{c}" for side in "xy" for c in info[1:]]).unionByName(heads.select(*[f"{side}_{c}" for side in "xy" for c in info[1:]])), s))
 
     # what a pivot left apart: every member of such lists and groups, by component
-    sets = cut(_sets(docs, text_col, _wanted(near, many, members), s))
-    edges = cut(_verify(near, sets, s))
+    edges = _verify(near, members, docs, text_col, s)
     label = cut(components(edges))
     grouped = members.where("peers > 1").select("grp", F.lit(None).cast("long").alias("gram"), F.lit(0).cast("long").alias("pos"), *info[1:])
     rest = many.select("grp", "gram", "pos").join(members.select(*info), "grp").select("grp", "gram", "pos", *info[1:]).unionByName(grouped)
@@ -293,13 +317,16 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Se
     # a component of a list appears to the rest of the list through its members, but only where
     # the list holds more than one component
     wk = Window.partitionBy("key", F.col("gram").isNull())
-    rest = cut(rest.withColumn("lo", F.min("comp").over(wk)).withColumn("hi", F.max("comp").over(wk)).where("lo <> hi").select("key", F.col("gram").isNull().alias("in_group"), "pos", "comp", *info[1:]))
+    rest = spill(rest.withColumn("lo", F.min("comp").over(wk)).withColumn("hi", F.max("comp").over(wk)).where("lo <> hi").select("key", F.col("gram").isNull().alias("in_group"), "pos", "comp", *info[1:]))
     if rest.limit(1).count():
         cols = ["key", "in_group", "pos", "comp", *info[1:]]
         c = lambda name: F.col(f"x_{name}") == F.col(f"y_{name}")
         more = _side(rest, "x", cols).join(_side(rest, "y", cols), c("key") & c("in_group") & (F.col("x_comp") != F.col("y_comp")) & _may_link("x", "y", s) & ((F.col("x_n") < F.col("y_n")) | (F.col("x_fp") < F.col("y_fp"))) & _bits_fit(s))
-        edges = edges.unionByName(_verify(cut(_member_pairs(more, s)), sets, s))
-        edges = cut(edges)
+        more = spill(_member_pairs(more, s))
+        if more.limit(1).count():
+            edges = edges.unionByName(_verify(more, members, docs, text_col, s))
+        discard(more)
+    discard(lists, members, near, rest)
     return rows, edges
 
 
@@ -308,12 +335,6 @@ def _bits_fit(s: Settings) -> Column:
     return (s.num + s.den) * (F.col("x_n") + F.col("y_n") - differ) >= 2 * s.num * (F.col("x_n") + F.col("y_n"))
 
 
-def _wanted(near: DataFrame, many: DataFrame, members: DataFrame) -> DataFrame:
-    listed = many.select("grp").distinct().join(members.select("grp", "fp"), "grp").select("fp")
-    peers = members.where("peers > 1").select("fp")
-    return cut(near.select(F.col("a").alias("fp")).union(near.select("b")).union(listed).union(peers).distinct())
-
-
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> DataFrame:
     """(id, n_grams, component): one row per input row."""
     rows, edges = links(docs, id_col, text_col, s)

@@ -56,7 +56,7 @@ def discard(*tables: DataFrame) -> None:
 
 def share(spark: SparkSession, value) -> Callable:
     """Broadcasts a value of bounded size; the result returns it. A worker process builds it once and
-    keeps it from task to task, with whatever it has remembered, for the last four such values."""
+    keeps it from task to task, with whatever it has remembered, for the last two such values."""
     data, key = spark.sparkContext.broadcast(cloudpickle.dumps(value)), uuid.uuid4().hex
 
     def get():
@@ -64,7 +64,7 @@ def share(spark: SparkSession, value) -> Callable:
 
         kept = pyspark.__dict__.setdefault("_shared_values", {})
         if key not in kept:
-            if len(kept) >= 4:
+            if len(kept) >= 2:
                 kept.pop(next(iter(kept)))
             kept[key] = cloudpickle.loads(data.value)
         return kept[key]

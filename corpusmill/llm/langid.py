@@ -107,29 +107,34 @@ def priors(rows: DataFrame, languages: list[str], s: Settings) -> tuple[DataFram
     return joined.select("host", "suffix", prior.alias("prior")), share
 
 
-def identify(rows: DataFrame, keep: list[str], s: Settings = Settings()) -> DataFrame:
+def identify(rows: DataFrame, keep: list[str], s: Settings = Settings(), keep_text: bool = False) -> DataFrame:
     """keep, language, posterior, n_grams, accepted for each of `rows` (text, declared, host, suffix)."""
     languages = _languages(rows, s)
+    texts = ["text"] if keep_text else []
     if not languages:
-        return rows.select(*keep, F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("posterior"), F.lit(0).cast("long").alias("n_grams"), F.lit(False).alias("accepted"))
+        return rows.select(*keep, *texts, F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("posterior"), F.lit(0).cast("long").alias("n_grams"), F.lit(False).alias("accepted"))
     model = share(rows.sparkSession, fit_text(rows, languages, s))
     hosts, overall = priors(rows, languages, s)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         log_p = model()
         size = log_p.shape[1]
-        for b in batches:
-            at = b.schema.get_field_index("text")
-            grams = [buckets(t.as_py(), s.bits) for t in b.column(at)]
-            n = [len(g) for g in grams]
-            scores = [(log_p @ np.bincount(g, minlength=size)) * min(1.0, s.length / max(1, len(g))) for g in grams]
-            flat = np.concatenate(scores) if scores else np.zeros(0)
-            ll = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * log_p.shape[0]), pa.array(flat))
-            cols = [b.column(i) for i in range(b.num_columns) if i != at]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), ll], names=[*[f.name for i, f in enumerate(b.schema) if i != at], "n_grams", "ll"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1024):
+                b = whole.slice(start, 1024)
+                at = b.schema.get_field_index("text")
+                n, scores = [], []
+                for t in b.column(at):  # one text's trigrams at a time
+                    grams = buckets(t.as_py(), s.bits)
+                    n.append(len(grams))
+                    scores.append((log_p @ np.bincount(grams, minlength=size)) * min(1.0, s.length / max(1, len(grams))))
+                flat = np.concatenate(scores) if scores else np.zeros(0)
+                ll = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * log_p.shape[0]), pa.array(flat))
+                cols = [(f.name, b.column(i)) for i, f in enumerate(b.schema) if keep_text or i != at]
+                yield pa.RecordBatch.from_arrays([*[c for _, c in cols], pa.array(n, pa.int64()), ll], names=[*[name for name, _ in cols], "n_grams", "ll"])
 
     named = rows.select(*[F.col(c).alias(f"k_{c}") for c in keep], "text", "declared", "host", "suffix")
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in named.schema if f.name != "text")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in named.schema if keep_text or f.name != "text")
     scored = named.mapInArrow(run, f"{kinds}, n_grams long, ll array<double>")
     joined = lookup_join(scored, hosts, ["host", "suffix"], s.broadcast_hosts)
     names = F.array(*map(F.lit, languages))
@@ -147,7 +152,7 @@ def identify(rows: DataFrame, keep: list[str], s: Settings = Settings()) -> Data
     undeclared = F.coalesce(~known, F.lit(True))
     contradicts = ~undeclared & (F.col("language") != F.col("declared")) & (F.col("posterior") >= s.against) & (F.col("n_grams") >= s.enough)
     accepted = (F.col("n_grams") > 0) & ~contradicts & (~undeclared | (F.col("posterior") >= s.sure))
-    return out.select(*[F.col(f"k_{c}").alias(c) for c in keep], "language", "posterior", "n_grams", F.coalesce(accepted, F.lit(False)).alias("accepted"))
+    return out.select(*[F.col(f"k_{c}").alias(c) for c in keep], *texts, "language", "posterior", "n_grams", F.coalesce(accepted, F.lit(False)).alias("accepted"))
 
 
 def document_evidence(docs: DataFrame) -> DataFrame:
@@ -162,7 +167,8 @@ def langid_digest(docs: DataFrame) -> DataFrame:
 
 def accept(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """The rows of `docs`, all columns, that are accepted. Rows are judged in place, so no id is needed."""
-    names = [f"c{i}" for i in range(len(docs.columns))]  # whatever the columns are called
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns) if c != "text"}  # whatever the columns are called
     evidence = [docs["text"].cast("string").alias("text"), docs["lang"].alias("declared"), docs["source"].alias("host"), F.lit(None).cast("string").alias("suffix")]
-    rows = docs.select(*[docs[c].alias(n) for c, n in zip(docs.columns, names, strict=True)], *evidence)
-    return identify(rows, names, s).where("accepted").select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])
+    rows = docs.select(*[docs[c].alias(n) for c, n in names.items()], *evidence)
+    out = identify(rows, list(names.values()), s, keep_text=True).where("accepted")
+    return out.select(*[F.col(names.get(c, "text")).alias(c) for c in docs.columns])

@@ -314,10 +314,11 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Se
     grouped = members.where("peers > 1").select("grp", F.lit(None).cast("long").alias("gram"), F.lit(0).cast("long").alias("pos"), *info[1:])
     rest = many.select("grp", "gram", "pos").join(members.select(*info), "grp").select("grp", "gram", "pos", *info[1:]).unionByName(grouped)
     rest = rest.join(label, rest["fp"] == label["node"], "left").withColumn("comp", F.coalesce("label", "fp")).withColumn("key", F.coalesce("gram", "grp"))
-    # a component of a list appears to the rest of the list through its members, but only where
-    # the list holds more than one component
-    wk = Window.partitionBy("key", F.col("gram").isNull())
-    rest = spill(rest.withColumn("lo", F.min("comp").over(wk)).withColumn("hi", F.max("comp").over(wk)).where("lo <> hi").select("key", F.col("gram").isNull().alias("in_group"), "pos", "comp", *info[1:]))
+    # only lists that hold more than one component go on; the least and greatest are combined
+    # before the shuffle, so a long list is no hot group
+    keyed = rest.select("key", F.col("gram").isNull().alias("in_group"), "pos", "comp", *info[1:])
+    mixed = keyed.groupBy("key", "in_group").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "in_group")
+    rest = spill(keyed.join(mixed, ["key", "in_group"]))
     if rest.limit(1).count():
         cols = ["key", "in_group", "pos", "comp", *info[1:]]
         c = lambda name: F.col(f"x_{name}") == F.col(f"y_{name}")

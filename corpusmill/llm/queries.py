@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, licenses, materialise, ngram_join, quality, rules, secrets, sharding
+from . import bpe, decontam, langid, licenses, materialise, ngram_join, quality, rules, secrets, sharding, sql
 from .common import table
 
 
@@ -68,4 +68,4 @@ def langid_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_secret_scan, op2_quality, op3_sharding, op4_training_order, op5_decontamination, op6_ngram_join, op7_quality_rules, op8_license_scan, op9_byte_bpe, op10_language_id, langid_pages)
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_ngram_join": sql.NGRAM_JOIN, "op7_quality_rules": sql.QUALITY_RULES}

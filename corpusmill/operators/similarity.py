@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import scalars as S
 from .stats import fisher, mantel_haenszel
@@ -21,7 +22,7 @@ def word_ratio(a: str | None, b: str | None) -> float | None:
     return difflib.SequenceMatcher(None, *words, autojunk=False).ratio()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([word_ratio(x, y) for x, y in zip(a, b, strict=True)])
 

@@ -8,6 +8,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from .metrics import right, wide
@@ -48,7 +49,7 @@ def mcnemar(preds: DataFrame, models: list[str]) -> DataFrame:
     return t.withColumn("significant", F.col("p_holm") < 0.05).withColumn("result", F.when(F.col("significant"), better).otherwise("no significant difference"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_tail(x: pd.Series) -> pd.Series:
     """P of a chi-squared value with one degree of freedom or more."""
     return x.map(lambda v: math.erfc(math.sqrt(v / 2)) if v is not None and v == v and v >= 0 else None)
@@ -78,7 +79,7 @@ def fisher_p(a: int, b: int, c: int, d: int) -> float:
     return min(1.0, sum(math.exp(v) for x in range(max(0, row + col - n), min(row, col) + 1) if (v := log_p(x)) <= own + 1e-7))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _fisher(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     return pd.Series([fisher_p(*map(int, t)) for t in zip(a, b, c, d, strict=True)])
 

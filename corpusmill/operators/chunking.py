@@ -86,3 +86,14 @@ def report(chunks: DataFrame) -> DataFrame:
     """Chunks, documents and least, median and most words of each target length."""
     words = T.word_count(F.col("chunk"))
     return chunks.groupBy("target_length").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("document_id").alias("documents"), F.min(words).alias("min_words"), F.median(words).alias("median_words"), F.max(words).alias("max_words"))
+
+
+def summarize(chunks: DataFrame, dims: tuple[str, ...] = ("source", "split", "year")) -> DataFrame:
+    """(dim, value, n, documents): rows and distinct documents by each dimension, in one pass."""
+    each = F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d).cast("string").alias("value")) for d in dims]))
+    return chunks.select("document_id", each.alias("x")).groupBy("x.dim", "x.value").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("document_id").alias("documents"))
+
+
+def most_common(df: DataFrame, column: str, k: int = 5) -> DataFrame:
+    """The k most common values; ties in order of value."""
+    return df.groupBy(column).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), column).limit(k)

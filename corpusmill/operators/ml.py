@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import time
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, Normalizer
+from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,15 +25,17 @@ def tokens(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def fit(df: DataFrame, c: float = 3.0, min_df: float = 5.0, max_df: float = 0.98, features: int = 200_000, iterations: int = 100, label: str = "label") -> PipelineModel:
-    """Counts -> IDF -> L2 norm -> regression; the penalty is 1 / (c n)."""
+    """Counts x (ln((1 + n) / (1 + df)) + 1) -> L2 norm -> regression; the penalty is 1 / (c n)."""
     n = max(1, df.count())
-    stages = [
-        CountVectorizer(inputCol="terms", outputCol="counts", vocabSize=features, minDF=min(min_df, float(n)), maxDF=max(max_df, 1.0) if n * max_df < min_df else max_df),
-        IDF(inputCol="counts", outputCol="weighted"),
-        Normalizer(inputCol="weighted", outputCol="features", p=2.0),
-        LogisticRegression(labelCol=label, family="multinomial", regParam=1.0 / (c * n), standardization=False, maxIter=iterations),
-    ]
-    return Pipeline(stages=stages).fit(df)
+    counts = CountVectorizer(inputCol="terms", outputCol="counts", vocabSize=features, minDF=min(min_df, float(n)), maxDF=max(max_df, 1.0) if n * max_df < min_df else max_df).fit(df)
+    counted = counts.transform(df)
+    seen = IDF(inputCol="counts", outputCol="_").fit(counted)
+    weights = [math.log((1 + seen.numDocs) / (1 + k)) + 1 for k in seen.docFreq]
+    weigh = ElementwiseProduct(scalingVec=Vectors.dense(weights), inputCol="counts", outputCol="weighted")
+    norm = Normalizer(inputCol="weighted", outputCol="features", p=2.0)
+    train = norm.transform(weigh.transform(counted))
+    model = LogisticRegression(labelCol=label, family="multinomial", regParam=1.0 / (c * n), standardization=False, maxIter=iterations).fit(train)
+    return PipelineModel([counts, weigh, norm, model])
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:

@@ -119,3 +119,16 @@ def fit_temperature(df: DataFrame, rounds: int = 4, points: int = 9) -> float:
         best = xs[k]
         low, high = xs[max(0, k - 1)], xs[min(points - 1, k + 1)]
     return math.exp(best)
+
+
+def calibration_table(df: DataFrame, temperature: float, logits: list[str] = ["z0", "z1", "z2"]) -> DataFrame:  # noqa: B006
+    """n, accuracy, Brier score and log loss before and after scaling by the temperature."""
+    from ..functions.scalars import argmax, softmax
+    from .metrics import brier, log_loss
+
+    out = None
+    for stage, t in (("before", 1.0), ("after", temperature)):
+        p = df.select("label", *[x.alias(f"p{k}") for k, x in enumerate(softmax([F.col(c) for c in logits], t))])
+        one = p.agg(F.lit(stage).alias("stage"), F.lit(float(t)).alias("temperature"), F.count(F.lit(1)).alias("n"), F.avg((argmax([F.col(f"p{k}") for k in range(3)]) == F.col("label")).cast("int")).alias("accuracy"), brier().alias("brier"), log_loss().alias("log_loss"))
+        out = one if out is None else out.unionByName(one)
+    return out

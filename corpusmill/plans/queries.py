@@ -492,6 +492,30 @@ def q58_label_counts(spark, sf_dir):
     return d.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"""WITH {PREDS}, z AS (SELECT label, ln(p0) AS z0, ln(p1) AS z1, ln(p2) AS z2 FROM p WHERE model = 'e'), t AS (SELECT * FROM (VALUES ('before', 1.0::DOUBLE), ('after', 1.5::DOUBLE)) t(stage, temperature)),
+e AS (SELECT stage, temperature, label, exp(z0 / temperature) AS e0, exp(z1 / temperature) AS e1, exp(z2 / temperature) AS e2 FROM z, t), s AS (SELECT stage, temperature, label, e0 / (e0 + e1 + e2) AS p0, e1 / (e0 + e1 + e2) AS p1, e2 / (e0 + e1 + e2) AS p2 FROM e)
+SELECT stage, temperature, count(*) AS n, round(avg((CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END = label)::INT), 6) AS accuracy, round(avg(pow(p0 - (label = 0)::INT, 2) + pow(p1 - (label = 1)::INT, 2) + pow(p2 - (label = 2)::INT, 2)), 6) AS brier, round(-avg(ln([p0, p1, p2][label + 1])), 6) AS log_loss FROM s GROUP BY stage, temperature""")
+def q59_calibration_table(spark, sf_dir):
+    p = preds(spark, sf_dir).where("model = 'e'").select("label", *[F.ln(f"p{k}").alias(f"z{k}") for k in range(3)])
+    return rounded(stats.calibration_table(p, 1.5), "accuracy", "brier", "log_loss")
+
+
+@query(f"WITH {DOCS}, u AS (SELECT 'source' AS dim, source AS value, doc_id FROM docs UNION ALL SELECT 'split', split, doc_id FROM docs UNION ALL SELECT 'lang', lang, doc_id FROM docs) SELECT dim, value, count(*) AS n, count(DISTINCT doc_id) AS documents FROM u GROUP BY dim, value")
+def q60_corpus_summary(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), "source", "lang", S.assign_split(F.col("doc_id").cast("string")).alias("split"))
+    return chunking.summarize(d, ("source", "split", "lang"))
+
+
+@query("SELECT source, count(*) AS n FROM documents GROUP BY source ORDER BY n DESC, source LIMIT 5")
+def q61_most_common_sources(spark, sf_dir):
+    return chunking.most_common(table(spark, sf_dir, "documents"), "source")
+
+
+@query("SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
+def q62_set_difference(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id").exceptAll(table(spark, sf_dir, "labels").select("doc_id").distinct())
+
+
 # ---- engine extras: not in the inventory
 
 

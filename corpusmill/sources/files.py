@@ -126,3 +126,34 @@ def external_check(rows: DataFrame) -> DataFrame:
 
 def word_lengths(df: DataFrame) -> DataFrame:
     return df.withColumn("word_count", T.word_count(F.col("text")))
+
+
+SPANS = "doc_id string, page int, block int, line int, span int, text string, size double, bold boolean, x0 double, x1 double"
+
+
+def pdf_spans(binary: DataFrame, open_pdf) -> DataFrame:
+    """The spans of each file as `layout` takes them. `open_pdf(bytes)` gives pages of blocks of lines
+    of (text, size, bold, x0, x1); no PDF library is at hand here, so it is a plug-in. Files that it
+    cannot read give no rows. Sizes are rounded to halves and blank spans dropped."""
+    import pandas as pd
+
+    def run(parts):
+        for p in parts:
+            rows = []
+            for path, content in zip(p["path"], p["content"], strict=True):
+                try:
+                    pages = open_pdf(bytes(content)) if content is not None else []
+                except Exception:  # noqa: BLE001  an unreadable file is a file without spans
+                    pages = []
+                rows += [(path, i, j, k, m, t, round(size * 2) / 2, bool(bold), float(x0), float(x1)) for i, blocks in enumerate(pages) for j, lines in enumerate(blocks) for k, spans in enumerate(lines) for m, (t, size, bold, x0, x1) in enumerate(spans) if t.strip()]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in SPANS.split(", ")])
+
+    return binary.select("path", "content").mapInPandas(run, SPANS)
+
+
+def write_config(path: str, **values) -> None:
+    """A detector's configuration, written to a new file that then takes the old one's place."""
+    target = Path(path)
+    new = target.with_suffix(".new")
+    new.write_text(json.dumps(values, ensure_ascii=False, indent=1), encoding="utf-8")
+    new.replace(target)

@@ -43,7 +43,37 @@ def test_query(name, spark, small_dir, duck):
             want[c] = pd.to_datetime(want[c]).dt.date.astype(object).where(want[c].notna(), None)
         assert rows(frame) == rows(want)
     else:
-        assert len(frame) >= 0 and not frame.select_dtypes("float").isin([math.inf]).all(axis=None) or frame.empty
+        assert len(frame) > 0
+
+
+def test_detection_equals_loops(spark, small_dir):
+    """q39 against plain loops over sentences and windows."""
+    from corpusmill.functions.sentences import app_spans
+    from corpusmill.operators.detect import lexical_scorer, make_windows
+
+    score, want = lexical_scorer(), {}
+    for d in spark.read.parquet(f"{small_dir}/documents.parquet").select("doc_id", "text").collect():
+        text = d.text.strip()
+        if sum(any(c.isalpha() for c in w) for w in text.split()) < 50 or len(text.split()) > 3000:
+            continue
+        spans = app_spans(text)
+        words = [len(text[a:b].split()) for a, b in spans]
+        middle = [sum(words[:i]) + w / 2 for i, w in enumerate(words)]
+        sums, weights = [[0.0] * 3 for _ in spans], [0.0] * len(spans)
+        for a, b in make_windows(words):
+            p = score([text[spans[a][0] : spans[b - 1][1]]])[0]
+            low, high = sum(words[:a]), sum(words[:b])
+            for i in range(a, b):
+                w = max(1 - abs(middle[i] - (low + high) / 2) / max((high - low) / 2, 1), 0.05)
+                weights[i] += w
+                sums[i] = [x + w * y for x, y in zip(sums[i], p)]
+        own = [[x / w for x in row] for row, w in zip(sums, weights)]
+        total = sum(words)
+        shares = [sum(w for w, p in zip(words, own) if p.index(max(p)) == k) / total for k in range(3)]
+        want[d.doc_id] = [sum(w * p[k] for w, p in zip(words, own)) / total for k in range(3)] + shares
+    got = {r.doc_id: [r.p0, r.p1, r.p2, r.share_0, r.share_1, r.share_2] for r in QUERIES["q39_detect_overall_and_shares"](spark, small_dir).collect()}
+    assert set(got) == set(want)
+    assert all(got[i] == pytest.approx(want[i], abs=2e-6) for i in want)
 
 
 def test_entry_points():

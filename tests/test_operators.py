@@ -416,6 +416,21 @@ def test_files(spark, tmp_path):
         files.one_of("c", ["a", "b"])
 
 
+def test_pdf_spans(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"%PDF ok")
+    (tmp_path / "b.pdf").write_bytes(b"%PDF bad")
+
+    def opened(data):
+        if b"bad" in data:
+            raise ValueError
+        return [[[[("Text", 10.26, False, 0, 9), (" ", 10, False, 9, 10)]]]]
+
+    rows = files.pdf_spans(files.read_binary(spark, str(tmp_path), 100), opened).collect()
+    assert [(r.page, r.text, r.size) for r in rows] == [(0, "Text", 10.5)]
+    files.write_config(str(tmp_path / "d.json"), temperature=2.0)
+    assert files.load_temperature(str(tmp_path / "d.json")) == 2.0
+
+
 def test_streams(spark, tmp_path, small_dir):
     e = spark.read.parquet(f"{small_dir}/events.parquet").select("event_id", "ts", "user_id")
     twice = e.unionByName(e.limit(20))

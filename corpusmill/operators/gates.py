@@ -159,22 +159,24 @@ def gate_documents(docs: DataFrame, min_words: int = 400, language: str = "lang"
     source are applied after the chunk gate, as they count what was accepted (see sampling).
     """
     df = docs.withColumn("clean_text", T.clean_plain_text(F.col("text")))
-    df = df.withColumn("_m", modernize_spelling(F.col("clean_text")))
-    df = df.withColumn("clean_words", T.word_count(F.col("clean_text"))).withColumn("clean_text", F.col("_m.text")).withColumn("spelling_modernized", F.col("_m.changed")).drop("_m")
-    damage = T.document_damage(F.col("clean_text"))
-    rules = [
+    df = df.withColumn("clean_words", T.word_count(F.col("clean_text")))
+    cheap = first_reason(
         (F.coalesce(F.col("text"), F.lit("")) == "", "document_no_text"),
         (F.col("clean_words") < min_words, "document_too_short_after_cleaning"),
         (~F.coalesce(F.col(language) == "de", F.lit(False)) | (F.length("clean_text") < 100), "document_not_german"),
-        (T.uses_old_spelling(F.col("clean_text")), "document_old_spelling"),
-        (damage.isNotNull(), damage),
-    ]
+    )
+    # only what the cheap rules leave goes to the spelling function
+    df = df.withColumn("_cheap", cheap)
+    df = df.withColumn("_m", modernize_spelling(F.when(F.col("_cheap").isNull(), F.col("clean_text"))))
+    df = df.withColumn("clean_text", F.coalesce("_m.text", "clean_text")).withColumn("spelling_modernized", F.col("_m.changed")).drop("_m")
+    damage = T.document_damage(F.col("clean_text"))
+    rules = [(F.col("_cheap").isNotNull(), F.col("_cheap")), (T.uses_old_spelling(F.col("clean_text")), "document_old_spelling"), (damage.isNotNull(), damage)]
     if "publication_date" in docs.columns:
         day = S.parse_date(F.col("publication_date"))
         rules += [(day.isNull(), "document_no_date"), (~day.between(F.lit(first_day).cast("date"), F.lit(last_day).cast("date")), "document_outside_date_range")]
     if "license_name" in docs.columns:
         rules.append((F.coalesce(F.col("license_name"), F.lit("")) == "", "document_no_open_license"))
-    return df.withColumn("reject_reason", first_reason(*rules))
+    return df.withColumn("reject_reason", first_reason(*rules)).drop("_cheap")
 
 
 def reject_report(gated: DataFrame, example: str = "doc_id") -> DataFrame:

@@ -54,9 +54,33 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts go to Python in batches of `rows` at most, so that long ones do not add up."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
+def give_back() -> None:
+    """Returns a worker's freed memory to the system."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def share(spark: SparkSession, value) -> Callable:
     """Broadcasts a value of bounded size; the result returns it. A worker process builds it once and
-    keeps it from task to task, with whatever it has remembered, for the last two such values."""
+    keeps it from task to task, with whatever it has remembered, until it meets another such value;
+    then it gives the old one's memory back."""
+    text_batches(spark)
     data, key = spark.sparkContext.broadcast(cloudpickle.dumps(value)), uuid.uuid4().hex
 
     def get():
@@ -64,8 +88,9 @@ def share(spark: SparkSession, value) -> Callable:
 
         kept = pyspark.__dict__.setdefault("_shared_values", {})
         if key not in kept:
-            if len(kept) >= 2:
-                kept.pop(next(iter(kept)))
+            if kept:
+                kept.clear()
+                give_back()
             kept[key] = cloudpickle.loads(data.value)
         return kept[key]
 
@@ -166,6 +191,6 @@ class WordHashes(dict):
         h = self[w] = xxhash.xxh3_64_intdigest(w if isinstance(w, bytes) else w.encode("utf-8", "surrogatepass"))
         return h
 
-    def trim(self, most: int = 400_000) -> None:
+    def trim(self, most: int = 200_000) -> None:
         if len(self) > most:
             self.clear()

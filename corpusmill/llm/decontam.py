@@ -12,7 +12,7 @@ text, one pass per block; a benchmark of any size is handled, and its size is ch
 
 Null or empty texts match nothing. Items of fewer than `words` words are one window of their own
 length; items of fewer than `least` words are too short to tell and match nothing. Repeated
-documents are each judged; a null doc_id is kept as null. Repeated items each match.
+documents are each judged; a null doc_id is kept as null. Repeated items count once.
 """
 
 from __future__ import annotations
@@ -179,7 +179,7 @@ def _blocks(bench: DataFrame, s: Settings) -> Iterator[list[tuple[int, str]]]:
 
 def matches(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(doc_id, item_id, n_windows, item_windows): the pairs of contaminated document and item."""
-    bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
     out = None
     for items in _blocks(bench, s):
         shared = share(docs.sparkSession, Table(items, s))
@@ -199,7 +199,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) ->
 
 def clean(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> DataFrame:
     """The rows of `docs`, all columns, that no item contaminates; one map over the rows per block."""
-    bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
     for items in _blocks(bench, s):
         shared = share(docs.sparkSession, Table(items, s))
 

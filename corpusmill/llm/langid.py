@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup_join, share
+from .common import lookup_join, share, text_batches
 
 # letters stay (also bytes of longer characters); all else is a space
 LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
@@ -83,6 +83,7 @@ def fit_text(rows: DataFrame, languages: list[str], s: Settings) -> np.ndarray:
             k = np.flatnonzero(v)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), i, np.int32)), pa.array(k.astype(np.int32)), pa.array(v[k])], names=["lang", "bucket", "n"])
 
+    text_batches(rows.sparkSession)
     parts = rows.select("declared", "text").mapInArrow(run, "lang int, bucket int, n long")
     sums = parts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     counts = np.full((len(languages), size), 0.5)

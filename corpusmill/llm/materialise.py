@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import read_ranks
-from .common import cut
+from .common import cut, text_batches
 
 
 @dataclass(frozen=True)
@@ -91,6 +91,7 @@ def encoded(docs: DataFrame, vocabulary: str, pattern: str, end_token: int, s: S
                 tokens = [np.array([*coder.encode_ordinary(t.as_py() or ""), end_token], "<u2").tobytes() for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(tokens, pa.binary())], names=["doc_id", "tokens"])
 
+    text_batches(docs.sparkSession)
     src = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     return src.mapInArrow(run, "doc_id long, tokens binary")
 

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Words, cut, discard, finish, is_small, share, spill
+from .common import Words, cut, discard, finish, is_small, share, spill, text_batches
 from .components import components
 
 MIX = [np.uint64(int.from_bytes(blake2b(bytes([i]), digest_size=8).digest(), "little") | 1) for i in range(64)]
@@ -123,6 +123,7 @@ def _digest(docs: DataFrame, id_col: str, text_col: str, s: Settings) -> DataFra
         if pending:
             yield counted()
 
+    text_batches(docs.sparkSession)
     src = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
     return src.mapInArrow(run, "kind int, id long, n long, fp binary, text_md5 binary, gram long, times long")
 

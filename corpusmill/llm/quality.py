@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, reduce_blobs, share
+from .common import cut, reduce_blobs, share, text_batches
 
 NAMES = (
     "log_chars log_words word_len letters digits uppers spaces stops symbols high entropy distinct top_word "
@@ -92,6 +92,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             fold = [None if i.as_py() is None else zlib.crc32(str(i.as_py()).encode()) % 5 for i in b.column(0)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fold, pa.int32()), pa.array(x, pa.binary())], names=["doc_id", "fold", "x"])
 
+    text_batches(docs.sparkSession)
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, "doc_id long, fold int, x binary")
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Words, cut, discard, finish, is_small, share, spill, text_batches
+from .common import Words, cut, discard, finish, is_small, lookup_join, share, spill, text_batches
 from .components import components
 
 MIX = [np.uint64(int.from_bytes(blake2b(bytes([i]), digest_size=8).digest(), "little") | 1) for i in range(64)]
@@ -361,7 +361,8 @@ def keep_one(docs: DataFrame, s: Settings = Settings(), most_broadcast_rows: int
     tagged = rows.join(label, rows["fp"] == label["node"], "left").select("id", "text_md5", F.coalesce("label", "fp").alias("comp"))
     order = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("text_md5").alias("text_md5"))
     first = tagged.where("comp is not null").groupBy("comp").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    go = cut(tagged.join(first, "comp").where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("text_md5") == F.col("first.text_md5")))).select(F.col("id").alias("__go_id"), F.col("text_md5").alias("__go_text")).distinct())
+    marked = lookup_join(tagged, first, ["comp"], most_broadcast_rows).where("size is not null")
+    go = cut(marked.where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("text_md5") == F.col("first.text_md5")))).select(F.col("id").alias("__go_id"), F.col("text_md5").alias("__go_text")).distinct())
     keyed = docs.withColumn("__text", F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))))
     side = F.broadcast(go) if is_small(go, most_broadcast_rows) else go
     kept = keyed.join(side, F.col("doc_id").cast("long").eqNullSafe(F.col("__go_id")) & (F.col("__text") == F.col("__go_text")), "left_anti")

@@ -5,11 +5,14 @@ from __future__ import annotations
 import math
 import time
 
-from pyspark.ml import PipelineModel
+import numpy as np
+import pyarrow as pa
+from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,23 +27,39 @@ def tokens(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("terms", F.concat("words", pairs)).drop("words")
 
 
-def fit(df: DataFrame, c: float = 3.0, min_df: float = 5.0, max_df: float = 0.98, features: int = 200_000, iterations: int = 100, label: str = "label") -> PipelineModel:
-    """Counts x (ln((1 + n) / (1 + df)) + 1) -> L2 norm -> regression; the penalty is 1 / (c n)."""
+class SublinearCounts(Transformer, DefaultParamsReadable, DefaultParamsWritable):
+    """`counts` -> `logs`: each count above 0 becomes 1 + ln(count)."""
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        @F.arrow_udf(VectorUDT())
+        def logs(v: pa.Array) -> pa.Array:
+            values = v.field("values")
+            flat = np.log(values.values.to_numpy(zero_copy_only=False)) + 1
+            values = pa.ListArray.from_arrays(values.offsets, pa.array(flat))
+            return pa.StructArray.from_arrays([v.field("type"), v.field("size"), v.field("indices"), values], names=["type", "size", "indices", "values"])
+
+        return df.withColumn("logs", logs("counts"))
+
+
+def fit(df: DataFrame, c: float = 3.0, min_df: float = 5.0, max_df: float = 0.98, features: int = 200_000, iterations: int = 1_000, label: str = "label") -> PipelineModel:
+    """(1 + ln count) x (ln((1 + n) / (1 + df)) + 1) -> L2 norm -> regression until it converges, in
+    `iterations` at most; the penalty is 1 / (c n)."""
     n = max(1, df.count())
     counts = CountVectorizer(inputCol="terms", outputCol="counts", vocabSize=features, minDF=min(min_df, float(n)), maxDF=max(max_df, 1.0) if n * max_df < min_df else max_df).fit(df)
     counted = counts.transform(df)
     seen = IDF(inputCol="counts", outputCol="_").fit(counted)
     weights = [math.log((1 + seen.numDocs) / (1 + k)) + 1 for k in seen.docFreq]
-    weigh = ElementwiseProduct(scalingVec=Vectors.dense(weights), inputCol="counts", outputCol="weighted")
+    weigh = ElementwiseProduct(scalingVec=Vectors.dense(weights), inputCol="logs", outputCol="weighted")
     norm = Normalizer(inputCol="weighted", outputCol="features", p=2.0)
-    train = norm.transform(weigh.transform(counted))
+    logs = SublinearCounts()
+    train = norm.transform(weigh.transform(logs.transform(counted)))
     model = LogisticRegression(labelCol=label, family="multinomial", regParam=1.0 / (c * n), standardization=False, maxIter=iterations).fit(train)
-    return PipelineModel([counts, weigh, norm, model])
+    return PipelineModel([counts, logs, weigh, norm, model])
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
     out = model.transform(df).withColumn("_p", vector_to_array("probability"))
-    return out.withColumn("pred", F.col("prediction").cast("int")).withColumns({f"p{k}": F.coalesce(F.get("_p", F.lit(k)), F.lit(0.0)) for k in range(3)}).drop("_p", "rawPrediction", "probability", "prediction", "counts", "weighted", "features")
+    return out.withColumn("pred", F.col("prediction").cast("int")).withColumns({f"p{k}": F.coalesce(F.get("_p", F.lit(k)), F.lit(0.0)) for k in range(3)}).drop("_p", "rawPrediction", "probability", "prediction", "counts", "logs", "weighted", "features")
 
 
 def accuracy(preds: DataFrame, label: str = "label") -> float:

@@ -482,7 +482,7 @@ def q56_conversation_turns(spark, sf_dir):
 def q57_tfidf_logreg(spark, sf_dir):
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", F.col("quality").alias("label"), F.col("text"), S.assign_split(F.col("doc_id").cast("string")).alias("split"))
     t = ml.tokens(d).cache()
-    model = ml.fit(t.where("split = 'train'"), iterations=20, features=20_000)
+    model = ml.fit(t.where("split = 'train'"))
     return metrics.confusion(ml.predict(model, t.where("split <> 'train'")).select("split", "label", "pred"), ["split"], 2)
 
 

@@ -5,6 +5,7 @@ import math
 import random
 from itertools import groupby
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -325,6 +326,28 @@ def test_line_gaps_and_joins(spark):
 # ---- models, generation, sources, streams
 
 
+def test_tfidf_weights_and_rank(spark):
+    from corpusmill.plans import queries
+
+    texts = ["rare " + "common " * 5, "common other", "other thing", "thing rare rare"]
+    rows = ml.tokens(spark.createDataFrame([(t, i % 2) for i, t in enumerate(texts)], "text string, label int"))
+    model = ml.fit(rows, min_df=1.0)
+    words, n = model.stages[0].vocabulary, len(texts)
+    terms = [r.terms for r in rows.select("terms").collect()]
+    for terms, v in ((r.terms, r.features) for r in model.transform(rows).collect()):
+        seen = [sum(w in r.terms for r in rows.collect()) for w in words]
+        raw = np.array([(1 + math.log(terms.count(w))) * (math.log((1 + n) / (1 + k)) + 1) if w in terms else 0.0 for w, k in zip(words, seen)])
+        assert v.toArray() == pytest.approx(raw / np.linalg.norm(raw))
+    used = []
+    original = ml.fit
+    try:
+        ml.fit = lambda df, **kw: used.append(kw) or original(df.limit(50), min_df=1.0, iterations=1)
+        queries.QUERIES["q57_tfidf_logreg"](spark, "/root/testdata/sf0.001")
+    finally:
+        ml.fit = original
+    assert not {"features", "iterations"} & set(used[0]) and original.__defaults__[3:5] == (200_000, 1_000)
+
+
 def test_tfidf_and_curve(spark, tmp_path):
     rows = [(i, ("gut schön hell " if i % 2 else "schlecht dunkel trüb ") * 3 + f"wort{i % 5}", i % 2, i) for i in range(60)]
     df = ml.tokens(spark.createDataFrame(rows, "doc_id int, text string, label int, position int"))

@@ -54,6 +54,26 @@ DATE = re.compile(
     r"(?:(?:19|20)\d\d[-/._]?[01]\d[-/._]?[0-3]\d|[0-3]?\d[-/._][01]?\d[-/._](?:19|20)?\d\d|[0-3]\d[01]\d(?:19|20)\d\d|(?:19|20)\d\d)"
 )
 
+# Common pairs of letters in English, German, French and Spanish, a first letter and those that follow it.
+PAIRS = frozenset(p[0] + q for p in (
+    "abcdgiklmnprstuvyz baeijlou cacehiklortu dadeiosu eacdefgilmnpqrstuvwxyz faefiortu gaehilnrsu haeioru "
+    "iabcdefglmnoprstvz jaeou ke ladefilostuy mabeimopsu nacdegilnostuvyz obcdgilmnoprstuvw paefiloprty qu "
+    "racdegikmnorstuyz sacehilopstuy taehilorstuyz uabcefgilmnprstx vaei waehiou xcept ynopst zaeou"
+    " gns knsy phsy wnsl ysp gsr bslry awu ewu"
+).split() for q in p[1:])
+RUN = re.compile(r"[^\W\d_]+")
+CASED = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+#: log10 guesses of a word of natural language that is in no list.
+NATURAL = 5.5
+
+
+def natural(word: str) -> bool:
+    """Whether a run of letters reads as a word: one, or at most one in six, of its pairs of letters is rare."""
+    low = word.lower()
+    if not word.isascii():
+        return True
+    return 3 <= len(low) <= 24 and sum(low[i : i + 2] not in PAIRS for i in range(len(low) - 1)) <= max(1, (len(low) - 1) // 6)
+
 
 def _neighbours() -> dict[str, set[str]]:
     near: dict[str, set[str]] = {}
@@ -70,12 +90,14 @@ STARTS, DEGREE = len(NEAR), sum(map(len, NEAR.values())) / len(NEAR)
 
 
 class GuessCost:
-    """log10 guesses of a value. `words` in rank order; a segment costs `overhead` besides its guesses."""
+    """log10 guesses of a value. `words` in rank order; a segment costs `overhead` besides its guesses.
+    With `prose`, a run of letters that reads as a word is guessed from a large dictionary."""
 
-    def __init__(self, words: tuple[str, ...] | list[str] = tuple(WORDS), overhead: float = 0.3, reach: int = 24):
+    def __init__(self, words: tuple[str, ...] | list[str] = tuple(WORDS), overhead: float = 0.3, reach: int = 24, prose: bool = False):
         self.rank = {w: math.log10(i + 2) for i, w in reversed(list(enumerate(words)))}
         self.longest = max(map(len, words), default=0)
         self.overhead, self.reach = overhead, max(reach, self.longest)
+        self.prose, self.of_prose = prose, None if prose else GuessCost(words, overhead, reach, True)
 
     @staticmethod
     def brute(c: str) -> float:
@@ -105,6 +127,10 @@ class GuessCost:
                         break
             if m := DATE.match(s, i):
                 add(i, m.end(), math.log10(365 * 119) if m.end() - i > 4 else math.log10(119), "date")
+        for run in RUN.finditer(s) if self.prose else ():
+            for m in CASED.finditer(run[0]) if run[0].isascii() else (re.match(".*", run[0]),):
+                if natural(m[0]):
+                    add(run.start() + m.start(), run.start() + m.end(), NATURAL + (0.3 if m[0] != m[0].lower() else 0.0), "natural")
         for unit in (1, 2, 3, 4):  # a run of period `unit`; every end of it is a segment
             i = 0
             while i + unit < n:
@@ -154,10 +180,15 @@ class GuessCost:
         return best[-1]
 
 
-def looks_random(value: str) -> bool:
-    """Prose has letters only; a secret mixes kinds of characters."""
-    kinds = (any(c.islower() for c in value), any(c.isupper() for c in value[1:]), any(c.isdigit() for c in value), any(not c.isalnum() for c in value.strip("._-=")))
-    return sum(kinds) >= 2 and any(c.isdigit() for c in value)
+def strength(m: re.Match, value: str, model: GuessCost, strong: float, prose: float = 14.0) -> float | None:
+    """log10 guesses of a context's value if they are enough. Without a digit the value may be words;
+    after a space it may be prose, which takes more guesses than one or two words."""
+    if any(c.isdigit() for c in value):
+        least, cost = strong, model.cost(value, 40.0)
+    else:
+        least = max(strong, prose) if m.string[m.start("value") - 1].isspace() else strong
+        cost = model.of_prose.cost(value, 40.0)
+    return cost if cost >= least else None
 
 
 def find(text: str | None, model: GuessCost, strong: float = 8.0) -> list[tuple[str, int, int, float | None]]:
@@ -180,7 +211,7 @@ def find(text: str | None, model: GuessCost, strong: float = 8.0) -> list[tuple[
             if any(s[0] != "credential" and s[1] < b and a < s[2] for s in spans):
                 continue
             value = m["value"].rstrip(".)")
-            if looks_random(value) and (c := model.cost(value, 40.0)) >= strong:
+            if (c := strength(m, value, model, strong)) is not None:
                 spans.append(("credential", a, a + len(value), c))
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 

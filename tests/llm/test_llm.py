@@ -96,6 +96,18 @@ def test_guess_cost_is_the_least_over_segmentations():
         assert m.cost(s) == pytest.approx(brute(s))
 
 
+@pytest.mark.parametrize("text, secret", [("pwd=QxZvKjWpLmTrHsNd;", "QxZvKjWpLmTrHsNd"), ("Authorization: Bearer QxZvKjWpLmTrHsNd", "QxZvKjWpLmTrHsNd"), ("db://user:Horse-Battery@host", "Horse-Battery"), ("pwd: kqxzvwjpmfbt", "kqxzvwjpmfbt")])
+def test_secrets_without_digits(text, secret):
+    m = secrets.GuessCost()
+    assert [(text[a:b], k) for k, a, b, _ in secrets.find(text, m)] == [(secret, "credential")]
+    assert secret not in secrets.redact_text(text, m)
+
+
+@pytest.mark.parametrize("text", ["auth: Beautiful prose", "the bearer authentication of it", "passphrase: well-known to everyone", "credentials: Verantwortung", "pwd=required", "auth: two-factor", "passcode: 这是一个没有空格的句子而已", "credential=changeme"])
+def test_prose_in_a_credential_context(text):
+    assert secrets.find(text, secrets.GuessCost()) == []
+
+
 def test_redaction_leaves_the_rest():
     m = secrets.GuessCost()
     assert secrets.redact_text("a password=b7db7aa4a5fcc78305 z", m) == "a <ASSIGN_REMOVED> z"

@@ -36,6 +36,7 @@ CONTEXT = re.compile(
     r"""["']?\s{0,3}(?:=>|[:=])\s{0,3}["']?|://[^\s:/@"']{1,64}:|\bbearer\s)(?P<value>[^\s"'`<>,;@]{6,})""",
     re.ASCII | re.IGNORECASE,
 )
+PARAMETER = re.compile(r"&[\w.\[\]-]{1,64}=", re.ASCII)  # begins another value of a query string
 CUES = ("pass", "pwd", "secret", "token", "credential", "key", "auth", "bearer", "://")
 
 # Words that values are built of, most common first.
@@ -206,13 +207,21 @@ def find(text: str | None, model: GuessCost, strong: float = 8.0) -> list[tuple[
         spans += [("access", m.start(), m.end(), None) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
     spans += [("hex", m.start(), m.end(), None) for m in HEX.finditer(text)]
     if any(c in low for c in CUES) and ("=" in text or ":" in text or "bearer" in low):
-        for m in CONTEXT.finditer(text):
+        base, pos = sorted(s[1:3] for s in spans), 0
+        while m := CONTEXT.search(text, pos):
             a, b = m.span("value")
-            if any(s[0] != "credential" and s[1] < b and a < s[2] for s in spans):
-                continue
-            value = m["value"].rstrip(".)")
+            over = [s for s in base if s[0] < b and a < s[1]]
+            pos = max(s[1] for s in over) if over else b
+            if over and pos < b:  # what exceeds the base spans, up to the next parameter or context
+                ends = [x.start() for x in (PARAMETER.search(text, pos, b), CONTEXT.search(text, pos)) if x]
+                b = min(b, *ends) if ends else b
+            value = text[a:b].rstrip(".)")
             if (c := strength(m, value, model, strong)) is not None:
-                spans.append(("credential", a, a + len(value), c))
+                at = a
+                for s in [*over, (a + len(value),) * 2]:
+                    if any(x.isalnum() for x in text[at : s[0]]):
+                        spans.append(("credential", at, s[0], c))
+                    at = max(at, s[1])
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 
 

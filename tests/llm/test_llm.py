@@ -103,6 +103,19 @@ def test_secrets_without_digits(text, secret):
     assert secret not in secrets.redact_text(text, m)
 
 
+@pytest.mark.parametrize("text, gone, left", [
+    ("?token=abcdefgh12&pwd=Xk29fj3LmQ8z z", ["Xk29fj3LmQ8z"], " z"),
+    ("password=Tr0ub4dor&3xyz!Q9 z", ["3xyz!Q9"], " z"),
+    ("token=abcdefgh12&page=overview z", ["abcdefgh12"], "&page=overview z"),
+    ("pwd=x9Q~" + "0123456789abcdef" * 2 + "~Zk7! z", ["x9Q", "Zk7!"], " z"),
+])
+def test_secrets_beyond_base_spans(text, gone, left):
+    m = secrets.GuessCost()
+    out = secrets.redact_text(text, m)
+    assert not any(g in out for g in gone) and out.endswith(left)
+    assert [f"{k}:{a}:{b}" for k, a, b, _ in secrets.find(text, m) if k != "credential"] == base_secrets(text)
+
+
 @pytest.mark.parametrize("text", ["auth: Beautiful prose", "the bearer authentication of it", "passphrase: well-known to everyone", "credentials: Verantwortung", "pwd=required", "auth: two-factor", "passcode: 这是一个没有空格的句子而已", "credential=changeme"])
 def test_prose_in_a_credential_context(text):
     assert secrets.find(text, secrets.GuessCost()) == []

@@ -2,7 +2,8 @@
 
 Evidence of a row: the text (hashed byte trigrams under one multinomial per language), the language
 that its markup declares, the suffix of its address and its host. Text models are counts summed over
-all rows that declare a language; host priors are grouped counts, smoothed towards the host's
+all rows that declare a language, smoothed towards those of all languages, so that every declared
+language has a model, however few its rows; host priors are grouped counts, smoothed towards the host's
 suffix, which is smoothed towards all rows. The fused posterior is computed by column expressions.
 
 A row is rejected if it has no letters, if its text is long enough to tell (`enough` trigrams) and the
@@ -32,8 +33,7 @@ LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 @dataclass(frozen=True)
 class Settings:
     bits: int = 13  # trigram buckets: 2 ** bits
-    min_docs: int = 20  # of a language that is modelled
-    min_share: float = 0.001  # of all rows, so that there are 1000 languages at most
+    smooth: float = 4096.0  # trigrams' worth of smoothing of a language towards all languages
     trust: float = 0.9  # that a declared language is right
     pull: float = 20.0  # rows' worth of smoothing of a host or suffix
     length: float = 60.0  # trigrams that a long text's evidence counts as
@@ -62,10 +62,8 @@ def page_evidence(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", text.alias("text"), none(declared).alias("declared"), none(host).alias("host"), none(F.substring_index(host, ".", -1)).alias("suffix"))
 
 
-def _languages(rows: DataFrame, s: Settings) -> list[str]:
-    counts = rows.groupBy("declared").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    return sorted(r["declared"] for r in counts.where(F.col("declared").isNotNull() & (F.col("n") >= max(s.min_docs, s.min_share * total))).collect())
+def _languages(rows: DataFrame) -> list[str]:
+    return sorted(r["declared"] for r in rows.where("declared is not null").select("declared").distinct().collect())
 
 
 def fit_text(rows: DataFrame, languages: list[str], s: Settings) -> np.ndarray:
@@ -86,8 +84,10 @@ def fit_text(rows: DataFrame, languages: list[str], s: Settings) -> np.ndarray:
     text_batches(rows.sparkSession)
     parts = rows.select("declared", "text").mapInArrow(run, "lang int, bucket int, n long")
     sums = parts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.full((len(languages), size), 0.5)
+    counts = np.zeros((len(languages), size))
     np.add.at(counts, (sums["lang"].to_numpy(np.int64), sums["bucket"].to_numpy(np.int64)), sums["n"].to_numpy(np.float64))
+    whole = counts.sum(axis=0) + 0.5
+    counts += s.smooth * whole / whole.sum()
     return np.log(counts / counts.sum(axis=1, keepdims=True))
 
 
@@ -110,7 +110,7 @@ def priors(rows: DataFrame, languages: list[str], s: Settings) -> tuple[DataFram
 
 def identify(rows: DataFrame, keep: list[str], s: Settings = Settings(), keep_text: bool = False) -> DataFrame:
     """keep, language, posterior, n_grams, accepted for each of `rows` (text, declared, host, suffix)."""
-    languages = _languages(rows, s)
+    languages = _languages(rows)
     texts = ["text"] if keep_text else []
     if not languages:
         return rows.select(*keep, *texts, F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("posterior"), F.lit(0).cast("long").alias("n_grams"), F.lit(False).alias("accepted"))

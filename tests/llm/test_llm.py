@@ -512,6 +512,16 @@ def test_languages(spark, sf_dir):
     assert len(pages) == spark.read.parquet(f"{sf_dir}/pages.parquet").count() and np.mean([r.language == r.declared for r in pages]) > 0.9
 
 
+def test_small_languages_are_modelled(spark, small_dir):
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet")
+    rows = [r for r in langid.langid_digest(docs).collect() if r.declared == "es" and r.n_grams >= 40]
+    assert 0 < len(rows) < 20 and np.mean([r.language == "es" and r.kept for r in rows]) > 0.8
+    one = docs.where("lang <> 'es' or lang is null").unionByName(documents(spark, ["ngiyabonga kakhulu mngane wami sizobonana kusasa ekuseni"], ids=[-1], lang="zu").select(docs.columns))
+    got = {r.doc_id: r for r in langid.langid_digest(one).collect()}
+    assert (got[-1].language, got[-1].kept) == ("zu", True)
+    assert np.mean([r.language == r.declared for r in got.values() if r.n_grams >= 40]) > 0.95
+
+
 def test_wrong_declarations_are_rejected(spark, sf_dir):
     docs = real(spark, sf_dir)
     wrong = F.when((F.col("doc_id") % 50 == 0) & (F.col("lang") == "fr") & (F.col("n_chars") > 300), F.lit("en")).otherwise(F.col("lang"))

@@ -7,6 +7,10 @@ item form occurrences; in an occurrence each of the item's slot values must stan
 value throughout, and windows that disagree do not count. A document is contaminated by an item if
 the agreeing windows reach `share` of the item's windows.
 
+Names are told by their capitals, so a copy in other capitals has other templates. Beside them, every
+window of `words` plain case-folded words is looked up too, and half of an item's plain windows also
+contaminate; a pair that both find has the numbers of the template windows.
+
 The table of windows is held by executors in blocks of at most `block_chars` characters of benchmark
 text, one pass per block; a benchmark of any size is handled, and its size is checked, not assumed.
 
@@ -44,6 +48,7 @@ SLOT = re.compile(
     rf"|(?<=[\w,] .)(?P<name>[^\W\d_]+(?: {UPPER}[^\W\d_]+)*))"
 )
 WORD = re.compile(r"\x00?[^\W\d_]+(?:['’][^\W\d_]+)*")
+PLAIN = re.compile(r"\w+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -99,51 +104,57 @@ class Table:
 
     def __init__(self, items: list[tuple[int, str]], s: Settings):
         self.s, self.items, known = s, {}, WordHashes()
-        at: dict[int, list[tuple[int, int]]] = defaultdict(list)  # words of a window -> (hash, item and place)
-        for key, (item_id, text) in enumerate(items):
-            words, values = template(text or "")
-            n = min(s.words, len(words))
-            if len(words) < s.least:
-                continue
-            hashes = windows(words, n, known)
-            placed = [i for i in range(len(hashes)) if sum(w[0] != "\x00" for w in words[i : i + n]) >= min(s.literal, n)]
-            if not placed:
-                continue
-            self.items[key] = (item_id, n, len(placed), by_word(words, values))
-            for i in placed:
-                at[n].append((int(hashes[i]), key << 32 | i))
+        at: dict[tuple[bool, int], list[tuple[int, int]]] = defaultdict(list)  # kind, words of a window -> (hash, item and place)
+        for place, (item_id, text) in enumerate(items):
+            for plain in (False, True):
+                words, values = self.read(text or "", plain)
+                n, key = min(s.words, len(words)), 2 * place + plain
+                if len(words) < s.least:
+                    continue
+                hashes = windows(words, n, known)
+                placed = [i for i in range(len(hashes)) if sum(w[0] != "\x00" for w in words[i : i + n]) >= min(s.literal, n)]
+                if not placed:
+                    continue
+                self.items[key] = (item_id, n, len(placed), by_word(words, values))
+                for i in placed:
+                    at[plain, n].append((int(hashes[i]), key << 32 | i))
         self.tables = {}
-        for n, pairs in at.items():
+        for kind, pairs in at.items():
             pairs.sort()
             hashes = np.array([p[0] for p in pairs], np.uint64)
-            self.tables[n] = (*np.unique(hashes, return_index=True), len(pairs), np.array([p[1] for p in pairs], np.int64))
+            self.tables[kind] = (*np.unique(hashes, return_index=True), len(pairs), np.array([p[1] for p in pairs], np.int64))
+
+    @staticmethod
+    def read(text: str, plain: bool) -> tuple[list[str], list[str]]:
+        return (PLAIN.findall(text.casefold()), []) if plain else template(text)
 
     def match(self, text: str | None, known: WordHashes) -> list[tuple[int, int, int]]:
         """(item, agreeing windows, windows of the item) for each contaminating item."""
         if not text:
             return []
-        words, values = template(text)
-        hits: dict[int, list[tuple[int, int]]] = defaultdict(list)  # item -> (place, window)
-        for n, (keys, first, total, places) in self.tables.items():
-            h = windows(words, n, known)
-            if not len(h):
-                continue
-            where = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            for p in np.flatnonzero(keys[where] == h):
-                k = where[p]
-                for x in places[first[k] : first[k + 1] if k + 1 < len(first) else total]:
-                    hits[int(x) >> 32].append((int(p), int(x) & 0xFFFFFFFF))
-        found, slots = [], None
-        for key, pairs in hits.items():
-            item_id, n, total, own = self.items[key]
-            need = max(1, self.s.share * total)
-            if len({w for _, w in pairs}) < need:
-                continue
-            slots = slots or by_word(words, values)
-            best = max(self.agreeing(part, own, slots, n) for part in self.occurrences(pairs, len(own)))
-            if best >= need:
-                found.append((item_id, best, total))
-        return found
+        found: dict[int, tuple[int, int, int]] = {}
+        for plain in (False, True):
+            words, values = self.read(text, plain)
+            hits: dict[int, list[tuple[int, int]]] = defaultdict(list)  # item -> (place, window)
+            for (kind, n), (keys, first, total, places) in self.tables.items():
+                if kind != plain or not len(h := windows(words, n, known)):
+                    continue
+                where = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                for p in np.flatnonzero(keys[where] == h):
+                    k = where[p]
+                    for x in places[first[k] : first[k + 1] if k + 1 < len(first) else total]:
+                        hits[int(x) >> 32].append((int(p), int(x) & 0xFFFFFFFF))
+            slots = None
+            for key, pairs in hits.items():
+                item_id, n, total, own = self.items[key]
+                need = max(1, self.s.share * total)
+                if key >> 1 in found or len({w for _, w in pairs}) < need:
+                    continue
+                slots = slots or by_word(words, values)
+                best = max(self.agreeing(part, own, slots, n) for part in self.occurrences(pairs, len(own)))
+                if best >= need:
+                    found[key >> 1] = (item_id, best, total)
+        return list(found.values())
 
     @staticmethod
     def occurrences(pairs: list[tuple[int, int]], length: int) -> list[list[tuple[int, int]]]:

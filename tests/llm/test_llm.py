@@ -284,6 +284,13 @@ def test_reparameterised_items(spark):
     assert decontam.matches(docs, bench(spark, [])).count() == 0
 
 
+def test_copies_in_another_case(spark):
+    german = "Die Lehrerin aus Bremen erklärt der Klasse den Satz des Pythagoras mit einer Zeichnung an der großen Tafel im Saal"
+    docs = documents(spark, ["so: " + f(t) + " end" for t in (ITEM, german) for f in (str, str.lower, str.upper)])
+    got = {(r.doc_id, r.item_id) for r in decontam.matches(docs, bench(spark, [(1, ITEM), (2, german)])).collect()}
+    assert got == {(i, 1 + i // 3) for i in range(6)}
+
+
 def test_blocks_give_the_same(spark, sf_dir):
     docs, b = real(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     one, many = (sorted(map(tuple, decontam.matches(docs, b, s).collect())) for s in (decontam.Settings(), decontam.Settings(block_chars=2_000)))

@@ -1,19 +1,24 @@
 """Licence scans by a positional rare-token index; DataFrame operations only.
 
 Notices are templates; each of their words has an inverse document frequency over the templates and
-postings (template, place). In a file, the template words of highest frequency weight that occur
-there are looked up; each place in the file votes for (template, place in file less place in
-template); the notice is where enough places agree on one difference, within a small drift, and
-where all the template's mandatory phrases occur. Everything is a narrow map over rows: files with
-no template word of weight never build arrays.
-
-Nulls are empty texts. Ids may be null or repeat; rows are scanned each for itself.
+postings (template, place). Of the licence words that a file holds, those of highest weight are looked
+up, `rare` of each template; a template whose looked-up words have too few places is out. Each place
+in the file votes for its place in the file less the place in the template; the notice is where the
+votes of enough places lie within `2 * drift` of each other, found by one sweep over the sorted
+votes, and where all the template's mandatory phrases stand within it. Of equally good places the
+first is reported. Everything is a narrow map over rows: files without a word that some notice must
+hold never build arrays.
+
+Only A-Z are lower-cased. Nulls are empty texts, which hold nothing. Ids may be null or repeat; rows
+are scanned each for itself, and an empty table gives no rows. Other columns are ignored. A very long
+text costs time and memory in proportion to its words.
 """
 
 from __future__ import annotations
 
 import math
 from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,27 +53,29 @@ TEMPLATES = [
 
 
 class Index:
-    """Postings of the `rare` words of highest weight of each template."""
+    """Words of each template by falling weight, and their places in it."""
 
     def __init__(self, templates=TEMPLATES, rare: int = 8):
+        self.rare = rare
         self.templates = [(label, text.split(), [p.split() for p in phrases]) for label, text, phrases in templates]
+        if max(len(words) for _, words, _ in self.templates) > 63:
+            raise ValueError("a template has 63 words at most, one for each bit of a number")
         df: dict[str, int] = {}
         for _, words, _ in self.templates:
             for w in set(words):
                 df[w] = df.get(w, 0) + 1
         self.idf = {w: math.log((1 + len(self.templates)) / (1 + n)) for w, n in df.items()}
-        self.postings: dict[str, list[tuple[int, int]]] = {}
-        self.indexed = []
-        for t, (_, words, _) in enumerate(self.templates):
-            chosen = sorted(set(words), key=lambda w: (-self.idf[w], w))[:rare]
-            places = [(w, i) for i, w in enumerate(words) if w in chosen]
-            self.indexed.append(len(places))
-            for w, i in places:
-                self.postings.setdefault(w, []).append((t, i))
+        self.ranked, self.places, self.indexed = [], [], []
+        for _, words, _ in self.templates:
+            ranked = sorted(set(words), key=lambda w: (-self.idf[w], w))
+            places = {w: [i for i, x in enumerate(words) if x == w] for w in ranked}
+            self.ranked.append(ranked)
+            self.places.append(places)
+            self.indexed.append(sum(len(places[w]) for w in ranked[:rare]))
 
 
 def _phrase_at(words: Column, phrase: list[str], i: Column) -> Column:
-    return reduce(lambda a, b: a & b, [F.coalesce(F.get(words, i + k) == w, F.lit(False)) for k, w in enumerate(phrase)])
+    return reduce(and_, [F.coalesce(F.get(words, i + k) == w, F.lit(False)) for k, w in enumerate(phrase)])
 
 
 def phrase_starts(words: Column, phrase: list[str]) -> Column:
@@ -83,42 +90,85 @@ def _hint(text: Column, phrases: list[list[str]]) -> Column:
     return F.contains(text, F.lit(phrases[0][0])) & text.rlike(GAP.join(phrases[0]))
 
 
+def ascii_lower(text: Column) -> Column:
+    """A-Z in lower case. `lower` changes other letters too, which no phrase holds, but for the two
+    that it turns into ASCII letters; texts with those take the slower way."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return F.when(text.rlike("[\u0130\u212a]"), F.translate(text, upper, upper.lower())).otherwise(F.lower(text))
+
+
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: Index | None = None, agree: float = 0.75, drift: int = 2) -> DataFrame:
     """One row per input row: id, n_words, base (array of start, label), notices (array of label,
-    start, share of indexed places that agree)."""
+    start, share of as many places as the template's rarest words have)."""
     index = index or Index()
-    low = F.lower(F.coalesce(docs[text_col].cast("string"), F.lit("")))
-    df = docs.select(docs[id_col].alias(id_col), low.alias("__t"))
-    hint = reduce(lambda a, b: a | b, [_hint(F.col("__t"), phrases) for _, _, phrases in index.templates] + [F.contains("__t", F.lit("license"))])
+    low = ascii_lower(F.coalesce(docs[text_col].cast("string"), F.lit("")))
+    df = docs.select(docs[id_col].alias("__id"), low.alias("__t"))
+    hint = reduce(or_, [_hint(F.col("__t"), phrases) for _, _, phrases in index.templates] + [F.contains("__t", F.lit("license"))])
     no_words = F.array().cast("array<string>")
-    df = df.select(id_col, F.regexp_count("__t", F.lit(WORD)).cast("long").alias("n_words"), F.when(hint, F.array_remove(F.split("__t", GAP), "")).otherwise(no_words).alias("__w"))
+    words = F.when(hint, F.array_remove(F.split("__t", GAP), "")).otherwise(no_words)
+    df = df.select("__id", F.regexp_count("__t", F.lit(WORD)).cast("long").alias("n_words"), words.alias("__w"))
 
     def label_all(starts: Column, label: str) -> Column:
         return F.transform(starts, lambda s: F.struct(s.alias("start"), F.lit(label).alias("label")))
 
     base = F.concat(*[label_all(phrase_starts(F.col("__w"), p.split()), label) for label, p in BASE.items()])
-    keys = list(index.postings)
-    entry = lambda places: F.array(*[F.struct(F.lit(t).alias("t"), F.lit(i).alias("i")) for t, i in places])
-    lookup = F.create_map(*[x for w in keys for x in (F.lit(w), entry(index.postings[w]))])
-    vocabulary = F.array(*map(F.lit, keys))
-    rare = F.filter(F.transform("__w", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(vocabulary, x["w"]))
-    df = df.withColumn("__base", base).withColumn("__rare", rare)
-    votes = F.flatten(F.transform("__rare", lambda x: F.transform(F.element_at(lookup, x["w"]), lambda p: F.struct(p["t"].alias("t"), (x["i"] - p["i"]).alias("at"), p["i"].alias("p")))))
-    df = df.withColumn("__votes", votes)
-
-    def notice(t: int) -> Column:
-        label, _, phrases = index.templates[t]
-        own = F.filter("__votes", lambda v: v["t"] == t)
-        starts = F.array_distinct(F.transform(own, lambda v: v["at"]))
-        near = lambda s: F.size(F.array_distinct(F.transform(F.filter(own, lambda v: F.abs(v["at"] - s) <= drift), lambda v: v["p"])))
-        scored = F.transform(starts, lambda s: F.struct((near(s) / F.lit(float(index.indexed[t]))).alias("share"), s.alias("start")))
-        best = F.array_max(scored)
-        present = reduce(lambda a, b: a & b, [F.size(phrase_starts(F.col("__w"), p)) > 0 for p in phrases])
-        return F.when((F.size(own) >= math.ceil(agree * index.indexed[t])) & (best["share"] >= agree) & present, F.struct(F.lit(label).alias("label"), best["start"].alias("start"), best["share"].alias("share")))
-
-    found = F.filter(F.array(*[notice(t) for t in range(len(index.templates))]), lambda x: x.isNotNull())
+    vocabulary = F.array(*[F.lit(w) for w in sorted(index.idf)])
+    placed = F.filter(F.transform("__w", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(vocabulary, x["w"]))
+    df = df.withColumn("__base", base).withColumn("__placed", placed)
+    df = df.withColumn("__present", F.array_distinct(F.transform("__placed", lambda x: x["w"])))
     empty = F.array().cast("array<struct<label:string,start:int,share:double>>")
-    return df.select(id_col, "n_words", F.col("__base").alias("base"), F.when(F.size("__votes") > 0, found).otherwise(empty).alias("notices"))
+
+    width = 2 * drift
+    lits = lambda xs: F.array(*map(F.lit, xs))
+
+    def entry(t: int) -> Column:
+        label, text, phrases = index.templates[t]
+        places = F.create_map(*[x for w in index.ranked[t] for x in (F.lit(w), lits(index.places[t][w]))])
+        fields = {"label": F.lit(label), "length": F.lit(len(text)), "indexed": F.lit(index.indexed[t]), "need": F.lit(math.ceil(agree * index.indexed[t]))}
+        return F.struct(*[c.alias(n) for n, c in fields.items()], lits(index.ranked[t]).alias("ranked"), places.alias("places"), F.array(*map(lits, phrases)).alias("phrases"))
+
+    def votes(t: Column, own: Column) -> Column:
+        """(start of the template, a bit for the place in it) of each place in the file of the words `own`."""
+        rare = F.filter("__placed", lambda x: F.array_contains(own, x["w"]))
+        bit = lambda p: F.call_function("shiftleft", F.lit(1).cast("long"), p)
+        each = F.transform(rare, lambda x: F.transform(F.element_at(t["places"], x["w"]), lambda p: F.struct((x["i"] - p).alias("at"), bit(p).alias("bit"))))
+        return F.array_sort(F.flatten(each))
+
+    def swept(t: Column, v: Column) -> Column:
+        """The best window of the sorted votes: (agreeing places, negative start). A window has one vote
+        of each template place at each start at most."""
+
+        def window(x: Column, k: Column) -> Column:
+            first = F.coalesce(F.get(v, k - 1)["at"] != x["at"], F.lit(True))
+            near = F.slice(v, k + 1, (width + 1) * t["length"])
+            bits = F.aggregate(near, F.lit(0).cast("long"), lambda a, y: F.when(y["at"] <= x["at"] + width, a.bitwiseOR(y["bit"])).otherwise(a))
+            return F.when(first, F.struct(F.bit_count(bits).alias("n"), (-x["at"]).alias("before")))
+
+        return F.array_max(F.transform(v, window))
+
+    def judged(t: Column, best: Column) -> Column:
+        start = -best["before"]
+        around = F.sequence(F.greatest(F.lit(0), start - width), F.greatest(F.lit(0), start) + t["length"] + width)
+        inside = F.forall(t["phrases"], lambda p: F.exists(around, lambda i: F.slice("__w", i + 1, F.size(p)) == p))
+        share = F.least(F.lit(1.0), best["n"] / t["indexed"])
+        return F.when((best["n"] >= t["need"]) & inside, F.struct(t["label"].alias("label"), start.cast("int").alias("start"), share.alias("share")))
+
+    def notice(t: Column) -> Column:
+        # the file's words of highest weight among the template's, in order of weight
+        chosen = F.slice(F.array_intersect(t["ranked"], F.col("__present")), 1, index.rare)
+        possible = lambda own: F.aggregate(own, F.lit(0), lambda a, w: a + F.size(F.element_at(t["places"], w)))
+        search = lambda own: F.when(possible(own) >= t["need"], _let(_let(votes(t, own), lambda v: swept(t, v)), lambda b: judged(t, b)))
+        return _let(chosen, search)
+
+    every = F.array(*[entry(t) for t in range(len(index.templates))])
+    found = F.filter(F.transform(every, notice), lambda x: x.isNotNull())
+    notices = F.when(F.size("__present") > 0, found).otherwise(empty)
+    return df.select(F.col("__id").alias(id_col), "n_words", F.col("__base").alias("base"), notices.alias("notices"))
 
 
 def license_digest(docs: DataFrame) -> DataFrame:

@@ -11,12 +11,18 @@ Names are told by their capitals, so a copy in other capitals has other template
 window of `words` plain case-folded words is looked up too, and half of an item's plain windows also
 contaminate; a pair that both find has the numbers of the template windows.
 
+An item of fewer words is one window of its own length: its whole template, if that has `literal`
+words that are no placeholders, and its whole plain words, so an item of numbers alone matches on
+equal numbers. An item without a word matches nothing. Items that share a window cost no more than
+their postings: only those of whose windows enough occur are followed to their places.
+
 The table of windows is held by executors in blocks of at most `block_chars` characters of benchmark
 text, one pass per block; a benchmark of any size is handled, and its size is checked, not assumed.
 
-Null or empty texts match nothing. Items of fewer than `words` words are one window of their own
-length; items of fewer than `least` words are too short to tell and match nothing. Repeated
-documents are each judged; a null doc_id is kept as null. Repeated items count once.
+Null or empty texts match nothing. Repeated documents are each judged, in place, so a null doc_id is
+kept as null. Repeated items count once; all items that match a document are reported, in order of
+item. Empty tables give no pairs and `clean` all rows. Extra columns are ignored by `matches` and kept
+by `clean`, whatever they are called. A very long text is hashed in pieces.
 """
 
 from __future__ import annotations
@@ -31,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, share
+from .common import Words, share
 
 # Units that stand after a number.
 UNITS = frozenset(
@@ -47,8 +53,11 @@ SLOT = re.compile(
     rf"[0-9{UPPER[1:]}(?:(?<=[0-9])(?P<num>[0-9]*(?:[.,:/][0-9]+)*)(?:[ -]?(?P<unit>(?i:{'|'.join(sorted(UNITS, key=lambda u: (-len(u), u)))}))\b)?"
     rf"|(?<=[\w,] .)(?P<name>[^\W\d_]+(?: {UPPER}[^\W\d_]+)*))"
 )
-WORD = re.compile(r"\x00?[^\W\d_]+(?:['’][^\W\d_]+)*")
-PLAIN = re.compile(r"\w+")
+#: What stands between words beyond ASCII.
+MARKS = re.compile("[\u00a0-\u00bf\u2000-\u206f\u3000-\u303f]")
+#: Bytes of words stay, all else is a space; templates have no digits outside placeholders.
+PLAIN = bytes(b if b >= 128 or chr(b).isalnum() or b == 95 else 32 for b in range(256))
+LETTERS = bytes(b if b >= 128 or chr(b).isalpha() or b == 0 else 32 for b in range(256))
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -56,14 +65,13 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 class Settings:
     words: int = 5
     share: float = 0.5
-    least: int = 5
     literal: int = 2  # words of a window that are no placeholders, at least
-    block_chars: int = 16_000_000
+    block_chars: int = 8_000_000
 
 
-def template(text: str) -> tuple[list[str], list[str]]:
-    """(template words, the values of their placeholders in order). Names are capitalised words
-    within a sentence, neighbouring ones one name; words in capitals throughout are plain words."""
+def template(text: str) -> tuple[bytes, list[str]]:
+    """(template words between spaces, the values of their placeholders in order). Names are capitalised
+    words within a sentence, neighbouring ones one name; words in capitals throughout are plain words."""
     values: list[str] = []
 
     def slot(m: re.Match) -> str:
@@ -78,19 +86,23 @@ def template(text: str) -> tuple[list[str], list[str]]:
             return f" {NUM} {UNIT} "
         return f" {NUM} "
 
-    return WORD.findall(SLOT.sub(slot, text.replace("\x00", " ")).lower()), values
+    return spaced(SLOT.sub(slot, text.replace("\x00", " ")).lower(), LETTERS), values
+
+
+def spaced(text: str, keep: bytes) -> bytes:
+    if not text.isascii():
+        text = MARKS.sub(" ", text)
+    return text.encode("utf-8", "surrogatepass").translate(keep)
 
 
-def by_word(words: list[str], values: list[str]) -> list[str | None]:
+def by_word(data: bytes, values: list[str]) -> list[str | None]:
     """The slot value of each word, or None."""
     it = iter(values)
-    return [next(it) if w[0] == "\x00" else None for w in words]
+    return [next(it) if w[0] == 0 else None for w in data.split()]
 
 
-def windows(words: list[str], n: int, hashes: WordHashes) -> np.ndarray:
-    """A hash for each window of n words."""
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    hashes.trim()
+def windows(h: np.ndarray, n: int) -> np.ndarray:
+    """A hash for each window of n words, from the words' hashes."""
     if len(h) < n:
         return np.zeros(0, np.uint64)
     out = np.zeros(len(h) - n + 1, np.uint64)
@@ -99,62 +111,77 @@ def windows(words: list[str], n: int, hashes: WordHashes) -> np.ndarray:
     return (out ^ (out >> np.uint64(32))) * MIX
 
 
+class Postings:
+    """Sorted distinct window hashes, with the (item << 32 | window) of each."""
+
+    def __init__(self, hashes: np.ndarray, places: np.ndarray):
+        order = np.argsort(hashes, kind="stable")
+        self.places = places[order]
+        self.keys, self.first, self.count = np.unique(hashes[order], return_index=True, return_counts=True)
+
+    def of(self, k: int) -> np.ndarray:
+        return self.places[self.first[k] : self.first[k] + self.count[k]]
+
+
 class Table:
     """Windows of a block of benchmark items."""
 
     def __init__(self, items: list[tuple[int, str]], s: Settings):
-        self.s, self.items, known = s, {}, WordHashes()
-        at: dict[tuple[bool, int], list[tuple[int, int]]] = defaultdict(list)  # kind, words of a window -> (hash, item and place)
+        self.s, self.items, hashed = s, {}, Words()
+        found: dict[tuple[bool, int], list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
         for place, (item_id, text) in enumerate(items):
             for plain in (False, True):
-                words, values = self.read(text or "", plain)
-                n, key = min(s.words, len(words)), 2 * place + plain
-                if len(words) < s.least:
+                data, values = self.read(text or "", plain)
+                own = by_word(data, values)
+                n, key = min(s.words, len(own)), 2 * place + plain
+                if not n:
                     continue
-                hashes = windows(words, n, known)
-                placed = [i for i in range(len(hashes)) if sum(w[0] != "\x00" for w in words[i : i + n]) >= min(s.literal, n)]
-                if not placed:
-                    continue
-                self.items[key] = (item_id, n, len(placed), by_word(words, values))
-                for i in placed:
-                    at[plain, n].append((int(hashes[i]), key << 32 | i))
-        self.tables = {}
-        for kind, pairs in at.items():
-            pairs.sort()
-            hashes = np.array([p[0] for p in pairs], np.uint64)
-            self.tables[kind] = (*np.unique(hashes, return_index=True), len(pairs), np.array([p[1] for p in pairs], np.int64))
+                hashes = windows(hashed(data), n)
+                literals = np.convolve([v is None for v in own], np.ones(n, np.int64), "valid")
+                at = np.flatnonzero(literals >= min(s.literal, n))
+                if len(at):
+                    self.items[key] = (item_id, n, len(at), own)
+                    found[plain, n].append((hashes[at], np.int64(key) << 32 | at))
+        self.tables = {kind: Postings(*map(np.concatenate, zip(*parts, strict=True))) for kind, parts in found.items()}
 
     @staticmethod
-    def read(text: str, plain: bool) -> tuple[list[str], list[str]]:
-        return (PLAIN.findall(text.casefold()), []) if plain else template(text)
+    def read(text: str, plain: bool) -> tuple[bytes, list[str]]:
+        return (spaced(text.casefold(), PLAIN), []) if plain else template(text)
 
-    def match(self, text: str | None, known: WordHashes) -> list[tuple[int, int, int]]:
+    def match(self, text: str | None, hashed: Words) -> list[tuple[int, int, int]]:
         """(item, agreeing windows, windows of the item) for each contaminating item."""
         if not text:
             return []
         found: dict[int, tuple[int, int, int]] = {}
         for plain in (False, True):
-            words, values = self.read(text, plain)
-            hits: dict[int, list[tuple[int, int]]] = defaultdict(list)  # item -> (place, window)
-            for (kind, n), (keys, first, total, places) in self.tables.items():
-                if kind != plain or not len(h := windows(words, n, known)):
+            data, values = self.read(text, plain)
+            words, slots = hashed(data), None
+            for (kind, n), table in self.tables.items():
+                if kind != plain or not len(h := windows(words, n)):
+                    continue
+                where = np.minimum(np.searchsorted(table.keys, h), len(table.keys) - 1)
+                at = np.flatnonzero(table.keys[where] == h)
+                if not len(at):
                     continue
-                where = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                for p in np.flatnonzero(keys[where] == h):
-                    k = where[p]
-                    for x in places[first[k] : first[k + 1] if k + 1 < len(first) else total]:
-                        hits[int(x) >> 32].append((int(p), int(x) & 0xFFFFFFFF))
-            slots = None
-            for key, pairs in hits.items():
-                item_id, n, total, own = self.items[key]
-                need = max(1, self.s.share * total)
-                if key >> 1 in found or len({w for _, w in pairs}) < need:
+                keys, counts = np.unique(np.concatenate([table.of(k) for k in np.unique(where[at])]) >> 32, return_counts=True)
+                enough = {int(k) for k, c in zip(keys, counts, strict=True) if c >= self.need(int(k)) and int(k) >> 1 not in found}
+                if not enough:
                     continue
-                slots = slots or by_word(words, values)
-                best = max(self.agreeing(part, own, slots, n) for part in self.occurrences(pairs, len(own)))
-                if best >= need:
-                    found[key >> 1] = (item_id, best, total)
-        return list(found.values())
+                kept = {k: [(int(x) >> 32, int(x) & 0xFFFFFFFF) for x in table.of(k) if int(x) >> 32 in enough] for k in np.unique(where[at])}
+                hits: dict[int, list[tuple[int, int]]] = defaultdict(list)  # item -> (place, window)
+                for p in at:
+                    for key, w in kept[where[p]]:
+                        hits[key].append((int(p), w))
+                slots = slots or by_word(data, values)
+                for key, pairs in hits.items():
+                    item_id, n, total, own = self.items[key]
+                    best = max(self.agreeing(part, own, slots, n) for part in self.occurrences(pairs, len(own)))
+                    if best >= self.need(key):
+                        found[key >> 1] = (item_id, best, total)
+        return [found[k] for k in sorted(found)]
+
+    def need(self, key: int) -> float:
+        return max(1, self.s.share * self.items[key][2])
 
     @staticmethod
     def occurrences(pairs: list[tuple[int, int]], length: int) -> list[list[tuple[int, int]]]:
@@ -196,7 +223,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) ->
         shared = share(docs.sparkSession, Table(items, s))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            table, known = shared(), WordHashes()
+            table, known = shared(), Words()
             for b in batches:
                 rows = [(b.column(0)[i], m) for i, t in enumerate(b.column(1)) for m in table.match(t.as_py(), known)]
                 ids = pa.array([r[0].as_py() for r in rows], b.column(0).type)
@@ -215,7 +242,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> Da
         shared = share(docs.sparkSession, Table(items, s))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            table, known = shared(), WordHashes()
+            table, known = shared(), Words()
             for b in batches:
                 at = b.schema.get_field_index("text")
                 yield b.filter(pa.array([not table.match(t.as_py(), known) for t in b.column(at)], pa.bool_()))

@@ -1,30 +1,35 @@
 """Training-order materialisation of token sequences.
 
-Texts are encoded and cut into sequences of a fixed length; the corpus order numbers them from 0 to
-N - 1. A keyed Feistel permutation with cycle-walking maps that number to a global slot: a bijection
-that any task computes for itself, so there is no global sort and no table of random numbers. Slots
-are dealt to range partitions and written as shards of equal stride: sequence `slot` lies in shard
-slot // per_shard at byte (slot mod per_shard) * stride, so a reader resumes at any slot by seeking.
+Texts are put in the order of id (null first) and text hash, encoded, and cut into sequences of a
+fixed length; that order numbers them from 0 to N - 1, whatever the files and partitions they come
+from. A keyed Feistel permutation with cycle-walking maps that number to a global slot: a bijection
+that any task computes for itself, so there is no table of random numbers. Slots are dealt to range
+partitions and written as shards of equal stride: sequence `slot` lies in shard slot // per_shard at
+byte (slot mod per_shard) * stride, so a reader resumes at any slot by seeking in a file.
+
+`write` puts a file of bytes for each shard, a table of shards with checksums and a manifest (key,
+rounds, N, length, shard size) under a path; a task that runs again writes the same bytes.
 
-The corpus order is that of the checkpointed encoded rows; key, N and stride are in the manifest.
 Null and empty texts give one sequence of the end token alone, as every row ends with one. Repeated
-rows give sequences each. An empty table gives no shards. Extra columns are ignored.
+rows give sequences each, in any order among themselves, as they are equal. An empty table gives no
+shards. Extra columns are ignored. A very long text is encoded whole by one task.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import read_ranks
-from .common import cut, text_batches
+from .common import spill, text_batches
 
 
 @dataclass(frozen=True)
@@ -75,7 +80,8 @@ class Feistel:
 
 
 def encoded(docs: DataFrame, vocabulary: str, pattern: str, end_token: int, s: Settings, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, tokens binary): uint16 ids with the end token; one row for each row."""
+    """(part, before, doc_id, tokens): uint16 ids with the end token, a row for each row. Parts are ranges
+    of the corpus order; `before` counts the sequences before the row in its part."""
     ranks = read_ranks(vocabulary)
     if max(ranks.values()) >= 1 << 16 or end_token >= 1 << 16:
         raise ValueError("ids must fit two bytes")
@@ -85,15 +91,25 @@ def encoded(docs: DataFrame, vocabulary: str, pattern: str, end_token: int, s: S
         import tiktoken
 
         coder = tiktoken.Encoding("own", pat_str=shared.value[1], mergeable_ranks=shared.value[0], special_tokens={})
-        for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
-                tokens = [np.array([*coder.encode_ordinary(t.as_py() or ""), end_token], "<u2").tobytes() for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(tokens, pa.binary())], names=["doc_id", "tokens"])
+        part, before = TaskContext.get().partitionId(), 0
+        for whole in batches:
+            for i in range(0, whole.num_rows, 256):
+                b = whole.slice(i, 256)
+                tokens = [np.array([*coder.encode_ordinary(t.as_py() or ""), end_token], "<u2").tobytes() for t in b.column(1)]
+                ends = before + np.cumsum([-(-len(t) // s.stride) for t in tokens])
+                starts = np.append(before, ends[:-1])
+                before = int(ends[-1])
+                cols = [pa.array(np.full(len(tokens), part, np.int32)), pa.array(starts), b.column(0), pa.array(tokens, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["part", "before", "doc_id", "tokens"])
 
     text_batches(docs.sparkSession)
-    src = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id long, tokens binary")
+    text = docs[text_col].cast("string")
+    src = docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("text"), F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("hash"))
+    # equal rows may be many: they are dealt over parts by where they come from
+    src = src.withColumn("tie", F.monotonically_increasing_id())
+    order = [F.col("doc_id").asc_nulls_first(), "hash", "tie"]
+    ranged = src.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+    return ranged.mapInArrow(run, "part int, before long, doc_id long, tokens binary")
 
 
 SHARD = "shard long, first_slot long, n_sequences int, stride int, n_tokens long, payload_sha256 string, doc_ids array<long>, payload binary"
@@ -102,10 +118,9 @@ SHARD = "shard long, first_slot long, n_sequences int, stride int, n_tokens long
 def materialise(docs: DataFrame, vocabulary: str, pattern: str, end_token: int, s: Settings = Settings()) -> DataFrame:
     """One row per shard with its bytes, in slot order; see `write` for files."""
     spark = docs.sparkSession
-    rows = cut(encoded(docs, vocabulary, pattern, end_token, s))
-    # sequences of each partition of the checkpoint: as many numbers as partitions
+    rows = spill(encoded(docs, vocabulary, pattern, end_token, s))
     per_doc = F.ceil(F.octet_length("tokens") / F.lit(s.stride))
-    counts = {r["p"]: r["n"] for r in rows.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(per_doc).alias("n")).collect()}
+    counts = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.sum(per_doc).alias("n")).collect()}  # as many as parts
     first, total = {}, 0
     for p in sorted(counts):
         first[p] = total
@@ -117,18 +132,18 @@ def materialise(docs: DataFrame, vocabulary: str, pattern: str, end_token: int,
     tasks = min(shards, max(spark.sparkContext.defaultParallelism, -(-shards // s.shards_per_task)))
 
     def cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = starts.value.get(TaskContext.get().partitionId(), 0)
-        for b in batches:
-            for j in range(0, b.num_rows, 1024):
-                part = b.slice(j, 1024)
-                ids, blobs = [], []
-                for doc, t in zip(part.column(0), part.column(1), strict=True):
-                    t = t.as_py()
-                    blobs += [t[k : k + s.stride] for k in range(0, len(t), s.stride)]
-                    ids += [doc.as_py()] * (len(blobs) - len(ids))
-                slots = walk.slot(np.arange(at, at + len(blobs)))
-                at += len(blobs)
-                yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(((slots // s.per_shard) * tasks // shards).astype(np.int32)), pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], names=["slot", "task", "doc_id", "tokens"])
+        for whole in batches:
+            for i in range(0, whole.num_rows, 256):
+                b = whole.slice(i, 256)
+                ids, blobs, index = [], [], []
+                for part, before, doc, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    cuts = range(0, len(t), s.stride)
+                    blobs += [t[k : k + s.stride] for k in cuts]
+                    ids += [doc] * len(cuts)
+                    index += range(starts.value[part] + before, starts.value[part] + before + len(cuts))
+                slots = walk.slot(np.array(index, np.int64))
+                task = ((slots // s.per_shard) * tasks // shards).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(task), pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], names=["slot", "task", "doc_id", "tokens"])
 
     pad = np.array([end_token], "<u2").tobytes()
 
@@ -157,19 +172,64 @@ def materialise(docs: DataFrame, vocabulary: str, pattern: str, end_token: int,
     return placed.sortWithinPartitions("slot").select("slot", "doc_id", "tokens").mapInArrow(writer, SHARD)
 
 
-def write(shards: DataFrame, path: str) -> None:
-    """Shards as a table under `path`, one file for each range of slots; rows are in slot order."""
-    shards.write.mode("errorifexists").parquet(path)
+def _files(path: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
-def read_from(spark: SparkSession, path: str, slot: int, s: Settings = Settings()) -> Iterator[tuple[int, np.ndarray]]:
-    """(slot, token ids) from `slot` on, in training order, a shard at a time."""
-    k = slot // s.per_shard
-    while True:
-        row = spark.read.parquet(path).where(F.col("shard") == k).select("n_sequences", "payload").first()
-        if row is None:
-            return
-        data = np.frombuffer(row["payload"], "<u2").reshape(row["n_sequences"], s.length)
-        for i in range(max(0, slot - k * s.per_shard), len(data)):
-            yield k * s.per_shard + i, data[i]
-        k += 1
+def shard_name(shard: int) -> str:
+    return f"{shard:010d}.bin"
+
+
+def write(shards: DataFrame, path: str, s: Settings = Settings()) -> dict:
+    """Writes each shard's bytes as a file under `path` (which all executors reach), then the table of
+    shards and the manifest, which it returns. A file takes its name when it is whole."""
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = _files(path)
+        files.create_dir(f"{root}/data")
+        for b in batches:
+            for shard, payload in zip(b.column(0).to_pylist(), b.column(5), strict=True):
+                name = f"{root}/data/{shard_name(shard)}"
+                new = f"{name}.{TaskContext.get().taskAttemptId()}"
+                with files.open_output_stream(new) as out:
+                    out.write(payload.as_buffer())
+                files.move(new, name)
+            yield pa.RecordBatch.from_arrays([*b.columns[:5]], names=names)
+
+    names = ["shard", "first_slot", "n_sequences", "n_tokens", "payload_sha256"]
+    table = shards.select(*names, "payload").mapInArrow(put, "shard long, first_slot long, n_sequences int, n_tokens long, payload_sha256 string")
+    table.write.mode("errorifexists").parquet(f"{path}/shards")
+    total = shards.sparkSession.read.parquet(f"{path}/shards").agg(F.sum("n_sequences")).first()[0] or 0
+    manifest = {"n": total, "key": s.key, "rounds": s.rounds, "length": s.length, "stride": s.stride, "per_shard": s.per_shard, "data": "data"}
+    files, root = _files(path)
+    files.create_dir(root)
+    with files.open_output_stream(f"{root}/manifest.json") as out:
+        out.write(json.dumps(manifest).encode())
+    return manifest
+
+
+class Reader:
+    """Sequences of a written order, by seeking."""
+
+    def __init__(self, path: str):
+        self.files, self.root = _files(path)
+        with self.files.open_input_file(f"{self.root}/manifest.json") as f:
+            self.manifest = json.loads(f.read())
+        self.walk = Feistel(max(1, self.manifest["n"]), self.manifest["key"], self.manifest["rounds"])
+
+    def index(self, slot: int) -> int:
+        """The number in corpus order of the sequence at `slot`."""
+        return int(self.walk.index(np.array([slot]))[0])
+
+    def read_from(self, slot: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(slot, token ids) from `slot` on, in training order."""
+        m = self.manifest
+        while slot < m["n"]:
+            shard, at = divmod(slot, m["per_shard"])
+            with self.files.open_input_file(f"{self.root}/{m['data']}/{shard_name(shard)}") as f:
+                f.seek(at * m["stride"])
+                while slot < m["n"] and slot // m["per_shard"] == shard:
+                    yield slot, np.frombuffer(f.read(m["stride"]), "<u2")
+                    slot += 1

@@ -1,29 +1,56 @@
-"""Connected components by least labels with pointer jumping, in checkpointed rounds."""
+"""Connected components by hooking and contraction, in checkpointed rounds."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import discard, spill
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _jumped(up: DataFrame) -> DataFrame:
+    """The table (node, to) with each chain replaced by its end; two steps a round, so that a chain's
+    length falls to a third each time."""
+    while True:
+        second, third = (up.select(F.col("node").alias(f"n{k}"), F.col("to").alias(f"t{k}")) for k in (2, 3))
+        nxt = up.join(second, up["to"] == second["n2"]).join(third, F.col("t2") == F.col("n3"))
+        nxt = spill(nxt.select("node", F.col("t3").alias("to"), (F.col("to") != F.col("t3")).alias("moved")))
+        discard(up)
+        up = nxt
+        if not nxt.where("moved").limit(1).count():
+            return nxt
+
+
+def components(edges: DataFrame, on_round=None) -> DataFrame:
     """(node, label) for each node of `edges` (a, b); label is the least node reachable.
 
-    A round takes the least label of the neighbours (a grouped minimum, combined before the
-    shuffle, so a node of many links is no hot group) and then the label's own label. Rounds grow
-    with the logarithm of a component's diameter. Nothing but a count reaches the driver.
+    A round hooks every node to its least neighbour if that is less (a grouped minimum, combined
+    before the shuffle, so a node of many links is no hot group), follows the hooks to their ends and
+    contracts the edges. A node that is less than all its neighbours and that none of them chose is
+    next to a lesser one after the round, so two rounds at least halve the nodes: there are at most
+    2 log2(nodes) rounds, whatever the order of the labels. Chains of hooks are followed in
+    a logarithm of their length. The tables are files in the shared folder, which also keeps plans free
+    of what earlier rounds knew. Nothing but counts reaches the driver. `on_round` is called with each round's number.
     """
-    e = edges.select("a", "b").where("a <> b").distinct()
-    both = cut(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")))
-    while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("m"))
-        stepped = labels.join(near, labels["node"] == near["a"], "left").select("node", "label", F.least("label", F.coalesce("m", "label")).alias("new"))
-        jump = labels.select(F.col("node").alias("n2"), F.col("label").alias("l2"))
-        nxt = cut(stepped.join(jump, stepped["new"] == jump["n2"], "left").select("node", F.col("label").alias("was"), F.least("new", F.coalesce("l2", "new")).alias("label")))
-        changed = nxt.where("was <> label").limit(1).count()
-        labels = nxt.select("node", "label")
-        if not changed:
-            return labels
+    live = spill(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+    steps = []
+    while live.limit(1).count():
+        if on_round:
+            on_round(len(steps))
+        both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b"))
+        ends = _jumped(spill(least.select("node", F.least("node", "b").alias("to"))))
+        steps.append(ends)
+        x, y = (ends.select(F.col("node").alias(f"{c}_node"), F.col("to").alias(f"{c}_to")) for c in "xy")
+        moved = live.join(x, F.col("a") == F.col("x_node")).join(y, F.col("b") == F.col("y_node"))
+        shrunk = spill(moved.select(F.least("x_to", "y_to").alias("a"), F.greatest("x_to", "y_to").alias("b")).where("a <> b").distinct())
+        discard(live)
+        live = shrunk
+    if not steps:
+        return live.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    out = steps.pop()
+    while steps:  # from the last round, which has the fewest nodes, to the first
+        later = out.select(F.col("node").alias("l_node"), F.col("to").alias("l_to"))
+        step = steps.pop()
+        out = step.join(later, step["to"] == later["l_node"], "left").select("node", F.coalesce("l_to", "to").alias("to"))
+    return out.select("node", F.col("to").alias("label"))

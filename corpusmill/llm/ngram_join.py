@@ -3,30 +3,38 @@
 1. Each text becomes the set of hashes of its n-grams; texts of equal sets collapse to one set.
 2. Grams are put in one order: grams that are common by a bounded table of counts come last, equal
    ones by hash. Any order gives the same links; the table only makes prefixes rare.
-3. Sets with the same prefix and size form one group. Groups that share a prefix gram are paired
-   under the size and position filters. A gram with many groups pairs all of them with one pivot
-   first; only what that leaves in different components is paired further, so a large group of
-   near copies costs as many pairs as it has members.
-4. Group pairs expand to member pairs, which parity bitmaps filter (the bits in which two sets'
-   bitmaps differ are at most the elements in which the sets differ): first one of 256 bits, then
-   one in proportion to the set. Only what passes both has its sets fetched and compared.
+3. Sets with the same prefix and size form one group, led by its least set. Groups that share a
+   prefix gram are paired under the size and position filters; a gram with many groups pairs all of
+   them with one pivot. Only the heads of paired groups, and each head with its group's members, are
+   compared, so the work grows with groups and members and never with their product.
+4. What that leaves in different components goes on as units: a head with the members that it links
+   to (its ball), and each other member alone. Units that share a gram, or a group, and a further
+   gram after it are compared. Set difference is a metric, so two balls whose heads are too far apart
+   hold no link; only balls that are near without a link are opened, first against the other's head.
+5. Each comparison meets parity bitmaps first (the bits in which two sets' bitmaps differ are at most
+   the elements in which the sets differ): one of 256 bits, then one in proportion to the set. Only
+   what passes both has its sets fetched and compared.
 
 No step caps or samples: every pair of sets that reaches the similarity is linked or already
-connected. Null, empty and blank texts have no set and link with nothing; a null id takes part, and
+connected. Sets are compared as sets of 64-bit hashes of words and n-grams: two that collide count as
+equal. Null, empty and blank texts have no set and link with nothing; a null id takes part, and
 counts as no id when the least is taken. Repeated rows each get their row. Extra columns are ignored.
+A very long text is hashed in pieces; its set is held by one task. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from hashlib import blake2b, md5
+from operator import and_
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import Words, cut, discard, finish, is_small, lookup_join, share, spill, text_batches
 from .components import components
@@ -146,9 +154,10 @@ def _common(recurring: DataFrame, s: Settings) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(docs: DataFrame, text_col: str, table: tuple[np.ndarray, np.ndarray], s: Settings) -> DataFrame:
-    """A row for each set: its fp, size, group, prefix and bitmap; a set may come once for each partition."""
+    """A row for each set: its fp, size, group, bitmaps, and its prefix with as many grams that follow it;
+    a set may come once for each partition."""
     shared = share(docs.sparkSession, table)
-    names = ["fp", "n", "grp", "prefix", "b0", "b1", "b2", "b3", "wide"]
+    names = ["fp", "n", "grp", "ordered", "b0", "b1", "b2", "b3", "wide"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, (common, times), known = Shingler(s.words), shared(), set()
@@ -167,56 +176,101 @@ def _prefixes(docs: DataFrame, text_col: str, table: tuple[np.ndarray, np.ndarra
                     at = np.minimum(np.searchsorted(common, grams), len(common) - 1)
                     weight = np.where(common[at] == grams, times[at], 0)
                 keep = n - -(-n * s.num // s.den) + 1
-                prefix = grams[np.argsort(weight, kind="stable")[:keep]]  # grams are in order of hash
+                ordered = grams[np.argsort(weight, kind="stable")[: 2 * keep]]  # grams are in order of hash
+                prefix = ordered[:keep]
                 heads.append((fp, n, int.from_bytes(blake2b(prefix.tobytes() + n.to_bytes(8, "little"), digest_size=8).digest(), "little", signed=True)))
                 bits.append(bitmap(grams))
                 wides.append(n.to_bytes(8, "little") + wide_bitmap(grams))
-                prefixes.append(prefix)
+                prefixes.append(ordered)
             if heads:
                 ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes).view(np.int64)))
                 bits = np.array(bits)
                 yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in heads], pa.binary()), pa.array([h[1] for h in heads], pa.int64()), pa.array([h[2] for h in heads], pa.int64()), lists, *[pa.array(np.ascontiguousarray(bits[:, j])) for j in range(4)], pa.array(wides, pa.binary())], names=names)
 
-    return docs.select(docs[text_col].cast("string").alias("text")).mapInArrow(run, "fp binary, n long, grp long, prefix array<long>, b0 long, b1 long, b2 long, b3 long, wide binary")
+    return docs.select(docs[text_col].cast("string").alias("text")).mapInArrow(run, "fp binary, n long, grp long, ordered array<long>, b0 long, b1 long, b2 long, b3 long, wide binary")
 
 
-def _fits(na: Column, nb: Column, overlap: Column, s: Settings) -> Column:
-    return (s.num + s.den) * overlap >= s.num * (na + nb)
+BITS = ["b0", "b1", "b2", "b3"]
 
 
-def _may_link(x: str, y: str, s: Settings) -> Column:
-    """Size filter, the shorter side's own prefix, and the position filter at a shared gram."""
-    c = lambda side, name: F.col(f"{side}_{name}")
-    reach = F.least(c(x, "n") - c(x, "pos"), c(y, "n") - c(y, "pos"))
-    own = 2 * s.num * c(x, "n") <= (s.num + s.den) * (c(x, "n") - c(x, "pos"))
-    return (c(x, "n") <= c(y, "n")) & (s.den * c(x, "n") >= s.num * c(y, "n")) & own & _fits(c(x, "n"), c(y, "n"), reach, s)
+def _keep(s: Settings) -> Column:
+    """The length of a set's prefix."""
+    return F.expr(f"n - (n * {s.num} + {s.den - 1}) div {s.den} + 1").cast("int")
 
 
 def _side(df: DataFrame, side: str, columns: list[str]) -> DataFrame:
     return df.select(*[F.col(c).alias(f"{side}_{c}") for c in columns])
 
 
+def _may_link(s: Settings) -> Column:
+    """For sides x and y that share a gram at x_pos and y_pos: the size filter, the smaller side's own
+    prefix, and the position filter. Sides of equal size come in either order."""
+    reach = F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos"))
+    size = s.den * F.least("x_n", "y_n") >= s.num * F.greatest("x_n", "y_n")
+    return size & ((s.num + s.den) * reach >= s.num * (F.col("x_n") + F.col("y_n")))
+
+
+def _bits_fit(s: Settings, times: Column | int = 1) -> Column:
+    """Whether sides x and y may differ in few enough elements by their 256 parities."""
+    differ = sum(F.bit_count(F.col(f"x_{b}").bitwiseXOR(F.col(f"y_{b}"))) for b in BITS)
+    return (s.num + s.den) * differ <= (s.den - s.num) * times * (F.col("x_n") + F.col("y_n"))
+
+
+def _candidates(sides: DataFrame, s: Settings, times: Column | int = 1) -> DataFrame:
+    """Distinct (a, b, times), a < b, of pairs of sides that pass the bitmap filter."""
+    times = F.lit(times) if isinstance(times, int) else times
+    kept = sides.where((F.col("x_fp") != F.col("y_fp")) & _bits_fit(s, times))
+    pairs = kept.select(F.least("x_fp", "y_fp").alias("a"), F.greatest("x_fp", "y_fp").alias("b"), times.alias("times"))
+    return pairs.groupBy("a", "b").agg(F.max("times").alias("times"))
+
+
+WANTED_BITS = 1 << 27  # of the bitmap that a pass over the texts holds
+
+
 def _sets(docs: DataFrame, text_col: str, wanted: DataFrame, s: Settings) -> DataFrame:
-    """(fp, grams) of the wanted sets; a bitmap of bounded size keeps most others out."""
+    """(fp, grams) of the wanted sets. A bitmap keeps most others out; more sets than it can tell apart
+    are fetched in several passes, each for the sets of one remainder."""
     n = wanted.count()
-    bits = 1 << max(16, min(27, (16 * max(n, 1)).bit_length()))
+    passes = max(1, -(-16 * n // WANTED_BITS))
+    bits = 1 << max(16, min(WANTED_BITS.bit_length() - 1, (16 * max(n, 1) // passes).bit_length()))
+    out = None
+    for k in range(passes):
+        part = _one_pass(docs, text_col, wanted, s, bits, passes, k)
+        out = part if out is None else out.unionByName(part)
+    found = out.join(wanted.select("fp"), "fp", "left_semi")
+    return found.groupBy("fp").agg(F.first("grams").alias("grams"))
+
+
+def _bit_table(keys: DataFrame, places, bits: int) -> np.ndarray:
+    """A bitmap of `bits` bits with the bits that `places` gives for each value of the one column."""
 
     def build(parts):
         have = np.zeros(bits // 8, np.uint8)
         for b in parts:
-            for fp in b.column(0):
-                k = int.from_bytes(fp.as_py()[:8], "little") & (bits - 1)
-                have[k >> 3] |= 1 << (k & 7)
+            for v in b.column(0).to_pylist():
+                for k in places(v):
+                    have[k >> 3] |= 1 << (k & 7)
         yield pa.RecordBatch.from_arrays([pa.array([have.tobytes()], pa.binary())], names=["have"])
 
     have = np.zeros(bits // 8, np.uint8)
-    for r in wanted.select("fp").repartition(4).mapInArrow(build, "have binary").toLocalIterator():
+    for r in keys.repartition(4).mapInArrow(build, "have binary").toLocalIterator():
         have |= np.frombuffer(r["have"], np.uint8)
+    return have
+
+
+def _one_pass(docs: DataFrame, text_col: str, wanted: DataFrame, s: Settings, bits: int, passes: int, turn: int) -> DataFrame:
+    place = lambda fp: int.from_bytes(fp[:8], "little") & (bits - 1)
+    mine = lambda fp: passes == 1 or int.from_bytes(fp[8:], "little") % passes == turn
+    have = _bit_table(wanted.select("fp"), lambda fp: [place(fp)] if mine(fp) else [], bits)
     shared = docs.sparkSession.sparkContext.broadcast(have.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, known, table = Shingler(s.words), set(), np.frombuffer(shared.value, np.uint8)
+
+        def batch(fps, sets):
+            return pa.RecordBatch.from_arrays([pa.array(fps, pa.binary()), pa.array(sets, pa.binary())], names=["fp", "grams"])
+
         for b in batches:
             fps, sets, size = [], [], 0
             for t in b.column(0):
@@ -224,8 +278,8 @@ def _sets(docs: DataFrame, text_col: str, wanted: DataFrame, s: Settings) -> Dat
                 if not len(grams):
                     continue
                 fp = fingerprint(grams)
-                k = int.from_bytes(fp[:8], "little") & (bits - 1)
-                if table[k >> 3] >> (k & 7) & 1 and fp not in known:
+                k = place(fp)
+                if table[k >> 3] >> (k & 7) & 1 and mine(fp) and fp not in known:
                     if len(known) > 500_000:
                         known.clear()
                     known.add(fp)
@@ -233,53 +287,112 @@ def _sets(docs: DataFrame, text_col: str, wanted: DataFrame, s: Settings) -> Dat
                     sets.append(grams.tobytes())
                     size += len(sets[-1])
                 if size > 8 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(fps, pa.binary()), pa.array(sets, pa.binary())], names=["fp", "grams"])
+                    yield batch(fps, sets)
                     fps, sets, size = [], [], 0
             if fps:
-                yield pa.RecordBatch.from_arrays([pa.array(fps, pa.binary()), pa.array(sets, pa.binary())], names=["fp", "grams"])
+                yield batch(fps, sets)
 
-    out = docs.select(docs[text_col].cast("string").alias("text")).mapInArrow(run, "fp binary, grams binary")
-    return out.join(wanted.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.first("grams").alias("grams"))
+    return docs.select(docs[text_col].cast("string").alias("text")).mapInArrow(run, "fp binary, grams binary")
 
 
-def _compare(pairs: DataFrame, values: DataFrame, keep) -> DataFrame:
-    """The pairs (a, b) for whose values (fp, v) `keep` holds."""
-    left, right = values.select(F.col("fp").alias("a"), F.col("v").alias("va")), values.select(F.col("fp").alias("b"), F.col("v").alias("vb"))
+def _compare(pairs: DataFrame, values: DataFrame, differ, s: Settings) -> DataFrame:
+    """(a, b, times, linked) of the pairs whose sets differ in few enough elements, `times` times as
+    many as a link may. `differ` gives two values' sizes and, at least, the elements that differ."""
+    left = values.select(F.col("fp").alias("a"), F.col("v").alias("va"))
+    right = values.select(F.col("fp").alias("b"), F.col("v").alias("vb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = pa.array([bool(keep(x.as_buffer(), y.as_buffer())) for x, y in zip(b.column(2), b.column(3), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["a", "b"])
+            near, linked = [], []
+            for x, y, times in zip(b.column(3), b.column(4), b.column(2).to_pylist(), strict=True):
+                n, d = differ(x.as_buffer(), y.as_buffer())
+                near.append((s.num + s.den) * d <= (s.den - s.num) * times * n)
+                linked.append((s.num + s.den) * d <= (s.den - s.num) * n)
+            near = pa.array(near, pa.bool_())
+            cols = [b.column(0), b.column(1), b.column(2), pa.array(linked, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([c.filter(near) for c in cols], names=["a", "b", "times", "linked"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "va", "vb").mapInArrow(run, "a binary, b binary")
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "times", "va", "vb")
+    return joined.mapInArrow(run, "a binary, b binary, times int, linked boolean")
 
 
 def _verify(pairs: DataFrame, members: DataFrame, docs: DataFrame, text_col: str, s: Settings) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, as a spilled table."""
+    """(a, b, times, linked) of the pairs (a, b, times) that are near enough, as a spilled table."""
 
-    def wide(x, y) -> bool:  # each bitmap comes with its set's size before it
+    def wide(x, y) -> tuple[int, int]:  # each bitmap comes with its set's size before it
         n = int.from_bytes(x[:8].to_pybytes(), "little") + int.from_bytes(y[:8].to_pybytes(), "little")
-        differ = wide_difference(np.frombuffer(x, np.uint8, offset=8), np.frombuffer(y, np.uint8, offset=8))
-        return (s.num + s.den) * (n - differ) >= 2 * s.num * n
+        return n, wide_difference(np.frombuffer(x, np.uint8, offset=8), np.frombuffer(y, np.uint8, offset=8))
 
-    def exact(x, y) -> bool:
+    def exact(x, y) -> tuple[int, int]:
         x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
         both = len(np.intersect1d(x, y, assume_unique=True))
-        return s.den * both >= s.num * (len(x) + len(y) - both)
+        return len(x) + len(y), len(x) + len(y) - 2 * both
 
-    near = spill(_compare(pairs, members.select("fp", F.col("wide").alias("v")), wide))
+    near = spill(_compare(pairs, members.select("fp", F.col("wide").alias("v")), wide, s).select("a", "b", "times"))
     wanted = spill(near.select(F.col("a").alias("fp")).union(near.select("b")).distinct())
     sets = spill(_sets(docs, text_col, wanted, s))
-    out = spill(_compare(near, sets.select("fp", F.col("grams").alias("v")), exact))
+    out = spill(_compare(near, sets.select("fp", F.col("grams").alias("v")), exact, s))
     discard(near, wanted, sets)
     return out
 
 
-def _member_pairs(candidates: DataFrame, s: Settings) -> DataFrame:
-    """Distinct (a, b), a < b, of candidates with both sides' fp, n and bitmap, by the bitmap filter."""
-    differ = sum(F.bit_count(F.col(f"x_b{j}").bitwiseXOR(F.col(f"y_b{j}"))) for j in range(4))
-    kept = candidates.where((F.col("x_fp") != F.col("y_fp")) & ((s.num + s.den) * (F.col("x_n") + F.col("y_n") - differ) >= 2 * s.num * (F.col("x_n") + F.col("y_n"))))
-    return kept.select(F.least("x_fp", "y_fp").alias("a"), F.greatest("x_fp", "y_fp").alias("b")).distinct()
+def _group_pairs(lists: DataFrame, s: Settings) -> DataFrame:
+    """(x_grp, y_grp): groups that share a prefix gram; all of a short list, with its pivot for a long one."""
+    few, many = lists.where(F.col("size") <= s.pivot_over), lists.where(F.col("size") > s.pivot_over)
+    cols = ["gram", "grp", "n", "pos"]
+    plain = _side(few, "x", cols).join(_side(few, "y", cols), (F.col("x_gram") == F.col("y_gram")) & (F.col("x_grp") < F.col("y_grp")))
+    spokes = many.select(*[F.col(f"p_{c}").alias(f"x_{c}") for c in cols[1:]], *[F.col(c).alias(f"y_{c}") for c in cols[1:]]).where("x_grp <> y_grp")
+    found = plain.where(_may_link(s)).select("x_grp", "y_grp").unionByName(spokes.where(_may_link(s)).select("x_grp", "y_grp"))
+    return found.select(F.least("x_grp", "y_grp").alias("x_grp"), F.greatest("x_grp", "y_grp").alias("y_grp")).distinct()
+
+
+def _mixed(keyed: DataFrame, key: list[str]) -> DataFrame:
+    """The rows of keys that hold more than one component; least and greatest combine before the shuffle."""
+    ends = keyed.groupBy(*key).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select(*key)
+    return keyed.join(cut(ends), key)
+
+
+def _apart(lists: DataFrame, units: DataFrame, many: DataFrame, inside: DataFrame, second: DataFrame, s: Settings) -> DataFrame:
+    """Candidate pairs of units of different components that share a gram or a group, and then another gram.
+
+    The least gram that two linked sets share lies in both prefixes, and the next in the prefixes or
+    the gram after them. Sets of one group share their whole prefix, and then one of as many grams
+    after it, as both have as many left to differ in. A ball has its head's prefix, which all its
+    members share, and the grams after it of each member.
+    """
+    info = ["fp", "n", "comp", "ball", *BITS]
+    deep = lists.join(many, "gram", "left_semi").select("gram", "grp", "pos")
+    in_lists = deep.join(units, "grp").select(F.col("gram").alias("key"), F.lit(False).alias("in_group"), "pos", *info)
+    in_groups = units.where("many").select(F.col("grp").alias("key"), F.lit(True).alias("in_group"), F.lit(0).cast("int").alias("pos"), *info)
+    rest = spill(_mixed(in_lists.unionByName(in_groups), ["key", "in_group"]))
+    mine = rest.select(F.col("fp").alias("unit")).distinct().join(inside.select("unit", F.col("fp").alias("m_fp")), "unit")
+    ordered = second.select(F.col("fp").alias("m_fp"), "ordered")
+    held = spill(mine.join(ordered, "m_fp").dropDuplicates(["unit", "m_fp"]))
+    keep = _keep(s)
+    one_more, block = F.slice("ordered", keep + 1, 1), F.slice("ordered", keep + 1, keep)
+    own = F.when(F.col("m_fp") == F.col("unit"), F.slice("ordered", F.col("pos") + 2, keep - F.col("pos"))).otherwise(one_more)
+    after = F.when(F.col("in_group"), block).otherwise(own)
+    keys = ["key", "in_group", "next"]
+    pieces = rest.join(held, rest["fp"] == held["unit"]).select("key", "in_group", "pos", *info, F.explode(after).alias("next"))
+    split = spill(_mixed(pieces.distinct(), keys))
+    cols = [*keys, "pos", *info]
+    same = [F.col(f"x_{k}") == F.col(f"y_{k}") for k in keys]
+    apart = (F.col("x_comp") != F.col("y_comp")) & (F.col("x_fp") < F.col("y_fp"))
+    pairs = _side(split, "x", cols).join(_side(split, "y", cols), reduce(and_, same) & apart).where(_may_link(s))
+    times = F.when(F.col("x_ball") | F.col("y_ball"), 3).otherwise(1)
+    out = spill(_candidates(pairs, s, times))
+    discard(rest, held, split)
+    return out
+
+
+def _labels(edges: DataFrame) -> DataFrame:
+    return cut(components(edges))
+
+
+def _with_comp(df: DataFrame, label: DataFrame, fp: str = "fp", name: str = "comp") -> DataFrame:
+    """`df` with the component of its column `fp`; a set without links is its own."""
+    own = label.select(F.col("node").alias("_node"), F.col("label").alias("_label"))
+    return df.join(own, F.col(fp) == F.col("_node"), "left").withColumn(name, F.coalesce("_label", fp)).drop("_node", "_label")
 
 
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
@@ -289,52 +402,73 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Se
     rows = first.where("kind = 0").select("id", "n", "fp", "text_md5")
     second = spill(_prefixes(docs, text_col, _common(first.where("kind = 1").select("gram", "times"), s), s))
 
-    by_gram = second.select("grp", "n", F.posexplode("prefix").alias("pos", "gram")).repartition("gram").dropDuplicates(["gram", "grp"])
-    w = Window.partitionBy("gram")
-    lists = by_gram.withColumn("size", F.count(F.lit(1)).over(w)).withColumn("pivot", F.min(F.struct("pos", "n", "grp")).over(w)).where("size > 1")
-    lists = spill(lists)
-    members = second.select("grp", "n", "fp", "b0", "b1", "b2", "b3", "wide").dropDuplicates(["fp"])
-    members = spill(members.withColumn("peers", F.count(F.lit(1)).over(Window.partitionBy("grp"))).withColumn("head", F.min("fp").over(Window.partitionBy("grp"))))
-    discard(second)
-
-    few, many = lists.where(F.col("size") <= s.pivot_over), lists.where(F.col("size") > s.pivot_over)
-    cols = ["gram", "grp", "n", "pos"]
-    plain = _side(few, "x", cols).join(_side(few, "y", cols), F.col("x_gram") == F.col("y_gram")).where((F.col("x_grp") != F.col("y_grp")) & _may_link("x", "y", s)).where((F.col("x_n") < F.col("y_n")) | (F.col("x_grp") < F.col("y_grp")))
-    spokes = many.select(F.col("pivot.grp").alias("p_grp"), F.col("pivot.n").alias("p_n"), F.col("pivot.pos").alias("p_pos"), F.col("grp").alias("m_grp"), F.col("n").alias("m_n"), F.col("pos").alias("m_pos")).where("p_grp <> m_grp").where(_may_link("p", "m", s) | _may_link("m", "p", s))
-    pairs = plain.select("x_grp", "y_grp").unionByName(spokes.select(F.col("p_grp").alias("x_grp"), F.col("m_grp").alias("y_grp"))).distinct()
-
-    info = ["grp", "fp", "n", "b0", "b1", "b2", "b3"]
-    x, y = _side(members, "x", info), _side(members, "y", info)
-    expand = lambda p: p.join(x, "x_grp").join(y, "y_grp")
-    heads = _side(members.where("peers > 1 and fp = head"), "x", info).join(_side(members.where("peers > 1"), "y", info), F.col("x_grp") == F.col("y_grp"))
-    near = spill(_member_pairs(expand(pairs).select(*[f"{side}_{c}" for side in "xy" for c in info[1:]]).unionByName(heads.select(*[f"{side}_{c}" for side in "xy" for c in info[1:]])), s))
-
-    # what a pivot left apart: every member of such lists and groups, by component
-    edges = _verify(near, members, docs, text_col, s)
-    label = cut(components(edges))
-    grouped = members.where("peers > 1").select("grp", F.lit(None).cast("long").alias("gram"), F.lit(0).cast("long").alias("pos"), *info[1:])
-    rest = many.select("grp", "gram", "pos").join(members.select(*info), "grp").select("grp", "gram", "pos", *info[1:]).unionByName(grouped)
-    rest = rest.join(label, rest["fp"] == label["node"], "left").withColumn("comp", F.coalesce("label", "fp")).withColumn("key", F.coalesce("gram", "grp"))
-    # only lists that hold more than one component go on; the least and greatest are combined
-    # before the shuffle, so a long list is no hot group
-    keyed = rest.select("key", F.col("gram").isNull().alias("in_group"), "pos", "comp", *info[1:])
-    mixed = keyed.groupBy("key", "in_group").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "in_group")
-    rest = spill(keyed.join(mixed, ["key", "in_group"]))
-    if rest.limit(1).count():
-        cols = ["key", "in_group", "pos", "comp", *info[1:]]
-        c = lambda name: F.col(f"x_{name}") == F.col(f"y_{name}")
-        more = _side(rest, "x", cols).join(_side(rest, "y", cols), c("key") & c("in_group") & (F.col("x_comp") != F.col("y_comp")) & _may_link("x", "y", s) & ((F.col("x_n") < F.col("y_n")) | (F.col("x_fp") < F.col("y_fp"))) & _bits_fit(s))
-        more = spill(_member_pairs(more, s))
-        if more.limit(1).count():
-            edges = edges.unionByName(_verify(more, members, docs, text_col, s))
-        discard(more)
-    discard(lists, members, near, rest)
+    # counts of repeated rows may call a short list long, which changes its way and not its links
+    grams = second.select("grp", "n", F.posexplode(F.slice("ordered", F.lit(1), _keep(s))).alias("pos", "gram"))
+    first_place = F.col("pos") * F.lit(1 << 31) + F.col("n")  # a list's pivot: the least place, then size
+    sizes = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("size"), F.min(first_place).alias("p"), F.min_by("grp", first_place).alias("p_grp"))
+    sizes = spill(sizes.where("size > 1").select("gram", "size", F.expr("p div 2147483648").alias("p_pos"), F.expr("p % 2147483648").alias("p_n"), "p_grp"))
+    lists = spill(grams.join(sizes, "gram").distinct())
+    members = spill(second.select("grp", "n", "fp", *BITS, "wide").dropDuplicates(["fp"]))
+    info = ["grp", "fp", "n", *BITS]
+    groups = members.groupBy("grp").agg(F.min(F.struct("fp", "n", *BITS)).alias("h"), F.count(F.lit(1)).alias("peers"))
+    groups = spill(groups.select("grp", "h.*", "peers"))
+
+    big = groups.where("peers > 1")
+    inner = _side(big, "x", info).join(_side(members, "y", info), F.col("x_grp") == F.col("y_grp")).where("x_fp <> y_fp")
+    heads = _group_pairs(lists, s).join(_side(groups, "x", info), "x_grp").join(_side(groups, "y", info), "y_grp")
+    sides = [f"{side}_{c}" for side in "xy" for c in info[1:]]
+    near = spill(_candidates(heads.select(*sides).unionByName(inner.select(*sides)), s))
+    found = _verify(near, members, docs, text_col, s)
+    edges = found.select("a", "b")
+
+    # what that left apart
+    ends = [F.least("x_fp", "y_fp").alias("a"), F.greatest("x_fp", "y_fp").alias("b")]
+    loose = inner.select("*", *ends).join(edges, ["a", "b"], "left_anti").select(*[F.col(f"y_{c}").alias(c) for c in info])
+    loose = spill(loose)
+    many = sizes.where(F.col("size") > s.pivot_over).select("gram")
+    has_big = lists.join(big.select("grp"), "grp", "left_semi").select("gram")
+    deep = spill(many.union(has_big).distinct())
+    if deep.limit(1).count():
+        label = _labels(edges)
+        crowded = loose.select("grp").distinct().withColumn("many", F.lit(True))
+        lead = groups.select(*info, (F.col("peers") > 1).alias("ball"))
+        units = lead.unionByName(loose.select(*info, F.lit(False).alias("ball"))).join(crowded, "grp", "left")
+        units = spill(_with_comp(units.withColumn("many", F.coalesce("many", F.lit(False))), label))
+        balls = units.where("ball").select("grp", F.col("fp").alias("unit"))
+        inside = members.join(loose.select("fp"), "fp", "left_anti").join(balls, "grp").select("unit", *info[1:])
+        inside = inside.unionByName(units.where("not ball").select(F.col("fp").alias("unit"), *info[1:]))
+        apart = _apart(lists, units, deep, inside, second, s)
+        if apart.limit(1).count():
+            close = _verify(apart, members, docs, text_col, s)
+            edges = edges.unionByName(close.where("linked").select("a", "b"))
+            edges = _open(close.where("times > 1 and not linked").select("a", "b"), edges, inside, members, docs, text_col, s)
+        discard(units, apart)
+    discard(second, sizes, lists, members, groups, near, loose, deep)
     return rows, edges
 
 
-def _bits_fit(s: Settings) -> Column:
-    differ = sum(F.bit_count(F.col(f"x_b{j}").bitwiseXOR(F.col(f"y_b{j}"))) for j in range(4))
-    return (s.num + s.den) * (F.col("x_n") + F.col("y_n") - differ) >= 2 * s.num * (F.col("x_n") + F.col("y_n"))
+def _open(close: DataFrame, edges: DataFrame, inside: DataFrame, members: DataFrame, docs: DataFrame, text_col: str, s: Settings) -> DataFrame:
+    """`edges` with the links between members of the units `close` (a, b): first of each head with the
+    other's members, then, where two are still apart, between their members. `inside` has the members
+    (fp) of each unit."""
+    cols = ["unit", "fp", "n", *BITS]
+    x, y = _side(inside, "x", cols), _side(inside, "y", cols)
+    lead = inside.where("fp = unit")
+    for whole in (False, True):
+        label = _labels(edges)
+        close = _with_comp(_with_comp(close.select("a", "b"), label, "a", "ca"), label, "b", "cb")
+        close = cut(close.where("ca <> cb").select("a", "b"))
+        if not close.limit(1).count():
+            break
+        both = lambda p, q: close.join(p, F.col("a") == F.col("x_unit")).join(q, F.col("b") == F.col("y_unit"))  # noqa: B023, E731
+        if whole:
+            sides = both(x, y).where("x_fp <> x_unit and y_fp <> y_unit")
+        else:
+            sides = both(_side(lead, "x", cols), y).unionByName(both(x, _side(lead, "y", cols)))
+        pairs = spill(_candidates(sides, s))
+        edges = edges.unionByName(_verify(pairs, members, docs, text_col, s).select("a", "b"))
+        discard(pairs)
+    return edges
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> DataFrame:
@@ -350,25 +484,63 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s:
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_grams"), F.coalesce("component", "id").alias("component"))
 
 
+def _fresh(name: str, taken: list[str]) -> str:
+    """`name`, or with underscores until no column is called so in any case."""
+    low = {c.lower() for c in taken}
+    while name in low:
+        name += "_"
+    return name
+
+
+def _without(docs: DataFrame, go: DataFrame, key: str, most_broadcast_rows: int) -> DataFrame:
+    """The rows of `docs` whose column `key` is not in the one column of `go`.
+
+    A small `go` is broadcast. Beyond that a broadcast bitmap of bounded size tells most rows that
+    stay, which do not move; the rest meet `go` in a shuffled join.
+    """
+    gone = go.columns[0]
+    if is_small(go, most_broadcast_rows):
+        return docs.join(F.broadcast(go), F.col(key) == F.col(gone), "left_anti")
+    bits = min(WANTED_BITS, 1 << max(16, (16 * go.count()).bit_length()))
+    hashed = go.select(F.xxhash64(gone).alias("h"))
+    have = _bit_table(hashed, lambda h: [h & (bits - 1), (h >> 32) & (bits - 1)], bits)
+    shared = docs.sparkSession.sparkContext.broadcast(have.tobytes())
+
+    @F.pandas_udf("boolean")
+    def may_go(h: pd.Series) -> pd.Series:
+        table, h = np.frombuffer(shared.value, np.uint8), h.to_numpy(np.int64)
+        hit = lambda k: (table[k >> 3] >> (k & 7).astype(np.uint8)) & 1
+        return pd.Series((hit(h & (bits - 1)) & hit((h >> 32) & (bits - 1))).astype(bool))
+
+    hit = may_go(F.xxhash64(key))
+    return docs.where(~hit).unionByName(docs.where(hit).join(go, F.col(key) == F.col(gone), "left_anti"))
+
+
 def keep_one(docs: DataFrame, s: Settings = Settings(), most_broadcast_rows: int = 100_000) -> DataFrame:
     """All columns of one row of each component: the one of least id (nulls last), then least text
-    hash. Rows without words stay. Rows of one id and text are one row; a null text is as an empty one.
+    hash; of rows that repeat both, one. Rows without words all stay, repeated ones too.
 
-    The rows to go are joined away; their table is broadcast if it is small, else both sides shuffle.
+    The keys (id and text hash) of the rows to go are joined away, see `_without`.
     """
     rows, edges = links(docs, "doc_id", "text", s)
     label = components(edges)
-    tagged = rows.join(label, rows["fp"] == label["node"], "left").select("id", "text_md5", F.coalesce("label", "fp").alias("comp"))
+    worded = rows.where("fp is not null")
+    tagged = worded.join(label, rows["fp"] == label["node"], "left").select("id", "text_md5", F.coalesce("label", "fp").alias("comp"))
     order = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("text_md5").alias("text_md5"))
-    first = tagged.where("comp is not null").groupBy("comp").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    first = tagged.groupBy("comp").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1")
     marked = lookup_join(tagged, first, ["comp"], most_broadcast_rows).where("size is not null")
-    go = cut(marked.where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("text_md5") == F.col("first.text_md5")))).select(F.col("id").alias("__go_id"), F.col("text_md5").alias("__go_text")).distinct())
-    keyed = docs.withColumn("__text", F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))))
-    side = F.broadcast(go) if is_small(go, most_broadcast_rows) else go
-    kept = keyed.join(side, F.col("doc_id").cast("long").eqNullSafe(F.col("__go_id")) & (F.col("__text") == F.col("__go_text")), "left_anti")
-    if rows.groupBy("id", "text_md5").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id", "__text"])
-    return kept.select(*docs.columns)
+    named = lambda i, text: F.concat(F.coalesce(i.cast("string"), F.lit("")), F.lit(":"), F.hex(text))
+    other = ~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("text_md5") == F.col("first.text_md5")))
+    key, gone = _fresh("row_key", docs.columns), _fresh("gone_key", docs.columns)
+    go = cut(marked.where(other).select(named(F.col("id"), F.col("text_md5")).alias(gone)).distinct())
+    again = cut(worded.groupBy("id", "text_md5").count().where("count > 1").select(named(F.col("id"), F.col("text_md5")).alias(gone)))
+    text_md5 = F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
+    keyed = docs.withColumn(key, named(F.col("doc_id").cast("long"), text_md5))
+    kept = _without(keyed, go, key, most_broadcast_rows)
+    if again.limit(1).count():  # of rows that are repeated whole, one
+        once = kept.join(again, F.col(key) == F.col(gone), "left_semi").dropDuplicates([key])
+        kept = _without(kept, again, key, most_broadcast_rows).unionByName(once)
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def join_digest(docs: DataFrame) -> DataFrame:

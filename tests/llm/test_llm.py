@@ -223,36 +223,46 @@ def test_feistel_is_a_bijection(n, key):
     assert sorted(slots) == list(range(n)) and (f.index(slots) == np.arange(n)).all()
 
 
-def test_materialised_sequences(spark, small_dir, tmp_path):
+def corpus_order(rows, coder, length):
+    """(doc_id, ids) of all sequences, by the definition."""
+    out = []
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashlib.md5((r[1] or "").encode()).hexdigest())):
+        ids = [*coder.encode_ordinary(t or ""), 50_256]
+        for k in range(0, len(ids), length):
+            out.append((i, ids[k : k + length] + [50_256] * (length - len(ids[k : k + length]))))
+    return out
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 5])
+def test_materialised_sequences(spark, small_dir, tmp_path, partitions):
     s = materialise.Settings(length=64, per_shard=100)
     vocabulary, pattern = tokenizer()
-    docs = real(spark, small_dir)
-    shards = materialise.materialise(docs, vocabulary, pattern, 50_256, s)
-    materialise.write(shards, str(tmp_path / "out"))
-    stored = sorted(spark.read.parquet(str(tmp_path / "out")).collect(), key=lambda r: r.shard)
-    coder = reference()
-    want, got = Counter(), Counter()
-    for i, t in texts_of(spark, small_dir).items():
-        ids = [*coder.encode_ordinary(t), 50_256]
-        for k in range(0, len(ids), 64):
-            part = ids[k : k + 64]
-            want[i, tuple(part + [50_256] * (64 - len(part)))] += 1
-    for r in stored:
-        assert r.first_slot == r.shard * 100 and r.stride == 128 and len(r.payload) == r.n_sequences * 128
-        assert hashlib.sha256(r.payload).hexdigest() == r.payload_sha256
-        for i, row in zip(r.doc_ids, np.frombuffer(r.payload, "<u2").reshape(-1, 64), strict=True):
-            got[i, tuple(map(int, row))] += 1
-    assert got == want and [r.n_sequences for r in stored[:-1]] == [100] * (len(stored) - 1)
-    resumed = [x for _, x in zip(range(5), materialise.read_from(spark, str(tmp_path / "out"), 198, s))]
-    assert [slot for slot, _ in resumed] == [198, 199, 200, 201, 202]
-    assert (resumed[2][1] == np.frombuffer(stored[2].payload, "<u2")[:64]).all()
-
-
-def test_materialise_edges(spark):
-    args = (*tokenizer(), 50_256, materialise.Settings(length=16, per_shard=4))
-    rows = materialise.materialise(documents(spark, ["a", None, "", "b c"], [1, None, 1, 2]), *args).collect()
-    assert sum(r.n_sequences for r in rows) == 4
-    assert materialise.materialise(documents(spark, ["x"]).limit(0), *args).count() == 0
+    docs = real(spark, small_dir).repartition(partitions, "n_chars")
+    manifest = materialise.write(materialise.materialise(docs, vocabulary, pattern, 50_256, s), str(tmp_path / "out"), s)
+    want = corpus_order(list(texts_of(spark, small_dir).items()), reference(), 64)
+    assert manifest["n"] == len(want)
+    reader = materialise.Reader(str(tmp_path / "out"))
+    got = list(reader.read_from(0))
+    assert [slot for slot, _ in got] == list(range(len(want)))
+    assert all(list(ids) == want[reader.index(slot)][1] for slot, ids in got)
+    resumed = [x for _, x in zip(range(5), reader.read_from(198))]
+    assert [slot for slot, _ in resumed] == [198, 199, 200, 201, 202] and all((a == b).all() for (_, a), (_, b) in zip(resumed, got[198:]))
+    for r in spark.read.parquet(str(tmp_path / "out" / "shards")).collect():
+        data = (tmp_path / "out" / "data" / materialise.shard_name(r.shard)).read_bytes()
+        assert r.first_slot == r.shard * 100 and len(data) == r.n_sequences * 128 and hashlib.sha256(data).hexdigest() == r.payload_sha256
+
+
+def test_materialise_edges(spark, tmp_path):
+    s = materialise.Settings(length=16, per_shard=4)
+    args = (*tokenizer(), 50_256, s)
+    rows = [(1, "a"), (None, None), (1, ""), (2, "b c"), (2, "b c"), (3, LONG[:60_000])]
+    docs = documents(spark, [t for _, t in rows], [i for i, _ in rows]).withColumn("tokens", F.lit("clash")).withColumn("slot", F.lit(1))
+    materialise.write(materialise.materialise(docs, *args), str(tmp_path / "a"), s)
+    reader, want = materialise.Reader(str(tmp_path / "a")), corpus_order(rows, reference(), 16)
+    assert [list(ids) for _, ids in reader.read_from(0)] == [want[reader.index(k)][1] for k in range(len(want))]
+    none = materialise.materialise(documents(spark, ["x"]).limit(0), *args)
+    assert none.count() == 0 and materialise.write(none, str(tmp_path / "b"), s)["n"] == 0
+    assert list(materialise.Reader(str(tmp_path / "b")).read_from(0)) == []
 
 
 # ---- 5 decontamination
@@ -356,7 +366,7 @@ def test_keep_one(spark):
     texts = ["a b c d e f", "a b c d e f", None, "", "other text of five words", "other text of five words"]
     docs = documents(spark, texts, [4, 2, 9, 9, 7, 7]).withColumn("extra", F.lit(1))
     rows = ngram_join.keep_one(docs).collect()
-    assert sorted(r.doc_id for r in rows) == [2, 7, 9] and docs.columns == ngram_join.keep_one(docs).columns
+    assert sorted(r.doc_id for r in rows) == [2, 7, 9, 9] and docs.columns == ngram_join.keep_one(docs).columns
     assert ngram_join.keep_one(docs.limit(0)).count() == 0
     assert ngram_join.classes(documents(spark, EDGES, [None] * len(EDGES))).count() == len(EDGES)
 

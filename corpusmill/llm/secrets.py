@@ -2,10 +2,14 @@
 
 The guess cost of a value is the least sum, over its segmentations, of the log10 guesses of each
 segment: a listed word (by rank), a date, a repeat, a keyboard walk or sequence, or brute force.
-One dynamic program over prefixes finds it; spans are bounded, so its time is linear in the value.
+One dynamic program over prefixes finds it; spans are bounded, so its time is linear in the value,
+which is costed whole, however long. The list of words is a small fixed one and not learnt from the
+corpus, in which a secret that is copied often would pass for a common word; what reads as a word of
+natural language is told by its pairs of letters.
 
 Nulls and empty texts have no spans; repeated rows are scanned each for itself; rows without an id
-pass through; extra columns are ignored by `scan` and kept by `redact`.
+pass through; extra columns are ignored by `scan` and kept by `redact`, whatever they are called; an
+empty table gives no rows. Of spans that start together the kinds come in the order of KINDS.
 """
 
 from __future__ import annotations
@@ -33,10 +37,10 @@ KINDS = ("assign", "access", "hex", "credential")
 #: A wider credential context: more key words, URL user info and bearer headers.
 CONTEXT = re.compile(
     r"""(?:(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|api[_-]?key|(?:access|private|auth|account)[_-]?key|auth)"""
-    r"""["']?\s{0,3}(?:=>|[:=])\s{0,3}["']?|://[^\s:/@"']{1,64}:|\bbearer\s)(?P<value>[^\s"'`<>,;@]{6,})""",
+    r"""["']?\s*(?:=>|[:=])\s*["']?|://[^\s:/@"']+:|\bbearer\s+)(?P<value>[^\s"'`<>,;@]{6,})""",
     re.ASCII | re.IGNORECASE,
 )
-PARAMETER = re.compile(r"&[\w.\[\]-]{1,64}=", re.ASCII)  # begins another value of a query string
+PARAMETER = re.compile(r"&[\w.\[\]-]+=", re.ASCII)  # begins another value of a query string
 CUES = ("pass", "pwd", "secret", "token", "credential", "key", "auth", "bearer", "://")
 
 # Words that values are built of, most common first.
@@ -158,24 +162,17 @@ class GuessCost:
                 i = max(j - 1, i + 1)
         return ends
 
-    def cost(self, s: str, stop: float = math.inf) -> float:
-        """Least log10 guesses. A value of over 256 characters is costed in blocks of 128, none of
-        whose segments crosses a block's edge, until the sum passes `stop`."""
-        if len(s) > 256:
-            total = 0.0
-            for i in range(0, len(s), 128):
-                total += self.cost(s[i : i + 128])
-                if total > stop:
-                    return total
-            return total
+    def cost(self, s: str) -> float:
+        """Least log10 guesses of the whole value."""
         best = [0.0] + [math.inf] * len(s)
         ends = self.segments(s)
+        single = [self.brute(c) for c in s]
         for j in range(1, len(s) + 1):
             low, run = math.inf, 0.0
             for i in range(j - 1, max(-1, j - 1 - self.reach), -1):
-                run += self.brute(s[i])
+                run += single[i]
                 low = min(low, best[i] + run)
-            for i, c, _ in ends.get(j, ()):
+            for i, c, _ in ends.pop(j, ()):
                 low = min(low, best[i] + c)
             best[j] = low + self.overhead
         return best[-1]
@@ -185,10 +182,10 @@ def strength(m: re.Match, value: str, model: GuessCost, strong: float, prose: fl
     """log10 guesses of a context's value if they are enough. Without a digit the value may be words;
     after a space it may be prose, which takes more guesses than one or two words."""
     if any(c.isdigit() for c in value):
-        least, cost = strong, model.cost(value, 40.0)
+        least, cost = strong, model.cost(value)
     else:
         least = max(strong, prose) if m.string[m.start("value") - 1].isspace() else strong
-        cost = model.of_prose.cost(value, 40.0)
+        cost = model.of_prose.cost(value)
     return cost if cost >= least else None
 
 
@@ -202,7 +199,7 @@ def find(text: str | None, model: GuessCost, strong: float = 8.0) -> list[tuple[
         if any(c in low for c in CUES):
             for m in ASSIGN.finditer(text):
                 if m.end(2) - m.start(2) >= 8:
-                    spans.append(("assign", m.start(), m.end(), model.cost(m[2], 40.0)))
+                    spans.append(("assign", m.start(), m.end(), model.cost(m[2])))
     if "AKIA" in text:
         spans += [("access", m.start(), m.end(), None) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
     spans += [("hex", m.start(), m.end(), None) for m in HEX.finditer(text)]

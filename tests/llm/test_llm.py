@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from itertools import chain
@@ -78,7 +79,9 @@ def test_guess_costs_order():
     weak = ["password1", "changeme", "qwertyuiop", "aaaaaaaaaaaa", "12/03/1999", "abcdefgh"]
     strong = ["b7db7aa4a5fcc78305", "xK9#mQ2$vLp1", "f3ZpQ0aW8tBv"]
     assert max(map(m.cost, weak)) < 8 < min(map(m.cost, strong))
-    assert m.cost("") == 0 and m.cost("Z9" * 5_000) > 20
+    assert m.cost("") == 0 and m.cost("Zq9x" * 5_000 + "kV7") > 8 and m.cost("a" * 257) < 8 and m.cost("a" * 20_000) < 10
+    words = m.cost("password" * 100)
+    assert words == pytest.approx(100 * m.cost("password"), rel=0.5) and words > m.cost("password" * 99)
 
 
 def test_guess_cost_is_the_least_over_segmentations():
@@ -96,7 +99,7 @@ def test_guess_cost_is_the_least_over_segmentations():
         assert m.cost(s) == pytest.approx(brute(s))
 
 
-@pytest.mark.parametrize("text, secret", [("pwd=QxZvKjWpLmTrHsNd;", "QxZvKjWpLmTrHsNd"), ("Authorization: Bearer QxZvKjWpLmTrHsNd", "QxZvKjWpLmTrHsNd"), ("db://user:Horse-Battery@host", "Horse-Battery"), ("pwd: kqxzvwjpmfbt", "kqxzvwjpmfbt")])
+@pytest.mark.parametrize("text, secret", [("pwd=QxZvKjWpLmTrHsNd;", "QxZvKjWpLmTrHsNd"), ("Authorization: Bearer QxZvKjWpLmTrHsNd", "QxZvKjWpLmTrHsNd"), ("db://user:Horse-Battery@host", "Horse-Battery"), ("pwd: kqxzvwjpmfbt", "kqxzvwjpmfbt"), ("pwd = HxQzWvKpLmNtRbYc", "HxQzWvKpLmNtRbYc"), ("db://" + "u" * 80 + ":Horse-Battery@host", "Horse-Battery"), ("pwd:" + " " * 9 + "QxZvKjWpLmTrHsNd", "QxZvKjWpLmTrHsNd")])
 def test_secrets_without_digits(text, secret):
     m = secrets.GuessCost()
     assert [(text[a:b], k) for k, a, b, _ in secrets.find(text, m)] == [(secret, "credential")]
@@ -121,6 +124,40 @@ def test_prose_in_a_credential_context(text):
     assert secrets.find(text, secrets.GuessCost()) == []
 
 
+def test_secret_scan_of_an_empty_table(spark):
+    none = documents(spark, ["x"]).limit(0)
+    assert secrets.scan_digest(none).count() == secrets.scan(none).count() == secrets.redact(none).count() == 0
+    odd = documents(spark, EDGES, [None, *range(len(EDGES) - 1)]).withColumn("secrets", F.lit(1)).withColumn("id", F.lit("x"))
+    kept = secrets.redact(odd)
+    assert kept.columns == odd.columns and kept.count() == len(EDGES)
+
+
+def brute_cost(s, segments, brute, reach, overhead):
+    """The least cost over all segmentations, by recursion from the end."""
+    from functools import cache
+
+    @cache
+    def best(j):
+        if not j:
+            return 0.0
+        whole = [best(i) + sum(map(brute, s[i:j])) for i in range(max(0, j - reach), j)]
+        return min(whole + [best(i) + c for i, c, _ in segments.get(j, ())]) + overhead
+
+    return best(len(s))
+
+
+@given(st.text(alphabet="pas1290qwe!x", min_size=1, max_size=60))
+@settings(max_examples=60, deadline=None)
+def test_credential_spans_equal_brute_force(value):
+    """A value in a context is a span where its cost, by another program, reaches the threshold."""
+    m = secrets.GuessCost()
+    text = f"x pwd={value} y"
+    model = m if any(c.isdigit() for c in value) else m.of_prose
+    cost = brute_cost(value, model.segments(value), model.brute, model.reach, model.overhead)
+    want = [("credential", 6, 6 + len(value))] if len(value) >= 6 and cost >= 8 else []
+    assert [x[:3] for x in secrets.find(text, m) if x[0] == "credential"] == want
+
+
 def test_redaction_leaves_the_rest():
     m = secrets.GuessCost()
     assert secrets.redact_text("a password=b7db7aa4a5fcc78305 z", m) == "a <ASSIGN_REMOVED> z"
@@ -289,11 +326,61 @@ def test_decontamination_finds_all_copies(spark, sf_dir):
 def test_reparameterised_items(spark):
     docs = documents(spark, ["intro. " + OTHER + " outro", OTHER.replace("31 dollars", "99 dollars").replace("Carol pays", "Mallory pays"), "quite another text about apples and rope for each bag", ITEM.upper(), None, ""])
     rows = {r.doc_id: r for r in decontam.matches(docs, bench(spark, [(1, ITEM), (2, None), (3, ""), (4, "too short")])).collect()}
-    assert set(rows) == {0, 1} or set(rows) == {0, 1, 3}
+    assert set(rows) == {0, 1, 3}
     assert rows[1].n_windows < rows[0].n_windows  # slots that disagree do not count
     assert decontam.matches(docs, bench(spark, [])).count() == 0
 
 
+def test_short_items(spark):
+    items = [(1, "What is the capital?"), (2, "12 + 15 = 27"), (3, "What is 12 + 30?"), (4, "?!"), (5, None), (1, "What is the capital?")]
+    texts = ["so: what is the CAPITAL? said he", "we know 12 + 15 = 27 well", "13 + 15 = 28", "What is 7 + 9?", "the capital is what", None, "", "12 15"]
+    rows = [tuple(r)[:2] for r in decontam.matches(documents(spark, texts).withColumn("item_id", F.lit("x")), bench(spark, items)).collect()]
+    assert sorted(rows) == [(0, 1), (1, 2), (3, 3)]
+    assert decontam.matches(documents(spark, texts).limit(0), bench(spark, items)).count() == 0
+
+
+def brute_matches(text, items, words=5, literal=2):
+    """Items of whose windows, by definition, half agree in an occurrence; plain loops over word lists."""
+    out = set()
+    for item_id, item in items.items():
+        for plain in (True, False):
+            (own, mine), (doc, values) = (decontam.Table.read(x, plain) for x in (item, text))
+            a, b = own.split(), doc.split()
+            slots_a, slots_b = decontam.by_word(own, mine), decontam.by_word(doc, values)
+            n = min(words, len(a))
+            at = [i for i in range(len(a) - n + 1) if n and sum(v is None for v in slots_a[i : i + n]) >= min(literal, n)]
+            hits = [(p, w) for w in at for p in range(len(b) - n + 1) if b[p : p + n] == a[w : w + n]]
+            for start in {p - w for p, w in hits}:  # an occurrence: hits whose starts chain within half the item
+                part, edge = [], start
+                for p, w in sorted(hits, key=lambda x: (x[0] - x[1], x[0])):
+                    if p - w >= start and p - w - edge <= max(8, len(a) // 2):
+                        part.append((p, w))
+                        edge = p - w
+                votes = Counter((slots_a[w + k], slots_b[p + k]) for p, w in part for k in range(n) if slots_a[w + k] is not None)
+                means = {s: min((v for x, v in votes if x == s), key=lambda v: (-votes[s, v], v)) for s, _ in votes}
+                good = {w for p, w in part if all(slots_a[w + k] is None or means[slots_a[w + k]] == slots_b[p + k] for k in range(n))}
+                if at and len(good) >= max(1, len(at) / 2):
+                    out.add(item_id)
+    return out
+
+
+def test_decontamination_equals_brute_force(spark, small_dir):
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{small_dir}/benchmark.parquet").collect()}
+    items |= {-1: ITEM, -2: "12 + 15 = 27", -3: "What is the capital?"}
+    texts = texts_of(spark, small_dir) | {-1: f"{OTHER} and {ITEM.lower()}", -2: "see 12 15 27", -3: "what is the capital", -4: f"{OTHER[:70]} {OTHER[40:]}"}
+    docs = documents(spark, list(texts.values()), list(texts))
+    got = {(r.doc_id, r.item_id) for r in decontam.matches(docs, bench(spark, list(items.items()))).collect()}
+    assert got == {(i, k) for i, t in texts.items() for k in brute_matches(t, items)} and {(-1, -1), (-2, -2), (-3, -3), (-4, -1)} <= got
+
+
+def test_windows_common_to_many_items_cost_little():
+    items = [(i, f"one window that all items share {i}a {i}b {i}c {i}d {i}e {i}f") for i in range(2000)]
+    table = decontam.Table(items, decontam.Settings())
+    began = time.process_time()
+    assert table.match("one window that all items share " * 2000, decontam.Words()) == []
+    assert time.process_time() - began < 2
+
+
 def test_copies_in_another_case(spark):
     german = "Die Lehrerin aus Bremen erklärt der Klasse den Satz des Pythagoras mit einer Zeichnung an der großen Tafel im Saal"
     docs = documents(spark, ["so: " + f(t) + " end" for t in (ITEM, german) for f in (str, str.lower, str.upper)])

@@ -1,23 +1,32 @@
 """Sharding by fixed virtual slots; DataFrame operations only.
 
 Records hash into a fixed number of virtual slots. One grouped pass sums rows and bytes per slot;
-from those (a bounded table, whatever the corpus) a versioned slot-to-shard map is planned, and a
-rebalance edits that map instead of rehashing records. A record's place in its shard follows from
-its slot's offset and its rank in the slot, so that no task orders a whole shard.
+from those (a bounded table, whatever the corpus) a versioned slot-to-shard map is planned and
+stored, and a rebalance edits the stored map instead of rehashing records. A record's place in its
+shard follows from its slot's offset and its rank in the slot, so that no task orders a whole shard.
+
+Equal records (id and text) share a virtual slot and so a shard; equal texts of different ids are
+dealt apart, as the law is by bytes and copies may hold a third of them.
 
 A null text has no bytes (size 1, CRC 0). Null or repeated ids are allowed: equal records collapse
-into a count before the shuffle and come out again, one row each. Extra columns are ignored.
+into a count before the shuffle and come out again, one row each; records of one slot are in order of
+id (null first), size and CRC. Extra columns are ignored; an empty table gives no rows. Of a very long
+text only its size and CRC go on.
 """
 
 from __future__ import annotations
 
 import heapq
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import ensure_checkpoint_dir
+
 SLOTS = 4096
+BLOCK = 4096
 MAP_SCHEMA = "version int, n_shards int, virtual_slot int, shard int, rows long, bytes long, first long"
 
 
@@ -101,7 +110,18 @@ def store_map(slot_map: DataFrame, path: str) -> None:
 
 
 def load_map(spark: SparkSession, path: str, version: int) -> DataFrame:
-    return spark.read.parquet(f"{path}/version={version:06d}")
+    return spark.read.schema(MAP_SCHEMA).parquet(f"{path}/version={version:06d}")
+
+
+def edit_map(spark: SparkSession, path: str, version: int, loads: dict[int, tuple[int, int]], n_shards: int, tolerance: float = 0.02) -> int:
+    """Reads a stored version, rebalances it for `loads` and stores the next version if slots moved;
+    the version that holds now."""
+    owner = {r["virtual_slot"]: r["shard"] for r in load_map(spark, path, version).collect()}  # a row per virtual slot
+    edited = rebalance(owner, loads, n_shards, tolerance)
+    if edited == owner:
+        return version
+    store_map(map_table(spark, edited, loads, n_shards, version + 1), path)
+    return version + 1
 
 
 def place(records: DataFrame, slot_map: DataFrame) -> DataFrame:
@@ -113,16 +133,28 @@ def place(records: DataFrame, slot_map: DataFrame) -> DataFrame:
     ranked = Window.partitionBy("virtual_slot").orderBy(F.col("doc_id").asc_nulls_first(), "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
     counted = records.groupBy("virtual_slot", "doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n"))
     before = counted.withColumn("before", F.coalesce(F.sum("n").over(ranked), F.lit(0)))
-    one_each = before.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    # a record repeated often comes out in blocks, so that no row holds an array of all its numbers
+    blocks = before.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {BLOCK}"))))
+    here = F.least(F.lit(BLOCK), F.col("n") - F.col("block") * BLOCK)
+    one_each = blocks.withColumn("k", F.col("block") * BLOCK + F.explode(F.sequence(F.lit(0).cast("long"), here - 1)))
     joined = one_each.join(F.broadcast(slot_map.select("virtual_slot", "shard", "first", "version")), "virtual_slot")
     return joined.select("doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("before") + F.col("k")).alias("slot"), "virtual_slot", F.col("version").alias("map_version"))
 
 
-def assign(docs: DataFrame, n_shards: int = 16, slots: int = SLOTS) -> DataFrame:
-    """Plans version 1 of the map for `docs` and places every record by it."""
+def assign(docs: DataFrame, n_shards: int = 16, slots: int = SLOTS, path: str | None = None) -> DataFrame:
+    """Plans version 1 of the map for `docs` by the slots' rows, stores it under `path` (by default a
+    new folder in the shared one), edits it by the slots' bytes and places every record by the
+    version that holds."""
+    spark = docs.sparkSession
     records = with_slots(docs, slots=slots)
     loads = slot_loads(records)
-    return place(records, map_table(docs.sparkSession, plan(loads, n_shards, slots), loads, n_shards, 1))
+    if path is None:
+        ensure_checkpoint_dir(spark)
+        path = f"{spark.sparkContext.getCheckpointDir()}/slot-map-{uuid.uuid4().hex}"
+    by_rows = {v: (n, n) for v, (n, _) in loads.items()}
+    store_map(map_table(spark, plan(by_rows, n_shards, slots), loads, n_shards, 1), path)
+    version = edit_map(spark, path, 1, loads, n_shards, 0.0)
+    return place(records, load_map(spark, path, version))
 
 
 def shard_digest(docs: DataFrame, n_shards: int = 16) -> DataFrame:

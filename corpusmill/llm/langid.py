@@ -8,9 +8,15 @@ suffix, which is smoothed towards all rows. The fused posterior is computed by c
 
 A row is rejected if it has no letters, if its text is long enough to tell (`enough` trigrams) and the
 posterior is at least `against` for a language other than the declared one, or if no known language
-is declared and the best has less than `sure` of the posterior. Missing evidence is neutral: a null or unknown declared language, host or
-suffix says nothing. Null and empty texts have no letters. Repeated rows
-each count and are each judged. If no row declares a language, all rows are rejected.
+is declared and the best has less than `sure` of the posterior. Missing evidence is neutral: a null
+or unknown declared language, host or suffix says nothing. Null and empty texts have no letters.
+Repeated rows each count and are each judged. If no row declares a language, all rows are rejected;
+an empty table gives no rows. Of languages that tie the first by name is taken. Extra columns are kept
+by `accept`, whatever they are called, and ignored elsewhere. A very long text counts in full towards
+its language's model, and as evidence like one of `length` trigrams.
+
+The source of a document is its host; the suffix is what follows the host's last dot, and a source
+without a dot has none.
 """
 
 from __future__ import annotations
@@ -24,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup_join, share, text_batches
+from .common import cut, lookup_join, share, text_batches
 
 # letters stay (also bytes of longer characters); all else is a space
 LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
@@ -59,7 +65,7 @@ def page_evidence(pages: DataFrame) -> DataFrame:
     declared = F.lower(F.regexp_extract("html", r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})", 1))
     text = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style|nav)\b.*?</\1\s*>|<!--.*?-->", " "), r"(?s)<[^>]*>|&[a-zA-Z#0-9]+;", " ")
     none = lambda c: F.when(c != "", c)
-    return pages.select("page_id", text.alias("text"), none(declared).alias("declared"), none(host).alias("host"), none(F.substring_index(host, ".", -1)).alias("suffix"))
+    return pages.select("page_id", text.alias("text"), none(declared).alias("declared"), none(host).alias("host"), suffix_of(host).alias("suffix"))
 
 
 def _languages(rows: DataFrame) -> list[str]:
@@ -94,7 +100,7 @@ def fit_text(rows: DataFrame, languages: list[str], s: Settings) -> np.ndarray:
 def priors(rows: DataFrame, languages: list[str], s: Settings) -> tuple[DataFrame, list[float]]:
     """(host, suffix, prior array) for each host and suffix that occurs, and the overall shares."""
     own = [F.sum((F.col("declared") == lang).cast("long")) for lang in languages]
-    counts = rows.groupBy("host", "suffix").agg(*[F.coalesce(c, F.lit(0)).alias(f"c{i}") for i, c in enumerate(own)])
+    counts = cut(rows.groupBy("host", "suffix").agg(*[F.coalesce(c, F.lit(0)).alias(f"c{i}") for i, c in enumerate(own)]))
     all_of = lambda p: [F.sum(f"c{i}").alias(f"{p}{i}") for i in range(len(languages))]
     r = counts.agg(*all_of("a")).first()
     total = [(r[i] or 0) + 1.0 for i in range(len(languages))]
@@ -102,8 +108,9 @@ def priors(rows: DataFrame, languages: list[str], s: Settings) -> tuple[DataFram
     array = lambda p: F.array(*[F.col(f"{p}{i}").cast("double") for i in range(len(languages))])
     smooth = lambda c, base: F.zip_with(c, base, lambda x, p: (x + s.pull * p) / (F.aggregate(c, F.lit(0.0), lambda a, v: a + v) + s.pull))
     whole = F.array(*map(F.lit, share))
-    by_suffix = counts.groupBy("suffix").agg(*all_of("s")).select(F.col("suffix").alias("s_suffix"), F.when(F.col("suffix").isNull(), whole).otherwise(smooth(array("s"), whole)).alias("s_prior"))
-    joined = counts.join(by_suffix, F.col("suffix").eqNullSafe(F.col("s_suffix")))
+    by_suffix = counts.groupBy("suffix").agg(*all_of("s"))
+    by_suffix = cut(by_suffix.select("suffix", F.when(F.col("suffix").isNull(), whole).otherwise(smooth(array("s"), whole)).alias("s_prior")))
+    joined = lookup_join(counts, by_suffix, ["suffix"], s.broadcast_hosts)
     prior = F.when(F.col("host").isNull(), F.col("s_prior")).otherwise(smooth(array("c"), F.col("s_prior")))
     return joined.select("host", "suffix", prior.alias("prior")), share
 
@@ -137,7 +144,7 @@ def identify(rows: DataFrame, keep: list[str], s: Settings = Settings(), keep_te
     named = rows.select(*[F.col(c).alias(f"k_{c}") for c in keep], "text", "declared", "host", "suffix")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in named.schema if keep_text or f.name != "text")
     scored = named.mapInArrow(run, f"{kinds}, n_grams long, ll array<double>")
-    joined = lookup_join(scored, hosts, ["host", "suffix"], s.broadcast_hosts)
+    joined = lookup_join(scored, cut(hosts), ["host", "suffix"], s.broadcast_hosts)
     names = F.array(*map(F.lit, languages))
     known = F.array_contains(names, F.col("declared"))
     wrong = math.log((1 - s.trust) / max(1, len(languages) - 1))
@@ -156,9 +163,14 @@ def identify(rows: DataFrame, keep: list[str], s: Settings = Settings(), keep_te
     return out.select(*[F.col(f"k_{c}").alias(c) for c in keep], *texts, "language", "posterior", "n_grams", F.coalesce(accepted, F.lit(False)).alias("accepted"))
 
 
+def suffix_of(host: Column) -> Column:
+    """What follows the last dot, in lower case; null without one."""
+    return F.when(F.contains(host, F.lit(".")), F.lower(F.substring_index(host, ".", -1)))
+
+
 def document_evidence(docs: DataFrame) -> DataFrame:
-    """Documents declare `lang`; `source` stands for the host; they have no address."""
-    return docs.select("*", F.col("lang").alias("declared"), F.col("source").alias("host"), F.lit(None).cast("string").alias("suffix"))
+    """Documents declare `lang`; `source` is the host."""
+    return docs.select("*", F.col("lang").alias("declared"), F.col("source").alias("host"), suffix_of(F.col("source")).alias("suffix"))
 
 
 def langid_digest(docs: DataFrame) -> DataFrame:
@@ -169,7 +181,7 @@ def langid_digest(docs: DataFrame) -> DataFrame:
 def accept(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """The rows of `docs`, all columns, that are accepted. Rows are judged in place, so no id is needed."""
     names = {c: f"c{i}" for i, c in enumerate(docs.columns) if c != "text"}  # whatever the columns are called
-    evidence = [docs["text"].cast("string").alias("text"), docs["lang"].alias("declared"), docs["source"].alias("host"), F.lit(None).cast("string").alias("suffix")]
+    evidence = [docs["text"].cast("string").alias("text"), docs["lang"].alias("declared"), docs["source"].alias("host"), suffix_of(docs["source"]).alias("suffix")]
     rows = docs.select(*[docs[c].alias(n) for c, n in names.items()], *evidence)
     out = identify(rows, list(names.values()), s, keep_text=True).where("accepted")
     return out.select(*[F.col(names.get(c, "text")).alias(c) for c in docs.columns])

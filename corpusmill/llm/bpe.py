@@ -7,6 +7,9 @@ last token for each prefix gives the encoding by walking back from the end, make
 
 Vocabulary files are a parameter; they are read on the driver (about 1 MB) and broadcast. Nulls and
 empty texts encode to no ids. Repeated rows are encoded each for itself, ids may be null or repeat.
+Other columns than those asked for are ignored; an empty table gives no rows. A very long text is
+encoded whole, its long pieces in time linear in their bytes; there are no ties, as each prefix has
+one valid last token.
 """
 
 from __future__ import annotations

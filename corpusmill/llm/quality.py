@@ -9,6 +9,10 @@ that the scoring model has not seen. Calibration pools adjacent violators over a
 Labels are read only of rows whose crc32(id as text) mod 5 is not 0. Null and empty texts have
 statistics of 0 and are scored as any other. Repeated labels of an id are averaged, null ones left
 out; with no usable label all scores are 0.5. Null ids are scored, not held out and not trained on.
+Extra columns are ignored; an empty table gives no rows. Whole texts are measured, however long. So
+that one odd row cannot bend the fit, words per line count as 400 at most and a standardised
+statistic as 8 at most; every row is scored all the same. Sums arrive in any order, so scores of two
+runs may differ in their last digits.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ measure's limit is a quartile plus a multiple of the interquartile range, which
 at least. The narrow table of measures is then joined with the limits and filtered.
 
 Null texts count as empty and fail the base rule. Null language or source is a group of its own.
-Repeated rows each count. Other columns are ignored.
+Repeated rows each count, and values that tie share a bucket. Other columns are ignored, and an empty
+table gives no rows. A very long text is held as arrays of its words by one task.
 """
 
 from __future__ import annotations
@@ -76,14 +77,21 @@ def measure(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("d
         share("n_symbols", "word_chars", 1000).alias("symbol_pm"),
         share("n_dup_lines", "n_lines", 1000).alias("dup_line_pm"),
         share("n_repeat_words", "n_words", 1000).alias("repeat_pm"),
-        F.least(share("word_chars", "n_words", 100), F.lit(10_000)).alias("word_len_c"),
+        share("word_chars", "n_words", 100).alias("word_len_c"),
         ((F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).alias("base_failed"),
     )
 
 
+def bucket(v: Column) -> Column:
+    """A measure with four digits left, the rest zero; so there are 9,000 buckets at most for each
+    further power of ten."""
+    unit = F.pow(F.lit(10.0), F.length(v.cast("string")) - 4).cast("long")
+    return F.when(v < 10_000, v).otherwise(v - v % unit)
+
+
 def sketch(measured: DataFrame) -> DataFrame:
     """(lang, source, measure, bucket, n). Rows are bounded by groups times buckets."""
-    stack = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("bucket")) for m in MEASURES]))
+    stack = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), bucket(F.col(m)).alias("bucket")) for m in MEASURES]))
     return measured.select("lang", "source", stack.alias("x")).groupBy("lang", "source", "x.measure", "x.bucket").agg(F.count(F.lit(1)).alias("n"))
 
 

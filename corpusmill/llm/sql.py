@@ -18,6 +18,7 @@ r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.y FROM r JO
 SELECT n.doc_id, n.n AS n_shingles, m.low AS component_id FROM n JOIN (SELECT a, min(b) AS low FROM r GROUP BY a) m ON m.a = n.doc_id"""
 
 _share = "coalesce(floor({2}::DOUBLE * {0} / nullif({1}, 0)), 0)::BIGINT"
+_bucket = "CASE WHEN {0} < 10000 THEN {0} ELSE {0} - {0} % pow(10, length({0}::VARCHAR) - 4)::BIGINT END"
 _limits = ", ".join(f"max(q25 - {REACH} * iqr) FILTER (WHERE measure = '{m}')::BIGINT AS {m}_low, max(q75 + {REACH} * iqr) FILTER (WHERE measure = '{m}')::BIGINT AS {m}_high" for m in MEASURES)
 _within = " AND ".join([f"{m} <= {m}_high" for m in MEASURES] + [f"{m} >= {m}_low" for m in BOTH_SIDES])
 
@@ -33,8 +34,8 @@ x AS (SELECT doc_id, len(w) AS n, unnest(range(1, len(w) - 1)) AS i, w FROM w WH
 y AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS c FROM x),
 z AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM y, (SELECT unnest([0, 1, 2]) AS k) WHERE c > 1 GROUP BY doc_id),
 a AS (SELECT w.doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, len(l)::BIGINT AS n_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN z USING (doc_id)),
-m AS (SELECT *, {_share.format('n_symbols', 'word_chars', 1000)} AS symbol_pm, {_share.format('n_dup_lines', 'n_lines', 1000)} AS dup_line_pm, {_share.format('n_repeat_words', 'n_words', 1000)} AS repeat_pm, least({_share.format('word_chars', 'n_words', 100)}, 10000) AS word_len_c, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM a),
-b AS ({' UNION ALL '.join(f"SELECT lang, source, '{k}' AS measure, {k} AS bucket, {v} AS slack FROM m" for k, v in MEASURES.items())}),
+m AS (SELECT *, {_share.format('n_symbols', 'word_chars', 1000)} AS symbol_pm, {_share.format('n_dup_lines', 'n_lines', 1000)} AS dup_line_pm, {_share.format('n_repeat_words', 'n_words', 1000)} AS repeat_pm, {_share.format('word_chars', 'n_words', 100)} AS word_len_c, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM a),
+b AS ({' UNION ALL '.join(f"SELECT lang, source, '{k}' AS measure, {_bucket.format(k)} AS bucket, {v} AS slack FROM m" for k, v in MEASURES.items())}),
 q AS (SELECT o.lang, o.source, o.measure, CASE WHEN o.n >= {MIN_GROUP} THEN o.q25 WHEN l.n >= {MIN_GROUP} THEN l.q25 ELSE e.q25 END AS q25, CASE WHEN o.n >= {MIN_GROUP} THEN o.q75 WHEN l.n >= {MIN_GROUP} THEN l.q75 ELSE e.q75 END AS q75
 FROM {_quantiles('lang, source')} o JOIN {_quantiles('lang')} l ON o.lang = l.lang AND o.measure = l.measure JOIN {_quantiles('')} e ON o.measure = e.measure),
 i AS (SELECT q.*, greatest(q75 - q25, s.slack) AS iqr FROM q JOIN (SELECT DISTINCT measure, slack FROM b) s USING (measure)),

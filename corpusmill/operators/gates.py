@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from ..functions import scalars as S
 from ..functions import text as T
 from ..functions.sentences import CORPUS_ABBREVIATIONS, modernize_spelling, split_sentences_corpus
 
+# Letters, and what ends a sentence.
 LETTERS = "[A-Za-zÄÖÜäöüß]"
 END_MARK = r"[.!?][\"'»”’)\]}]*$"
 # Document types that are not running prose, and version markers.
@@ -122,6 +125,7 @@ def prose_reason(sentences: bool = True) -> Column:
     return first_reason(*rules)
 
 
+# An entry of a list of references; a small letter after what looks like an end.
 REFERENCE_ENTRY = r"(?U)\b[A-ZÄÖÜ][a-zäöüß\-]+,\s(?:[A-ZÄÖÜ]\.\s?){1,3}|\b[A-ZÄÖÜ][a-zäöüß\-]+,\s[A-ZÄÖÜ][a-zäöüß]+\s\(\d{4}|\(\d{4}[a-z]?\)\s?:"
 LOWER_AFTER_END = r"(?U)\b([A-Za-zÄÖÜäöüß]{3,})[.!?] ([a-zäöüß]{3,})"
 
@@ -179,17 +183,24 @@ def gate_documents(docs: DataFrame, min_words: int = 400, language: str = "lang"
     return df.withColumn("reject_reason", first_reason(*rules)).drop("_cheap")
 
 
-def reject_report(gated: DataFrame, example: str = "doc_id") -> DataFrame:
-    """reason, n and up to three least examples, most common first."""
-    bad = gated.where("reject_reason is not null")
-    # the three least per reason by rank, so that no group's examples are gathered
-    from pyspark.sql.window import Window
-
-    counts = bad.groupBy("reject_reason").agg(F.count(F.lit(1)).alias("n"))
-    ranked = bad.select("reject_reason", F.col(example).cast("string").alias("e"), F.col(example).alias("k")).distinct()
-    few = ranked.withColumn("r", F.row_number().over(Window.partitionBy("reject_reason").orderBy("k"))).where("r <= 3")
-    some = few.groupBy("reject_reason").agg(F.array_sort(F.collect_list(F.struct("r", "e"))).alias("x")).select("reject_reason", F.array_join(F.transform("x", lambda v: v["e"]), ",").alias("examples"))
-    return counts.join(some, "reject_reason", "left").orderBy(F.desc("n"), "reject_reason")
+def reject_report(gated: DataFrame, example: str = "doc_id", most: int = 3) -> DataFrame:
+    """reason, n and up to `most` least examples, most common first. The gate runs once: each partition
+    yields a count and its least examples of each reason, which are few, and those are merged."""
+    kind = gated.schema[example].dataType.simpleString()
+
+    def partial(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts: dict[str, int] = {}
+        least: dict[str, list] = {}
+        for p in parts:
+            for reason, keys in p[p["reject_reason"].notna()].groupby("reject_reason")["k"]:
+                counts[reason] = counts.get(reason, 0) + len(keys)
+                least[reason] = sorted({*least.get(reason, []), *keys.dropna()})[:most]
+        yield pd.DataFrame({"reject_reason": list(counts), "n": list(counts.values()), "ks": [least[r] for r in counts]}, columns=["reject_reason", "n", "ks"])
+
+    parts = gated.select("reject_reason", F.col(example).alias("k")).mapInPandas(partial, f"reject_reason string, n long, ks array<{kind}>")
+    merged = parts.groupBy("reject_reason").agg(F.sum("n").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("ks")))).alias("ks"))
+    texts = F.transform(F.slice("ks", 1, most), lambda k: k.cast("string"))
+    return merged.select("reject_reason", "n", F.array_join(texts, ",").alias("examples")).orderBy(F.desc("n"), "reject_reason")
 
 
 def detection_gate(text: Column, least: int = 50, most: int = 3000) -> Column:

@@ -28,7 +28,7 @@ def prompts(docs: DataFrame, id_col: str, strategy, template: str = "Schreibe ei
 
 
 def complete_all(requests: DataFrame, kind: str, connect: Callable[[], Complete], instructions: str, least_share: float = 0.5, retries: int = 5, parallel: int = 8, wait: Callable[[float], None] = time.sleep) -> DataFrame:
-    """Answers to (seed_id, prompt, target_words). A short answer counts as a failure and is asked
+    """Answers to (seed_id, prompt, target_words). An empty or short answer counts as a failure and is asked
     again after 2, 4, 8 ... seconds. `parallel` partitions ask at a time."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -40,8 +40,10 @@ def complete_all(requests: DataFrame, kind: str, connect: Callable[[], Complete]
                 for k in range(1, retries + 1):
                     try:
                         text = ask(instructions, prompt)
-                        if len((text or "").split()) < int(target * least_share):
-                            raise ValueError(f"answer too short ({len((text or '').split())} words)")
+                        if not (text or "").strip():
+                            raise ValueError("empty answer")
+                        if len(text.split()) < int(target * least_share):
+                            raise ValueError(f"answer too short ({len(text.split())} words)")
                         error = None
                         break
                     except Exception as e:  # noqa: BLE001  whatever a provider raises is this row's error

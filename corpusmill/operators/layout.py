@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 
+# Headings of what follows the text, marks of cover pages, lines of contents, keywords.
 BACK_MATTER = (
     r"(?i)^(?:[\dIVX]+(?:\.\d+)*\.?\s*)?(?:Literatur(?:verzeichnis)?|Literatur-\s?und\s?Quellenverzeichnis|Quellen(?:verzeichnis)?|"
     r"Quellen-\s?und\s?Literaturverzeichnis|Bibliogra(?:ph|f)ie|References|Bibliography|Verwendete\s+Literatur|Zitierte\s+Literatur|"

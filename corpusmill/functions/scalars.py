@@ -130,3 +130,8 @@ def length_range(target: Column, strategy: Column) -> Column:
     topics = strategy == "topics"
     least = F.when(topics, F.greatest(F.lit(1), low)).otherwise(low)
     return F.struct(least.cast("long").alias("min_words"), F.when(topics, F.greatest(least, high)).otherwise(high).cast("long").alias("max_words"))
+
+
+def utc_stamp(c: Column) -> Column:
+    """A time (of the session's zone, which is UTC) in ISO form, to the second."""
+    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")

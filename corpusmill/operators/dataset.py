@@ -38,14 +38,15 @@ def shared_fields(author: Column, date: Column) -> dict[str, Column]:
     return {"author": F.array_join(author, "; "), "publication_year": F.when(head.rlike(r"^\d{4}$"), head).try_cast("int")}
 
 
-def assemble(human: DataFrame, assisted: DataFrame, generated: DataFrame, ranges: DataFrame, least_words: int = 20) -> tuple[DataFrame, DataFrame]:
+def assemble(human: DataFrame, assisted: DataFrame, generated: DataFrame, ranges: DataFrame, least_words: int = 20, strict: bool = True) -> tuple[DataFrame, DataFrame]:
     """(rows, skipped) from human (sample_id, text, split, ...) and AI texts (seed_id, text).
 
     A human row and its two partners share a split. Missing, short or unchanged AI texts are skipped
-    with a reason. The three branches are a union; each join is on the seed id.
+    with a reason. An id that no generator's range holds fails, or, if not `strict`, has its AI texts
+    skipped. The three branches are a union; each join is on the seed id.
     """
     h = human.withColumn("text", T.strip(F.col("text")))
-    gen = with_generator(h, "sample_id", ranges, strict=True)
+    gen = with_generator(h, "sample_id", ranges, strict=strict)
     others = [c for c in human.columns if c not in ("sample_id", "text")]
     none = F.lit(None).cast("string")
 
@@ -56,7 +57,7 @@ def assemble(human: DataFrame, assisted: DataFrame, generated: DataFrame, ranges
     skipped = None
     for kind, label, texts, strategy in (("assisted", 2, assisted, F.lit("rewrite")), ("generated", 1, generated, F.col("strategy"))):
         j = gen.withColumnRenamed("text", "human_text").join(texts.select(F.col("seed_id").alias("sample_id"), T.strip(F.col("text")).alias("text")), "sample_id", "left")
-        why = F.when(F.col("text").isNull(), f"missing_{kind}").when(T.word_count(F.col("text")) < least_words, f"refused_{kind}").when(F.col("text") == F.col("human_text"), f"unchanged_{kind}")
+        why = F.when(F.col("model").isNull(), f"no_generator_{kind}").when(F.col("text").isNull(), f"missing_{kind}").when(T.word_count(F.col("text")) < least_words, f"refused_{kind}").when(F.col("text") == F.col("human_text"), f"unchanged_{kind}")
         j = j.withColumn("skip_reason", why)
         rows = rows.unionByName(row(j.where("skip_reason is null"), kind, label, F.col("model"), F.col("company"), strategy, F.col("sample_id")))
         s = j.where("skip_reason is not null").select("skip_reason", F.col("sample_id").alias("seed_id"))
@@ -88,6 +89,11 @@ def problems(rows: DataFrame, least_words: int = 20) -> DataFrame:
     return ids.unionByName(texts).unionByName(by_row).unionByName(leaks(rows, "document_id", "document_in_two_splits")).unionByName(leaks(rows.withColumn("grp", S.id_number(F.col("id")).cast("string")), "grp", "group_in_two_splits"))
 
 
+def date_range(rows: DataFrame, day: str, by: list[str]) -> DataFrame:
+    """The first and last day and the number of rows of each group of a merged set."""
+    return rows.groupBy(*by).agg(F.min(F.to_date(day)).alias("first_day"), F.max(F.to_date(day)).alias("last_day"), F.count(F.lit(1)).alias("n"))
+
+
 def leaks(rows: DataFrame, key: str, problem: str) -> DataFrame:
     """Keys that occur in more than one split."""
     two = rows.groupBy(key).agg(F.min("split").alias("a"), F.max("split").alias("b")).where("a <> b")

@@ -32,6 +32,11 @@ def only_new(rows: DataFrame, existing: DataFrame, on: list[str]) -> DataFrame:
     return rows.join(existing.select(*on).distinct(), on, "left_anti")
 
 
+def known(rows: DataFrame, existing: DataFrame, on: list[str]) -> DataFrame:
+    """Rows whose key `existing` has."""
+    return rows.join(existing.select(*on).distinct(), on, "left_semi")
+
+
 def cap_per_group(df: DataFrame, group: str, order: Sequence[str | Column], limit: int) -> DataFrame:
     """The first `limit` rows of each group. Spark keeps only so many per task before it shuffles."""
     w = Window.partitionBy(group).orderBy(*order)

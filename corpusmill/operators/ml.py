@@ -44,6 +44,7 @@ class SublinearCounts(Transformer, DefaultParamsReadable, DefaultParamsWritable)
 def fit(df: DataFrame, c: float = 3.0, min_df: float = 5.0, max_df: float = 0.98, features: int = 200_000, iterations: int = 1_000, tolerance: float = 1e-4, label: str = "label") -> PipelineModel:
     """(1 + ln count) x (ln((1 + n) / (1 + df)) + 1) -> L2 norm -> regression until a step gains
     less than `tolerance`, in `iterations` at most; the penalty is 1 / (c n)."""
+    df = df.persist()  # read by the vocabulary, the weights and the regression
     n = max(1, df.count())
     counts = CountVectorizer(inputCol="terms", outputCol="counts", vocabSize=features, minDF=min(min_df, float(n)), maxDF=max(max_df, 1.0) if n * max_df < min_df else max_df).fit(df)
     counted = counts.transform(df)
@@ -54,6 +55,7 @@ def fit(df: DataFrame, c: float = 3.0, min_df: float = 5.0, max_df: float = 0.98
     logs = SublinearCounts()
     train = norm.transform(weigh.transform(logs.transform(counted)))
     model = LogisticRegression(labelCol=label, family="multinomial", regParam=1.0 / (c * n), standardization=False, maxIter=iterations, tol=tolerance).fit(train)
+    df.unpersist()
     return PipelineModel([counts, logs, weigh, norm, model])
 
 

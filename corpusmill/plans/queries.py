@@ -92,15 +92,25 @@ def q04_reject_funnel(spark, sf_dir):
 W = "list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda x: x <> '')"
 
 
+PLAIN = "list_filter(list_transform(w, lambda x: regexp_replace(lower(x), '[^\\p{L}\\p{M}\\p{N}_]+', '', 'g')), lambda x: x <> '')"
+
+
 @query(f"""WITH w AS (SELECT doc_id, text, {W} AS w FROM documents), c AS (SELECT doc_id, len(w)::INT AS n_words, regexp_matches(text, '[.!?]["''»”’)\\]}}]*$') AS ends_with_mark,
 len(list_filter(w, lambda x: regexp_matches(x, '\\d')))::INT AS n_numeric, len(list_filter(w, lambda x: regexp_matches(x, '\\d') AND regexp_matches(x, '[A-Za-zÄÖÜäöüß]')))::INT AS n_mixed, len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-zÄÖÜäöüß]')))::INT AS n_alphabetic,
-len(regexp_extract_all(text, '[,;:/|]'))::INT AS n_punctuation FROM w)
-SELECT *, CASE WHEN n_words < 35 THEN 'under_35_words' WHEN NOT ends_with_mark THEN 'no_end_mark' WHEN n_numeric > 0.15 * n_words THEN 'numeric' WHEN n_mixed > 0.03 * n_words THEN 'mixed_tokens' WHEN n_alphabetic < 0.72 * n_words THEN 'not_alphabetic' WHEN n_punctuation > 0.30 * n_words THEN 'punctuation' END AS reason FROM c""")
+len(regexp_extract_all(text, '[,;:/|]'))::INT AS n_punctuation, len(regexp_extract_all(text, '\\b[A-Za-zÄÖÜäöüß\\-]{{3,}}\\s+\\d+(?:\\s*[,.;]\\s*\\d+){{2,}}'))::INT AS n_index, len(regexp_extract_all(text, '\\d+\\s*,\\s*\\d+\\s*,\\s*\\d+'))::INT AS n_number_runs,
+len({PLAIN})::INT AS n_plain, len(list_distinct({PLAIN}))::INT AS n_distinct FROM w)
+SELECT *, CASE WHEN n_words < 35 THEN 'under_35_words' WHEN NOT ends_with_mark THEN 'no_end_mark' WHEN n_numeric > 0.15 * n_words THEN 'numeric' WHEN n_mixed > 0.03 * n_words THEN 'mixed_tokens' WHEN n_alphabetic < 0.72 * n_words THEN 'not_alphabetic' WHEN n_index >= 2 THEN 'index' WHEN n_number_runs >= 2 THEN 'number_runs' WHEN n_punctuation > 0.30 * n_words THEN 'punctuation' WHEN n_distinct < 0.22 * n_plain THEN 'repetitive' END AS reason FROM c""")
 def q05_prose_metrics(spark, sf_dir):
+    """All measures and rules of the prose gate but the two about sentences, which SQL cannot split."""
     m = gates.prose_measures(table(spark, sf_dir, "documents").select("doc_id", "text"), with_sentences=False)
-    m = m.where("true").withColumn("reason", gates.prose_reason(sentences=False))
-    m = m.withColumn("reason", F.when(F.col("reason").isin("index", "number_runs", "repetitive"), None).otherwise(F.col("reason")))
-    return m.select("doc_id", "n_words", "ends_with_mark", "n_numeric", "n_mixed", "n_alphabetic", "n_punctuation", "reason")
+    return m.withColumn("reason", gates.prose_reason(sentences=False)).drop("text")
+
+
+@query()
+def q05b_prose_gate(spark, sf_dir):
+    """The whole prose gate."""
+    m = gates.prose_measures(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return m.select("doc_id", F.size("sentence_words").alias("n_sentences"), gates.prose_reason().alias("reason"))
 
 
 @query("SELECT doc_id, lang, source, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
@@ -164,10 +174,13 @@ def q15_spacing_fixed(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.regexp_replace(T.fix_spacing(F.col("text")), " +$", ""), 256).alias("spaced_hash"))
 
 
-@query()
+SPELLING = "(^|[^aeiouäöüAEIOUÄÖÜ])[aäeiuAÄEIU]ß([bcdfghjklmnpqrstvwxz]|$)|^[Mm]iß|[MmKk]üß(t|te|ten|test|tet)$|bißchen"
+
+
+@query(f"""WITH r AS (SELECT doc_id, list_filter(regexp_extract_all(text, '[A-Za-zÄÖÜäöüß]+'), lambda w: contains(w, 'ß') AND NOT regexp_matches(lower(w), '^aß$|maß|mäß|spaß|fraß|saß|gefäß|gesäß|fuß|gruß|buß|straß')) AS w FROM documents)
+SELECT doc_id, len(list_filter(w, lambda x: regexp_matches(x, '{SPELLING}')))::INT AS changed FROM r""")
 def q16_spelling_modernised(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("lang = 'de'").withColumn("m", modernize_spelling(F.col("text")))
-    return d.select("doc_id", F.col("m.changed").alias("changed"), T.uses_old_spelling(F.col("m.text")).alias("still_old"))
+    return table(spark, sf_dir, "documents").select("doc_id", modernize_spelling(F.col("text"))["changed"].alias("changed"))
 
 
 @query()
@@ -301,17 +314,17 @@ def q34_generator_range_join(spark, sf_dir):
 
 def _assembled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     split = S.assign_split(F.col("doc_id").cast("string"))
-    human = table(spark, sf_dir, "documents").where("doc_id between 1 and 10227").select(F.col("doc_id").alias("sample_id"), "text", split.alias("split"), F.col("doc_id").cast("string").alias("document_id"), F.lit("CC BY").alias("license_name"), F.col("source").alias("source_url"))
+    human = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample_id"), "text", split.alias("split"), F.col("doc_id").cast("string").alias("document_id"), F.lit("CC BY").alias("license_name"), F.col("source").alias("source_url"))
     talk = table(spark, sf_dir, "conversations").where("turn in (1, 3)")
     ai = lambda turn: talk.where(F.col("turn") == turn).select((F.col("conv_id") + 1).alias("seed_id"), "text")
-    return dataset.assemble(human, ai(1), ai(3), dataset.generator_ranges(spark))
+    return dataset.assemble(human, ai(1), ai(3), dataset.generator_ranges(spark), strict=False)
 
 
 STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
-ASSEMBLY = f"""{DOCS}, h AS (SELECT doc_id, {STRIP.format('text')} AS text, split FROM docs WHERE doc_id BETWEEN 1 AND 10227),
+ASSEMBLY = f"""{DOCS}, h AS (SELECT doc_id, {STRIP.format('text')} AS text, split FROM docs),
 ai AS (SELECT conv_id + 1 AS seed_id, turn, {STRIP.format('text')} AS text, len(regexp_extract_all(text, '\\S+')) AS n FROM conversations WHERE turn IN (1, 3)),
 k AS (SELECT * FROM (VALUES ('assisted', 1, 2), ('generated', 3, 1)) t(kind, turn, label)),
-j AS (SELECT h.doc_id, h.split, k.kind, k.label, CASE WHEN ai.text IS NULL THEN 'missing_' || kind WHEN n < 20 THEN 'refused_' || kind WHEN ai.text = h.text THEN 'unchanged_' || kind END AS skip_reason FROM h CROSS JOIN k LEFT JOIN ai ON ai.seed_id = h.doc_id AND ai.turn = k.turn)"""
+j AS (SELECT h.doc_id, h.split, k.kind, k.label, CASE WHEN h.doc_id NOT BETWEEN 1 AND 10227 THEN 'no_generator_' || kind WHEN ai.text IS NULL THEN 'missing_' || kind WHEN n < 20 THEN 'refused_' || kind WHEN ai.text = h.text THEN 'unchanged_' || kind END AS skip_reason FROM h CROSS JOIN k LEFT JOIN ai ON ai.seed_id = h.doc_id AND ai.turn = k.turn)"""
 
 
 @query(f"WITH {ASSEMBLY}, r AS (SELECT split, 0 AS label FROM h UNION ALL SELECT split, label FROM j WHERE skip_reason IS NULL) SELECT split, count(*) FILTER (WHERE label = 0) AS label_0, count(*) FILTER (WHERE label = 1) AS label_1, count(*) FILTER (WHERE label = 2) AS label_2, count(*) AS total FROM r GROUP BY ROLLUP(split)")
@@ -395,14 +408,16 @@ def q42_detection_gate(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", gates.detection_gate(F.col("text")).alias("status"))
 
 
-@query("SELECT d.doc_id FROM documents d ANTI JOIN labels l USING (doc_id)")
+@query("SELECT d.doc_id AS seed_id, k.kind FROM documents d CROSS JOIN (SELECT unnest(['assisted', 'generated']) AS kind) k LEFT JOIN labels l ON l.doc_id = d.doc_id AND k.kind = CASE l.quality WHEN 0 THEN 'assisted' ELSE 'generated' END WHERE l.doc_id IS NULL")
 def q43_find_missing(spark, sf_dir):
-    return dedup.only_new(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), ["doc_id"])
+    kind = F.when(F.col("quality") == 0, "assisted").otherwise("generated")
+    log = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("seed_id"), kind.alias("kind"), F.lit("x").alias("text"))
+    return generate.find_missing(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seed_id")), log)
 
 
 @query("SELECT doc_id FROM documents SEMI JOIN labels USING (doc_id)")
 def q44_ids_in_both(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left_semi")
+    return dedup.known(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), ["doc_id"])
 
 
 @query("""WITH u AS (SELECT doc_id, text, source, (doc_id % 3)::INT AS downloaded_in FROM documents) SELECT doc_id, downloaded_in, source FROM (SELECT *, row_number() OVER (PARTITION BY sha256(text) ORDER BY downloaded_in, doc_id) AS r FROM u) WHERE r = 1""")
@@ -481,15 +496,15 @@ def q56_conversation_turns(spark, sf_dir):
 @query()
 def q57_tfidf_logreg(spark, sf_dir):
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", F.col("quality").alias("label"), F.col("text"), S.assign_split(F.col("doc_id").cast("string")).alias("split"))
-    t = ml.tokens(d).cache()
+    t = ml.tokens(d)
     model = ml.fit(t.where("split = 'train'"))
     return metrics.confusion(ml.predict(model, t.where("split <> 'train'")).select("split", "label", "pred"), ["split"], 2)
 
 
-@query("SELECT split, label, n FROM (SELECT CASE WHEN k < 800 THEN 'train' WHEN k < 900 THEN 'validation' ELSE 'test' END AS split, quality AS label, count(*) AS n FROM (SELECT quality, ('0x' || substr(sha256(doc_id::VARCHAR), 1, 8))::BIGINT % 1000 AS k FROM labels) GROUP BY ALL)")
+@query("SELECT CASE WHEN k < 800 THEN 'train' WHEN k < 900 THEN 'validation' ELSE 'test' END AS split, count(*) FILTER (WHERE quality = 0) AS label_0, count(*) FILTER (WHERE quality = 1) AS label_1 FROM (SELECT quality, ('0x' || substr(sha256(doc_id::VARCHAR), 1, 8))::BIGINT % 1000 AS k FROM labels) GROUP BY 1")
 def q58_label_counts(spark, sf_dir):
     d = table(spark, sf_dir, "labels").select(S.assign_split(F.col("doc_id").cast("string")).alias("split"), F.col("quality").alias("label"))
-    return d.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"))
+    return metrics.label_counts(d, "split", labels=(0, 1)).withColumnsRenamed({"0": "label_0", "1": "label_1"})
 
 
 @query(f"""WITH {PREDS}, z AS (SELECT label, ln(p0) AS z0, ln(p1) AS z1, ln(p2) AS z2 FROM p WHERE model = 'e'), t AS (SELECT * FROM (VALUES ('before', 1.0::DOUBLE), ('after', 1.5::DOUBLE)) t(stage, temperature)),
@@ -513,7 +528,35 @@ def q61_most_common_sources(spark, sf_dir):
 
 @query("SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
 def q62_set_difference(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id").exceptAll(table(spark, sf_dir, "labels").select("doc_id").distinct())
+    return dedup.only_new(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), ["doc_id"]).distinct()
+
+
+@query("SELECT event_type, min(ts::DATE)::VARCHAR AS first_day, max(ts::DATE)::VARCHAR AS last_day, count(*) AS n FROM events GROUP BY event_type")
+def q63_date_range(spark, sf_dir):
+    r = dataset.date_range(table(spark, sf_dir, "events"), "ts", ["event_type"])
+    return r.withColumns({c: F.col(c).cast("string") for c in ("first_day", "last_day")})
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS stamp FROM events")
+def q64_utc_stamps(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", S.utc_stamp(F.col("ts")).alias("stamp"))
+
+
+ANSWER = '{"label": %s, "human_probability": %s, "ai_probability": %s, "ai_assisted_probability": 0.1}'
+
+
+@query("SELECT doc_id, (CASE WHEN doc_id % 5 = 0 THEN 0 END)::INT AS label, CASE doc_id % 5 WHEN 1 THEN 'not_json' WHEN 2 THEN 'probabilities_do_not_sum_to_1' WHEN 3 THEN 'label_unknown' WHEN 4 THEN 'label_is_not_the_largest' END AS error FROM documents")
+def q65_parsed_predictions(spark, sf_dir):
+    k = F.col("doc_id") % 5
+    answer = F.when(k == 0, F.concat(F.lit("```json\n"), F.lit(ANSWER % (0, 0.7, 0.2)), F.lit("\n```"))).when(k == 1, F.lit("nein"))
+    answer = answer.when(k == 2, F.lit(ANSWER % (0, 0.7, 0.7))).when(k == 3, F.lit(ANSWER % (7, 0.7, 0.2))).otherwise(F.lit(ANSWER % (1, 0.7, 0.2)))
+    p = S.parse_prediction(answer)
+    return table(spark, sf_dir, "documents").select("doc_id", F.when(p["error"].isNull(), p["label"]).cast("int").alias("label"), p["error"].alias("error"))
+
+
+@query("""WITH d AS (SELECT doc_id, text FROM documents) SELECT doc_id, sha256(text || chr(10)) AS newline, sha256(regexp_replace(text, '([.!?]) (\\S)', '\\1  \\2', 'g')) AS double_spaces FROM d""")
+def q66_perturbed_texts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", *[F.sha2(T.perturb(F.col("text"), k), 256).alias(k) for k in ("newline", "double_spaces")])
 
 
 # ---- engine extras: not in the inventory

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, cut, discard, finish, is_small, lookup_join, share, spill, text_batches
-from .components import components
+from .components import components, joined
 
 MIX = [np.uint64(int.from_bytes(blake2b(bytes([i]), digest_size=8).digest(), "little") | 1) for i in range(64)]
 
@@ -385,10 +385,6 @@ def _apart(lists: DataFrame, units: DataFrame, many: DataFrame, inside: DataFram
     return out
 
 
-def _labels(edges: DataFrame) -> DataFrame:
-    return cut(components(edges))
-
-
 def _with_comp(df: DataFrame, label: DataFrame, fp: str = "fp", name: str = "comp") -> DataFrame:
     """`df` with the component of its column `fp`; a set without links is its own."""
     own = label.select(F.col("node").alias("_node"), F.col("label").alias("_label"))
@@ -396,8 +392,8 @@ def _with_comp(df: DataFrame, label: DataFrame, fp: str = "fp", name: str = "com
 
 
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
-    """(rows, edges): rows has id, n, fp and text_md5 for each row of the input; edges (a, b) of sets' fp.
-    Sets are linked in `edges` exactly as far as their components need."""
+    """(rows, label): rows has id, n, fp and text_md5 for each row of the input; label has the component
+    (label) of each set (node) with links."""
     first = spill(_digest(docs, id_col, text_col, s))
     rows = first.where("kind = 0").select("id", "n", "fp", "text_md5")
     second = spill(_prefixes(docs, text_col, _common(first.where("kind = 1").select("gram", "times"), s), s))
@@ -420,6 +416,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Se
     near = spill(_candidates(heads.select(*sides).unionByName(inner.select(*sides)), s))
     found = _verify(near, members, docs, text_col, s)
     edges = found.select("a", "b")
+    label = spill(components(edges))
 
     # what that left apart
     ends = [F.least("x_fp", "y_fp").alias("a"), F.greatest("x_fp", "y_fp").alias("b")]
@@ -428,8 +425,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Se
     many = sizes.where(F.col("size") > s.pivot_over).select("gram")
     has_big = lists.join(big.select("grp"), "grp", "left_semi").select("gram")
     deep = spill(many.union(has_big).distinct())
-    if deep.limit(1).count():
-        label = _labels(edges)
+    if not deep.isEmpty():
         crowded = loose.select("grp").distinct().withColumn("many", F.lit(True))
         lead = groups.select(*info, (F.col("peers") > 1).alias("ball"))
         units = lead.unionByName(loose.select(*info, F.lit(False).alias("ball"))).join(crowded, "grp", "left")
@@ -438,27 +434,26 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Se
         inside = members.join(loose.select("fp"), "fp", "left_anti").join(balls, "grp").select("unit", *info[1:])
         inside = inside.unionByName(units.where("not ball").select(F.col("fp").alias("unit"), *info[1:]))
         apart = _apart(lists, units, deep, inside, second, s)
-        if apart.limit(1).count():
+        if not apart.isEmpty():
             close = _verify(apart, members, docs, text_col, s)
-            edges = edges.unionByName(close.where("linked").select("a", "b"))
-            edges = _open(close.where("times > 1 and not linked").select("a", "b"), edges, inside, members, docs, text_col, s)
+            label = joined(label, close.where("linked").select("a", "b"))
+            label = _open(close.where("times > 1 and not linked").select("a", "b"), label, inside, members, docs, text_col, s)
         discard(units, apart)
     discard(second, sizes, lists, members, groups, near, loose, deep)
-    return rows, edges
+    return rows, label
 
 
-def _open(close: DataFrame, edges: DataFrame, inside: DataFrame, members: DataFrame, docs: DataFrame, text_col: str, s: Settings) -> DataFrame:
-    """`edges` with the links between members of the units `close` (a, b): first of each head with the
+def _open(close: DataFrame, label: DataFrame, inside: DataFrame, members: DataFrame, docs: DataFrame, text_col: str, s: Settings) -> DataFrame:
+    """`label` with the links between members of the units `close` (a, b): first of each head with the
     other's members, then, where two are still apart, between their members. `inside` has the members
     (fp) of each unit."""
     cols = ["unit", "fp", "n", *BITS]
     x, y = _side(inside, "x", cols), _side(inside, "y", cols)
     lead = inside.where("fp = unit")
     for whole in (False, True):
-        label = _labels(edges)
         close = _with_comp(_with_comp(close.select("a", "b"), label, "a", "ca"), label, "b", "cb")
         close = cut(close.where("ca <> cb").select("a", "b"))
-        if not close.limit(1).count():
+        if close.isEmpty():
             break
         both = lambda p, q: close.join(p, F.col("a") == F.col("x_unit")).join(q, F.col("b") == F.col("y_unit"))  # noqa: B023, E731
         if whole:
@@ -466,16 +461,16 @@ def _open(close: DataFrame, edges: DataFrame, inside: DataFrame, members: DataFr
         else:
             sides = both(_side(lead, "x", cols), y).unionByName(both(x, _side(lead, "y", cols)))
         pairs = spill(_candidates(sides, s))
-        edges = edges.unionByName(_verify(pairs, members, docs, text_col, s).select("a", "b"))
+        if not pairs.isEmpty():
+            label = joined(label, _verify(pairs, members, docs, text_col, s).select("a", "b"))
         discard(pairs)
-    return edges
+    return label
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> DataFrame:
     """(id, n_grams, component): one row per input row."""
-    rows, edges = links(docs, id_col, text_col, s)
+    rows, label = links(docs, id_col, text_col, s)
     least = rows.where("fp is not null").groupBy("fp").agg(F.min("id").alias("low"))
-    label = components(edges)
     named = least.join(label, least["fp"] == label["node"], "left").select("fp", "low", F.coalesce("label", "fp").alias("comp"))
     linked = named.join(label.select(F.col("label").alias("comp")).distinct(), "comp", "left_semi")
     comps = linked.groupBy("comp").agg(F.min("low").alias("component"))
@@ -522,8 +517,7 @@ def keep_one(docs: DataFrame, s: Settings = Settings(), most_broadcast_rows: int
 
     The keys (id and text hash) of the rows to go are joined away, see `_without`.
     """
-    rows, edges = links(docs, "doc_id", "text", s)
-    label = components(edges)
+    rows, label = links(docs, "doc_id", "text", s)
     worded = rows.where("fp is not null")
     tagged = worded.join(label, rows["fp"] == label["node"], "left").select("id", "text_md5", F.coalesce("label", "fp").alias("comp"))
     order = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("text_md5").alias("text_md5"))

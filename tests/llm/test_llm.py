@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 from corpusmill.llm import bpe, decontam, langid, licenses, materialise, ngram_join, quality, rules, secrets, sharding
 from corpusmill.llm.common import lookup_join
-from corpusmill.llm.components import components
+from corpusmill.llm.components import components, joined
 from corpusmill.llm.queries import QUERIES, tokenizer
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -458,12 +458,43 @@ def test_keep_one(spark):
     assert ngram_join.classes(documents(spark, EDGES, [None] * len(EDGES))).count() == len(EDGES)
 
 
-def test_components_of_a_chain(spark):
-    n = 60
-    edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(100, 101), (5, 5)], "a long, b long")
-    got = {r.node: r.label for r in components(edges).collect()}
-    assert got == {**{i: 0 for i in range(n + 1)}, 100: 100, 101: 100}
-    assert components(edges.limit(0)).count() == 0
+@pytest.mark.parametrize("order", ["sorted", "shuffled", "star"])
+def test_components_in_few_rounds(spark, order):
+    n = 2_000
+    names = list(range(n))
+    if order == "shuffled":
+        random.Random(1).shuffle(names)
+    pairs = [(n, i) for i in range(n)] if order == "star" else list(zip(names, names[1:]))
+    edges = spark.createDataFrame([*pairs, (5_000, 5_001), (5, 5)], "a long, b long").coalesce(2)
+    rounds = []
+    got = {r.node: r.label for r in components(edges, rounds.append).collect()}
+    assert got == {**{i: 0 for pair in pairs for i in pair}, 5_000: 5_000, 5_001: 5_000}
+    assert len(rounds) <= 2 * 11
+
+
+def test_components_edges(spark):
+    edges = spark.createDataFrame([("b", "a"), ("c", "b"), ("z", "y")], "a string, b string")
+    label = components(edges)
+    assert {r.node: r.label for r in label.collect()} == {"a": "a", "b": "a", "c": "a", "y": "y", "z": "y"}
+    more = spark.createDataFrame([("c", "z"), ("q", "p")], "a string, b string")
+    assert {r.node: r.label for r in joined(label, more).collect()} == {**dict.fromkeys("abcyz", "a"), "p": "p", "q": "p"}
+    assert components(edges.limit(0)).count() == 0 and joined(label, more.limit(0)).count() == 5
+
+
+def test_pairs_grow_with_the_rows(spark, monkeypatch):
+    """Thinly spread copies of two sizes: candidates stay in proportion, whatever the groups' product."""
+    counts, verify = [], ngram_join._verify
+    monkeypatch.setattr(ngram_join, "_verify", lambda pairs, *rest: (counts.append(pairs.count()), verify(pairs, *rest))[1])
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    texts = []
+    for i in range(3_000):
+        w = list(base)
+        for _ in range(1 + i % 2):
+            w.insert(rng.randrange(len(w)), f"x{rng.randrange(10**8)}")
+        texts.append(" ".join(w))
+    got = ngram_join.classes(documents(spark, texts).repartition(64)).collect()
+    assert {r.component for r in got} == {0} and sum(counts) < 30 * len(texts)
 
 
 # ---- 7 quality rules

@@ -329,6 +329,8 @@ def _verify(pairs: DataFrame, members: DataFrame, docs: DataFrame, text_col: str
         return len(x) + len(y), len(x) + len(y) - 2 * both
 
     near = spill(_compare(pairs, members.select("fp", F.col("wide").alias("v")), wide, s).select("a", "b", "times"))
+    if near.isEmpty():
+        return near.withColumn("linked", F.lit(True))
     wanted = spill(near.select(F.col("a").alias("fp")).union(near.select("b")).distinct())
     sets = spill(_sets(docs, text_col, wanted, s))
     out = spill(_compare(near, sets.select("fp", F.col("grams").alias("v")), exact, s))
@@ -365,6 +367,8 @@ def _apart(lists: DataFrame, units: DataFrame, many: DataFrame, inside: DataFram
     in_lists = deep.join(units, "grp").select(F.col("gram").alias("key"), F.lit(False).alias("in_group"), "pos", *info)
     in_groups = units.where("many").select(F.col("grp").alias("key"), F.lit(True).alias("in_group"), F.lit(0).cast("int").alias("pos"), *info)
     rest = spill(_mixed(in_lists.unionByName(in_groups), ["key", "in_group"]))
+    if rest.isEmpty():
+        return rest.select(F.col("fp").alias("a"), F.col("fp").alias("b"), F.lit(1).alias("times"))
     mine = rest.select(F.col("fp").alias("unit")).distinct().join(inside.select("unit", F.col("fp").alias("m_fp")), "unit")
     ordered = second.select(F.col("fp").alias("m_fp"), "ordered")
     held = spill(mine.join(ordered, "m_fp").dropDuplicates(["unit", "m_fp"]))
@@ -438,7 +442,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Se
             close = _verify(apart, members, docs, text_col, s)
             label = joined(label, close.where("linked").select("a", "b"))
             label = _open(close.where("times > 1 and not linked").select("a", "b"), label, inside, members, docs, text_col, s)
-        discard(units, apart)
+        discard(units)
     discard(second, sizes, lists, members, groups, near, loose, deep)
     return rows, label
 

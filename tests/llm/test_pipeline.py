@@ -1,10 +1,9 @@
 """The pipeline against the stages' brute-force versions."""
 
-import re
-import zlib
-
 import corpus_pipeline
-from tests.llm.test_llm import base_secrets, brute_components, reference
+from pyspark.sql import functions as F
+
+from tests.llm.test_llm import EDGES, ITEM, OTHER, base_secrets, bench, brute_components, documents, reference
 
 
 def test_pipeline(spark, small_dir):
@@ -40,3 +39,35 @@ def test_pipeline(spark, small_dir):
 
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, small_dir).collect()) == sorted(after)
     assert [n for n, _ in corpus_pipeline.STAGES][0] == "language_id" and corpus_pipeline.ORACLE_SQL is None
+
+
+CLASHES = ("row_key", "gone_key", "text_md5", "posterior", "k_c0", "declared", "id", "secrets", "__text")
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Nulls, empty and very long texts, ties, repeated rows and extra columns of clashing names."""
+    prose = "the house of the old man stands by the river and the water runs under the bridge in the evening"
+    texts = [*EDGES, *[f"{prose} {i} {i * 7} {i * 31} and then a {i} th of these" for i in range(40)], f"note {OTHER} end", "see token=abcdefgh12 in this text of the house", prose, prose]
+    docs = documents(spark, texts, [None, None, *range(len(texts) - 4), 7, 7])
+    docs = docs.withColumns({c: F.lit("x") for c in CLASHES})
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    bench(spark, [(1, ITEM), (2, None), (3, "")]).write.parquet(str(tmp_path / "benchmark.parquet"))
+    seen, at = {}, spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, at, str(tmp_path))
+        assert out.columns == docs.columns
+        at = out.cache()
+        seen[name] = [r.text for r in at.collect()]
+    assert None not in seen["language_id"] and "" not in seen["language_id"]
+    assert seen["ngram_jaccard_join"].count(prose) == seen["ngram_jaccard_join"].count("same text here now") == 1
+    assert any(OTHER in t for t in seen["ngram_jaccard_join"]) and not any(OTHER in t for t in seen["benchmark_decontamination"])
+    assert not any("abcdefgh12" in t for t in seen["secret_scans"]) and len(seen["secret_scans"]) == len(seen["benchmark_decontamination"])
+    coder = reference()
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(tuple(r.ids) for r in rows) == sorted(tuple(coder.encode_ordinary(t)) for t in seen["secret_scans"])
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    documents(spark, ["x"]).limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    bench(spark, []).write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

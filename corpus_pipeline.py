@@ -5,6 +5,11 @@
 3. benchmark decontamination drops documents that hold a benchmark item, re-parameterised or not;
 4. the secret scan replaces secrets in the texts by marks (n_chars follows);
 5. byte-level BPE encodes the texts: doc_id, lang, source, n_tokens and ids.
+
+Documents without letters (null and empty texts among them) go in stage 1. Of rows that repeat id and
+text one stays, and of a group of near copies the row of least id (null last), then least text hash.
+Null ids, languages and sources are kept as they are. Extra columns, whatever they are called, pass
+through all stages but the last. Very long texts are judged and encoded whole. Empty tables give no rows.
 """
 
 from __future__ import annotations

@@ -458,6 +458,16 @@ def test_keep_one(spark):
     assert ngram_join.classes(documents(spark, EDGES, [None] * len(EDGES))).count() == len(EDGES)
 
 
+def test_keep_one_ways_agree(spark):
+    """With keys to drop broadcast, and beyond that with a bitmap and a shuffled join; rows that repeat whole."""
+    texts = [*family(8, 30, 60, 2), *[f"own words {i} " * 6 + str(i) for i in range(20)], "twice the same words here", "twice the same words here", None, None, ""]
+    docs = documents(spark, texts, [*range(50), 50, 50, 51, 51, None]).withColumns({c: F.lit("x") for c in ("row_key", "gone_key", "__text", "text_md5")})
+    five = ngram_join.Settings(words=5, num=80)
+    ways = [sorted((str(r.doc_id), r.text or "") for r in ngram_join.keep_one(docs, five, most).collect()) for most in (100_000, 0)]
+    assert ways[0] == ways[1] and len(ways[0]) < 40 and [i for i, _ in ways[0]].count("50") == 1 and [i for i, _ in ways[0]].count("51") == 2
+    assert ngram_join.keep_one(docs, five, 0).columns == docs.columns
+
+
 @pytest.mark.parametrize("order", ["sorted", "shuffled", "star"])
 def test_components_in_few_rounds(spark, order):
     n = 2_000

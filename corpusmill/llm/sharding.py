@@ -135,8 +135,8 @@ def place(records: DataFrame, slot_map: DataFrame) -> DataFrame:
     before = counted.withColumn("before", F.coalesce(F.sum("n").over(ranked), F.lit(0)))
     # a record repeated often comes out in blocks, so that no row holds an array of all its numbers
     blocks = before.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {BLOCK}"))))
-    here = F.least(F.lit(BLOCK), F.col("n") - F.col("block") * BLOCK)
-    one_each = blocks.withColumn("k", F.col("block") * BLOCK + F.explode(F.sequence(F.lit(0).cast("long"), here - 1)))
+    first = F.col("block") * BLOCK
+    one_each = blocks.withColumn("k", F.explode(F.sequence(first, F.least(first + (BLOCK - 1), F.col("n") - 1))))
     joined = one_each.join(F.broadcast(slot_map.select("virtual_slot", "shard", "first", "version")), "virtual_slot")
     return joined.select("doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("before") + F.col("k")).alias("slot"), "virtual_slot", F.col("version").alias("map_version"))
 

@@ -65,7 +65,36 @@ def langid_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("posterior", F.round("posterior", 6))
 
 
+def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op 1's counts of base spans, which SQL finds too."""
+    return op1_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def licenses_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op 8's base columns, which SQL finds too."""
+    return op8_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def sharding_law(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op 3's law says of its result: places without gaps in each shard, and loads that differ by
+    no more than the largest record."""
+    rows = op3_sharding(spark, sf_dir)
+    shards = rows.groupBy("law", "shard").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("size").alias("b"), F.max("size").alias("most"), F.countDistinct("slot").alias("places"), F.min("slot").alias("low"), F.max("slot").alias("high")
+    )
+    gapless = F.bool_and((F.col("places") == F.col("n")) & (F.col("low") == 0) & (F.col("high") == F.col("n") - 1))
+    return shards.groupBy("law").agg(
+        F.count(F.lit(1)).alias("shards"), F.sum("n").alias("n_rows"), F.sum("b").alias("n_bytes"), gapless.alias("gapless"), (F.max("b") - F.min("b") <= F.max("most")).alias("even")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_quality, op3_sharding, op4_training_order, op5_decontamination, op6_ngram_join, op7_quality_rules, op8_license_scan, op9_byte_bpe, op10_language_id, langid_pages)
+    f.__name__: f for f in (op1_secret_scan, op2_quality, op3_sharding, op4_training_order, op5_decontamination, op6_ngram_join, op7_quality_rules, op8_license_scan, op9_byte_bpe, op10_language_id, langid_pages, secrets_base, licenses_base, sharding_law)
+}
+ORACLE_SQL: dict[str, str] = {
+    "op6_ngram_join": sql.NGRAM_JOIN,
+    "op7_quality_rules": sql.QUALITY_RULES,
+    "secrets_base": sql.SECRETS_BASE,
+    "licenses_base": sql.LICENSES_BASE,
+    "sharding_law": sql.SHARDING_LAW,
 }
-ORACLE_SQL: dict[str, str] = {"op6_ngram_join": sql.NGRAM_JOIN, "op7_quality_rules": sql.QUALITY_RULES}

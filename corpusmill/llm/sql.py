@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .licenses import BASE
 from .rules import BOTH_SIDES, MEASURES, MIN_GROUP, REACH
 
 GAP = r"[\x20\x09-\x0D]+"
@@ -41,3 +42,14 @@ FROM {_quantiles('lang, source')} o JOIN {_quantiles('lang')} l ON o.lang = l.la
 i AS (SELECT q.*, greatest(q75 - q25, s.slack) AS iqr FROM q JOIN (SELECT DISTINCT measure, slack FROM b) s USING (measure)),
 f AS (SELECT lang, source, {_limits} FROM i GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {_within} AS kept, {', '.join(f'{m}, {m}_high' for m in MEASURES)}, {', '.join(f'{m}_low' for m in BOTH_SIDES)} FROM m JOIN f USING (lang, source)"""
+
+SECRETS_BASE = """SELECT doc_id, len(list_filter(regexp_extract_all(text, '(?i)(password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 8))::BIGINT AS n_assign,
+len(list_filter(regexp_extract_all(text, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 16))::BIGINT AS n_access, len(list_filter(regexp_extract_all(text, '[0-9a-f]+'), lambda x: length(x) >= 32))::BIGINT AS n_hex FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)"""
+
+_places = " || ".join(f"list_filter(range(len(w)), lambda i: w[i + 1 : i + {len(p.split())}] = {p.split()!r})" for p in BASE.values())
+_labels = ", ".join(f"CASE WHEN len(list_filter(range(len(w)), lambda i: w[i + 1 : i + {len(p.split())}] = {p.split()!r})) > 0 THEN '{k}' END" for k, p in sorted(BASE.items()))
+LICENSES_BASE = f"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT doc_id, len(w)::BIGINT AS n_words, {_places} AS found, concat_ws(',', {_labels}) AS base_labels FROM w)
+SELECT doc_id, n_words, len(found)::BIGINT AS n_base, list_min(found)::BIGINT AS first_word, list_max(found)::BIGINT AS last_word, base_labels FROM p"""
+
+SHARDING_LAW = """SELECT 'bytes' AS law, 16::BIGINT AS shards, count(*) AS n_rows, sum(octet_length(encode(coalesce(text, ''))) + 1)::BIGINT AS n_bytes, true AS gapless, true AS even FROM documents"""

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 from itertools import chain
 
+import duckdb
 import numpy as np
 import pytest
 import tiktoken
@@ -20,7 +21,7 @@ import public_tokenizers
 from corpusmill.llm import bpe, decontam, langid, licenses, materialise, ngram_join, quality, rules, secrets, sharding
 from corpusmill.llm.common import lookup_join
 from corpusmill.llm.components import components, joined
-from corpusmill.llm.queries import QUERIES, tokenizer
+from corpusmill.llm.queries import ORACLE_SQL, QUERIES, tokenizer
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = "word" * 20_000 + " " + "lorem ipsum dolor " * 4_000
@@ -691,3 +692,18 @@ def test_page_evidence(spark):
     rows = {r.page_id: r for r in langid.page_evidence(pages).collect()}
     assert (rows[1].host, rows[1].suffix, rows[1].declared) == ("www.example.de", "de", "de") and "script" not in rows[1].text and "Hallo" in rows[1].text
     assert rows[2].host is None and rows[3].declared is None
+
+
+# ---- SQL
+
+
+@pytest.mark.parametrize("name", sorted(set(ORACLE_SQL) - {"op6_ngram_join"}))
+def test_queries_equal_sql(spark, small_dir, name):
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{small_dir}/documents.parquet'")
+    got = QUERIES[name](spark, small_dir)
+    columns = sorted(got.columns)
+    want = duck.sql(ORACLE_SQL[name])
+    assert sorted(want.columns) == columns
+    order = lambda rows: sorted(map(str, rows))
+    assert order(tuple(r[c] for c in columns) for r in got.collect()) == order(duck.sql(f"SELECT {', '.join(columns)} FROM ({ORACLE_SQL[name]})").fetchall())

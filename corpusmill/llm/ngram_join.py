@@ -349,9 +349,10 @@ def _group_pairs(lists: DataFrame, s: Settings) -> DataFrame:
 
 
 def _mixed(keyed: DataFrame, key: list[str]) -> DataFrame:
-    """The rows of keys that hold more than one component; least and greatest combine before the shuffle."""
-    ends = keyed.groupBy(*key).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select(*key)
-    return keyed.join(cut(ends), key)
+    """The rows of keys that hold more than one component, with the rows of each key (held); least,
+    greatest and count combine before the shuffle."""
+    ends = keyed.groupBy(*key).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("held"))
+    return keyed.join(cut(ends.where("lo <> hi").select(*key, "held")), key)
 
 
 def _apart(lists: DataFrame, units: DataFrame, many: DataFrame, inside: DataFrame, second: DataFrame, s: Settings) -> DataFrame:
@@ -360,7 +361,7 @@ def _apart(lists: DataFrame, units: DataFrame, many: DataFrame, inside: DataFram
     The least gram that two linked sets share lies in both prefixes, and the next in the prefixes or
     the gram after them. Sets of one group share their whole prefix, and then one of as many grams
     after it, as both have as many left to differ in. A ball has its head's prefix, which all its
-    members share, and the grams after it of each member.
+    members share, and the grams after it of each member. Keys of few units are not split.
     """
     info = ["fp", "n", "comp", "ball", *BITS]
     deep = lists.join(many, "gram", "left_semi").select("gram", "grp", "pos")
@@ -369,16 +370,18 @@ def _apart(lists: DataFrame, units: DataFrame, many: DataFrame, inside: DataFram
     rest = spill(_mixed(in_lists.unionByName(in_groups), ["key", "in_group"]))
     if rest.isEmpty():
         return rest.select(F.col("fp").alias("a"), F.col("fp").alias("b"), F.lit(1).alias("times"))
-    mine = rest.select(F.col("fp").alias("unit")).distinct().join(inside.select("unit", F.col("fp").alias("m_fp")), "unit")
+    keys = ["key", "in_group", "next"]
+    long = rest.where(F.col("held") > s.pivot_over)
+    short = rest.where(F.col("held") <= s.pivot_over).select("key", "in_group", "pos", *info, F.lit(0).cast("long").alias("next"))
+    mine = long.select(F.col("fp").alias("unit")).distinct().join(inside.select("unit", F.col("fp").alias("m_fp")), "unit")
     ordered = second.select(F.col("fp").alias("m_fp"), "ordered")
     held = spill(mine.join(ordered, "m_fp").dropDuplicates(["unit", "m_fp"]))
     keep = _keep(s)
     one_more, block = F.slice("ordered", keep + 1, 1), F.slice("ordered", keep + 1, keep)
     own = F.when(F.col("m_fp") == F.col("unit"), F.slice("ordered", F.col("pos") + 2, keep - F.col("pos"))).otherwise(one_more)
     after = F.when(F.col("in_group"), block).otherwise(own)
-    keys = ["key", "in_group", "next"]
-    pieces = rest.join(held, rest["fp"] == held["unit"]).select("key", "in_group", "pos", *info, F.explode(after).alias("next"))
-    split = spill(_mixed(pieces.distinct(), keys))
+    pieces = long.join(held, long["fp"] == held["unit"]).select("key", "in_group", "pos", *info, F.explode(after).alias("next"))
+    split = spill(_mixed(pieces.distinct(), keys).drop("held").unionByName(short))
     cols = [*keys, "pos", *info]
     same = [F.col(f"x_{k}") == F.col(f"y_{k}") for k in keys]
     apart = (F.col("x_comp") != F.col("y_comp")) & (F.col("x_fp") < F.col("y_fp"))

@@ -18,6 +18,13 @@ INVISIBLE = "\u200b\u200c\u200d\u2060\ufeff"
 BULLETS = "\uf0a7\uf0b7\u2022\u25aa\u25cf\u25e6\u2023\u2043\u25a0\u25a1"
 OLD_FORMS = "daß muß mußte mußten läßt wußte wußten gewiß bißchen Schluß Prozeß Mißbrauch Einfluß Anschluß".split()
 NEW_FORMS = [w.replace("ß", "ss") for w in OLD_FORMS]
+# Patterns and replacements that decide what clean text is, in the order in which they apply.
+WHITESPACE = (("\u00a0", " "), ("\r", "\n"), (r"[ \t]+", " "), (r" *\n *", "\n"), (r"\n{3,}", "\n\n"))
+CHARACTERS = ((r"\u00AD(?U:\s*)", ""), (f"[{INVISIBLE}]", ""), (r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", ""), ("[\u2010\u2011]", "-"))
+FOOTNOTES = ((r"(?<=[a-zäöüß)”“])\d{1,3}(?=[\s.,;:!?)]|$)", ""), (r"(?<=[a-zäöüß][.,;:!?])\d{1,3}(?=\s+[A-ZÄÖÜ„\"])", ""))
+SPACING = ((r"\s+([,.;:!?])(?=\s|$)", "$1"), (r"([(\[„])\s+", "$1"), (r"([.!?,;:])\s+“(?=\s|$)", "$1“"), (r"\s+([)\]])", "$1"))
+PLAIN_TEXT = ((r"https?://(?U:\S+)", " "), (r"(?m)^(?U:\s*)\d{1,4}(?U:\s*)$", ""), (r"(?m)^[=_\-*•.]{5,}$", ""))
+WORD_EDGES = "^[.,;:!?()\\[\\]{}\"'„“”»«‘’–-]+|[.,;:!?()\\[\\]{}\"'„“”»«‘’–-]+$"
 
 
 def chain(c: Column, *steps: tuple[str, str]) -> Column:
@@ -31,7 +38,7 @@ def strip(c: Column) -> Column:
 
 def clean_whitespace(c: Column) -> Column:
     """No-break spaces and returns become spaces and line ends; runs shrink; null gives ''."""
-    return strip(chain(F.coalesce(c, F.lit("")), ("\u00a0", " "), ("\r", "\n"), (r"[ \t]+", " "), (r" *\n *", "\n"), (r"\n{3,}", "\n\n")))
+    return strip(chain(F.coalesce(c, F.lit("")), *WHITESPACE))
 
 
 def flatten_whitespace(c: Column) -> Column:
@@ -61,8 +68,7 @@ def word_tokens(c: Column) -> Column:
 
 
 def normalize_characters(c: Column) -> Column:
-    steps = [(r"\u00AD(?U:\s*)", ""), (f"[{INVISIBLE}]", ""), (r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", ""), ("[\u2010\u2011]", "-")]
-    return chain(c, *steps, *LIGATURES.items(), (f"[{BULLETS}]", "•"))
+    return chain(c, *CHARACTERS, *LIGATURES.items(), (f"[{BULLETS}]", "•"))
 
 
 def fix_hyphenation(c: Column) -> Column:
@@ -72,11 +78,11 @@ def fix_hyphenation(c: Column) -> Column:
 
 
 def remove_footnote_numbers(c: Column) -> Column:
-    return chain(c, (r"(?<=[a-zäöüß)”“])\d{1,3}(?=[\s.,;:!?)]|$)", ""), (r"(?<=[a-zäöüß][.,;:!?])\d{1,3}(?=\s+[A-ZÄÖÜ„\"])", ""))
+    return chain(c, *FOOTNOTES)
 
 
 def fix_spacing(c: Column) -> Column:
-    return chain(c, (r"\s+([,.;:!?])(?=\s|$)", "$1"), (r"([(\[„])\s+", "$1"), (r"([.!?,;:])\s+“(?=\s|$)", "$1“"), (r"\s+([)\]])", "$1"))
+    return chain(c, *SPACING)
 
 
 def clean_pdf_paragraph(c: Column) -> Column:
@@ -85,8 +91,7 @@ def clean_pdf_paragraph(c: Column) -> Column:
 
 def clean_plain_text(c: Column) -> Column:
     """Without addresses, lone page numbers and lines of symbols."""
-    body = chain(clean_whitespace(c), (r"https?://(?U:\S+)", " "), (r"(?m)^(?U:\s*)\d{1,4}(?U:\s*)$", ""), (r"(?m)^[=_\-*•.]{5,}$", ""))
-    return clean_whitespace(body)
+    return clean_whitespace(chain(clean_whitespace(c), *PLAIN_TEXT))
 
 
 def words_of(c: Column) -> Column:
@@ -95,8 +100,7 @@ def words_of(c: Column) -> Column:
 
 def glued_word_count(c: Column) -> Column:
     """Words with a comma between letters, or long ones with a capital inside."""
-    trim = "^[.,;:!?()\\[\\]{}\"'„“”»«‘’–-]+|[.,;:!?()\\[\\]{}\"'„“”»«‘’–-]+$"
-    core = F.transform(words_of(c), lambda w: F.regexp_replace(w, trim, ""))
+    core = F.transform(words_of(c), lambda w: F.regexp_replace(w, WORD_EDGES, ""))
     glued = lambda w: w.rlike("[a-zäöüß]{2},[a-zäöüß]{2}") | ((F.length(w) >= 18) & F.replace(w, F.lit("Innen"), F.lit("innen")).rlike("[a-zäöüß][A-ZÄÖÜ]"))
     return F.size(F.filter(core, glued))
 

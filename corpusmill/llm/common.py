@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import xxhash
@@ -133,6 +133,33 @@ def lookup_join(facts: DataFrame, dim: DataFrame, keys: list[str], most_rows: in
     return out.drop(*[f"__{k}" for k in keys])
 
 
+def numbered(df: DataFrame, order: list, name: str, start: int = 1) -> DataFrame:
+    """`df` with consecutive numbers in `order`, which should leave few ties: ranges of it are sorted and
+    written once with each row's place in its range, so that the counts taken next are of these rows. Only
+    one count per range reaches the driver."""
+    ranged = spill(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33)
+    first, total = [], start
+    for p, n in sorted(ranged.groupBy(part.alias("p")).count().collect()):
+        first.append((p, total - (p << 33)))
+        total += n
+    starts = F.broadcast(df.sparkSession.createDataFrame(first, "__p long, __first long"))
+    return ranged.join(starts, part == F.col("__p")).withColumn(name, F.col("__at") + F.col("__first")).drop("__at", "__p", "__first")
+
+
+def hot_join(facts: DataFrame, dim: DataFrame, key: str, count: str, most: int = 1000) -> DataFrame:
+    """Inner join of `facts` with `dim`, which has one row per key and the number of its facts in `count`.
+
+    Fewer than `most` keys can hold more than a `most`-th of all facts: those rows of `dim` are broadcast,
+    so that a hot key stays where it lies. The others are joined by a shuffle. Both sides are read twice.
+    """
+    total = dim.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) * most > total
+    few = F.broadcast(dim.where(hot).drop(count))
+    rest = facts.join(F.broadcast(dim.where(hot).select(key)), key, "left_anti")
+    return facts.join(few, key).unionByName(rest.join(dim.where(~hot).drop(count), key))
+
+
 SPACES = np.isin(np.arange(256), np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8))
 BASE = 0x9E3779B97F4A7C15
 PIECE = 1 << 20
@@ -145,6 +172,17 @@ def finish(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def pieces(data: bytes, size: int = PIECE) -> Iterator[bytes]:
+    """`data` in pieces of about `size` bytes that end at spaces, so that no word is cut."""
+    at = 0
+    while at < len(data):
+        end = at + size
+        while end < len(data) and not SPACES[data[end]]:
+            end += 1
+        yield data[at:end]
+        at = end
+
+
 class Words:
     """64-bit hashes of the words of bytes, in order: polynomials mod 2 ** 64 from running sums."""
 
@@ -160,14 +198,7 @@ class Words:
 
     def __call__(self, data: bytes) -> np.ndarray:
         if len(data) > PIECE:  # a long text in pieces that end at spaces, so that memory is bounded by words
-            parts, at = [], 0
-            while at < len(data):
-                end = at + PIECE
-                while end < len(data) and not SPACES[data[end]]:
-                    end += 1
-                parts.append(self._hash(data[at:end]))
-                at = end
-            return np.concatenate(parts)
+            return np.concatenate([self._hash(p) for p in pieces(data)])
         return self._hash(data)
 
     def _hash(self, data: bytes) -> np.ndarray:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, licenses, materialise, ngram_join, quality, rules, secrets, sharding, sql
+from . import bpe, decontam, importance, langid, licenses, materialise, ngram_join, quality, rules, runs, secrets, sharding, simhash, sql
 from .common import table
 
 
@@ -58,6 +58,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.langid_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_digest(table(spark, sf_dir, "documents"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.runs_digest(table(spark, sf_dir, "documents"))
+
+
 def langid_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same operator on web pages, which have an address and a declared language."""
     rows = langid.page_evidence(table(spark, sf_dir, "pages"))
@@ -89,10 +101,11 @@ def sharding_law(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_quality, op3_sharding, op4_training_order, op5_decontamination, op6_ngram_join, op7_quality_rules, op8_license_scan, op9_byte_bpe, op10_language_id, langid_pages, secrets_base, licenses_base, sharding_law)
+    f.__name__: f for f in (op1_secret_scan, op2_quality, op3_sharding, op4_training_order, op5_decontamination, op6_ngram_join, op7_quality_rules, op8_license_scan, op9_byte_bpe, op10_language_id, op11_simhash, op12_importance_resampling, op13_periodic_runs, langid_pages, secrets_base, licenses_base, sharding_law)
 }
 ORACLE_SQL: dict[str, str] = {
     "op6_ngram_join": sql.NGRAM_JOIN,
+    "op12_importance_resampling": sql.IMPORTANCE,
     "op7_quality_rules": sql.QUALITY_RULES,
     "secrets_base": sql.SECRETS_BASE,
     "licenses_base": sql.LICENSES_BASE,

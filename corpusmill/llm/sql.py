@@ -53,3 +53,18 @@ p AS (SELECT doc_id, len(w)::BIGINT AS n_words, {_places} AS found, concat_ws(',
 SELECT doc_id, n_words, len(found)::BIGINT AS n_base, list_min(found)::BIGINT AS first_word, list_max(found)::BIGINT AS last_word, base_labels FROM p"""
 
 SHARDING_LAW = """SELECT 'bytes' AS law, 16::BIGINT AS shards, count(*) AS n_rows, sum(octet_length(encode(coalesce(text, ''))) + 1)::BIGINT AS n_bytes, true AS gapless, true AS even FROM documents"""
+
+_W = "list_filter(string_split_regex(translate(coalesce(text, ''), '" + UPPER + "', '" + LOWER + "'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+_step = "list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, {})"
+IMPORTANCE = f"""WITH crc AS (SELECT list({_step.format("i")} ORDER BY i) AS m FROM (SELECT unnest(range(256)) AS i)),
+d AS (SELECT doc_id, {_W} AS w FROM documents), f AS (SELECT doc_id, unnest(w) AS f FROM d),
+b AS (SELECT unnest({_W}) AS f FROM benchmark),
+u AS (SELECT f, sum(s)::BIGINT AS s, sum(t)::BIGINT AS t FROM (SELECT f, 1 AS s, 0 AS t FROM f UNION ALL SELECT f, 0, 1 FROM b) GROUP BY f),
+h AS (SELECT u.*, xor(list_reduce(list_transform(range(1, octet_length(encode(f)) + 1), lambda i: ('0x' || substr(hex(encode(f)), 2 * i - 1, 2))::BIGINT), lambda c, x: xor(c >> 8, m[xor(c & 255, x) + 1]), 4294967295), 4294967295) % 10000 AS k FROM u, crc),
+k AS (SELECT k, sum(s)::BIGINT AS s, sum(t)::BIGINT AS t FROM h GROUP BY k), a AS (SELECT sum(s)::BIGINT AS s, sum(t)::BIGINT AS t FROM k),
+g AS (SELECT k.k, floor(1000 * ln((k.t + 1)::DOUBLE * (a.s + 10000) / ((k.s + 1)::DOUBLE * (a.t + 10000))))::BIGINT AS gain FROM k, a),
+v AS (SELECT f.doc_id, count(*) AS n, sum(gain)::BIGINT AS total FROM f JOIN h USING (f) JOIN g USING (k) GROUP BY f.doc_id),
+x AS (SELECT d.doc_id, len(w)::BIGINT AS n_features, coalesce((total - ((total % n) + n) % n) // n, 0)::BIGINT AS weight, ('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::BIGINT AS h FROM d LEFT JOIN v USING (doc_id)),
+y AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM x),
+z AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS r, count(*) FILTER (WHERE n_features >= 20) OVER () AS n FROM y)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND r <= 10 * n // 100 THEN r END AS rank FROM z"""

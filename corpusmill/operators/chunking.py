@@ -7,7 +7,9 @@ independent and stay in their partitions.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate, cycle
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,36 +21,47 @@ from ..functions.scalars import TARGET_WORDS
 from ..functions.sentences import corpus_sentences
 
 
-def nearest_end(words: list[int], start: int, target: int) -> tuple[int, int]:
-    """(end, words) of the run of sentences from `start` that is nearest the target; ties go to the
-    longer one; what never reaches the target is taken to the end."""
-    total = 0
-    for i in range(start, len(words)):
-        before, total = total, total + words[i]
-        if total >= target:
-            if i > start and total - target > target - before:
-                return i, before
-            return i + 1, total
-    return len(words), total
+def running(words: list[int]) -> list[int]:
+    """Words before each sentence, and in all."""
+    return [0, *accumulate(words)]
+
+
+def nearest_end(sums: list[int], start: int, target: int) -> int:
+    """The sentence before which a chunk from `start` ends: of the two borders around the place where the
+    target is reached, found in the running sums, the nearer one; ties go to the longer chunk, and what
+    never reaches the target is taken whole."""
+    goal = sums[start] + target
+    after = min(bisect_left(sums, goal, start + 1), len(sums) - 1)
+    shorter_is_nearer = after - 1 > start and sums[after] - goal > goal - sums[after - 1]
+    return after - 1 if shorter_is_nearer else after
+
+
+def context_start(sums: list[int], at: int, most: int) -> int:
+    """The first sentence of the context before `at`: as many as `most` words hold, but one at least."""
+    return min(at - 1, bisect_left(sums, sums[at] - most)) if at else 0
+
+
+def chunk_borders(sums: list[int], shift: int) -> Iterator[tuple[int, int, int]]:
+    """(start, end, target) of consecutive chunks; the targets rotate from `shift`."""
+    at = 0
+    for target in cycle(TARGET_WORDS[shift:] + TARGET_WORDS[:shift]):
+        if at >= len(sums) - 1:
+            return
+        end = nearest_end(sums, at, target)
+        yield at, end, target
+        at = end
 
 
 def chunks_of(text: str | None, document_id: str, deviation: float = 0.30, context_words: int = 120) -> list[dict]:
     """All chunks within the allowed deviation, but for a document's first; numbers count all."""
     sentences = corpus_sentences(text)
-    words = [len(s.split()) for s in sentences]
+    sums = running([len(s.split()) for s in sentences])
     shift = int(hashlib.sha256(document_id.encode()).hexdigest()[:8], 16) % len(TARGET_WORDS)
-    out, at, number = [], 0, 0
-    while at < len(sentences):
-        number += 1
-        target = TARGET_WORDS[(shift + number - 1) % len(TARGET_WORDS)]
-        end, total = nearest_end(words, at, target)
-        if number > 1 and abs(total - target) <= deviation * target:
-            back, held = at, 0
-            while back and (back == at or held + words[back - 1] <= context_words):
-                back -= 1
-                held += words[back]
-            out.append({"chunk_number": number, "target_length": target, "chunk": " ".join(sentences[at:end]), "context_before": " ".join(sentences[back:at])})
-        at = end
+    out = []
+    for number, (at, end, target) in enumerate(chunk_borders(sums, shift), 1):
+        if number > 1 and abs(sums[end] - sums[at] - target) <= deviation * target:
+            before = sentences[context_start(sums, at, context_words) : at]
+            out.append({"chunk_number": number, "target_length": target, "chunk": " ".join(sentences[at:end]), "context_before": " ".join(before)})
     return out
 
 

@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ordering import hash_order, stratified_order  # noqa: F401
+from .tables import number_rows  # noqa: F401
+
 
 def first_of_each(df: DataFrame, key: Column | str, order: Sequence[Column | str]) -> DataFrame:
     """One row of each key: the least by `order`. The grouped minimum is combined before the shuffle,
@@ -43,11 +46,6 @@ def cap_per_group(df: DataFrame, group: str, order: Sequence[str | Column], limi
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
-def hash_order(*keys: Column | str, seed: int = 42) -> Column:
-    """A reproducible shuffle's sort key."""
-    return F.sha2(F.concat_ws(":", F.lit(str(seed)), *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys]), 256)
-
-
 def stratified_sample(df: DataFrame, stratum: str, id_col: str, per_stratum: int, seed: int = 17) -> DataFrame:
     """`per_stratum` rows of each stratum, by hash order."""
     return cap_per_group(df, stratum, [hash_order(id_col, seed=seed), F.col(id_col)], per_stratum)
@@ -74,37 +72,10 @@ def take_until(df: DataFrame, source: str, rank: str, parts: str, target: int) -
     return df.withColumn("take", F.least(F.col(parts), F.greatest(F.lit(0), F.lit(target) - before))).where("take > 0")
 
 
-def number_rows(df: DataFrame, order: Sequence[str], start: int = 1, name: str = "sample_id") -> DataFrame:
-    """Consecutive ids in `order`. Rows are ranged over partitions; each adds the counts before it."""
-    from pyspark import StorageLevel
-
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).persist(StorageLevel.MEMORY_AND_DISK_2)
-    counts = {r["p"]: r["n"] for r in ranged.groupBy(F.spark_partition_id().alias("p")).count().withColumnRenamed("count", "n").collect()}
-    first, total = [], start
-    for p in range(max(counts, default=-1) + 1):
-        first.append(total)
-        total += counts.get(p, 0)
-    in_part = F.monotonically_increasing_id() - F.spark_partition_id().cast("long") * F.lit(1 << 33)
-    base = F.get(F.array(*[F.lit(x).cast("long") for x in first] or [F.lit(start).cast("long")]), F.spark_partition_id())
-    return ranged.withColumn(name, base + in_part)
-
-
 def duplicate_groups(df: DataFrame, key: Column, id_col: str) -> DataFrame:
     return df.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("copies"), F.min(id_col).alias("first_id")).where("copies > 1")
 
 
-def stratified_order(df: DataFrame, label: str, id_col: str, seed: int = 42) -> DataFrame:
-    """`position`: a nested, balanced order in which every prefix keeps the classes' shares.
-
-    The row that stands at (rank - 1/2) / class size among its class comes there in the whole; hash
-    orders replace a seeded generator.
-    """
-    w = Window.partitionBy(label)
-    rank = F.row_number().over(w.orderBy(hash_order(id_col, seed=seed), id_col))
-    df = df.withColumn("_at", (rank - 0.5) / F.count(F.lit(1)).over(w))
-    return number_rows(df, ["_at", label, id_col], 0, "position").drop("_at")
-
-
 def subset_sizes(n: int, fractions: Sequence[float]) -> list[int]:
     """Sizes of nested subsets: rounded (halves to even), between 1 and n, ascending, ending in n."""
     sizes = sorted({min(n, max(1, round(f * n))) for f in fractions})

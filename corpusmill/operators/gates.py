@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import text as T
+from ..functions.language import Languages
 from ..functions.sentences import CORPUS_ABBREVIATIONS, modernize_spelling, split_sentences_corpus
 
 # Letters, and what ends a sentence.
@@ -54,22 +55,26 @@ def metadata_is_german(languages: Column) -> Column:
     return F.arrays_overlap(F.transform(languages, lambda x: F.lower(F.trim(x))), F.array(*map(F.lit, GERMAN_CODES)))
 
 
-def metadata_looks_german(languages: Column, title: Column, abstract: Column, detected: Column) -> Column:
-    """The declared languages, else a detected one of title and abstract; under 40 characters pass."""
+def metadata_looks_german(declared: Column, title: Column, abstract: Column, languages: Languages) -> Column:
+    """The declared languages, else the detected one of title and abstract; under 40 characters pass."""
     sample = F.concat_ws(" ", title, abstract)
-    return F.when(F.size(F.coalesce(languages, F.array().cast("array<string>"))) > 0, metadata_is_german(languages)).otherwise((F.length(sample) < 40) | F.coalesce(detected == "de", F.lit(False)))
+    undeclared = F.size(F.coalesce(declared, F.array().cast("array<string>"))) == 0
+    detected = languages.detect(F.when(undeclared, sample))  # only what declares nothing is judged
+    return F.when(undeclared, (F.length(sample) < 40) | F.coalesce(detected == "de", F.lit(False))).otherwise(metadata_is_german(declared))
 
 
 def document_type(types: Column) -> Column:
     return F.try_element_at(F.filter(types, lambda x: ~F.lower(x).isin(VERSION_TYPES)), F.lit(1))
 
 
-def record_gate(records: DataFrame, first_day: str = "1990-01-01", last_day: str = "2022-12-31", detected: Column | None = None) -> DataFrame:
-    """Harvested records with publication_date, licence, document_type and reject_reason."""
+def record_gate(records: DataFrame, languages: Languages, first_day: str = "1990-01-01", last_day: str = "2022-12-31") -> DataFrame:
+    """Harvested records with publication_date, licence, document_type and reject_reason. `languages`
+    judges title and abstract where a record declares no language."""
     kinds = F.lower(F.array_join("type", " "))
     out = records.withColumn("publication_date", S.choose_publication_date(F.col("date"))).withColumn("licence", detect_open_license(F.col("rights"))).withColumn("document_type", document_type(F.col("type")))
     day = F.col("publication_date")
-    german = metadata_looks_german(F.col("language"), F.get("title", F.lit(0)), F.get("description", F.lit(0)), F.lit(None).cast("string") if detected is None else detected)
+    title, abstract = F.get("title", F.lit(0)), F.get("description", F.lit(0))
+    german = metadata_looks_german(F.col("language"), title, abstract, languages)
     reason = first_reason(
         (F.col("header.status") == "deleted", "record_deleted"),
         (has_any(kinds, EXCLUDED_TYPES), "record_excluded_type"),
@@ -156,19 +161,21 @@ def gate_chunks(chunks: DataFrame, text: str = "chunk") -> DataFrame:
     return m.withColumn("reject_reason", chunk_reason(F.col(text), prose_reason())).select(*chunks.columns, "reject_reason")
 
 
-def gate_documents(docs: DataFrame, min_words: int = 400, language: str = "lang", first_day: str = "1990-01-01", last_day: str = "2022-12-31") -> DataFrame:
+def gate_documents(docs: DataFrame, min_words: int = 400, language: str = "lang", first_day: str = "1990-01-01", last_day: str = "2022-12-31", languages: Languages | None = None) -> DataFrame:
     """Documents with clean, modernised text, its word count and the first reason against them.
 
+    The language is what `languages` detects in the clean text, or, without a model, the declared one.
     Columns publication_date (string) and license_name are checked where the table has them. Caps per
     source are applied after the chunk gate, as they count what was accepted (see sampling).
     """
     df = docs.withColumn("clean_text", T.clean_plain_text(F.col("text")))
     df = df.withColumn("clean_words", T.word_count(F.col("clean_text")))
-    cheap = first_reason(
-        (F.coalesce(F.col("text"), F.lit("")) == "", "document_no_text"),
-        (F.col("clean_words") < min_words, "document_too_short_after_cleaning"),
-        (~F.coalesce(F.col(language) == "de", F.lit(False)) | (F.length("clean_text") < 100), "document_not_german"),
-    )
+    none, short = F.coalesce(F.col("text"), F.lit("")) == "", F.col("clean_words") < min_words
+    if languages is None:
+        german = F.coalesce(F.col(language) == "de", F.lit(False)) & (F.length("clean_text") >= 100)
+    else:
+        german = languages.is_language(F.when(~none & ~short, F.col("clean_text")))
+    cheap = first_reason((none, "document_no_text"), (short, "document_too_short_after_cleaning"), (~german, "document_not_german"))
     # only what the cheap rules leave goes to the spelling function
     df = df.withColumn("_cheap", cheap)
     df = df.withColumn("_m", modernize_spelling(F.when(F.col("_cheap").isNull(), F.col("clean_text"))))
@@ -195,7 +202,8 @@ def reject_report(gated: DataFrame, example: str = "doc_id", most: int = 3) -> D
             for reason, keys in p[p["reject_reason"].notna()].groupby("reject_reason")["k"]:
                 counts[reason] = counts.get(reason, 0) + len(keys)
                 least[reason] = sorted({*least.get(reason, []), *keys.dropna()})[:most]
-        yield pd.DataFrame({"reject_reason": list(counts), "n": list(counts.values()), "ks": [least[r] for r in counts]}, columns=["reject_reason", "n", "ks"])
+        if counts:  # a frame without rows would have no type for the lists
+            yield pd.DataFrame({"reject_reason": list(counts), "n": list(counts.values()), "ks": [least[r] for r in counts]})
 
     parts = gated.select("reject_reason", F.col(example).alias("k")).mapInPandas(partial, f"reject_reason string, n long, ks array<{kind}>")
     merged = parts.groupBy("reject_reason").agg(F.sum("n").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("ks")))).alias("ks"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..functions.language import Languages
 
 # Headings of what follows the text, marks of cover pages, lines of contents, keywords.
 BACK_MATTER = (
@@ -79,10 +80,10 @@ def pdf_status(files: DataFrame, most_mb: int = 100, most_pages: int = 400) -> C
     )
 
 
-def paragraphs(spans: DataFrame, n_pages: DataFrame, german: Column | None = None) -> DataFrame:
+def paragraphs(spans: DataFrame, n_pages: DataFrame, languages: Languages | None = None) -> DataFrame:
     """(doc_id, para, paragraph) after covers, back matter, contents, running heads, notes and
-    headings are gone, and paragraphs that go on across a page are joined. `german` judges a
-    paragraph of 25 words or more."""
+    headings are gone, and paragraphs that go on across a page are joined. `languages` judges
+    paragraphs of 25 words or more: those of another language go."""
     lines = lines_of(spans)
     blocks = lines.groupBy("doc_id", "page", "block").agg(F.array_sort(F.collect_list(F.struct("line", "full"))).alias("ls")).select("doc_id", "page", "block", F.transform("ls", lambda x: x["full"]).alias("fulls"))
     page_text = blocks.groupBy("doc_id", "page").agg(F.lower(F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("block", "fulls"))), lambda b: b["fulls"])), " ")).alias("t"))
@@ -104,8 +105,8 @@ def paragraphs(spans: DataFrame, n_pages: DataFrame, german: Column | None = Non
     p = p.select("doc_id", "page", "block", F.regexp_replace(text, r"^[\[(]\d{1,3}[\])]\s+", "").alias("t")).where("t <> ''")
     n = T.word_count(F.col("t"))
     p = p.where(~F.col("t").rlike(KEYWORDS) & ~((n < 8) & ~F.col("t").rlike("[.!?:]$")))
-    if german is not None:
-        p = p.where((n < 25) | german)
+    if languages is not None:
+        p = p.where((n < 25) | languages.not_other(F.when(n >= 25, F.col("t"))))
     order = Window.partitionBy("doc_id").orderBy("page", "block")
     goes_on = ~F.lag("t").over(order).rlike("[.!?:;\"“”»)]$") & F.col("t").rlike(r"(?U)^\p{Ll}")
     p = p.withColumn("para", F.sum(F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).over(order))
@@ -114,9 +115,9 @@ def paragraphs(spans: DataFrame, n_pages: DataFrame, german: Column | None = Non
     return q.where(~((T.word_count(F.col("paragraph")) < 15) & ~F.col("paragraph").rlike("[.!?:;\"“”»)]$")) & ~F.col("paragraph").rlike(TOC_ENTRY))
 
 
-def document_text(spans: DataFrame, n_pages: DataFrame, german: Column | None = None) -> DataFrame:
+def document_text(spans: DataFrame, n_pages: DataFrame, languages: Languages | None = None) -> DataFrame:
     """(doc_id, text, skip_reason): the cleaned text of each document, or why there is none."""
-    p = paragraphs(spans, n_pages, german).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("para", "paragraph"))), lambda x: x["paragraph"]), "\n\n").alias("t"))
+    p = paragraphs(spans, n_pages, languages).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("para", "paragraph"))), lambda x: x["paragraph"]), "\n\n").alias("t"))
     size = spans.groupBy("doc_id").agg(F.sum(F.length("text")).alias("chars"))
     j = n_pages.join(size, "doc_id", "left").join(p, "doc_id", "left").withColumn("text", T.clean_plain_text(F.col("t")))
     why = F.when(F.coalesce("chars", F.lit(0)) < 20 * F.greatest(F.lit(1), F.col("n_pages")), "pdf_no_text_layer").when(F.col("text") == "", "pdf_no_body_text")

@@ -16,7 +16,8 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import scalars as S
+from .ordering import group_folds
+from .tables import written
 
 
 def tokens(df: DataFrame, text: str = "text") -> DataFrame:
@@ -69,8 +70,10 @@ def accuracy(preds: DataFrame, label: str = "label") -> float:
 
 
 def grid_search(df: DataFrame, group: str, grid: list[dict], folds: int = 3, label: str = "label") -> list[dict]:
-    """Each setting's mean accuracy over folds that keep a group's rows together (by its hash), best first."""
-    d = df.withColumn("_fold", (S.hash_number(F.col(group).cast("string")) % folds).cast("int")).cache()
+    """Each setting's mean accuracy over folds that keep a group's rows together and spread the classes
+    evenly, best first."""
+    fold = written(group_folds(df, group, label, folds).withColumnsRenamed({group: "_g", "fold": "_fold"}))
+    d = df.join(fold, F.col(group).eqNullSafe(F.col("_g"))).drop("_g").cache()
     out = []
     for setting in grid:
         scores = [accuracy(predict(fit(d.where(F.col("_fold") != k), label=label, **setting), d.where(F.col("_fold") == k)), label) for k in range(folds)]

@@ -2,29 +2,29 @@
 
 from __future__ import annotations
 
-import difflib
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import scalars as S
+from ..functions.matching import ratio
 from .stats import fisher, mantel_haenszel
 
 
+WORD = re.compile(r"\w+")
+
+
 def word_ratio(a: str | None, b: str | None) -> float | None:
-    """2 M / T over lower-case words, M being the words in matching blocks; null with a null text."""
-    if a is None or b is None:
-        return None
-    words = [re.findall(r"\w+", t.lower()) for t in (a, b)]
-    return difflib.SequenceMatcher(None, *words, autojunk=False).ratio()
+    """The share of lower-case words in matching blocks; null with a null text."""
+    return None if a is None or b is None else ratio(WORD.findall(a.lower()), WORD.findall(b.lower()))
 
 
-@F.pandas_udf(DoubleType())
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([word_ratio(x, y) for x, y in zip(a, b, strict=True)])
+@F.arrow_udf(DoubleType())
+def similarity(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array([word_ratio(x.as_py(), y.as_py()) for x, y in zip(a, b, strict=True)], pa.float64())
 
 
 def by_generator(table: DataFrame, model: str = "generator_model") -> DataFrame:

@@ -6,18 +6,22 @@ or brute-force cases.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import language
 from ..functions import scalars as S
 from ..functions import text as T
 from ..functions.sentences import modernize_spelling, split_sentences_app, split_sentences_corpus
-from ..operators import chunking, dataset, dedup, detect, gates, generate, metrics, ml, similarity, stats
+from ..operators import chunking, dataset, dedup, detect, gates, generate, metrics, ml, ordering, similarity, stats
+from ..operators.tables import shared_folder
+from ..sources import files, sinks, store
 from ..sources import pages as P
-from ..streaming import ingest
+from ..streaming import ingest, scoring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -291,6 +295,21 @@ def q32_temperature_grid(spark, sf_dir):
     return rounded(stats.temperature_grid(p, GRID), "nll")
 
 
+def _newton(k: int) -> str:
+    """A Newton step on ln T, as SQL."""
+    u, e = f"exp(-(SELECT x FROM n{k}))", "exp(z{0} * u)"
+    mean = "(e0 * z0 + e1 * z1 + e2 * z2) / (e0 + e1 + e2)"
+    square = "(e0 * z0 * z0 + e1 * z1 * z1 + e2 * z2 * z2) / (e0 + e1 + e2)"
+    return f"""n{k + 1} AS MATERIALIZED (SELECT (SELECT x FROM n{k}) + max(u) * g / (max(u) * max(u) * h + max(u) * g) AS x FROM (SELECT u, avg({mean} - [z0, z1, z2][label + 1]) OVER () AS g, avg({square} - pow({mean}, 2)) OVER () AS h
+FROM (SELECT *, {', '.join(f'{e.format(i)} AS e{i}' for i in range(3))} FROM (SELECT *, {u} AS u FROM z))) GROUP BY g, h)"""
+
+
+@query(f"WITH {PREDS}, z AS MATERIALIZED (SELECT label, ln(p0) AS z0, ln(p1) AS z1, ln(p2) AS z2 FROM p WHERE model = 'e'), n0 AS (SELECT 0.0::DOUBLE AS x), {', '.join(_newton(k) for k in range(8))} SELECT round(exp(x), 4) AS temperature FROM n8")
+def q32b_fit_temperature(spark, sf_dir):
+    p = preds(spark, sf_dir).where("model = 'e'").select("label", *[F.ln(f"p{k}").alias(f"z{k}") for k in range(3)])
+    return spark.createDataFrame([(round(stats.fit_temperature(p), 4),)], "temperature double")
+
+
 @query(f"""WITH {PREDS}, t AS (SELECT {BIN.format('word_count')} AS bin, count(*) FILTER (WHERE generator_model = 'deepseek-flash' AND pred <> label)::DOUBLE AS a, count(*) FILTER (WHERE generator_model = 'deepseek-flash' AND pred = label)::DOUBLE AS b, count(*) FILTER (WHERE generator_model <> 'deepseek-flash' AND pred <> label)::DOUBLE AS c, count(*) FILTER (WHERE generator_model <> 'deepseek-flash' AND pred = label)::DOUBLE AS d FROM p WHERE label = 2 AND model = 'e' GROUP BY bin),
 n AS (SELECT *, a + b + c + d AS n FROM t WHERE a + b + c + d >= 2), s AS (SELECT sum(a * d / n) AS num, sum(b * c / n) AS den, sum(a - (a + b) * (a + c) / n) AS dev, sum((a + b) * (c + d) * (a + c) * (b + d) / (n * n * (n - 1))) AS var FROM n)
 SELECT round(num / den, 6) AS odds_ratio, round(pow(abs(dev) - 0.5, 2) / var, 6) AS statistic FROM s""")
@@ -439,8 +458,11 @@ def q47_sequential_ids(spark, sf_dir):
     return dedup.number_rows(table(spark, sf_dir, "documents").select("doc_id", "source"), ["source", "doc_id"]).select("doc_id", "sample_id")
 
 
-@query("""WITH c AS (SELECT doc_id, (doc_id % 3)::INT AS label, sha256('42:' || doc_id::VARCHAR) AS mix FROM documents), r AS (SELECT *, (row_number() OVER (PARTITION BY label ORDER BY mix, doc_id) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY label) AS place FROM c)
-SELECT doc_id, label, (row_number() OVER (ORDER BY place, label, doc_id) - 1)::BIGINT AS position FROM r""")
+@query("""WITH RECURSIVE c AS (SELECT doc_id, (doc_id % 3)::INT AS label, sha256('42:' || doc_id::VARCHAR) AS mix FROM documents), k AS (SELECT list(n ORDER BY label) AS n, list(label ORDER BY label) AS labels, sum(n)::BIGINT AS total FROM (SELECT label, count(*) AS n FROM c GROUP BY label)),
+r(t, pick, taken) AS (SELECT 0::BIGINT, 0::BIGINT, list_transform(n, lambda x: 0::BIGINT) FROM k
+UNION ALL SELECT t + 1, p, list_transform(range(1, len(n) + 1), lambda i: taken[i] + (i = p)::BIGINT) FROM (SELECT t, taken, n, list_position(behind, list_max(behind))::BIGINT AS p FROM (SELECT t, taken, n, list_transform(range(1, len(n) + 1), lambda i: n[i] * (t + 1) - total * taken[i]) AS behind FROM r, k WHERE t < total))),
+o AS (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY mix, doc_id) AS nth FROM c)
+SELECT doc_id, label, (t - 1)::BIGINT AS position FROM o JOIN (SELECT t, labels[pick] AS label, taken[pick] AS nth FROM r, k WHERE t > 0) USING (label, nth)""")
 def q48_stratified_order(spark, sf_dir):
     return dedup.stratified_order(table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 3).cast("int").alias("label")), "label", "doc_id")
 
@@ -589,3 +611,74 @@ def x04_sessions(spark, sf_dir):
 def x05_last_event(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     return e.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("event_type"), F.max("ts").alias("ts"))
+
+
+# ---- language, folds
+
+
+FOLDED = "' ' || trim(regexp_replace(lower({}), '[^\\p{{L}}]+', ' ', 'g')) || ' '"
+GRAMS_OF = "list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2])"
+
+
+@query(f"""WITH f AS (SELECT doc_id, lang, {FOLDED.format("coalesce(text, '')")} AS t, {FOLDED.format("substr(coalesce(text, ''), 1, 4000)")} AS s, length(trim(substr(coalesce(text, ''), 1, 4000))) >= 100 AS long_enough FROM documents),
+n AS (SELECT lang, g, count(*) AS n FROM (SELECT lang, unnest({GRAMS_OF}) AS g FROM (SELECT lang, regexp_extract_all(t, '.') AS c FROM f)) GROUP BY lang, g), top AS (SELECT g FROM n GROUP BY g ORDER BY sum(n) DESC, g LIMIT 20000),
+k AS (SELECT l.lang, top.g, coalesce(n.n, 0) AS n FROM (SELECT DISTINCT lang FROM n) l CROSS JOIN top LEFT JOIN n ON n.lang = l.lang AND n.g = top.g),
+m AS (SELECT lang, g, ln(n + 0.5::DOUBLE) - ln(sum(n) OVER (PARTITION BY lang) + 0.5::DOUBLE * count(*) OVER (PARTITION BY lang)) AS w FROM k),
+d AS (SELECT doc_id, g, count(*) AS n FROM (SELECT doc_id, unnest({GRAMS_OF}) AS g FROM (SELECT doc_id, regexp_extract_all(s, '.') AS c FROM f)) GROUP BY ALL),
+v AS (SELECT doc_id, lang, sum(n * w) AS score FROM d JOIN m USING (g) GROUP BY ALL), b AS (SELECT doc_id, arg_max(lang, score) AS detected FROM v GROUP BY doc_id)
+SELECT doc_id, f.lang, detected, long_enough AND coalesce(detected = 'de', false) AS is_german FROM f LEFT JOIN b USING (doc_id)""")
+def q67_detected_language(spark, sf_dir):
+    """The language of each document by a model of all documents, and the corpus gate's verdict on it."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    model = language.fit(d)
+    return d.select("doc_id", "lang", model.detect(F.substring("text", 1, language.SAMPLE)).alias("detected"), model.is_language(F.col("text")).alias("is_german"))
+
+
+# groups of equal counts go round the folds; the rest are placed one after another, the widest spread first
+@query("""WITH RECURSIVE d AS (SELECT doc_id, doc_id // 7 AS collection, lang FROM documents), l AS (SELECT list(lang ORDER BY lang) AS langs, list(n ORDER BY lang) AS totals FROM (SELECT lang, count(*)::BIGINT AS n FROM d GROUP BY lang)),
+v AS (SELECT collection, list_transform(langs, lambda x: len(list_filter(own, lambda y: y = x))) AS v FROM (SELECT collection, list(lang) AS own FROM d GROUP BY collection), l),
+r AS (SELECT *, row_number() OVER (PARTITION BY v ORDER BY sha256('42:' || collection::VARCHAR), collection) - 1 AS nth, count(*) OVER (PARTITION BY v) AS m FROM v),
+q AS (SELECT *, row_number() OVER (ORDER BY len(v) * list_sum(list_transform(v, lambda x: x * x)) - list_sum(v) * list_sum(v) DESC, v DESC, nth) AS turn FROM r WHERE nth >= m - m % 3),
+s(turn, fold, held, n) AS (SELECT 0::BIGINT, 0::BIGINT, list_transform(range(3), lambda f: list_transform(totals, lambda x: 0::BIGINT)), [0, 0, 0]::BIGINT[] FROM l
+UNION ALL SELECT turn + 1, fold, list_transform(range(1, 4), lambda f: list_transform(range(1, len(v) + 1), lambda c: held[f][c] + CASE WHEN f = fold THEN v[c] ELSE 0 END)), list_transform(range(1, 4), lambda f: n[f] + CASE WHEN f = fold THEN list_sum(v) ELSE 0 END)::BIGINT[] FROM
+(SELECT s.turn, s.held, s.n, q.v, list_position(list_transform(range(1, 4), lambda f: struct_pack(cost := list_sum(list_transform(range(1, len(v) + 1), lambda c: held[f][c] * v[c] / (totals[c] * totals[c])::DOUBLE)), n := s.n[f])), list_min(list_transform(range(1, 4), lambda f: struct_pack(cost := list_sum(list_transform(range(1, len(v) + 1), lambda c: held[f][c] * v[c] / (totals[c] * totals[c])::DOUBLE)), n := s.n[f]))))::BIGINT AS fold FROM s JOIN q ON q.turn = s.turn + 1, l))
+SELECT collection, CASE WHEN nth < m - m % 3 THEN nth % 3 ELSE s.fold - 1 END::INT AS fold FROM r LEFT JOIN (SELECT q.collection, s.fold FROM q JOIN s USING (turn)) s USING (collection)""")
+def q68_group_folds(spark, sf_dir):
+    """Folds of collections of seven documents, in which each language is spread evenly."""
+    d = table(spark, sf_dir, "documents").select(F.expr("doc_id div 7").alias("collection"), "lang")
+    return ordering.group_folds(d, "collection", "lang")
+
+
+# ---- what goes on where it stopped
+
+
+@query("""WITH a AS (SELECT sha256(text) AS h, min(doc_id) AS doc_id FROM documents WHERE doc_id % 2 = 0 GROUP BY 1),
+b AS (SELECT sha256(text) AS h, min(doc_id) AS doc_id FROM documents WHERE sha256(text) NOT IN (SELECT h FROM a) GROUP BY 1)
+SELECT doc_id, row_number() OVER (ORDER BY run, doc_id) AS sample_id FROM (SELECT doc_id, 1 AS run FROM a UNION ALL SELECT doc_id, 2 FROM b)""")
+def q69_store_in_two_runs(spark, sf_dir):
+    """The ids that a store gives all documents in two runs, first the even ids and then what is left."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.sha2("text", 256).alias("hash"), "source", S.assign_split(F.col("doc_id").cast("string")).alias("split"))
+    s = store.SampleStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    s.add(d.where("document_id % 2 = 0"), ["document_id"])
+    s.add(d, ["document_id"])
+    return s.read().select(F.col("document_id").alias("doc_id"), "sample_id")
+
+
+@query("SELECT doc_id || '.txt' AS file, sha256(text) AS hash FROM documents WHERE text <> ''")
+def q70_one_file_per_row(spark, sf_dir):
+    """Each text as a file of its own, written by the sink and read back."""
+    spark.dataSource.register(sinks.TextFiles)
+    path = f"{shared_folder(spark)}/texts-{uuid.uuid4().hex}"
+    d = table(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), "text")
+    d.write.format("one_file_per_row").mode("append").save(path.removeprefix("file:"))
+    return files.read_folder(spark, path, {}).select("file", F.sha2("text", 256).alias("hash"))
+
+
+@query("SELECT doc_id, length(text)::INT AS n_chars, len(regexp_extract_all(text, '\\S+'))::INT AS words FROM documents")
+def q71_scored_in_batches(spark, sf_dir):
+    """All documents measured by a stream that commits a folder for each micro-batch."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    folder = f"{shared_folder(spark)}/scoring-{uuid.uuid4().hex}"
+    scoring.queue(d, f"{folder}/queue", 5000)
+    scoring.score(spark, f"{folder}/queue", d.schema, lambda b: b.select("doc_id", F.length("text").alias("n_chars"), T.word_count(F.col("text")).cast("int").alias("words")), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return scoring.scored(spark, f"{folder}/out")

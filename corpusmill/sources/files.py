@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -157,3 +158,40 @@ def write_config(path: str, **values) -> None:
     new = target.with_suffix(".new")
     new.write_text(json.dumps(values, ensure_ascii=False, indent=1), encoding="utf-8")
     new.replace(target)
+
+
+def first_files(spark: SparkSession, folders: list[str], pattern: str = "*.txt") -> DataFrame:
+    """(id, path, folder, length): of the files of one name in several folders that of the first folder that
+    has it; the id is the name without its ending. Only file metadata is read."""
+    from functools import reduce
+
+    def of(k: int, folder: str) -> DataFrame:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+        return files.select(F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1).alias("id"), F.struct(F.lit(k).alias("folder"), "path", "length").alias("f"))
+
+    found = reduce(DataFrame.unionByName, [of(k, f) for k, f in enumerate(folders)])
+    return found.groupBy("id").agg(F.min("f").alias("f")).select("id", "f.path", "f.folder", "f.length")
+
+
+def texts_of(rows: DataFrame, folders: list[str], id_col: str = "id") -> DataFrame:
+    """`rows` with `text` and `text_folder` (its number) from the first folder that has the row's file; null
+    where none has. Contents are read for these files alone, after the join."""
+    from .places import file_system
+
+    def read(batches):
+        for b in batches:
+            at = b.schema.get_field_index("_path")
+            texts = []
+            for path in b.column(at).to_pylist():
+                if path is None:
+                    texts.append(None)
+                    continue
+                files, name = file_system(path)
+                with files.open_input_stream(name) as f:
+                    texts.append(f.read().decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([*[c for i, c in enumerate(b.columns) if i != at], pa.array(texts, pa.string())], names=[*[n for n in b.schema.names if n != "_path"], "text"])
+
+    first = first_files(rows.sparkSession, folders).select(F.col("id").alias("_id"), F.col("path").alias("_path"), F.col("folder").alias("text_folder"))
+    joined = rows.join(first, F.col(id_col).cast("string") == F.col("_id"), "left").drop("_id")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name != "_path") + ", text string"
+    return joined.mapInArrow(read, schema)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import text as T
 from corpusmill.functions.scalars import TARGET_WORDS
 from corpusmill.functions.sentences import corpus_sentences
+from corpusmill.functions.language import Languages
 from corpusmill.operators import chunking, dataset, dedup, detect, gates, generate, layout, metrics, ml, similarity, stats
 from corpusmill.sources import files, harvest, pages
 from corpusmill.streaming import ingest
@@ -70,7 +71,7 @@ def test_record_gate(spark):
     base = {"header": ("id", None), "title": ["T"], "creator": [], "type": ["article"], "date": ["2010"], "rights": ["CC BY 4.0"], "language": ["deu"], "identifier": [], "description": []}
     variants = [{}, {"header": ("id", "deleted")}, {"type": ["Image"]}, {"date": ["1980", "2010"]}, {"rights": ["CC BY-NC"]}, {"language": ["en"]}, {"rights": ["Creative Commons - Namensnennung"], "language": []}]
     df = spark.createDataFrame([tuple((base | v).values()) for v in variants], harvest.SCHEMA).coalesce(1)
-    got = [r.reject_reason for r in gates.record_gate(df).collect()]
+    got = [r.reject_reason for r in gates.record_gate(df, Languages([])).collect()]
     assert got == [None, "record_deleted", "record_excluded_type", "record_outside_date_range", "record_no_open_license", "record_not_german", None]
 
 
@@ -102,9 +103,13 @@ def brute_nearest(words, start, target):
 def test_nearest_end(seed):
     rng = random.Random(seed)
     words = [rng.randrange(1, 40) for _ in range(30)]
-    assert chunking.nearest_end(words, 3, rng.choice(TARGET_WORDS[:3])) == brute_nearest(words, 3, rng.choice([0])) or True
-    t = rng.choice(TARGET_WORDS[:3])
-    assert chunking.nearest_end(words, 3, t) == brute_nearest(words, 3, t)
+    t, sums = rng.choice(TARGET_WORDS[:3]), chunking.running(words)
+    end = chunking.nearest_end(sums, 3, t)
+    assert (end, sums[end] - sums[3]) == brute_nearest(words, 3, t)
+    for at in range(1, 30):
+        back = chunking.context_start(sums, at, 120)
+        assert back == at - 1 or sums[at] - sums[back] <= 120
+        assert back == 0 or sums[at] - sums[back - 1] > 120
 
 
 def test_chunks_cover_in_order():

@@ -8,9 +8,11 @@
    them with one pivot. Only the heads of paired groups, and each head with its group's members, are
    compared, so the work grows with groups and members and never with their product.
 4. What that leaves in different components goes on as units: a head with the members that it links
-   to (its ball), and each other member alone. Units that share a gram, or a group, and a further
-   gram after it are compared. Set difference is a metric, so two balls whose heads are too far apart
-   hold no link; only balls that are near without a link are opened, first against the other's head.
+   to (its ball), and each other member alone. Units that share a gram, or a group, are compared. Where
+   many do, as in a passage that other texts share, their whole sets are counted against each other and
+   get prefixes by exact counts, in which the passage comes last. Set difference is a metric, so two
+   balls whose heads are too far apart hold no link; only balls that are near without a link are opened,
+   first against the other's head.
 5. Each comparison meets parity bitmaps first (the bits in which two sets' bitmaps differ are at most
    the elements in which the sets differ): one of 256 bits, then one in proportion to the set. Only
    what passes both has its sets fetched and compared.
@@ -36,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, cut, discard, finish, is_small, lookup_join, share, spill, text_batches
+from .common import Words, cut, discard, finish, hot_join, is_small, lookup_join, share, spill, text_batches
 from .components import components, joined
 
 MIX = [np.uint64(int.from_bytes(blake2b(bytes([i]), digest_size=8).digest(), "little") | 1) for i in range(64)]
@@ -355,41 +357,61 @@ def _mixed(keyed: DataFrame, key: list[str]) -> DataFrame:
     return keyed.join(cut(ends.where("lo <> hi").select(*key, "held")), key)
 
 
-def _apart(lists: DataFrame, units: DataFrame, many: DataFrame, inside: DataFrame, second: DataFrame, s: Settings) -> DataFrame:
-    """Candidate pairs of units of different components that share a gram or a group, and then another gram.
+def _rare_first(mine: DataFrame, docs: DataFrame, text_col: str, s: Settings) -> DataFrame:
+    """(unit, gram, pos): the prefixes of the sets `mine` (unit, m_fp) with grams in the order of how many of
+    these sets hold them. A gram of one set alone comes first and pairs with none, so it is only counted."""
+    wanted = spill(mine.select(F.col("m_fp").alias("fp")).distinct())
+    sets = spill(_sets(docs, text_col, wanted, s))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, 64):
+                b = whole.slice(i, 64)
+                grams = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column(1)]
+                n = np.array([len(g) for g in grams])
+                at = pa.array(np.repeat(np.arange(len(n)), n))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array(np.repeat(n, n)), pa.array(np.concatenate(grams))], names=["fp", "n", "gram"])
+
+    grams = sets.select("fp", "grams").mapInArrow(each, "fp binary, n long, gram long")
+    counts = spill(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("times")).where("times > 1").withColumn("freq", F.col("times")))
+    shared = hot_join(grams, counts, "gram", "times").groupBy("fp", "n").agg(F.sort_array(F.collect_list(F.struct("freq", "gram"))).alias("g"))
+    alone = (F.col("n") - F.size("g")).cast("int")
+    first = F.slice("g", F.lit(1), F.greatest(_keep(s) - alone, F.lit(0)))
+    prefix = shared.select("fp", alone.alias("alone"), F.posexplode(first).alias("at", "x")).select("fp", F.col("x.gram").alias("gram"), (F.col("alone") + F.col("at")).alias("pos"))
+    out = spill(mine.join(prefix, F.col("m_fp") == F.col("fp")).groupBy("unit", "gram").agg(F.min("pos").alias("pos")))
+    discard(wanted, sets, counts)
+    return out
+
 
-    The least gram that two linked sets share lies in both prefixes, and the next in the prefixes or
-    the gram after them. Sets of one group share their whole prefix, and then one of as many grams
-    after it, as both have as many left to differ in. A ball has its head's prefix, which all its
-    members share, and the grams after it of each member. Keys of few units are not split.
+def _apart(lists: DataFrame, units: DataFrame, many: DataFrame, inside: DataFrame, docs: DataFrame, text_col: str, s: Settings) -> DataFrame:
+    """Candidate pairs of units of different components that share a gram or a group.
+
+    The least gram that two linked sets share lies in both prefixes. A ball has its head's prefix, which
+    all its members share. Keys of few units pair them all. Of two linked sets in a key of many units both
+    are among all units of such keys, whose sets then get prefixes of another order, and share a gram there
+    as well; a ball has its members' prefixes, and the least place of a gram in them.
     """
     info = ["fp", "n", "comp", "ball", *BITS]
     deep = lists.join(many, "gram", "left_semi").select("gram", "grp", "pos")
     in_lists = deep.join(units, "grp").select(F.col("gram").alias("key"), F.lit(False).alias("in_group"), "pos", *info)
     in_groups = units.where("many").select(F.col("grp").alias("key"), F.lit(True).alias("in_group"), F.lit(0).cast("int").alias("pos"), *info)
     rest = spill(_mixed(in_lists.unionByName(in_groups), ["key", "in_group"]))
-    if rest.isEmpty():
-        return rest.select(F.col("fp").alias("a"), F.col("fp").alias("b"), F.lit(1).alias("times"))
-    keys = ["key", "in_group", "next"]
-    long = rest.where(F.col("held") > s.pivot_over)
-    short = rest.where(F.col("held") <= s.pivot_over).select("key", "in_group", "pos", *info, F.lit(0).cast("long").alias("next"))
-    mine = long.select(F.col("fp").alias("unit")).distinct().join(inside.select("unit", F.col("fp").alias("m_fp")), "unit")
-    ordered = second.select(F.col("fp").alias("m_fp"), "ordered")
-    held = spill(mine.join(ordered, "m_fp").dropDuplicates(["unit", "m_fp"]))
-    keep = _keep(s)
-    one_more, block = F.slice("ordered", keep + 1, 1), F.slice("ordered", keep + 1, keep)
-    own = F.when(F.col("m_fp") == F.col("unit"), F.slice("ordered", F.col("pos") + 2, keep - F.col("pos"))).otherwise(one_more)
-    after = F.when(F.col("in_group"), block).otherwise(own)
-    pieces = long.join(held, long["fp"] == held["unit"]).select("key", "in_group", "pos", *info, F.explode(after).alias("next"))
-    split = spill(_mixed(pieces.distinct(), keys).drop("held").unionByName(short))
-    cols = [*keys, "pos", *info]
-    same = [F.col(f"x_{k}") == F.col(f"y_{k}") for k in keys]
     apart = (F.col("x_comp") != F.col("y_comp")) & (F.col("x_fp") < F.col("y_fp"))
-    pairs = _side(split, "x", cols).join(_side(split, "y", cols), reduce(and_, same) & apart).where(_may_link(s))
     times = F.when(F.col("x_ball") | F.col("y_ball"), 3).otherwise(1)
-    out = spill(_candidates(pairs, s, times))
-    discard(rest, held, split)
-    return out
+
+    def paired(rows: DataFrame, keys: list[str]) -> DataFrame:
+        cols = [*keys, "pos", *info]
+        same = [F.col(f"x_{k}") == F.col(f"y_{k}") for k in keys]
+        return _candidates(_side(rows, "x", cols).join(_side(rows, "y", cols), reduce(and_, same) & apart).where(_may_link(s)), s, times)
+
+    out = paired(rest.where(F.col("held") <= s.pivot_over), ["key", "in_group"])
+    long = rest.where(F.col("held") > s.pivot_over).select(*info).distinct()
+    if not long.isEmpty():
+        long = spill(long)
+        prefixes = _rare_first(inside.select("unit", F.col("fp").alias("m_fp")).join(long.select("fp"), F.col("unit") == F.col("fp"), "left_semi").distinct(), docs, text_col, s)
+        keyed = _mixed(prefixes.join(long, F.col("unit") == F.col("fp")).drop("unit"), ["gram"]).drop("held")
+        out = out.unionByName(paired(spill(keyed), ["gram"]))
+    return spill(out)
 
 
 def _with_comp(df: DataFrame, label: DataFrame, fp: str = "fp", name: str = "comp") -> DataFrame:
@@ -440,7 +462,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Se
         balls = units.where("ball").select("grp", F.col("fp").alias("unit"))
         inside = members.join(loose.select("fp"), "fp", "left_anti").join(balls, "grp").select("unit", *info[1:])
         inside = inside.unionByName(units.where("not ball").select(F.col("fp").alias("unit"), *info[1:]))
-        apart = _apart(lists, units, deep, inside, second, s)
+        apart = _apart(lists, units, deep, inside, docs, text_col, s)
         if not apart.isEmpty():
             close = _verify(apart, members, docs, text_col, s)
             label = joined(label, close.where("linked").select("a", "b"))

@@ -18,7 +18,7 @@ def tokenizer() -> tuple[str, str]:
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan_digest(table(spark, sf_dir, "documents"))
+    return secrets.scan_digest(table(spark, sf_dir, "documents"), secrets.ranked_words(tokenizer()[0]))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,17 @@
 """Secret scans: pattern matches, and guess costs of values in a credential context.
 
 The guess cost of a value is the least sum, over its segmentations, of the log10 guesses of each
-segment: a listed word (by rank), a date, a repeat, a keyboard walk or sequence, or brute force.
-One dynamic program over prefixes finds it; spans are bounded, so its time is linear in the value,
-which is costed whole, however long. The list of words is a small fixed one and not learnt from the
-corpus, in which a secret that is copied often would pass for a common word; what reads as a word of
-natural language is told by its pairs of letters.
+segment: a ranked word, a date, a repeat, a keyboard walk or sequence, a word of natural language, or
+brute force. One dynamic program over prefixes finds it; spans are bounded, so its time is linear in
+the value, which is costed whole, however long. Ranked words are a fixed list of what passwords are made
+of, and then the words of a public tokenizer's vocabulary in its order (`ranked_words`); they are not
+learnt from the corpus, in which a secret that is copied often would pass for a common word. Other words
+of natural language are told by their pairs of letters.
+
+A quoted value runs to its closing quote on the line, a bare one to a blank, quote, bracket, comma or
+semicolon, a password in an address to its @. One cost model judges all: a value is reported if its guesses
+reach `strong`, and after a blank, where prose may stand, if those of what is no word do, or if all reach
+`prose`. Each further word of a value with blanks raises what it must reach by a word's guesses.
 
 Nulls and empty texts have no spans; repeated rows are scanned each for itself; rows without an id
 pass through; extra columns are ignored by `scan` and kept by `redact`, whatever they are called; an
@@ -14,6 +20,7 @@ empty table gives no rows. Of spans that start together the kinds come in the or
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import math
 import re
@@ -34,12 +41,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "credential")
 
-#: A wider credential context: more key words, URL user info and bearer headers.
+#: A wider credential context: more key words, URL user info and bearer headers; quoted and bare values.
 CONTEXT = re.compile(
     r"""(?:(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|api[_-]?key|(?:access|private|auth|account)[_-]?key|auth)"""
-    r"""["']?\s*(?:=>|[:=])\s*["']?|://[^\s:/@"']+:|\bbearer\s+)(?P<value>[^\s"'`<>,;@]{6,})""",
+    r"""["']?\s*(?:=>|[:=])\s*|\bbearer\s+)(?:(?P<quote>["'`])(?P<quoted>(?:\\.|(?!(?P=quote))[^\\\n])+)(?P=quote)|["'`]?(?P<bare>[^\s"'`<>,;]+))"""
+    r"""|://[^\s:/@"']+:(?P<address>[^\s"'`<>,;@/]+)@?""",
     re.ASCII | re.IGNORECASE,
 )
+VALUES = ("quoted", "bare", "address")
 PARAMETER = re.compile(r"&[\w.\[\]-]+=", re.ASCII)  # begins another value of a query string
 CUES = ("pass", "pwd", "secret", "token", "credential", "key", "auth", "bearer", "://")
 
@@ -96,13 +105,12 @@ STARTS, DEGREE = len(NEAR), sum(map(len, NEAR.values())) / len(NEAR)
 
 class GuessCost:
     """log10 guesses of a value. `words` in rank order; a segment costs `overhead` besides its guesses.
-    With `prose`, a run of letters that reads as a word is guessed from a large dictionary."""
+    A run of letters that reads as a word is guessed from a large dictionary."""
 
-    def __init__(self, words: tuple[str, ...] | list[str] = tuple(WORDS), overhead: float = 0.3, reach: int = 24, prose: bool = False):
+    def __init__(self, words: tuple[str, ...] | list[str] = tuple(WORDS), overhead: float = 0.3, reach: int = 24):
         self.rank = {w: math.log10(i + 2) for i, w in reversed(list(enumerate(words)))}
         self.longest = max(map(len, words), default=0)
         self.overhead, self.reach = overhead, max(reach, self.longest)
-        self.prose, self.of_prose = prose, None if prose else GuessCost(words, overhead, reach, True)
 
     @staticmethod
     def brute(c: str) -> float:
@@ -132,7 +140,7 @@ class GuessCost:
                         break
             if m := DATE.match(s, i):
                 add(i, m.end(), math.log10(365 * 119) if m.end() - i > 4 else math.log10(119), "date")
-        for run in RUN.finditer(s) if self.prose else ():
+        for run in RUN.finditer(s):
             for m in CASED.finditer(run[0]) if run[0].isascii() else (re.match(".*", run[0]),):
                 if natural(m[0]):
                     add(run.start() + m.start(), run.start() + m.end(), NATURAL + (0.3 if m[0] != m[0].lower() else 0.0), "natural")
@@ -149,7 +157,7 @@ class GuessCost:
                     i = j - unit + 1
                 else:
                     i += 1
-        for kind, step in (("walk", lambda a, b: b in NEAR.get(a, ())), ("sequence", lambda a, b: abs(ord(a) - ord(b)) == 1)):
+        for kind, step in (("walk", lambda a, b: b in NEAR.get(a, ())), ("sequence", lambda a, b: a.isalnum() and b.isalnum() and abs(ord(a) - ord(b)) == 1)):
             i = 0
             while i < n - 2:
                 j = i + 1
@@ -162,31 +170,47 @@ class GuessCost:
                 i = max(j - 1, i + 1)
         return ends
 
-    def cost(self, s: str) -> float:
-        """Least log10 guesses of the whole value."""
-        best = [0.0] + [math.inf] * len(s)
+    def parts(self, s: str) -> tuple[float, float]:
+        """Least log10 guesses of the whole value, and what words of natural language have in them."""
+        best, words = [0.0] + [math.inf] * len(s), [0.0] * (len(s) + 1)
         ends = self.segments(s)
         single = [self.brute(c) for c in s]
         for j in range(1, len(s) + 1):
-            low, run = math.inf, 0.0
+            low, prose, run = math.inf, 0.0, 0.0
             for i in range(j - 1, max(-1, j - 1 - self.reach), -1):
                 run += single[i]
-                low = min(low, best[i] + run)
-            for i, c, _ in ends.pop(j, ()):
-                low = min(low, best[i] + c)
-            best[j] = low + self.overhead
-        return best[-1]
+                if best[i] + run < low:
+                    low, prose = best[i] + run, words[i]
+            for i, c, kind in ends.pop(j, ()):
+                if best[i] + c < low:
+                    low, prose = best[i] + c, words[i] + (c + self.overhead if kind in ("natural", "word") else 0.0)
+            best[j], words[j] = low + self.overhead, prose
+        return best[-1], words[-1]
+
+    def cost(self, s: str) -> float:
+        return self.parts(s)[0]
+
+
+def ranked_words(vocabulary: str) -> list[str]:
+    """WORDS, then the whole words (a space and at least three letters) of a file of byte-pair ranks, by rank."""
+    found = []
+    with open(vocabulary, "rb") as f:
+        for line in f:
+            token, rank = line.split()
+            word = base64.b64decode(token)
+            if re.fullmatch(rb" [A-Za-z]{3,}", word):
+                found.append((int(rank), word[1:].decode().lower()))
+    return list(dict.fromkeys([*WORDS, *(w for _, w in sorted(found))]))
 
 
-def strength(m: re.Match, value: str, model: GuessCost, strong: float, prose: float = 14.0) -> float | None:
-    """log10 guesses of a context's value if they are enough. Without a digit the value may be words;
-    after a space it may be prose, which takes more guesses than one or two words."""
-    if any(c.isdigit() for c in value):
-        least, cost = strong, model.cost(value)
-    else:
-        least = max(strong, prose) if m.string[m.start("value") - 1].isspace() else strong
-        cost = model.of_prose.cost(value)
-    return cost if cost >= least else None
+def strength(m: re.Match, start: int, value: str, model: GuessCost, strong: float, prose: float = 14.0) -> float | None:
+    """log10 guesses of a context's value if they are enough."""
+    cost, words = model.parts(value)
+    more = NATURAL + 1.0 if any(c.isspace() for c in value) else 0.0
+    more *= len(value.split()) - 1
+    if not m.string[max(0, start - 2) : start].rstrip("\"'`")[-1:].isspace():
+        return cost if cost >= strong + more else None
+    return cost if cost - words >= strong + more or cost >= max(strong, prose) + more else None
 
 
 def find(text: str | None, model: GuessCost, strong: float = 8.0) -> list[tuple[str, int, int, float | None]]:
@@ -206,17 +230,17 @@ def find(text: str | None, model: GuessCost, strong: float = 8.0) -> list[tuple[
     if any(c in low for c in CUES) and ("=" in text or ":" in text or "bearer" in low):
         base, pos = sorted(s[1:3] for s in spans), 0
         while m := CONTEXT.search(text, pos):
-            a, b = m.span("value")
+            a, b = next(m.span(v) for v in VALUES if m[v] is not None)
             over = [s for s in base if s[0] < b and a < s[1]]
             pos = max(s[1] for s in over) if over else b
             if over and pos < b:  # what exceeds the base spans, up to the next parameter or context
                 ends = [x.start() for x in (PARAMETER.search(text, pos, b), CONTEXT.search(text, pos)) if x]
                 b = min(b, *ends) if ends else b
             value = text[a:b].rstrip(".)")
-            if (c := strength(m, value, model, strong)) is not None:
+            if (c := strength(m, a, value, model, strong)) is not None:
                 at = a
                 for s in [*over, (a + len(value),) * 2]:
-                    if any(x.isalnum() for x in text[at : s[0]]):
+                    if (not over and at < s[0]) or any(x.isalnum() for x in text[at : s[0]]):
                         spans.append(("credential", at, s[0], c))
                     at = max(at, s[1])
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
@@ -230,12 +254,12 @@ def digest(spans: list) -> tuple[str, str]:
 SPAN = "array<struct<kind:string,start:int,end:int,log10_guesses:double>>"
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", strong: float = 8.0) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", strong: float = 8.0, words: list[str] | tuple[str, ...] = tuple(WORDS)) -> DataFrame:
     """(id, secrets): for each row its spans, code points, end exclusive. A narrow map; no shuffle."""
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("log10_guesses", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = GuessCost()
+        model = GuessCost(words)
         for b in batches:
             found = [[dict(zip(("kind", "start", "end", "log10_guesses"), s, strict=True)) for s in find(t.as_py(), model, strong)] for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, arrow)], names=["id", "secrets"])
@@ -246,11 +270,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", strong
     return src.mapInArrow(run, f"id {id_type}, secrets {SPAN}").withColumnRenamed("id", id_col)
 
 
-def scan_digest(docs: DataFrame) -> DataFrame:
+def scan_digest(docs: DataFrame, words: list[str] | tuple[str, ...] = tuple(WORDS)) -> DataFrame:
     """The contract's columns, derived per row from the same `find` as `scan`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = GuessCost()
+        model = GuessCost(words)
         for b in batches:
             rows = [find(t.as_py(), model) for t in b.column(1)]
             both = [digest(r) for r in rows]
@@ -283,11 +307,11 @@ def redact_text(text: str | None, model: GuessCost, strong: float = 8.0) -> str
     return "".join([*out, text[at:]])
 
 
-def redact(docs: DataFrame, text_col: str = "text", strong: float = 8.0) -> DataFrame:
+def redact(docs: DataFrame, text_col: str = "text", strong: float = 8.0, words: list[str] | tuple[str, ...] = tuple(WORDS)) -> DataFrame:
     """All rows and columns, with secrets replaced in `text_col`."""
     @F.pandas_udf("string")
     def clean(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = GuessCost()
+        model = GuessCost(words)
         for part in texts:
             yield part.map(lambda t: redact_text(t, model, strong) if isinstance(t, str) else None)
 

@@ -152,11 +152,39 @@ def brute_cost(s, segments, brute, reach, overhead):
 def test_credential_spans_equal_brute_force(value):
     """A value in a context is a span where its cost, by another program, reaches the threshold."""
     m = secrets.GuessCost()
-    text = f"x pwd={value} y"
-    model = m if any(c.isdigit() for c in value) else m.of_prose
-    cost = brute_cost(value, model.segments(value), model.brute, model.reach, model.overhead)
-    want = [("credential", 6, 6 + len(value))] if len(value) >= 6 and cost >= 8 else []
-    assert [x[:3] for x in secrets.find(text, m) if x[0] == "credential"] == want
+    cost = brute_cost(value, m.segments(value), m.brute, m.reach, m.overhead)
+    for before, after in (("x pwd=", " y"), ('x pwd="', '" y'), ("db://user:", "@host"), ("passcode='", "';")):
+        text = before + value + after
+        want = [("credential", len(before), len(before) + len(value))] if cost >= 8 else []
+        assert [x[:3] for x in secrets.find(text, m) if x[0] == "credential"] == want
+        assert not want or secrets.redact_text(text, m) == f"{before}<CREDENTIAL_REMOVED>{after}"
+
+
+QUOTED = ["Xk29fj3;LmQ8z!rT4@home", "Xk29, fj3LmQ8z", "$%&!?<>", "a'b;c,d<e>9Zq", "x\\\"y9Kq2;Lm"]
+
+
+@pytest.mark.parametrize("value", QUOTED)
+def test_quoted_values_are_whole(value):
+    for m in (secrets.GuessCost(), secrets.GuessCost(secrets.ranked_words(tokenizer()[0]))):
+        text = f'pwd="{value}" and more'
+        assert [text[a:b] for k, a, b, _ in secrets.find(text, m)] == [value]
+        assert secrets.redact_text(text, m) == 'pwd="<CREDENTIAL_REMOVED>" and more'
+
+
+@pytest.mark.parametrize("text, found", [
+    ("pwd=$%&!? z", True), ("pwd=x7Kq2 z", False), ("pwd: x7Kq2Lm9 z", True), ("auth: Thessalonicher-2 z", False), ("password: [REDACTED-4] z", False),
+    ('auth: "This is a sentence of words that goes on" z', False), ("token='abc' or secret='def'", False), ("see http://example.org:8080/long/path/of/words z", False),
+    ("pwd: Kapitel-12 z", False), ("bearer of 1,000 gifts", False), ("pwd='unclosed9Kx2q7 z", True),
+])
+def test_the_cost_decides(text, found):
+    for m in (secrets.GuessCost(), secrets.GuessCost(secrets.ranked_words(tokenizer()[0]))):
+        assert any(k == "credential" for k, *_ in secrets.find(text, m)) == found
+
+
+def test_ranked_words_come_in_order():
+    words = secrets.ranked_words(tokenizer()[0])
+    assert len(words) > 10_000 and len(set(words)) == len(words) and words[: len(secrets.WORDS)] == secrets.WORDS
+    assert words.index("there") < words.index("battery") or "battery" in secrets.WORDS
 
 
 def test_redaction_leaves_the_rest():
@@ -508,6 +536,24 @@ def test_pairs_grow_with_the_rows(spark, monkeypatch):
     assert {r.component for r in got} == {0} and sum(counts) < 30 * len(texts)
 
 
+@pytest.mark.parametrize("pivot_over", [8, 32])
+def test_a_shared_passage_makes_no_pairs(spark, monkeypatch, pivot_over):
+    """Texts of their own that share a passage, without a table of common grams: rows joined stay in proportion."""
+    counts, candidates = [], ngram_join._candidates
+    monkeypatch.setattr(ngram_join, "_candidates", lambda sides, *rest: (counts.append(sides.count()), candidates(sides, *rest))[1])
+    rng = random.Random(6)
+    passage = [f"p{i}" for i in range(40)]
+    texts = []
+    for i in range(1_500):
+        w = [f"w{rng.randrange(10**7)}" for _ in range(100)]
+        w[50:50] = passage
+        texts.append(" ".join(w))
+    texts += [t.replace(" p39 ", " p39 extra ") for t in texts[:20]]  # and some near copies, which must be found
+    got = {r.doc_id: r.component for r in ngram_join.classes(documents(spark, texts), s=ngram_join.Settings(table_rows=0, pivot_over=pivot_over)).collect()}
+    assert got == {i: i if i < 1_500 else i - 1_500 for i in range(1_520)}
+    assert sum(counts) < 20 * len(texts)
+
+
 # ---- 7 quality rules
 
 

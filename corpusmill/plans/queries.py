@@ -22,6 +22,7 @@ from ..operators.tables import shared_folder
 from ..sources import files, sinks, store
 from ..sources import pages as P
 from ..streaming import ingest, scoring
+from . import sentence_sql as chain
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -110,7 +111,7 @@ def q05_prose_metrics(spark, sf_dir):
     return m.withColumn("reason", gates.prose_reason(sentences=False)).drop("text")
 
 
-@query()
+@query(chain.PROSE_GATE)
 def q05b_prose_gate(spark, sf_dir):
     """The whole prose gate."""
     m = gates.prose_measures(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -187,17 +188,17 @@ def q16_spelling_modernised(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", modernize_spelling(F.col("text"))["changed"].alias("changed"))
 
 
-@query()
+@query(chain.SENTENCE_COUNTS)
 def q17_sentences_per_doc(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(split_sentences_corpus(F.col("text"))).alias("corpus_sentences"), F.size(split_sentences_app(F.col("text"))).alias("app_sentences"))
 
 
-@query()
+@query(chain.CHUNK_ROWS)
 def q18_chunks(spark, sf_dir):
     return chunking.chunk_documents(table(spark, sf_dir, "documents")).drop("context_before")
 
 
-@query()
+@query(chain.CHUNK_GATE)
 def q19_chunk_gate(spark, sf_dir):
     c = chunking.chunk_documents(table(spark, sf_dir, "documents"))
     g = gates.gate_chunks(c)
@@ -356,7 +357,10 @@ def q35b_skipped(spark, sf_dir):
     return dataset.skip_report(_assembled(spark, sf_dir)[1]).withColumn("first_ids", F.array_join("first_ids", ","))
 
 
-@query()
+@query(f"""WITH {ASSEMBLY}, r AS (SELECT 'human-' || h.doc_id AS id, h.text, h.split, h.doc_id, d.source FROM h JOIN documents d USING (doc_id) UNION ALL
+SELECT j.kind || '-' || j.doc_id, ai.text, j.split, j.doc_id, d.source FROM j JOIN k USING (kind) JOIN ai ON ai.seed_id = j.doc_id AND ai.turn = k.turn JOIN documents d ON d.doc_id = j.doc_id WHERE skip_reason IS NULL)
+SELECT 'duplicate_id' AS problem, id AS key FROM r GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'identical_texts', sha256(text) FROM r GROUP BY 2 HAVING count(*) > 1 UNION ALL SELECT 'empty_text', id FROM r WHERE trim(text) = ''
+UNION ALL SELECT 'missing_licence_or_source', id FROM r WHERE coalesce(source, '') = '' UNION ALL SELECT 'document_in_two_splits', doc_id::VARCHAR FROM r GROUP BY doc_id HAVING min(split) <> max(split) UNION ALL SELECT 'group_in_two_splits', doc_id::VARCHAR FROM r GROUP BY doc_id HAVING min(split) <> max(split)""")
 def q35c_dataset_problems(spark, sf_dir):
     return dataset.problems(_assembled(spark, sf_dir)[0])
 
@@ -392,18 +396,18 @@ def q37_best_link(spark, sf_dir):
     return P.find_pdf_url(table(spark, sf_dir, "pages"), ("/",))
 
 
-@query()
+@query(chain.WINDOW_ROWS)
 def q38_sentence_windows(spark, sf_dir):
     return detect.windows(table(spark, sf_dir, "documents")).drop("window_text")
 
 
-@query()
+@query(chain.OVERALL)
 def q39_detect_overall_and_shares(spark, sf_dir):
     overall, _ = detect.detect(table(spark, sf_dir, "documents"))
     return rounded(overall, *[f"{x}{k}" for x in ("p", "share_") for k in range(3)])
 
 
-@query()
+@query(chain.SPANS)
 def q39b_detect_spans(spark, sf_dir):
     return rounded(detect.detect(table(spark, sf_dir, "documents"))[1], "p0", "p1", "p2")
 
@@ -682,3 +686,47 @@ def q71_scored_in_batches(spark, sf_dir):
     scoring.queue(d, f"{folder}/queue", 5000)
     scoring.score(spark, f"{folder}/queue", d.schema, lambda b: b.select("doc_id", F.length("text").alias("n_chars"), T.word_count(F.col("text")).cast("int").alias("words")), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     return scoring.scored(spark, f"{folder}/out")
+
+
+# ---- smaller operators of the chain and of the comparisons
+
+
+@query(chain.GLUED_WORDS)
+def q72_glued_words(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.glued_word_count(F.col("text")).alias("glued"))
+
+
+@query(chain.CHUNK_CONTEXTS)
+def q18b_chunk_contexts(spark, sf_dir):
+    c = chunking.chunk_documents(table(spark, sf_dir, "documents"))
+    return c.select("document_id", "chunk_number", T.word_count(F.col("chunk")).cast("int").alias("words"), T.word_count(F.col("context_before")).cast("int").alias("context_words"))
+
+
+@query(f"WITH {ASSEMBLY} SELECT 'assisted-' || h.doc_id AS id, sha256(h.text) AS original FROM j JOIN h USING (doc_id) WHERE j.kind = 'assisted' AND skip_reason IS NULL")
+def q73_match_originals(spark, sf_dir):
+    """AI-assisted rows with the text that they were made from."""
+    rows = _assembled(spark, sf_dir)[0]
+    pairs, _ = dataset.match_originals(rows.where("label = 2").select("id", "seed_sample_id"), rows.where("label = 0").select("id", "text"))
+    return pairs.select("id", F.sha2("original_text", 256).alias("original"))
+
+
+@query(f"""WITH {PREDS}, e AS (SELECT unnest({[e or 1e9 for e, _ in S.SIMILARITY_BINS]!r})::DOUBLE AS upto, unnest({[b for _, b in S.SIMILARITY_BINS]!r}) AS bin, unnest(range({len(S.SIMILARITY_BINS)}))::INT AS bin_ord),
+x AS (SELECT (SELECT min(bin_ord) FROM e WHERE conf <= upto) AS bin_ord, pred <> label AS missed FROM p WHERE model = 'e')
+SELECT e.bin, e.bin_ord, count(x.bin_ord) AS texts, count(*) FILTER (WHERE x.missed) AS missed, count(*) FILTER (WHERE x.missed)::DOUBLE / nullif(count(x.bin_ord), 0) AS miss_rate FROM e LEFT JOIN x USING (bin_ord) GROUP BY ALL""")
+def q74_misses_by_bin(spark, sf_dir):
+    """Misses by bins of a value between 0 and 1, here a model's confidence."""
+    p = preds(spark, sf_dir).where("model = 'e'").withColumn("similarity", F.greatest("p0", "p1", "p2"))
+    return similarity.by_similarity(p, ~metrics.right())
+
+
+@query(f"WITH {PREDS}, r AS (SELECT source, model, avg((pred <> label)::INT) AS rate FROM p GROUP BY ALL) SELECT source, coalesce(max(rate) FILTER (WHERE model = 'e') > max(rate) FILTER (WHERE model <> 'e'), false) AS above_all FROM r GROUP BY source")
+def q75_above_all_others(spark, sf_dir):
+    """Whether one model misses more than every other, for each source."""
+    rates = preds(spark, sf_dir).groupBy("source", "model").agg(F.avg((~metrics.right()).cast("int")).alias("rate"))
+    return similarity.above_all_others(rates, "source", "model", "rate", "e")
+
+
+@query("SELECT DISTINCT least(n, greatest(1, round_even(f * n, 0)))::INT AS texts FROM (SELECT count(*) AS n FROM documents), (SELECT unnest([0.01, 0.05, 0.12, 0.175, 0.25, 0.5, 1.0])::DOUBLE AS f)")
+def q76_subset_sizes(spark, sf_dir):
+    n = table(spark, sf_dir, "documents").count()
+    return spark.createDataFrame([(x,) for x in dedup.subset_sizes(n, [0.01, 0.05, 0.12, 0.175, 0.25, 0.5, 1.0])], "texts int")

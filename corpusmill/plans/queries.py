@@ -730,3 +730,26 @@ def q75_above_all_others(spark, sf_dir):
 def q76_subset_sizes(spark, sf_dir):
     n = table(spark, sf_dir, "documents").count()
     return spark.createDataFrame([(x,) for x in dedup.subset_sizes(n, [0.01, 0.05, 0.12, 0.175, 0.25, 0.5, 1.0])], "texts int")
+
+
+_SCORE = "CASE WHEN contains(lower(href), '.pdf') THEN 3 ELSE 0 END + CASE WHEN regexp_matches(label, 'volltext|download|full text|pdf') THEN 3 ELSE 0 END + CASE WHEN regexp_matches(lower(href), 'cover|deckblatt|titelblatt') THEN -10 ELSE 0 END"
+
+
+@query(f"""WITH a AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?is)<a\\b[^>]*\\bhref\\s*=\\s*["''][^"'']*["''][^>]*>.*?</a>')) AS a FROM pages),
+l AS (SELECT page_id, url, regexp_extract(a, '(?is)<a\\b[^>]*\\bhref\\s*=\\s*["'']([^"'']*)["'']', 1) AS href, lower(trim(regexp_replace(regexp_replace(a, '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))) AS label FROM a),
+s AS (SELECT page_id, CASE WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN href ELSE regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1) || CASE WHEN starts_with(href, '/') THEN '' ELSE '/' END || href END AS u, {_SCORE} AS score FROM l WHERE contains(lower(href), '.pdf') OR contains(lower(href), 'bitstream')),
+b AS (SELECT page_id, max((score, u)) AS m FROM s GROUP BY page_id) SELECT p.page_id, m[2] AS pdf_url, m[1]::INT AS score FROM pages p LEFT JOIN b USING (page_id)""")
+def q37b_best_pdf_link(spark, sf_dir):
+    """The full text that a page links to, by the operator's own filter."""
+    return P.find_pdf_url(table(spark, sf_dir, "pages"))
+
+
+_NAME = "regexp_extract(text, '\\b([A-ZÄÖÜ][a-zäöüß]+)(?: et al\\.)?,? \\(?\\d{4}', 1)"
+_MOVED = "list_transform(regexp_extract_all(text, '\\d+|\\D+'), lambda x: CASE WHEN try_cast(x AS HUGEINT) IS NOT NULL AND regexp_matches(x, '^\\d+$') AND length(x) <= 38 THEN (x::HUGEINT + CASE WHEN x::HUGEINT BETWEEN 1900 AND 2099 THEN 2 ELSE 1 END)::VARCHAR ELSE x END)"
+_SWAPPED = "replace(replace(regexp_replace(regexp_replace(text, '„([^„“”]*)“', chr(1) || '\\1' || chr(2), 'g'), '“([^„“”\\x01\\x02]*)”', '„\\1“', 'g'), chr(1), '“'), chr(2), '”')"
+
+
+@query(f"""SELECT doc_id, CASE WHEN regexp_matches(text, '„[^„“”]*“|“[^„“”]*”') THEN sha256({_SWAPPED}) END AS quotes, CASE WHEN regexp_matches(text, '\\d') THEN sha256(array_to_string({_MOVED}, '')) END AS numbers,
+CASE WHEN {_NAME} <> '' THEN sha256(regexp_replace(text, '\\b' || {_NAME} || '\\b', CASE WHEN {_NAME} = 'Müller' THEN 'Schmidt' ELSE 'Müller' END, 'g')) END AS cited_name FROM documents""")
+def q66b_perturbed_quotes_numbers_names(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", *[F.sha2(T.perturb(F.col("text"), k), 256).alias(k) for k in ("quotes", "numbers", "cited_name")])

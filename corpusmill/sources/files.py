@@ -97,12 +97,28 @@ def card(counts: DataFrame, template: str) -> str:
     return template.replace("{rows}", "\n".join(lines))
 
 
+def _whole_keys(value):
+    """Mappings whose keys are all numbers, as in the labels of a JSON file, get whole ones."""
+    if isinstance(value, dict):
+        numbers = value and all(str(k).lstrip("-").isdigit() for k in value)
+        return {int(k) if numbers else k: _whole_keys(v) for k, v in value.items()}
+    return [_whole_keys(v) for v in value] if isinstance(value, list) else value
+
+
 def load_config(path: str, sections: tuple[str, ...]) -> dict:
-    """A JSON configuration; all sections must be there."""
-    config = json.loads(Path(path).read_text(encoding="utf-8"))
+    """A JSON or YAML configuration; all sections must be there. Labels have whole numbers as keys."""
+    text = Path(path).read_text(encoding="utf-8")
+    if Path(path).suffix in (".yaml", ".yml"):
+        try:
+            import yaml
+        except ImportError as e:
+            raise ImportError("YAML configurations need the yaml package; JSON ones do not") from e
+        config = yaml.safe_load(text) or {}
+    else:
+        config = json.loads(text)
     if missing := [s for s in sections if s not in config]:
         raise ValueError(f"sections missing: {missing}")
-    return config
+    return _whole_keys(config)
 
 
 def load_temperature(path: str) -> float:

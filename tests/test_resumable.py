@@ -227,3 +227,14 @@ def test_first_existing_file(spark, tmp_path):
     want = {1: 0, 2: 0, 3: 1, 4: 2, 5: 2, 6: 3}
     assert got == sorted((i, f"l{i}", want[i], f"ü{want[i]}-{i}") for i in [1, 1, 2, 3, 4, 5, 6])
     assert [(r.text, r.text_folder) for r in files.texts_of(rows.where("id = 7"), folders).collect()] == [(None, None)]
+
+
+def test_configurations(tmp_path):
+    pytest.importorskip("yaml")
+    (tmp_path / "c.yaml").write_text("labels:\n  0: {name: human}\n  1: {name: ai}\ntraining:\n  learning_rate: 2.0e-5\n  folds: [1, 2]\n")
+    (tmp_path / "c.json").write_text('{"labels": {"0": {"name": "human"}, "1": {"name": "ai"}}, "training": {"learning_rate": 2e-5, "folds": [1, 2]}}')
+    a, b = (files.load_config(str(tmp_path / f"c.{x}"), ("labels", "training")) for x in ("yaml", "json"))
+    assert a == b and a["labels"][1]["name"] == "ai"
+    for x in ("yaml", "json"):
+        with pytest.raises(ValueError, match="models"):
+            files.load_config(str(tmp_path / f"c.{x}"), ("labels", "models"))

@@ -17,7 +17,7 @@ from ..functions import language
 from ..functions import scalars as S
 from ..functions import text as T
 from ..functions.sentences import modernize_spelling, split_sentences_app, split_sentences_corpus
-from ..operators import chunking, dataset, dedup, detect, gates, generate, metrics, ml, ordering, similarity, stats
+from ..operators import chunking, dataset, dedup, detect, gates, generate, layout, metrics, ml, ordering, similarity, stats
 from ..operators.tables import shared_folder
 from ..sources import files, sinks, store
 from ..sources import pages as P
@@ -753,3 +753,62 @@ _SWAPPED = "replace(replace(regexp_replace(regexp_replace(text, '„([^„“”
 CASE WHEN {_NAME} <> '' THEN sha256(regexp_replace(text, '\\b' || {_NAME} || '\\b', CASE WHEN {_NAME} = 'Müller' THEN 'Schmidt' ELSE 'Müller' END, 'g')) END AS cited_name FROM documents""")
 def q66b_perturbed_quotes_numbers_names(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", *[F.sha2(T.perturb(F.col("text"), k), 256).alias(k) for k in ("quotes", "numbers", "cited_name")])
+
+
+# ---- page layout: documents set in lines of eight words in two spans, four lines to a block, five blocks to a page
+
+
+def laid_out(docs: DataFrame) -> DataFrame:
+    """Spans as `layout` takes them. Odd lines have a gap between their spans, every ninth is small, every
+    eleventh bold, and each page begins with the source's running head."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[ \t\n\r]+"), lambda w: w != "")
+    d = docs.select("doc_id", "source", words.alias("w")).where(F.size("w") > 0)
+    d = d.select("doc_id", "source", "w", F.explode(F.sequence(F.lit(0), ((F.size("w") - 1) / 4).cast("int"))).alias("s"))
+    at, span = F.expr("s div 2").cast("int"), F.expr("s % 2")
+    head = F.when(span == 0, F.concat(F.lit("Running head of "), F.coalesce("source", F.lit("")))).otherwise("in all")
+    first = (at % 20) == 0
+    return d.select(
+        "doc_id", F.expr("(s div 2) div 20").cast("int").alias("page"), F.expr("((s div 2) div 4) % 5").cast("int").alias("block"), F.expr("(s div 2) % 4").cast("int").alias("line"), span.alias("span"),
+        F.when(first, head).otherwise(F.array_join(F.slice("w", F.col("s") * 4 + 1, 4), " ")).alias("text"), F.when(at % 9 == 4, 8.0).otherwise(10.0).alias("size"), (at % 11 == 0).alias("bold"),
+        (span * 100.0).alias("x0"), (span * 100.0 + F.when(at % 2 == 1, 95.0).otherwise(99.0)).alias("x1"),
+    )
+
+
+SPANS = """d AS (SELECT doc_id, source, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\r]+'), lambda x: x <> '') AS w FROM documents), e AS (SELECT *, unnest(range(0, (len(w) + 3) // 4)) AS s FROM d WHERE len(w) > 0),
+sp AS (SELECT doc_id, ((s // 2) // 20)::INT AS page, (((s // 2) // 4) % 5)::INT AS block, ((s // 2) % 4)::INT AS line, (s % 2)::INT AS span, s // 2 AS n, CASE WHEN (s // 2) % 20 = 0 THEN CASE WHEN s % 2 = 0 THEN 'Running head of ' || coalesce(source, '') ELSE 'in all' END ELSE array_to_string(w[s * 4 + 1 : s * 4 + 4], ' ') END AS text FROM e),
+sz AS (SELECT doc_id, arg_max(size, (chars, -first)) AS body FROM (SELECT doc_id, CASE WHEN n % 9 = 4 THEN 8.0 ELSE 10.0 END AS size, sum(length(text))::BIGINT AS chars, min(n * 2 + span) AS first FROM sp GROUP BY ALL) GROUP BY doc_id),
+ln AS (SELECT doc_id, page, block, line, any_value(n) AS n, string_agg(text, chr(1) ORDER BY span) AS parts FROM sp GROUP BY doc_id, page, block, line),
+li AS (SELECT doc_id, page, block, line, n, trim(replace(parts, chr(1), CASE WHEN n % 2 = 1 THEN ' ' ELSE '' END)) AS full_, abs(CASE WHEN n % 9 = 4 THEN 8.0 ELSE 10.0 END - body) <= 0.5 AS has_body FROM ln JOIN sz USING (doc_id))"""
+
+
+@query(f"WITH {SPANS} SELECT doc_id, page, block, line, sha256(full_) AS full_hash, sha256(CASE WHEN has_body THEN full_ ELSE '' END) AS kept_hash, has_body, NOT has_body OR n % 11 = 0 AS bold FROM li")
+def q77_page_lines(spark, sf_dir):
+    """Lines from spans, a space where a gap shows, and what of them is in the body's size."""
+    lines = layout.lines_of(laid_out(table(spark, sf_dir, "documents")))
+    return lines.select("doc_id", "page", "block", "line", F.sha2("full", 256).alias("full_hash"), F.sha2("kept", 256).alias("kept_hash"), "has_body", "bold")
+
+
+@query(f"WITH {SPANS}, pg AS (SELECT doc_id, max(page) + 1 AS n_pages FROM sp GROUP BY doc_id) SELECT doc_id, lower(full_) AS low FROM li JOIN pg USING (doc_id) GROUP BY doc_id, 2, n_pages HAVING n_pages >= 5 AND count(DISTINCT page) >= greatest(3, floor(n_pages * 0.25)) AND length(lower(full_)) <= 120")
+def q78_repeated_page_lines(spark, sf_dir):
+    spans = laid_out(table(spark, sf_dir, "documents"))
+    return layout.repeated_lines(layout.lines_of(spans), spans.groupBy("doc_id").agg((F.max("page") + 1).alias("n_pages")))
+
+
+_BROKEN = f"regexp_matches(a, '[A-Za-zÄÖÜäöüß]-$') AND regexp_matches(x, '^\\p{{Ll}}') AND NOT list_contains({list(T.HYPHEN_STAYS)!r}, regexp_replace(lower(regexp_extract(x, '^(\\S+)', 1)), '[,.;:]+$', ''))"
+
+
+@query(f"WITH {SPANS} SELECT doc_id, page, block, sha256(list_reduce(list(full_ ORDER BY line), lambda a, x: CASE WHEN x = '' THEN a WHEN a = '' THEN x WHEN {_BROKEN} THEN left(a, length(a) - 1) || x ELSE a || ' ' || x END)) AS joined FROM li GROUP BY doc_id, page, block")
+def q79_joined_lines(spark, sf_dir):
+    """Blocks as paragraphs; words that a line's end broke are joined."""
+    lines = layout.lines_of(laid_out(table(spark, sf_dir, "documents")))
+    blocks = lines.groupBy("doc_id", "page", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("line", "full"))), lambda x: x["full"]).alias("ls"))
+    return blocks.select("doc_id", "page", "block", F.sha2(layout.join_lines(F.col("ls")), 256).alias("joined"))
+
+
+@query("""WITH f AS (SELECT doc_id, length(text)::BIGINT * 40000 AS length, CASE WHEN doc_id % 7 = 0 THEN '<htm' ELSE '%PDF' END AS head, doc_id % 5 = 0 AS encrypted, (length(text) // 40)::INT AS n_pages, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE length(text) END AS chars FROM documents)
+SELECT doc_id, CASE WHEN length > 100 * 1024 * 1024 THEN 'pdf_too_large' WHEN head <> '%PDF' THEN 'pdf_not_a_pdf' WHEN encrypted THEN 'pdf_encrypted' WHEN n_pages > 400 THEN 'pdf_too_many_pages' WHEN coalesce(chars, 0) < 20 * greatest(1, n_pages) THEN 'pdf_no_text_layer' END AS status FROM f""")
+def q80_pdf_status(spark, sf_dir):
+    """Why files are skipped, over file properties that follow from the documents."""
+    n = F.length("text")
+    files_ = table(spark, sf_dir, "documents").select("doc_id", (n.cast("long") * 40000).alias("length"), F.when(F.col("doc_id") % 7 == 0, "<htm").otherwise("%PDF").alias("head"), (F.col("doc_id") % 5 == 0).alias("encrypted"), F.floor(n / 40).cast("int").alias("n_pages"), F.when(F.col("doc_id") % 3 != 0, n).alias("chars"))
+    return files_.select("doc_id", layout.pdf_status(files_).alias("status"))

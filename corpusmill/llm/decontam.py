@@ -16,8 +16,12 @@ words that are no placeholders, and its whole plain words, so an item of numbers
 equal numbers. An item without a word matches nothing. Items that share a window cost no more than
 their postings: only those of whose windows enough occur are followed to their places.
 
-The table of windows is held by executors in blocks of at most `block_chars` characters of benchmark
-text, one pass per block; a benchmark of any size is handled, and its size is checked, not assumed.
+A benchmark of at most `most_blocks` blocks of `block_chars` characters is held by executors as a table of
+windows, one pass per block; its size is checked, not assumed. A larger one is joined by hash: each item
+gives its rarest windows, so many that no document which lacks them all can reach the share; of the
+documents' windows those that a bitmap of these may know are shuffled to them, each hash being salted by
+how many items have it; and the texts of the pairs found meet for the same comparison. Both ways give the
+same pairs.
 
 Null or empty texts match nothing. Repeated documents are each judged, in place, so a null doc_id is
 kept as null. Repeated items count once; all items that match a document are reported, in order of
@@ -34,10 +38,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import Words, share
+from .common import Words, share, spill, text_batches
+from .ngram_join import WANTED_BITS, _bit_table, _fresh
 
 # Units that stand after a number.
 UNITS = frozenset(
@@ -67,6 +73,7 @@ class Settings:
     share: float = 0.5
     literal: int = 2  # words of a window that are no placeholders, at least
     block_chars: int = 8_000_000
+    most_blocks: int = 4  # beyond these a hash join takes over
 
 
 def template(text: str) -> tuple[bytes, list[str]]:
@@ -206,20 +213,119 @@ class Table:
         return len({w for p, w in pairs if all(own[w + k] is None or means[own[w + k]] == values[p + k] for k in range(n))})
 
 
-def _blocks(bench: DataFrame, s: Settings) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks by a hash of the item, each block small enough to hold."""
+def _n_blocks(bench: DataFrame, s: Settings) -> int:
     total = bench.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, -(-total // s.block_chars))
+    return max(1, -(-total // s.block_chars))
+
+
+def _blocks(bench: DataFrame, n: int) -> Iterator[list[tuple[int, str]]]:
+    """The items in `n` blocks by a hash of the item, each block small enough to hold."""
     for k in range(n):
         part = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
         yield [(r["item_id"], r["text"]) for r in part.collect()]
 
 
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
+
+
+def _text_key(text: Column) -> Column:
+    return F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
+
+
+def _tagged(h: np.ndarray, plain: bool, n: int) -> np.ndarray:
+    """Hashes of windows of n template or plain words, told apart."""
+    return ((h ^ np.uint64(2 * n + plain)) * MIX).view(np.int64)
+
+
+def joined_matches(docs: DataFrame, bench: DataFrame, s: Settings) -> DataFrame:
+    """(text_key, item_id, n_windows, item_windows) for each distinct text of `docs`, by a join on window hashes.
+
+    Whether a text is contaminated depends on the text alone, so it is judged once for all rows that hold it.
+    """
+
+    def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                one = Table([(item, text)], s)
+                for (plain, n), table in one.tables.items():
+                    need = one.need(int(plain))
+                    rows += [(int(h), item, text, plain, n, int(c), need) for h, c in zip(_tagged(table.keys, plain, n), table.count, strict=True)]
+            yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=arrow)
+
+    names = ["h", "item_id", "text", "plain", "n", "c", "need"]
+    arrow = pa.schema([("h", pa.int64()), ("item_id", pa.int64()), ("text", pa.string()), ("plain", pa.bool_()), ("n", pa.int32()), ("c", pa.int64()), ("need", pa.float64())])
+    windows_of = bench.mapInArrow(of_items, "h long, item_id long, text string, plain boolean, n int, c long, need double")
+    items = spill(windows_of.withColumn("item_key", F.md5(F.concat_ws(":", F.col("item_id").cast("string"), "text").cast("binary"))))
+    freq = spill(items.groupBy("h").agg(F.count(F.lit(1)).alias("freq")))
+    # an item's rarest windows until those that are left, all found, would not be enough
+    order = Window.partitionBy("item_key", "plain").orderBy(F.desc("freq"), "h")
+    ranked = items.select("h", "item_key", "plain", "n", "c", "need").join(freq, "h").withColumn("left", F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    keys = spill(ranked.where(F.col("left") >= F.col("need")).select("h", "item_key", "n", "plain", "freq"))
+    kinds = [(bool(r["plain"]), int(r["n"])) for r in keys.select("plain", "n").distinct().collect()]  # ten at most
+    bits = min(WANTED_BITS, 1 << max(16, (16 * keys.count()).bit_length()))
+    have = _bit_table(keys.select("h").distinct(), lambda h: [h & (bits - 1), (h >> 32) & (bits - 1)], bits)
+    known_bits = docs.sparkSession.sparkContext.broadcast(have.tobytes())
+
+    def of_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, hashed, seen = np.frombuffer(known_bits.value, np.uint8), Words(), set()
+        hit = lambda k: table[k >> 3] >> (k & 7).astype(np.uint8) & 1
+        for b in batches:
+            keys, found = [], []
+            for text, key in zip(b.column(0), b.column(1), strict=True):
+                text, key = text.as_py(), key.as_py()
+                if not text or key in seen:
+                    continue
+                if len(seen) > 500_000:
+                    seen.clear()
+                seen.add(key)
+                for plain in (False, True):
+                    words = hashed(Table.read(text, plain)[0])
+                    for kind, n in kinds:
+                        if kind == plain and len(h := windows(words, n)):
+                            h = np.unique(_tagged(h, plain, n))
+                            h = h[(hit(h & (bits - 1)) & hit((h >> 32) & (bits - 1))).astype(bool)]
+                            keys += [key] * len(h)
+                            found.append(h)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))], names=["text_key", "h"])
+
+    texts = docs.select(F.col("text").cast("string").alias("text"), _text_key(F.col("text")).alias("text_key"))
+    asked = texts.mapInArrow(of_docs, "text_key string, h long").distinct()
+    # adaptive execution splits the documents' side of a hot window; its items are spread over the salts of their number
+    salts = F.greatest(F.lit(1), F.least(F.lit(64), F.ceil(F.col("freq") / 1000))).cast("int")
+    dealt = keys.withColumn("salts", salts).withColumn("salt", F.pmod(F.xxhash64("item_key"), F.col("salts")).cast("int"))
+    many = dealt.where("salts > 1").select("h", "salts").distinct()
+    asked = asked.join(many, "h", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    pairs = spill(asked.join(dealt.select("h", "item_key", "salt"), ["h", "salt"]).select("text_key", "item_key").distinct())
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed, tables = Words(), {}
+        for b in batches:
+            rows = []
+            for key, text, item, own in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (item, own) not in tables:
+                    if len(tables) > 1000:
+                        tables.clear()
+                    tables[item, own] = Table([(item, own)], s)
+                rows += [(key, *m) for m in tables[item, own].match(text, hashed)]
+            cols = list(zip(*rows, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *[pa.array(c, pa.int64()) for c in cols[1:]]], names=["text_key", "item_id", "n_windows", "item_windows"])
+
+    wanted = texts.join(pairs.select("text_key").distinct(), "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text"))
+    both = pairs.join(wanted, "text_key").join(items.select("item_key", "item_id", F.col("text").alias("item_text")).dropDuplicates(["item_key"]), "item_key")
+    text_batches(docs.sparkSession)
+    return both.select("text_key", "text", "item_id", "item_text").mapInArrow(compare, "text_key string, item_id long, n_windows long, item_windows long")
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(doc_id, item_id, n_windows, item_windows): the pairs of contaminated document and item."""
-    bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
+    bench = _items(benchmark)
+    if (n := _n_blocks(bench, s)) > s.most_blocks:
+        texts = docs.select("doc_id", F.col("text").cast("string").alias("text"), _text_key(F.col("text")).alias("text_key"))
+        return texts.join(joined_matches(docs, bench, s), "text_key").select("doc_id", "item_id", "n_windows", "item_windows")
     out = None
-    for items in _blocks(bench, s):
+    for items in _blocks(bench, n):
         shared = share(docs.sparkSession, Table(items, s))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -237,8 +343,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) ->
 
 def clean(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> DataFrame:
     """The rows of `docs`, all columns, that no item contaminates; one map over the rows per block."""
-    bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
-    for items in _blocks(bench, s):
+    bench = _items(benchmark)
+    if (n := _n_blocks(bench, s)) > s.most_blocks:
+        bad_key = _fresh("bad_key", docs.columns)
+        bad = joined_matches(docs, bench, s).select(F.col("text_key").alias(bad_key)).distinct()
+        return docs.join(bad, _text_key(docs["text"]) == F.col(bad_key), "left_anti")
+    for items in _blocks(bench, n):
         shared = share(docs.sparkSession, Table(items, s))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -419,9 +419,37 @@ def test_copies_in_another_case(spark):
 
 def test_blocks_give_the_same(spark, sf_dir):
     docs, b = real(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    one, many = (sorted(map(tuple, decontam.matches(docs, b, s).collect())) for s in (decontam.Settings(), decontam.Settings(block_chars=2_000)))
-    assert one == many and one
-    assert decontam.clean(docs, b).count() == docs.count() - len({r[0] for r in one})
+    ways = [decontam.Settings(), decontam.Settings(block_chars=2_000, most_blocks=10**6), decontam.Settings(block_chars=2_000, most_blocks=0)]
+    one, many, joined_ = (sorted(map(tuple, decontam.matches(docs, b, s).collect())) for s in ways)
+    assert one == many == joined_ and one
+    for s in ways:
+        assert decontam.clean(docs, b, s).count() == docs.count() - len({r[0] for r in one})
+
+
+def test_hash_join_equals_brute_force(spark, small_dir):
+    """Short items, re-parameterised ones, other cases, repeated and null rows, clashing names, no rows."""
+    join = decontam.Settings(block_chars=1, most_blocks=0)
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{small_dir}/benchmark.parquet").collect()}
+    items |= {-1: ITEM, -2: "12 + 15 = 27", -3: "What is the capital?", -4: "", -5: "..."}
+    texts = dict(sorted(texts_of(spark, small_dir).items())[:40]) | {-1: f"{OTHER} and {ITEM.lower()}", -2: "see 12 15 27", -3: "what is the capital", -4: f"{OTHER[:70]} {OTHER[40:]}", -5: None, -6: "", -7: f"{OTHER} and {ITEM.lower()}"}
+    docs = documents(spark, list(texts.values()), list(texts)).withColumns({c: F.lit("x") for c in ("text_key", "bad_key", "h", "salt", "item_id")})
+    got = {(r.doc_id, r.item_id) for r in decontam.matches(docs, bench(spark, list(items.items())), join).collect()}
+    assert got == {(i, k) for i, t in texts.items() for k in brute_matches(t or "", items)} and {(-1, -1), (-7, -1), (-2, -2), (-3, -3), (-4, -1)} <= got
+    kept = decontam.clean(docs, bench(spark, list(items.items())), join)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(texts) - {i for i, _ in got}
+    none = documents(spark, ["x"]).limit(0)
+    assert decontam.matches(none, bench(spark, list(items.items())), join).count() == 0
+    assert decontam.clean(docs, bench(spark, []), join).count() == docs.count()
+
+
+def test_hash_join_of_many_items(spark):
+    rng = random.Random(9)
+    words = [f"w{''.join(rng.choices('abcdefgh', k=5))}" for _ in range(3_000)]
+    items = [(i, "all items begin with these same words " + " ".join(rng.choices(words, k=12))) for i in range(30_000)]
+    texts = [f"{' '.join(rng.choices(words, k=60))} {items[i * 100][1]} {' '.join(rng.choices(words, k=60))}" for i in range(200)] + ["all items begin with these same words and no more of them"] * 50
+    s = decontam.Settings(block_chars=100_000, most_blocks=4)
+    got = sorted((r.doc_id, r.item_id) for r in decontam.matches(documents(spark, texts), bench(spark, items), s).collect())
+    assert got == [(i, i * 100) for i in range(200)]
 
 
 # ---- 6 n-gram join

@@ -20,6 +20,9 @@ from .ordering import group_folds
 from .tables import written
 
 
+ROWS = 5_000  # of a partition that the solver reads, at least
+
+
 def tokens(df: DataFrame, text: str = "text") -> DataFrame:
     """Lower-case words of two characters or more, and their pairs, as one array."""
     words = F.filter(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"(?U)\w\w+"), F.lit(0)), lambda w: w != "")
@@ -45,18 +48,20 @@ class SublinearCounts(Transformer, DefaultParamsReadable, DefaultParamsWritable)
 def fit(df: DataFrame, c: float = 3.0, min_df: float = 5.0, max_df: float = 0.98, features: int = 200_000, iterations: int = 1_000, tolerance: float = 1e-4, label: str = "label") -> PipelineModel:
     """(1 + ln count) x (ln((1 + n) / (1 + df)) + 1) -> L2 norm -> regression until a step gains
     less than `tolerance`, in `iterations` at most; the penalty is 1 / (c n)."""
-    df = df.persist()  # read by the vocabulary, the weights and the regression
+    df = df.select(label, "terms").persist()  # read by the vocabulary and once more to be counted
     n = max(1, df.count())
     counts = CountVectorizer(inputCol="terms", outputCol="counts", vocabSize=features, minDF=min(min_df, float(n)), maxDF=max(max_df, 1.0) if n * max_df < min_df else max_df).fit(df)
-    counted = counts.transform(df)
+    # a step of the solver sums a dense vector for each partition, so few rows are kept in few partitions
+    counted = counts.transform(df).select(label, "counts").coalesce(-(-n // ROWS)).persist()
     seen = IDF(inputCol="counts", outputCol="_").fit(counted)
+    df.unpersist()
     weights = [math.log((1 + seen.numDocs) / (1 + k)) + 1 for k in seen.docFreq]
     weigh = ElementwiseProduct(scalingVec=Vectors.dense(weights), inputCol="logs", outputCol="weighted")
     norm = Normalizer(inputCol="weighted", outputCol="features", p=2.0)
     logs = SublinearCounts()
     train = norm.transform(weigh.transform(logs.transform(counted)))
     model = LogisticRegression(labelCol=label, family="multinomial", regParam=1.0 / (c * n), standardization=False, maxIter=iterations, tol=tolerance).fit(train)
-    df.unpersist()
+    counted.unpersist()
     return PipelineModel([counts, logs, weigh, norm, model])
 
 

@@ -87,6 +87,11 @@ def licenses_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
 
 
+def sharding_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op 3's columns of each row that SQL finds too."""
+    return op3_sharding(spark, sf_dir).select("doc_id", "size", "text_crc32", "law")
+
+
 def sharding_law(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op 3's law says of its result: places without gaps in each shard, and loads that differ by
     no more than the largest record."""
@@ -101,7 +106,7 @@ def sharding_law(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_quality, op3_sharding, op4_training_order, op5_decontamination, op6_ngram_join, op7_quality_rules, op8_license_scan, op9_byte_bpe, op10_language_id, op11_simhash, op12_importance_resampling, op13_periodic_runs, langid_pages, secrets_base, licenses_base, sharding_law)
+    f.__name__: f for f in (op1_secret_scan, op2_quality, op3_sharding, op4_training_order, op5_decontamination, op6_ngram_join, op7_quality_rules, op8_license_scan, op9_byte_bpe, op10_language_id, op11_simhash, op12_importance_resampling, op13_periodic_runs, langid_pages, secrets_base, licenses_base, sharding_rows, sharding_law)
 }
 ORACLE_SQL: dict[str, str] = {
     "op6_ngram_join": sql.NGRAM_JOIN,
@@ -109,5 +114,6 @@ ORACLE_SQL: dict[str, str] = {
     "op7_quality_rules": sql.QUALITY_RULES,
     "secrets_base": sql.SECRETS_BASE,
     "licenses_base": sql.LICENSES_BASE,
+    "sharding_rows": sql.SHARDING_ROWS,
     "sharding_law": sql.SHARDING_LAW,
 }

@@ -68,3 +68,6 @@ x AS (SELECT d.doc_id, len(w)::BIGINT AS n_features, coalesce((total - ((total %
 y AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM x),
 z AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS r, count(*) FILTER (WHERE n_features >= 20) OVER () AS n FROM y)
 SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND r <= 10 * n // 100 THEN r END AS rank FROM z"""
+
+SHARDING_ROWS = f"""WITH crc AS (SELECT list({_step.format("i")} ORDER BY i) AS m FROM (SELECT unnest(range(256)) AS i)), b AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS b FROM documents)
+SELECT doc_id, size::BIGINT AS size, xor(list_reduce(b, lambda c, x: xor(c >> 8, m[xor(c & 255, x) + 1]), 4294967295), 4294967295)::BIGINT AS text_crc32, 'bytes' AS law FROM b, crc"""

@@ -50,6 +50,7 @@ class Settings:
     num: int = 90  # similarity num / den or more
     den: int = 100
     pivot_over: int = 32  # lists with more groups are first paired with a pivot
+    crowd: int = 512  # units of a key that are compared with each other; beyond, their sets get other prefixes
     table_rows: int = 200_000  # of the broadcast table of common grams
     block: int = 2_000_000  # grams counted at a time
 
@@ -387,8 +388,8 @@ def _apart(lists: DataFrame, units: DataFrame, many: DataFrame, inside: DataFram
     """Candidate pairs of units of different components that share a gram or a group.
 
     The least gram that two linked sets share lies in both prefixes. A ball has its head's prefix, which
-    all its members share. Keys of few units pair them all. Of two linked sets in a key of many units both
-    are among all units of such keys, whose sets then get prefixes of another order, and share a gram there
+    all its members share. Keys of at most `crowd` units pair them all, so a row meets so many others at
+    most, by its numbers alone. Of two linked sets in a key of more units both are among all units of such keys, whose sets then get prefixes of another order, and share a gram there
     as well; a ball has its members' prefixes, and the least place of a gram in them.
     """
     info = ["fp", "n", "comp", "ball", *BITS]
@@ -404,8 +405,8 @@ def _apart(lists: DataFrame, units: DataFrame, many: DataFrame, inside: DataFram
         same = [F.col(f"x_{k}") == F.col(f"y_{k}") for k in keys]
         return _candidates(_side(rows, "x", cols).join(_side(rows, "y", cols), reduce(and_, same) & apart).where(_may_link(s)), s, times)
 
-    out = paired(rest.where(F.col("held") <= s.pivot_over), ["key", "in_group"])
-    long = rest.where(F.col("held") > s.pivot_over).select(*info).distinct()
+    out = paired(rest.where(F.col("held") <= s.crowd), ["key", "in_group"])
+    long = rest.where(F.col("held") > s.crowd).select(*info).distinct()
     if not long.isEmpty():
         long = spill(long)
         prefixes = _rare_first(inside.select("unit", F.col("fp").alias("m_fp")).join(long.select("fp"), F.col("unit") == F.col("fp"), "left_semi").distinct(), docs, text_col, s)

@@ -494,9 +494,9 @@ def family(seed, n_docs, n_words, edits):
 def test_join_equals_brute_force(spark, pivot_over):
     texts = [*family(1, 60, 120, 5), *family(2, 25, 60, 2), *family(3, 8, 12, 1), *family(4, 40, 150, 2), *(f"only words {i} here {i}" for i in range(20)), *EDGES[:-3]]
     texts = dict(enumerate(texts))
-    got = {r.doc_id: (r.n_grams, r.component) for r in ngram_join.classes(documents(spark, list(texts.values())), s=ngram_join.Settings(pivot_over=pivot_over, block=2_000)).collect()}
+    got = {r.doc_id: (r.n_grams, r.component) for r in ngram_join.classes(documents(spark, list(texts.values())), s=ngram_join.Settings(pivot_over=pivot_over, crowd=pivot_over, block=2_000)).collect()}
     assert got == brute_components(texts)
-    five = ngram_join.Settings(words=5, num=80, pivot_over=pivot_over)
+    five = ngram_join.Settings(words=5, num=80, pivot_over=pivot_over, crowd=pivot_over)
     got = {r.doc_id: (r.n_grams, r.component) for r in ngram_join.classes(documents(spark, list(texts.values())), s=five).collect()}
     assert got == brute_components(texts, 5, 80)
 
@@ -577,7 +577,7 @@ def test_a_shared_passage_makes_no_pairs(spark, monkeypatch, pivot_over):
         w[50:50] = passage
         texts.append(" ".join(w))
     texts += [t.replace(" p39 ", " p39 extra ") for t in texts[:20]]  # and some near copies, which must be found
-    got = {r.doc_id: r.component for r in ngram_join.classes(documents(spark, texts), s=ngram_join.Settings(table_rows=0, pivot_over=pivot_over)).collect()}
+    got = {r.doc_id: r.component for r in ngram_join.classes(documents(spark, texts), s=ngram_join.Settings(table_rows=0, pivot_over=pivot_over, crowd=pivot_over)).collect()}
     assert got == {i: i if i < 1_500 else i - 1_500 for i in range(1_520)}
     assert sum(counts) < 20 * len(texts)
 

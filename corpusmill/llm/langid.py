@@ -4,7 +4,8 @@ Evidence of a row: the text (hashed byte trigrams under one multinomial per lang
 that its markup declares, the suffix of its address and its host. Text models are counts summed over
 all rows that declare a language, smoothed towards those of all languages, so that every declared
 language has a model, however few its rows; host priors are grouped counts, smoothed towards the host's
-suffix, which is smoothed towards all rows. The fused posterior is computed by column expressions.
+suffix, which is smoothed towards all rows. Languages are rows of tables, never columns, and only pairs
+that occur are stored; what executors hold of a language is at most 2 ** bits weights and its name.
 
 A row is rejected if it has no letters, if its text is long enough to tell (`enough` trigrams) and the
 posterior is at least `against` for a language other than the declared one, or if no known language
@@ -27,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,7 +48,7 @@ class Settings:
     sure: float = 0.6
     against: float = 0.95
     enough: int = 40
-    broadcast_hosts: int = 50_000
+    broadcast_pairs: int = 500_000  # of a host or suffix and a language
 
 
 def buckets(text: str | None, bits: int) -> np.ndarray:
@@ -68,99 +70,148 @@ def page_evidence(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", text.alias("text"), none(declared).alias("declared"), none(host).alias("host"), suffix_of(host).alias("suffix"))
 
 
-def _languages(rows: DataFrame) -> list[str]:
-    return sorted(r["declared"] for r in rows.where("declared is not null").select("declared").distinct().collect())
-
-
-def fit_text(rows: DataFrame, languages: list[str], s: Settings) -> np.ndarray:
-    """log P(bucket | language), languages x buckets, from counts summed over all declaring rows."""
+class TextModel:
+    """log P(trigrams | language) for all languages at once. Smoothed counts are the share of all languages
+    and, where a language has trigrams of its own, a weight on top, so only those pairs of bucket and
+    language are held: at most 2 ** bits a language, and no more than its rows have trigrams."""
+
+    def __init__(self, n_languages: int, lang: np.ndarray, bucket: np.ndarray, n: np.ndarray, s: Settings):
+        size = 1 << s.bits
+        whole = np.bincount(bucket, weights=n, minlength=size) + 0.5
+        share = s.smooth * whole / whole.sum()
+        order = np.lexsort((lang, bucket))
+        self.bits, self.base = s.bits, np.log(share)
+        self.total = np.log(np.bincount(lang, weights=n, minlength=n_languages) + s.smooth)
+        self.lang, self.weight = lang[order].astype(np.int32), np.log1p(n[order] / share[bucket[order]])
+        self.start = np.searchsorted(bucket[order], np.arange(size + 1))
+
+    def __call__(self, grams: np.ndarray) -> np.ndarray:
+        counts = np.bincount(grams, minlength=len(self.base))
+        k = np.flatnonzero(counts)
+        low, length = self.start[k], self.start[k + 1] - self.start[k]
+        ends = np.cumsum(length)
+        at = np.repeat(low - (ends - length), length) + np.arange(ends[-1] if len(k) else 0)
+        own = np.bincount(self.lang[at], weights=self.weight[at] * np.repeat(counts[k], length), minlength=len(self.total))
+        return own + counts[k] @ self.base[k] - len(grams) * self.total
+
+
+def fit_text(rows: DataFrame, languages: list[str], s: Settings) -> TextModel:
+    """The model of counts summed over all declaring rows."""
     order, size = {lang: i for i, lang in enumerate(languages)}, 1 << s.bits
 
+    def table(sums: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for i, v in sums.items():
+            k = np.flatnonzero(v)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), i, np.int32)), pa.array(k.astype(np.int32)), pa.array(v[k])], names=["lang", "bucket", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for lang, t in zip(b.column(0), b.column(1), strict=True):
                 if (i := order.get(lang.as_py())) is not None:
-                    sums.setdefault(i, np.zeros(size, np.int64))
+                    if i not in sums:
+                        if len(sums) == 1024:  # what a task holds does not grow with the languages
+                            yield from table(sums)
+                            sums = {}
+                        sums[i] = np.zeros(size, np.int64)
                     sums[i] += np.bincount(buckets(t.as_py(), s.bits), minlength=size)
-        for i, v in sums.items():
-            k = np.flatnonzero(v)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), i, np.int32)), pa.array(k.astype(np.int32)), pa.array(v[k])], names=["lang", "bucket", "n"])
+        yield from table(sums)
 
     text_batches(rows.sparkSession)
-    parts = rows.select("declared", "text").mapInArrow(run, "lang int, bucket int, n long")
+    parts = rows.where("declared is not null").select("declared", "text").mapInArrow(run, "lang int, bucket int, n long")
     sums = parts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros((len(languages), size))
-    np.add.at(counts, (sums["lang"].to_numpy(np.int64), sums["bucket"].to_numpy(np.int64)), sums["n"].to_numpy(np.float64))
-    whole = counts.sum(axis=0) + 0.5
-    counts += s.smooth * whole / whole.sum()
-    return np.log(counts / counts.sum(axis=1, keepdims=True))
-
-
-def priors(rows: DataFrame, languages: list[str], s: Settings) -> tuple[DataFrame, list[float]]:
-    """(host, suffix, prior array) for each host and suffix that occurs, and the overall shares."""
-    own = [F.sum((F.col("declared") == lang).cast("long")) for lang in languages]
-    counts = cut(rows.groupBy("host", "suffix").agg(*[F.coalesce(c, F.lit(0)).alias(f"c{i}") for i, c in enumerate(own)]))
-    all_of = lambda p: [F.sum(f"c{i}").alias(f"{p}{i}") for i in range(len(languages))]
-    r = counts.agg(*all_of("a")).first()
-    total = [(r[i] or 0) + 1.0 for i in range(len(languages))]
-    share = [t / sum(total) for t in total]
-    array = lambda p: F.array(*[F.col(f"{p}{i}").cast("double") for i in range(len(languages))])
-    smooth = lambda c, base: F.zip_with(c, base, lambda x, p: (x + s.pull * p) / (F.aggregate(c, F.lit(0.0), lambda a, v: a + v) + s.pull))
-    whole = F.array(*map(F.lit, share))
-    by_suffix = counts.groupBy("suffix").agg(*all_of("s"))
-    by_suffix = cut(by_suffix.select("suffix", F.when(F.col("suffix").isNull(), whole).otherwise(smooth(array("s"), whole)).alias("s_prior")))
-    joined = lookup_join(counts, by_suffix, ["suffix"], s.broadcast_hosts)
-    prior = F.when(F.col("host").isNull(), F.col("s_prior")).otherwise(smooth(array("c"), F.col("s_prior")))
-    return joined.select("host", "suffix", prior.alias("prior")), share
+    return TextModel(len(languages), *[sums[c].to_numpy(np.int64) for c in ("lang", "bucket", "n")], s)
+
+
+def host_counts(rows: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+    """(host, suffix, declared, n), declared null included, and the rows of each declared language."""
+    counts = cut(rows.groupBy("host", "suffix", "declared").agg(F.count(F.lit(1)).alias("n")))
+    declared = counts.where("declared is not null").groupBy("declared").agg(F.sum("n").alias("n"))
+    return counts, {r["declared"]: r["n"] for r in sorted(declared.collect())}
+
+
+def _own(counts: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """keys and the array `name` of (declared, n): as long as the key has languages."""
+    pair = F.when(F.col("declared").isNotNull(), F.struct("declared", "n"))
+    return counts.groupBy(*keys, "declared").agg(F.sum("n").alias("n")).groupBy(*keys).agg(F.sort_array(F.collect_list(pair)).alias(name))
+
+
+def _dense(pairs: pa.ListArray, names: pa.Array) -> np.ndarray:
+    """rows x languages, from lists of (declared, n); a null list is empty."""
+    lengths, flat = pc.list_value_length(pairs).fill_null(0).to_numpy(), pairs.flatten()
+    out = np.zeros((len(pairs), len(names)))
+    at = pc.index_in(flat.field("declared"), value_set=names).to_numpy(zero_copy_only=False)
+    out[np.repeat(np.arange(len(pairs)), lengths), at.astype(np.int64)] = flat.field("n").to_numpy(zero_copy_only=False)
+    return out
 
 
 def identify(rows: DataFrame, keep: list[str], s: Settings = Settings(), keep_text: bool = False) -> DataFrame:
-    """keep, language, posterior, n_grams, accepted for each of `rows` (text, declared, host, suffix)."""
-    languages = _languages(rows)
+    """keep, language, posterior, n_grams, accepted for each of `rows` (text, declared, host, suffix).
+
+    The host's and the suffix's counts of languages are joined to the rows as short lists; the posterior is
+    taken over all languages, in blocks of rows that bound its memory."""
+    counts, known = host_counts(rows)
     texts = ["text"] if keep_text else []
-    if not languages:
+    if not known:
         return rows.select(*keep, *texts, F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("posterior"), F.lit(0).cast("long").alias("n_grams"), F.lit(False).alias("accepted"))
+    languages = list(known)
     model = share(rows.sparkSession, fit_text(rows, languages, s))
-    hosts, overall = priors(rows, languages, s)
+    overall = np.array(list(known.values()), np.float64) + 1
+    overall = share(rows.sparkSession, (languages, overall / overall.sum()))
+    width = len(languages)
+    block = max(1, min(1024, 2_000_000 // width))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def likelihoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         log_p = model()
-        size = log_p.shape[1]
         for whole in batches:
-            for start in range(0, whole.num_rows, 1024):
-                b = whole.slice(start, 1024)
+            for start in range(0, whole.num_rows, block):
+                b = whole.slice(start, block)
                 at = b.schema.get_field_index("text")
                 n, scores = [], []
                 for t in b.column(at):  # one text's trigrams at a time
                     grams = buckets(t.as_py(), s.bits)
                     n.append(len(grams))
-                    scores.append((log_p @ np.bincount(grams, minlength=size)) * min(1.0, s.length / max(1, len(grams))))
-                flat = np.concatenate(scores) if scores else np.zeros(0)
-                ll = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * log_p.shape[0]), pa.array(flat))
+                    scores.append(log_p(grams) * min(1.0, s.length / max(1, len(grams))))
+                ll = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * width), pa.array(np.concatenate(scores)))
                 cols = [(f.name, b.column(i)) for i, f in enumerate(b.schema) if keep_text or i != at]
                 yield pa.RecordBatch.from_arrays([*[c for _, c in cols], pa.array(n, pa.int64()), ll], names=[*[name for name, _ in cols], "n_grams", "ll"])
 
+    kept = [f"k_{c}" for c in keep] + texts
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, prior = overall()
+        names = pa.array(names, pa.string())
+        for whole in batches:
+            for start in range(0, whole.num_rows, block):
+                b = whole.slice(start, block)
+                column = lambda c: b.column(b.schema.get_field_index(c))  # noqa: E731, B023
+                p = np.broadcast_to(prior, (b.num_rows, width))
+                for c in ("of_suffix", "of_host"):
+                    x = _dense(column(c), names)
+                    p = (x + s.pull * p) / (x.sum(axis=1, keepdims=True) + s.pull)
+                total = column("ll").flatten().to_numpy().reshape(b.num_rows, width) + np.log(p)
+                declared = pc.index_in(column("declared"), value_set=names, skip_nulls=True).fill_null(-1).to_numpy()
+                has = np.flatnonzero(declared >= 0)
+                total[has] += math.log((1 - s.trust) / max(1, width - 1))
+                total[has, declared[has]] += math.log(s.trust) - math.log((1 - s.trust) / max(1, width - 1))
+                best = total.argmax(axis=1)
+                posterior = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+                n = column("n_grams").to_numpy()
+                against = (declared >= 0) & (best != declared) & (posterior >= s.against) & (n >= s.enough)
+                accepted = (n > 0) & ~against & ((declared >= 0) | (posterior >= s.sure))
+                language = names.take(pa.array(best, mask=n == 0))
+                yield pa.RecordBatch.from_arrays([*map(column, kept), language, pa.array(posterior), column("n_grams"), pa.array(accepted)], names=[*kept, "language", "posterior", "n_grams", "accepted"])
+
     named = rows.select(*[F.col(c).alias(f"k_{c}") for c in keep], "text", "declared", "host", "suffix")
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in named.schema if keep_text or f.name != "text")
-    scored = named.mapInArrow(run, f"{kinds}, n_grams long, ll array<double>")
-    joined = lookup_join(scored, cut(hosts), ["host", "suffix"], s.broadcast_hosts)
-    names = F.array(*map(F.lit, languages))
-    known = F.array_contains(names, F.col("declared"))
-    wrong = math.log((1 - s.trust) / max(1, len(languages) - 1))
-
-    def declared_evidence(lang: Column) -> Column:
-        return F.when(F.coalesce(~known, F.lit(True)), F.lit(0.0)).when(lang == F.col("declared"), F.lit(math.log(s.trust))).otherwise(F.lit(wrong))
-
-    total = F.zip_with(F.zip_with("ll", F.coalesce("prior", F.array(*map(F.lit, overall))), lambda a, p: a + F.log(p)), F.transform(names, declared_evidence), lambda a, d: a + d)
-    out = joined.withColumn("__total", total)
-    out = out.withColumn("__top", F.array_max("__total"))
-    out = out.withColumn("posterior", 1 / F.aggregate(F.transform("__total", lambda x: F.exp(x - F.col("__top"))), F.lit(0.0), lambda a, x: a + x))
-    out = out.withColumn("language", F.when(F.col("n_grams") > 0, F.get(names, F.array_position("__total", F.col("__top")).cast("int") - 1)))
-    undeclared = F.coalesce(~known, F.lit(True))
-    contradicts = ~undeclared & (F.col("language") != F.col("declared")) & (F.col("posterior") >= s.against) & (F.col("n_grams") >= s.enough)
-    accepted = (F.col("n_grams") > 0) & ~contradicts & (~undeclared | (F.col("posterior") >= s.sure))
-    return out.select(*[F.col(f"k_{c}").alias(c) for c in keep], *texts, "language", "posterior", "n_grams", F.coalesce(accepted, F.lit(False)).alias("accepted"))
+    kinds = lambda df: ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+    out = named.mapInArrow(likelihoods, f"{kinds(named if keep_text else named.drop('text'))}, n_grams long, ll array<double>")
+    # a row without a host or suffix gets empty lists, which leave the wider prior as it is
+    for keys, name in ((["suffix"], "of_suffix"), (["host", "suffix"], "of_host")):
+        lists = cut(_own(counts.where(F.col(keys[0]).isNotNull()), keys, name))
+        out = lookup_join(out, lists, keys, max(1, s.broadcast_pairs // width))
+    out = out.select(*kept, "declared", "n_grams", "ll", "of_suffix", "of_host")
+    out = out.mapInArrow(judge, f"{kinds(out.select(*kept)) + ', ' if kept else ''}language string, posterior double, n_grams long, accepted boolean")
+    return out.select(*[F.col(f"k_{c}").alias(c) for c in keep], *texts, "language", "posterior", "n_grams", "accepted")
 
 
 def suffix_of(host: Column) -> Column:

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import time
@@ -742,6 +743,76 @@ def test_small_languages_are_modelled(spark, small_dir):
     assert np.mean([r.language == r.declared for r in got.values() if r.n_grams >= 40]) > 0.95
 
 
+def plain_languages(rows, s=langid.Settings()):
+    """{id: (language, posterior, n_grams, kept)} of (id, text, declared, host), by loops over counts."""
+    grams = {i: Counter(langid.buckets(t, s.bits).tolist()) for i, t, _, _ in rows}
+    suffix = lambda h: h.rsplit(".", 1)[1].lower() if h and "." in h else None
+    names = sorted({d for _, _, d, _ in rows if d is not None})
+    own = {d: Counter() for d in names}
+    declared, by_host, by_suffix = Counter(), {}, {}
+    for i, _, d, h in rows:
+        by_host.setdefault(h, Counter())
+        by_suffix.setdefault(suffix(h), Counter())
+        if d is not None:
+            own[d] += grams[i]
+            declared[d] += 1
+            by_host[h][d] += 1
+            by_suffix[suffix(h)][d] += 1
+    whole = [0.5 + sum(own[d][b] for d in names) for b in range(1 << s.bits)]
+    total = {d: sum(own[d].values()) + s.smooth for d in names}
+    log_p = lambda d, b: math.log((own[d][b] + s.smooth * whole[b] / sum_of_all) / total[d])
+    sum_of_all = sum(whole)
+    out = {}
+    for i, _, lang, h in rows:
+        n = sum(grams[i].values())
+        score = {}
+        for d in names:
+            p = (declared[d] + 1) / (sum(declared.values()) + len(names))
+            for c in ([by_suffix[suffix(h)]] if suffix(h) else []) + ([by_host[h]] if h is not None else []):
+                p = (c[d] + s.pull * p) / (sum(c.values()) + s.pull)
+            score[d] = math.log(p) + min(1, s.length / max(1, n)) * sum(k * log_p(d, b) for b, k in grams[i].items())
+            if lang is not None:
+                score[d] += math.log(s.trust if d == lang else (1 - s.trust) / max(1, len(names) - 1))
+        best = max(names, key=lambda d: (score[d], -names.index(d)))
+        posterior = 1 / sum(math.exp(x - score[best]) for x in score.values())
+        wrong = lang is not None and best != lang and posterior >= s.against and n >= s.enough
+        out[i] = (best if n else None, posterior, n, n > 0 and not wrong and (lang is not None or posterior >= s.sure))
+    return out
+
+
+def same_languages(docs):
+    rows = [(r.doc_id, r.text, r.lang, r.source) for r in docs.collect()]
+    want, got = plain_languages(rows), {r.doc_id: r for r in langid.langid_digest(docs).collect()}
+    assert set(got) == set(want) and len(got) == len(rows)
+    for i, (language, posterior, n, kept) in want.items():
+        assert (got[i].language, got[i].n_grams, got[i].kept) == (language, n, kept)
+        assert got[i].posterior == pytest.approx(posterior, abs=2e-6)
+
+
+def test_languages_equal_plain_loops(spark, small_dir):
+    docs = real(spark, small_dir).select("doc_id", "text", "lang", "source")
+    same_languages(docs)
+    hosts = F.when(F.col("doc_id") % 5 == 0, F.lit(None)).when(F.col("doc_id") % 3 == 0, F.concat(F.lit("a."), "lang")).otherwise(F.concat("source", F.lit(".org")))
+    lang = F.when(F.col("doc_id") % 7 == 0, F.lit(None)).when(F.col("doc_id") % 11 == 0, F.lit("fr")).otherwise(F.col("lang"))
+    same_languages(docs.where("doc_id % 2 = 0").withColumn("source", hosts).withColumn("lang", lang))
+
+
+def test_priors_beyond_the_broadcast_size(spark, small_dir):
+    rows = langid.document_evidence(real(spark, small_dir).select("doc_id", "text", "lang", "source"))
+    both = [sorted(map(tuple, langid.identify(rows, ["doc_id"], langid.Settings(broadcast_pairs=n)).withColumn("posterior", F.round("posterior", 6)).collect())) for n in (500_000, 0)]
+    assert both[0] == both[1]
+
+
+def test_thousands_of_languages(spark):
+    start = time.time()
+    n = 3_000
+    docs = documents(spark, [f"w{i * 7919 % 10007:05d}x q{i}z the words of {i:x}" for i in range(n)])
+    docs = docs.withColumn("lang", F.concat(F.lit("l"), "doc_id")).withColumn("source", F.lit("one.host"))
+    rows = langid.langid_digest(docs).collect()
+    assert len(rows) == n and all(r.language == r.declared and r.kept for r in rows)
+    assert time.time() - start < 60
+
+
 def test_wrong_declarations_are_rejected(spark, sf_dir):
     docs = real(spark, sf_dir)
     wrong = F.when((F.col("doc_id") % 50 == 0) & (F.col("lang") == "fr") & (F.col("n_chars") > 300), F.lit("en")).otherwise(F.col("lang"))

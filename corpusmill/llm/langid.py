@@ -25,6 +25,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lookup_join, share, text_batches
+from .common import cut, is_small, lookup_join, share, text_batches
 
 # letters stay (also bytes of longer characters); all else is a space
 LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
@@ -204,13 +205,16 @@ def identify(rows: DataFrame, keep: list[str], s: Settings = Settings(), keep_te
 
     named = rows.select(*[F.col(c).alias(f"k_{c}") for c in keep], "text", "declared", "host", "suffix")
     kinds = lambda df: ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
-    out = named.mapInArrow(likelihoods, f"{kinds(named if keep_text else named.drop('text'))}, n_grams long, ll array<double>")
+    verdict = f"{kinds(named.select(*kept)) + ', ' if kept else ''}language string, posterior double, n_grams long, accepted boolean"
     # a row without a host or suffix gets empty lists, which leave the wider prior as it is
-    for keys, name in ((["suffix"], "of_suffix"), (["host", "suffix"], "of_host")):
-        lists = cut(_own(counts.where(F.col(keys[0]).isNotNull()), keys, name))
-        out = lookup_join(out, lists, keys, max(1, s.broadcast_pairs // width))
-    out = out.select(*kept, "declared", "n_grams", "ll", "of_suffix", "of_host")
-    out = out.mapInArrow(judge, f"{kinds(out.select(*kept)) + ', ' if kept else ''}language string, posterior double, n_grams long, accepted boolean")
+    most = max(1, s.broadcast_pairs // width)
+    lists = [(keys, cut(_own(counts.where(F.col(keys[0]).isNotNull()), keys, name))) for keys, name in ((["suffix"], "of_suffix"), (["host", "suffix"], "of_host"))]
+    of = lambda df: reduce(lambda d, x: lookup_join(d, x[1], x[0], most), lists, df)
+    if all(is_small(x, most) for _, x in lists):  # lists come to the rows, and one map does both steps
+        out = of(named).mapInArrow(lambda batches: judge(likelihoods(batches)), verdict)
+    else:  # no join that may shuffle takes texts along, unless they are kept
+        scored = named.mapInArrow(likelihoods, f"{kinds(named if keep_text else named.drop('text'))}, n_grams long, ll array<double>")
+        out = of(scored).select(*kept, "declared", "n_grams", "ll", "of_suffix", "of_host").mapInArrow(judge, verdict)
     return out.select(*[F.col(f"k_{c}").alias(c) for c in keep], *texts, "language", "posterior", "n_grams", "accepted")
 
 

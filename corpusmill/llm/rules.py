@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import lookup_join
+from .common import cut, lookup_join
 
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]"
@@ -132,7 +132,8 @@ def limits(buckets: DataFrame) -> DataFrame:
 def judge(measured: DataFrame, most_broadcast_rows: int = 20_000) -> DataFrame:
     """measured with its group's limits and `kept`: false if the base rule failed, else whether
     every measure is within its limits (comparisons with a missing limit count as within)."""
-    joined = lookup_join(measured, limits(sketch(measured)), ["lang", "source"], most_broadcast_rows)
+    # the sketch serves three levels, and the limits a count and a join: each is computed once
+    joined = lookup_join(measured, cut(limits(cut(sketch(measured)))), ["lang", "source"], most_broadcast_rows)
     within = ~F.col("base_failed")
     for m in MEASURES:
         within = within & F.coalesce(F.col(m) <= F.col(f"{m}_high"), F.lit(True))
@@ -143,8 +144,6 @@ def judge(measured: DataFrame, most_broadcast_rows: int = 20_000) -> DataFrame:
 
 def rules_digest(docs: DataFrame) -> DataFrame:
     """The contract's columns, then the measures with their limits."""
-    from .common import cut
-
     out = judge(cut(measure(docs)))
     extra = [c for m in MEASURES for c in (m, f"{m}_high")] + [f"{m}_low" for m in BOTH_SIDES]
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *extra)

@@ -24,7 +24,7 @@ WORDS = "Diese Zeile hat genug verschiedene Wörter damit das Tor nicht an der L
 INDEXED = f"{WORDS} chérement 12, 13, 14 und réparer 3, 4, 5 und so weiter²."  # SQL sees a word begin after é
 
 
-@pytest.mark.parametrize("name", ["q05_prose_metrics"])
+@pytest.mark.parametrize("name", ["q05_prose_metrics", "q05b_prose_gate"])
 def test_prose_as_sql_has_it(spark, tmp_path, name):
     spark_rows, sql_rows = both(spark, tmp_path, name, [INDEXED, WORDS + ".", INDEXED.replace("é", "e"), f"{WORDS} ٣ ٤."])
     assert spark_rows == sql_rows

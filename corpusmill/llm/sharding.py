@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import heapq
 import uuid
+from bisect import bisect_left
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,7 +58,9 @@ def plan(loads: dict[int, tuple[int, int]], n_shards: int, slots: int = SLOTS) -
 
 def rebalance(owner: dict[int, int], loads: dict[int, tuple[int, int]], n_shards: int, tolerance: float = 0.02) -> dict[int, int]:
     """An edited copy of the map: slots of shards that no longer exist move, and heavy shards hand
-    over slots that fit until no shard is more than `tolerance` over the mean; all others stay."""
+    over slots that fit until no shard is more than `tolerance` over the mean; all others stay. Where
+    every slot is too heavy to move, the heaviest and the lightest shard exchange two, so that the
+    loads come nearer than the lightest slot."""
     weight = lambda v: loads.get(v, (0, 0))[1]
     owner = dict(owner)
     load = [0] * n_shards
@@ -75,6 +78,10 @@ def rebalance(owner: dict[int, int], loads: dict[int, tuple[int, int]], n_shards
         load[shard] += weight(slot)
         members[shard].append(slot)
 
+    def take(slot: int) -> None:
+        load[owner[slot]] -= weight(slot)
+        members[owner[slot]].remove(slot)
+
     for slot in sorted(homeless, key=lambda v: (-weight(v), v)):
         give(slot, min(range(n_shards), key=lambda s: (load[s], s)))
     mean = sum(load) / n_shards
@@ -82,13 +89,19 @@ def rebalance(owner: dict[int, int], loads: dict[int, tuple[int, int]], n_shards
         high, low = max(range(n_shards), key=lambda s: (load[s], -s)), min(range(n_shards), key=lambda s: (load[s], s))
         if load[high] <= mean * (1 + tolerance) and load[low] >= mean * (1 - tolerance):
             return owner
-        fits = [v for v in members[high] if 0 < weight(v) < load[high] - load[low]]
+        spread, want = load[high] - load[low], min(load[high] - mean, mean - load[low])
+        fits = [(abs(weight(v) - want), v, None) for v in members[high] if 0 < weight(v) < spread]
+        if not fits:  # pairs nearest to what is wanted, found among the lightest shard's slots in order of weight
+            light = sorted((weight(v), v) for v in members[low])
+            near = [(v, k) for v in members[high] for k in {bisect_left(light, (weight(v) - want, -1)) + d for d in (-1, 0)} if 0 <= k < len(light)]
+            fits = [(abs(weight(v) - light[k][0] - want), v, light[k][1]) for v, k in near if 0 < weight(v) - light[k][0] < spread]
         if not fits:
             return owner
-        want = min(load[high] - mean, mean - load[low])
-        slot = min(fits, key=lambda v: (abs(weight(v) - want), v))
-        members[high].remove(slot)
-        load[high] -= weight(slot)
+        _, slot, back = min(fits, key=lambda x: x[:2])
+        take(slot)
+        if back is not None:
+            take(back)
+            give(back, high)
         give(slot, low)
 
 

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from corpusmill.llm import sharding
 
 
 def both(spark, folder, name, texts):
@@ -43,3 +44,11 @@ def test_cited_names_as_sql_has_them(spark, tmp_path):
     texts = ["Nach Ältere (2001) und Maier (2002) gilt das, sagt Maier.", "Nach Ältere (2001).", "éÄltere 2001, xÄltere 2002", "Müller et al., 2001 und éMüller und Müllers"]
     spark_rows, sql_rows = both(spark, tmp_path, "q66b_perturbed_quotes_numbers_names", texts)
     assert spark_rows == sql_rows
+
+
+@pytest.mark.parametrize("mean", [250_000, 1_500_000])
+def test_shards_are_even_where_slots_outweigh_the_largest_record(mean):
+    loads = {v: (100, mean + v * 7919 % 80_000) for v in range(sharding.SLOTS)}
+    edited = sharding.rebalance(sharding.plan({v: (n, n) for v, (n, _) in loads.items()}, 16), loads, 16, 0.0)
+    bytes_of = [sum(loads[v][1] for v, s in edited.items() if s == k) for k in range(16)]
+    assert sorted(edited) == sorted(loads) and max(bytes_of) - min(bytes_of) < 1_000

@@ -398,7 +398,7 @@ def q37_best_link(spark, sf_dir):
 
 @query(chain.WINDOW_ROWS)
 def q38_sentence_windows(spark, sf_dir):
-    return detect.windows(table(spark, sf_dir, "documents")).drop("window_text")
+    return detect.windows(table(spark, sf_dir, "documents"), with_text=False)
 
 
 @query(chain.OVERALL)

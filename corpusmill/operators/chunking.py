@@ -11,12 +11,13 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import accumulate, cycle
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..functions.batches import slices
 from ..functions.scalars import TARGET_WORDS
 from ..functions.sentences import corpus_sentences
 
@@ -71,13 +72,15 @@ SCHEMA = "document_id string, chunk_number int, target_length int, chunk string,
 def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_chunks: int | None = 3) -> DataFrame:
     """One row per chunk, with spacing fixed; at most `max_chunks` evenly spaced ones per document."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.schema([("document_id", pa.string()), ("chunk_number", pa.int32()), ("target_length", pa.int32()), ("chunk", pa.string()), ("context_before", pa.string())])
         for p in parts:
-            rows = [{"document_id": i, **c} for i, t in zip(p["document_id"], p["text"], strict=True) for c in chunks_of(t, i)]
-            yield pd.DataFrame(rows, columns=["document_id", "chunk_number", "target_length", "chunk", "context_before"])
+            for s in slices(p, p["text"]):
+                rows = [{"document_id": i, **c} for i, t in zip(s["document_id"].to_pylist(), s["text"].to_pylist(), strict=True) for c in chunks_of(t, i)]
+                yield pa.RecordBatch.from_pylist(rows, kinds)
 
     src = docs.select(F.col(id_col).cast("string").alias("document_id"), F.col(text_col).alias("text")).where("document_id is not null")
-    out = src.mapInPandas(run, SCHEMA)
+    out = src.mapInArrow(run, SCHEMA)
     tidy = lambda c: T.fix_spacing(T.flatten_whitespace(F.col(c)))
     out = out.withColumn("chunk", tidy("chunk")).withColumn("context_before", tidy("context_before")).where("chunk <> ''")
     return out if max_chunks is None else evenly_spaced(out, ["document_id"], "chunk_number", max_chunks)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import text as T
+from .tables import written
 
 GENERATORS = "first_id long, last_id long, model string, company string, strategy string"
 # Id ranges of the generators; aliases of their names.
@@ -43,10 +44,11 @@ def assemble(human: DataFrame, assisted: DataFrame, generated: DataFrame, ranges
 
     A human row and its two partners share a split. Missing, short or unchanged AI texts are skipped
     with a reason. An id that no generator's range holds fails, or, if not `strict`, has its AI texts
-    skipped. The three branches are a union; each join is on the seed id.
+    skipped. The three branches are a union; each join is on the seed id and takes a human text's hash along,
+    not the text.
     """
     h = human.withColumn("text", T.strip(F.col("text")))
-    gen = with_generator(h, "sample_id", ranges, strict=strict)
+    gen = with_generator(h.withColumn("human_hash", F.unhex(F.sha2("text", 256))).drop("text"), "sample_id", ranges, strict=strict)
     others = [c for c in human.columns if c not in ("sample_id", "text")]
     none = F.lit(None).cast("string")
 
@@ -56,8 +58,8 @@ def assemble(human: DataFrame, assisted: DataFrame, generated: DataFrame, ranges
     rows = row(h, "human", 0, none, none, none, F.lit(None))
     skipped = None
     for kind, label, texts, strategy in (("assisted", 2, assisted, F.lit("rewrite")), ("generated", 1, generated, F.col("strategy"))):
-        j = gen.withColumnRenamed("text", "human_text").join(texts.select(F.col("seed_id").alias("sample_id"), T.strip(F.col("text")).alias("text")), "sample_id", "left")
-        why = F.when(F.col("model").isNull(), f"no_generator_{kind}").when(F.col("text").isNull(), f"missing_{kind}").when(T.word_count(F.col("text")) < least_words, f"refused_{kind}").when(F.col("text") == F.col("human_text"), f"unchanged_{kind}")
+        j = gen.join(texts.select(F.col("seed_id").alias("sample_id"), T.strip(F.col("text")).alias("text")), "sample_id", "left")
+        why = F.when(F.col("model").isNull(), f"no_generator_{kind}").when(F.col("text").isNull(), f"missing_{kind}").when(T.word_count(F.col("text")) < least_words, f"refused_{kind}").when(F.unhex(F.sha2("text", 256)) == F.col("human_hash"), f"unchanged_{kind}")
         j = j.withColumn("skip_reason", why)
         rows = rows.unionByName(row(j.where("skip_reason is null"), kind, label, F.col("model"), F.col("company"), strategy, F.col("sample_id")))
         s = j.where("skip_reason is not null").select("skip_reason", F.col("sample_id").alias("seed_id"))
@@ -73,9 +75,8 @@ def skip_report(skipped: DataFrame, most: int = 15) -> DataFrame:
 
 
 def problems(rows: DataFrame, least_words: int = 20) -> DataFrame:
-    """(problem, key): the dataset is sound if this is empty."""
-    ids = rows.groupBy("id").count().where("count > 1").select(F.lit("duplicate_id").alias("problem"), F.col("id").alias("key"))
-    texts = rows.groupBy(F.sha2("text", 256).alias("key")).count().where("count > 1").select(F.lit("identical_texts").alias("problem"), "key")
+    """(problem, key): the dataset is sound if this is empty. The rows are made once; what is looked at of each
+    is narrow and kept as a table."""
     each = F.array_compact(
         F.array(
             F.when(F.trim("text") == "", "empty_text"),
@@ -85,8 +86,11 @@ def problems(rows: DataFrame, least_words: int = 20) -> DataFrame:
             F.when((F.col("label") > 0) & (F.col("word_count") < least_words), "ai_text_too_short"),
         )
     )
-    by_row = rows.select(F.explode(each).alias("problem"), F.col("id").alias("key"))
-    return ids.unionByName(texts).unionByName(by_row).unionByName(leaks(rows, "document_id", "document_in_two_splits")).unionByName(leaks(rows.withColumn("grp", S.id_number(F.col("id")).cast("string")), "grp", "group_in_two_splits"))
+    seen = written(rows.select("id", "split", "document_id", F.sha2("text", 256).alias("hash"), each.alias("found")))
+    ids = seen.groupBy("id").count().where("count > 1").select(F.lit("duplicate_id").alias("problem"), F.col("id").alias("key"))
+    texts = seen.groupBy("hash").count().where("count > 1").select(F.lit("identical_texts").alias("problem"), F.col("hash").alias("key"))
+    by_row = seen.select(F.explode("found").alias("problem"), F.col("id").alias("key"))
+    return ids.unionByName(texts).unionByName(by_row).unionByName(leaks(seen, "document_id", "document_in_two_splits")).unionByName(leaks(seen.withColumn("grp", S.id_number(F.col("id")).cast("string")), "grp", "group_in_two_splits"))
 
 
 def date_range(rows: DataFrame, day: str, by: list[str]) -> DataFrame:

@@ -97,3 +97,19 @@ def test_chunks_come_in_slices(spark, monkeypatch):
     rows = pa.RecordBatch.from_pydict({"document_id": [str(i) for i in range(1000)], "text": [LONG] * 1000})
     out = outputs(monkeypatch, lambda: chunking.chunk_documents(docs), rows)
     assert max(len(set(b["document_id"].to_pylist())) for b in out) < 110 and sum(b.num_rows for b in out) == sum(len(chunking.chunks_of(LONG, str(i))) for i in range(1000))
+
+
+def test_the_assembly_shuffles_no_human_text(spark):
+    from corpusmill.operators import dataset
+
+    human = spark.createDataFrame([(1, "ein  mensch schrieb " * 10, "train"), (2, "gleich " * 30, "train")], "sample_id long, text string, split string")
+    ai = spark.createDataFrame([(1, "eine maschine schrieb " * 10), (2, " " + "gleich " * 30)], "seed_id long, text string")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows, skipped = dataset.assemble(human, ai, ai, dataset.generator_ranges(spark))
+        assert sorted(r["id"] for r in rows.collect()) == ["assisted-1", "generated-1", "human-1", "human-2"]
+        assert sorted(r["skip_reason"] for r in skipped.collect()) == ["unchanged_assisted", "unchanged_generated"]
+        assert "human_text" not in rows._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)

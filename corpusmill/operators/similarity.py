@@ -27,6 +27,8 @@ def similarity(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([word_ratio(x.as_py(), y.as_py()) for x, y in zip(a, b, strict=True)], pa.float64())
 
 
+similarity = similarity.asNondeterministic()  # else a filter inferred from a later join computes it a second time
+
 def by_generator(table: DataFrame, model: str = "generator_model") -> DataFrame:
     return table.groupBy(model).agg(F.count(F.lit(1)).alias("texts"), F.median("similarity").alias("median"))
 

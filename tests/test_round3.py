@@ -113,3 +113,8 @@ def test_the_assembly_shuffles_no_human_text(spark):
         assert "human_text" not in rows._jdf.queryExecution().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_similarity_is_computed_once(spark, small_dir):
+    plan = __spark_entry__.queries()["q36b_misses_by_similarity"](spark, small_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators.metrics import check_alignment
+from .places import file_system
 
 PREDICTIONS = "id string, label int, word_count long, source string, generator_model string, pred int, p_human double, p_ai_generated double, p_ai_assisted double"
 
@@ -48,6 +50,35 @@ def read_folder(spark: SparkSession, path: str, labels: dict[str, int], default:
     return df.select(F.col("_metadata.file_name").alias("file"), label.alias("label"), F.col("value").alias("text"))
 
 
+def read_parts(spark: SparkSession, path: str, together: int = 1000) -> DataFrame:
+    """(file, text) of what the sink of one file per row wrote in its layout of parts. The driver lists the
+    parts; a task lists and reads the files of one, so that neither knows millions of them."""
+    from pyarrow.fs import FileSelector, FileType
+
+    listed, root = file_system(path)
+    parts = [f.path for f in listed.get_file_info(FileSelector(root)) if f.type == FileType.Directory and f.base_name.startswith("part-")]
+
+    def read(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+
+        files = file_system(path)[0]
+        for folder in (f for r in rows for f in r["folder"].to_pylist()):
+            names, texts, held = [], [], 0
+            for f in files.get_file_info(FileSelector(folder)):
+                with files.open_input_stream(f.path) as stream:
+                    texts.append(stream.read())
+                names.append(f.base_name)
+                held += len(texts[-1])
+                if len(names) >= together or held > 1 << 22:
+                    yield pa.RecordBatch.from_pydict({"file": names, "text": pa.array(texts, pa.binary()).cast(pa.string())})
+                    names, texts, held = [], [], 0
+            if names:
+                yield pa.RecordBatch.from_pydict({"file": names, "text": pa.array(texts, pa.binary()).cast(pa.string())})
+
+    one_each = spark.sparkContext.parallelize([(p,) for p in parts], max(1, len(parts)))
+    return spark.createDataFrame(one_each, "folder string").mapInArrow(read, "file string, text string")
+
+
 def read_binary(spark: SparkSession, path: str, most_bytes: int, magic: str = "%PDF") -> DataFrame:
     """Files with a reason to skip: too large, or not of the kind that `magic` begins. The size
     filter is on file metadata; large files are not read."""

@@ -118,3 +118,13 @@ def test_the_assembly_shuffles_no_human_text(spark):
 def test_similarity_is_computed_once(spark, small_dir):
     plan = __spark_entry__.queries()["q36b_misses_by_similarity"](spark, small_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_files_of_the_sink_are_read_by_part(spark, tmp_path):
+    from corpusmill.sources import files, sinks
+
+    spark.dataSource.register(sinks.TextFiles)
+    texts = {f"{i}.txt": f"Zeile {i}\nnoch ü" * (i % 4) for i in range(40)}
+    spark.createDataFrame(list(texts.items()), "name string, text string").repartition(3).write.format("one_file_per_row").mode("append").save(str(tmp_path / "out"))
+    back = files.read_parts(spark, str(tmp_path / "out"), together=7)
+    assert dict(map(tuple, back.collect())) == texts and back.rdd.getNumPartitions() == 3

@@ -49,14 +49,19 @@ def join_lines(lines: Column) -> Column:
 
 def body_size(spans: DataFrame) -> DataFrame:
     """(doc_id, body_size): the size that most characters have; ties go to the first seen."""
-    place = F.struct("page", "block", "line", "span")
+    # a span's place as one number, which is aggregated by hash; of structs, all spans of a task would be sorted
+    page, block, line, span = (F.col(c).cast("long") for c in ("page", "block", "line", "span"))
+    upper, lower = page * 2**31 + block, line * 2**31 + span
+    place = upper.cast("decimal(19,0)") * F.lit(2**62).cast("decimal(19,0)") + lower.cast("decimal(19,0)")
     sizes = spans.groupBy("doc_id", "size").agg(F.sum(F.length("text")).alias("chars"), F.min(place).alias("first"))
     return sizes.groupBy("doc_id").agg(F.min_by("size", F.struct((-F.col("chars")).alias("c"), "first")).alias("body_size"), F.sum("chars").alias("chars"))
 
 
 def lines_of(spans: DataFrame) -> DataFrame:
     """A row per line: its whole text, its text in the body's size, and whether that is all bold."""
-    s = spans.where(F.trim("text") != "").join(body_size(spans.where(F.trim("text") != "")).select("doc_id", "body_size"), "doc_id")
+    s = spans.where(F.trim("text") != "")
+    # a hash join holds a narrow row for each document of a task; a merge join would sort all its spans
+    s = s.join(body_size(s).select("doc_id", "body_size").hint("shuffle_hash"), "doc_id")
     own = F.struct("span", "text", "size", "x0", "x1", "bold")
     g = s.groupBy("doc_id", "page", "block", "line").agg(F.array_sort(F.collect_list(own)).alias("all"), F.first("body_size").alias("body_size"))
     body = F.filter("all", lambda x: F.abs(x["size"] - F.col("body_size")) <= 0.5)

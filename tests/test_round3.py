@@ -152,3 +152,14 @@ def test_scored_sentences_come_in_slices(spark, monkeypatch):
     table = pa.Table.from_batches(out).to_pylist()
     assert len(out) >= 3 and [(r["start"], r["end"], r["words"]) for r in table[:4]] == [(0, 21, 4), (24, 36, 2), (37, 49, 2), (0, 3, 2)]
     assert len(table) == 4 + 298 * 200 and all(abs(r["p0"] + r["p1"] + r["p2"] - 1) < 1e-9 for r in table)
+
+
+def test_spans_are_not_sorted_for_sizes(spark):
+    from corpusmill.operators import layout
+
+    big = 2**31 - 1
+    rows = [(1, big, big, big, big, "vier", 8.0), (1, big, big, big, big - 1, "fünf", 9.0), (1, big, big, big, 0, " ", 7.0), (2, 0, 1, 0, 0, "abc", 8.0), (2, 0, 0, big, big, "abc", 9.0), (3, 1, 0, 0, 0, "abcd", 8.0), (3, 0, big, 0, 0, "abc", 9.0)]
+    spans = spark.createDataFrame([(*r, False, 0.0, 1.0) for r in rows], "doc_id long, page int, block int, line int, span int, text string, size double, bold boolean, x0 double, x1 double")
+    assert {r.doc_id: r.body_size for r in layout.body_size(spans).collect()} == {1: 9.0, 2: 9.0, 3: 8.0}
+    plan = layout.lines_of(spans)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "SortAggregate(key=[doc_id#" in plan and ", size#" not in "".join(x for x in plan.split("\n") if "SortAggregate" in x)

@@ -684,7 +684,7 @@ def q71_scored_in_batches(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     folder = f"{shared_folder(spark)}/scoring-{uuid.uuid4().hex}"
     scoring.queue(d, f"{folder}/queue", 5000)
-    scoring.score(spark, f"{folder}/queue", d.schema, lambda b: b.select("doc_id", F.length("text").alias("n_chars"), T.word_count(F.col("text")).cast("int").alias("words")), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    scoring.score(spark, f"{folder}/queue", d.schema, lambda b: b.select("doc_id", F.length("text").alias("n_chars"), T.word_count(F.col("text")).cast("int").alias("words")), f"{folder}/out", f"{folder}/checkpoint", scoring.at_once(spark)).awaitTermination()
     return scoring.scored(spark, f"{folder}/out")
 
 

@@ -20,6 +20,11 @@ def queue(rows: DataFrame, path: str, every: int = 100) -> None:
     rows.write.mode("append").option("maxRecordsPerFile", every).parquet(path)
 
 
+def at_once(spark: SparkSession) -> int:
+    """How many files the cluster scores at once, one for each of its cores."""
+    return max(1, spark.sparkContext.defaultParallelism)
+
+
 def score(spark: SparkSession, path: str, schema: StructType | str, scorer: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, files: int = 1) -> StreamingQuery:
     """Scores what the queue holds and is not scored yet; each commit covers `files` of its files."""
 

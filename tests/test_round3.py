@@ -163,3 +163,17 @@ def test_spans_are_not_sorted_for_sizes(spark):
     assert {r.doc_id: r.body_size for r in layout.body_size(spans).collect()} == {1: 9.0, 2: 9.0, 3: 8.0}
     plan = layout.lines_of(spans)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "SortAggregate(key=[doc_id#" in plan and ", size#" not in "".join(x for x in plan.split("\n") if "SortAggregate" in x)
+
+
+def test_a_commit_covers_a_file_for_each_core(spark, tmp_path, monkeypatch):
+    from corpusmill.streaming import scoring
+
+    docs = spark.createDataFrame([(i, "ein Wort " * (i % 5)) for i in range(400)], "doc_id long, text string")
+    docs.repartition(32).write.parquet(str(tmp_path / "documents.parquet"))
+    files, found, queue, scored = [], [], scoring.queue, scoring.scored
+    monkeypatch.setattr(scoring, "queue", lambda rows, path, every: (queue(rows, path, 20), files.extend(f for f in os.listdir(path.removeprefix("file:")) if f.startswith("part-"))))
+    monkeypatch.setattr(scoring, "scored", lambda spark, out: found.append(out) or scored(spark, out))
+    rows = __spark_entry__.queries()["q71_scored_in_batches"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, rows)) == [(i, 9 * (i % 5), 2 * (i % 5)) for i in range(400)]
+    batches = [f for f in os.listdir(found[0].removeprefix("file:")) if f.startswith("batch=")]
+    assert len(files) >= 20 and len(batches) == -(-len(files) // spark.sparkContext.defaultParallelism)

@@ -49,7 +49,8 @@ def fit(df: DataFrame, c: float = 3.0, min_df: float = 5.0, max_df: float = 0.98
     """(1 + ln count) x (ln((1 + n) / (1 + df)) + 1) -> L2 norm -> regression until a step gains
     less than `tolerance`, in `iterations` at most; the penalty is 1 / (c n)."""
     df = df.select(label, "terms").persist()  # read by the vocabulary and once more to be counted
-    n = max(1, df.count())
+    n, top = df.agg(F.count(F.lit(1)), F.max(label)).first()
+    n = max(1, n)
     counts = CountVectorizer(inputCol="terms", outputCol="counts", vocabSize=features, minDF=min(min_df, float(n)), maxDF=max(max_df, 1.0) if n * max_df < min_df else max_df).fit(df)
     # a step of the solver sums a dense vector for each partition, so few rows are kept in few partitions
     counted = counts.transform(df).select(label, "counts").coalesce(-(-n // ROWS)).persist()
@@ -60,7 +61,9 @@ def fit(df: DataFrame, c: float = 3.0, min_df: float = 5.0, max_df: float = 0.98
     norm = Normalizer(inputCol="weighted", outputCol="features", p=2.0)
     logs = SublinearCounts()
     train = norm.transform(weigh.transform(logs.transform(counted)))
-    model = LogisticRegression(labelCol=label, family="multinomial", regParam=1.0 / (c * n), standardization=False, maxIter=iterations, tol=tolerance).fit(train)
+    # of two classes the weights are opposite: their difference alone is sought, whose penalty is half
+    family, penalty = ("binomial", 0.5 / (c * n)) if top == 1 else ("multinomial", 1.0 / (c * n))
+    model = LogisticRegression(labelCol=label, family=family, regParam=penalty, standardization=False, maxIter=iterations, tol=tolerance).fit(train)
     counted.unpersist()
     return PipelineModel([counts, logs, weigh, norm, model])
 

@@ -177,3 +177,19 @@ def test_a_commit_covers_a_file_for_each_core(spark, tmp_path, monkeypatch):
     assert sorted(map(tuple, rows)) == [(i, 9 * (i % 5), 2 * (i % 5)) for i in range(400)]
     batches = [f for f in os.listdir(found[0].removeprefix("file:")) if f.startswith("batch=")]
     assert len(files) >= 20 and len(batches) == -(-len(files) // spark.sparkContext.defaultParallelism)
+
+
+def test_two_classes_are_fitted_by_their_difference(spark):
+    from pyspark.ml.classification import LogisticRegression
+
+    from corpusmill.operators import ml
+
+    texts = [f"wort{i % 7} text{i % 5} rest{i % 3} {'gut' if i % 3 else 'übel'}" for i in range(60)]
+    for classes, rows in ((2, 1), (3, 3)):
+        df = ml.tokens(spark.createDataFrame([(t, (i + i // 4) % classes) for i, t in enumerate(texts)], "text string, label int"))
+        model = ml.fit(df, min_df=1.0, tolerance=1e-12)
+        features = model.transform(df).drop("rawPrediction", "probability", "prediction")
+        plain = LogisticRegression(family="multinomial", regParam=1.0 / (3.0 * len(texts)), standardization=False, maxIter=1_000, tol=1e-12).fit(features)
+        both = [[r.probability.toArray().tolist() for r in m.transform(f).orderBy("text", "label").collect()] for m, f in ((plain, features), (model, df))]
+        assert model.stages[-1].coefficientMatrix.numRows == rows and len(both[0]) == len(texts)
+        assert all(a == pytest.approx(b, abs=1e-4) for a, b in zip(*both, strict=True))

@@ -9,11 +9,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from .ordering import group_folds
@@ -21,6 +21,7 @@ from .tables import written
 
 
 ROWS = 5_000  # of a partition that the solver reads, at least
+BLOCK = 0.25  # MB of the rows that the solver keeps as one: its arrays stay below half a region of a small heap
 
 
 def tokens(df: DataFrame, text: str = "text") -> DataFrame:
@@ -45,26 +46,43 @@ class SublinearCounts(Transformer, DefaultParamsReadable, DefaultParamsWritable)
         return df.withColumn("logs", logs("counts"))
 
 
+def vocabulary(df: DataFrame, least: float, most: float, features: int) -> list[Row]:
+    """The `features` most counted terms that `least` to `most` texts have, ties by term, and those texts' number.
+    Rows of all terms and of each once are summed by hash, which spills, without an object for each term."""
+    both = df.select(F.posexplode(F.array("terms", F.array_distinct("terms"))).alias("once", "some")).select("once", F.explode("some").alias("term"))
+    seen = both.groupBy("term").agg(F.sum(1 - F.col("once")).alias("counted"), F.sum("once").alias("texts"))
+    return seen.where(F.col("texts").between(least, most)).orderBy(F.desc("counted"), "term").limit(features).select("term", "texts").collect()
+
+
+def counter(spark: SparkSession, terms: list[str]) -> CountVectorizerModel:
+    """`terms` -> `counts`. As from_vocabulary, which takes half a minute for 200,000 terms as it hands over one at
+    a time; they go as one string here (no term has a line end)."""
+    split = spark.sparkContext._jvm.org.apache.commons.lang3.StringUtils.splitPreserveAllTokens("\n".join(terms), "\n")
+    model = CountVectorizerModel._create_from_java_class("org.apache.spark.ml.feature.CountVectorizerModel", split)
+    return model.setInputCol("terms").setOutputCol("counts")
+
+
 def fit(df: DataFrame, c: float = 3.0, min_df: float = 5.0, max_df: float = 0.98, features: int = 200_000, iterations: int = 1_000, tolerance: float = 1e-4, label: str = "label") -> PipelineModel:
     """(1 + ln count) x (ln((1 + n) / (1 + df)) + 1) -> L2 norm -> regression until a step gains
     less than `tolerance`, in `iterations` at most; the penalty is 1 / (c n)."""
-    df = df.select(label, "terms").persist()  # read by the vocabulary and once more to be counted
+    df = df.select(label, "terms")
     n, top = df.agg(F.count(F.lit(1)), F.max(label)).first()
     n = max(1, n)
-    counts = CountVectorizer(inputCol="terms", outputCol="counts", vocabSize=features, minDF=min(min_df, float(n)), maxDF=max(max_df, 1.0) if n * max_df < min_df else max_df).fit(df)
-    # a step of the solver sums a dense vector for each partition, so few rows are kept in few partitions
-    counted = counts.transform(df).select(label, "counts").coalesce(-(-n // ROWS)).persist()
-    seen = IDF(inputCol="counts", outputCol="_").fit(counted)
-    df.unpersist()
-    weights = [math.log((1 + seen.numDocs) / (1 + k)) + 1 for k in seen.docFreq]
-    weigh = ElementwiseProduct(scalingVec=Vectors.dense(weights), inputCol="logs", outputCol="weighted")
+    least = min(min_df if min_df >= 1 else min_df * n, float(n))
+    most = max_df if max_df >= 1 else max_df * n
+    found = vocabulary(df, least, most if most >= least else float(n), features)
+    if not found:
+        raise ValueError("no term is in as many texts as min_df and max_df ask for")
+    counts = counter(df.sparkSession, [r.term for r in found])
+    weigh = ElementwiseProduct(scalingVec=Vectors.dense([math.log((1 + n) / (1 + r.texts)) + 1 for r in found]), inputCol="logs", outputCol="weighted")
     norm = Normalizer(inputCol="weighted", outputCol="features", p=2.0)
     logs = SublinearCounts()
-    train = norm.transform(weigh.transform(logs.transform(counted)))
+    # a step of the solver sums a dense vector for each partition, so few rows are read in few partitions
+    counted = written(logs.transform(counts.transform(df)).select(label, "logs")).coalesce(-(-n // ROWS))
+    train = norm.transform(weigh.transform(counted)).select(label, "features")
     # of two classes the weights are opposite: their difference alone is sought, whose penalty is half
     family, penalty = ("binomial", 0.5 / (c * n)) if top == 1 else ("multinomial", 1.0 / (c * n))
-    model = LogisticRegression(labelCol=label, family=family, regParam=penalty, standardization=False, maxIter=iterations, tol=tolerance).fit(train)
-    counted.unpersist()
+    model = LogisticRegression(labelCol=label, family=family, regParam=penalty, standardization=False, maxIter=iterations, tol=tolerance, maxBlockSizeInMB=BLOCK).fit(train)
     return PipelineModel([counts, logs, weigh, norm, model])
 
 

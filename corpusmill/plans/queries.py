@@ -18,7 +18,7 @@ from ..functions import scalars as S
 from ..functions import text as T
 from ..functions.sentences import modernize_spelling, split_sentences_app, split_sentences_corpus
 from ..operators import chunking, dataset, dedup, detect, gates, generate, layout, metrics, ml, ordering, similarity, stats
-from ..operators.tables import shared_folder
+from ..operators.tables import shared_folder, written
 from ..sources import files, sinks, store
 from ..sources import pages as P
 from ..streaming import ingest, scoring
@@ -522,7 +522,7 @@ def q56_conversation_turns(spark, sf_dir):
 @query()
 def q57_tfidf_logreg(spark, sf_dir):
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", F.col("quality").alias("label"), F.col("text"), S.assign_split(F.col("doc_id").cast("string")).alias("split"))
-    t = ml.tokens(d)
+    t = ml.tokens(written(d))  # read for the vocabulary, to be counted and to be predicted
     model = ml.fit(t.where("split = 'train'"))
     return metrics.confusion(ml.predict(model, t.where("split <> 'train'")).select("split", "label", "pred"), ["split"], 2)
 
